@@ -24,6 +24,24 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards)}
+def op6_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op6_crf_line_quality, op9_wu_manber_decontamination, op10_ecoc_language)}
 
 ORACLE_SQL: dict[str, str] = {}
