@@ -24,12 +24,24 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op5_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op6_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import deduplicated
+
+    return deduplicated(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
+
+
 def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -42,6 +54,15 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op6_crf_line_quality, op9_wu_manber_decontamination, op10_ecoc_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op9_wu_manber_decontamination, op10_ecoc_language)}
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op7_warc_revisits"] = """
+WITH h AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+     d AS (SELECT page_id, url, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM h),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d),
+     r AS (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS revisit FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN first_id END AS refers_to, url, '<urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':sha256:' || payload_digest || '>' AS record_id
+FROM r"""
