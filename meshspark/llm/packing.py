@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import materialise, small_batches
-from .tokens import Encoder, by_size
+from .tokens import Vocabulary
 
 Plan = list[tuple[Counter, int]]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -45,27 +45,26 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: Callable[[], str], capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """PIECES of every text, written to the shared folder; part and nth count pieces of a length."""
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, seen = TaskContext.get().partitionId(), Encoder.of(tokenizer_path()), Counter()
+        part, encoder, seen = TaskContext.get().partitionId(), vocabulary.encoder(), Counter()
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in by_size(texts):
-                rows = []
-                for doc_id, got in zip(doc_ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                    got += end
-                    for k, (s, n) in enumerate(cut(len(got) // 4, capacity)):
-                        ids = got[4 * s : 4 * (s + n)]
-                        rows.append((doc_id, k, s, n, zlib.crc32(ids), part, seen[n], *([ids] * with_ids)))
-                        seen[n] += 1
+            rows = []
+            for doc_id, got in zip(b.column(0).to_pylist(), encoder.each(b.column(1)), strict=True):
+                data = np.concatenate([got, end]).astype("<u4").tobytes()
+                for k, (s, n) in enumerate(cut(len(got) + 1, capacity)):
+                    ids = data[4 * s : 4 * (s + n)]
+                    rows.append((doc_id, k, s, n, zlib.crc32(ids), part, seen[n], *([ids] * with_ids)))
+                    seen[n] += 1
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types)], names=names)
 
     return materialise(docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * with_ids), "pieces")
@@ -196,5 +195,5 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, capacity, end_id), capacity)
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    return pack(pieces(docs, vocabulary, capacity, end_id), capacity)

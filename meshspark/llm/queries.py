@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import load
-from .tokens import public_path
+from .tokens import public
 
-WORD_BPE, BYTE_BPE = public_path("word_bpe_49k.json"), public_path("byte_bpe_50k.json")
+WORD_BPE, BYTE_BPE = public("word_bpe_49k.json", drop_space=True), public("byte_bpe_50k.json", drop_space=False)
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
 
 
+def op8_doubled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import substring_dedup
+
+    return substring_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -54,7 +60,7 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op9_wu_manber_decontamination, op10_ecoc_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
 
 ORACLE_SQL: dict[str, str] = {}
 

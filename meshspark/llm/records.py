@@ -4,12 +4,12 @@ A data file is a sequence of records, each framed as
 
     length     uint64, bytes of the payload
     check      uint32, masked crc32 of the length field
-    payload    doc_id int64, null mark uint8, token ids uint32 each
+    payload    doc_id int64, null mark uint8, bytes of an id (2 or 4) uint8, the ids
     check      uint32, masked crc32 of the payload
 
 all little-endian.  The mask rotates a checksum by 15 bits and adds a constant, so that a checksum
 stored among data doesn't upset a checksum over them.  Beside each data file stands an index, one
-entry of 24 bytes a record: byte offset, ids of this file before it, ids.  With it a reader takes
+entry of 24 bytes a record: byte offset, ids of this file before it, bytes.  With it a reader takes
 any record by one seek (`read_record`).
 
 Files follow each other in ascending doc_id order and so do their records; null doc_ids come
@@ -23,7 +23,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import materialise, new_folder, small_batches
-from .tokens import Encoder, by_size
+from .tokens import Vocabulary
 
 MANIFEST = "part long, file string, n_records long, n_ids long, n_bytes long"
-INDEX_ENTRY = np.dtype([("at", "<u8"), ("start", "<u8"), ("n_ids", "<u8")])
+INDEX_ENTRY = np.dtype([("at", "<u8"), ("start", "<u8"), ("size", "<u8")])
 _MASK = 0xA282EAD8
 
 
@@ -68,19 +68,21 @@ def open_store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer_path: Callable[[], str], end_id: int = 1, file_bytes: int = 64 << 20) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, vocabulary: Vocabulary, end_id: int = 1, file_bytes: int = 64 << 20) -> DataFrame:
     """Encode and write every text; returns the manifest (see MANIFEST), which is itself written to `folder`."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "text"]
     ordered = docs.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    end = np.array([end_id], "<u4").tobytes()
+    kind = np.dtype(f"<u{vocabulary.id_bytes}")
+    end = np.array([end_id], kind).tobytes()
+
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder.of(tokenizer_path())
+        part, encoder = TaskContext.get().partitionId(), vocabulary.encoder()
         store, top = open_store(folder)
         store.create_dir(top, recursive=True)
         done, data, index, at, ids = [], None, [], 0, 0
@@ -95,20 +97,17 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: Callable[[], str
             data, index, at, ids = None, [], 0, 0
 
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in by_size(texts):
-                for doc_id, got in zip(doc_ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                    if data is None:
-                        number = len(done)
-                        name = f"part-{part:06d}-{number:05d}-{uuid.uuid4().hex}.rec"
-                        data = store.open_output_stream(f"{top}/{name}")
-                    record = frame(struct.pack("<qB", doc_id or 0, doc_id is None) + got + end)
-                    data.write(record)
-                    n = len(got) // 4 + 1
-                    index.append((at, ids, n))
-                    at, ids = at + len(record), ids + n
-                    if at >= file_bytes:
-                        close()
+            for doc_id, got in zip(b.column(0).to_pylist(), encoder.each(b.column(1)), strict=True):
+                if data is None:
+                    number = len(done)
+                    name = f"part-{part:06d}-{number:05d}-{uuid.uuid4().hex}.rec"
+                    data = store.open_output_stream(f"{top}/{name}")
+                record = frame(struct.pack("<qBB", doc_id or 0, doc_id is None, kind.itemsize) + got.astype(kind).tobytes() + end)
+                data.write(record)
+                index.append((at, ids, len(record)))
+                at, ids = at + len(record), ids + len(got) + 1
+                if at >= file_bytes:
+                    close()
         if data is not None:
             close()
         cols = list(zip(*done, strict=True)) or [[]] * 5
@@ -123,13 +122,13 @@ def read_record(store, top: str, file: str, k: int) -> tuple[int | None, np.ndar
     with store.open_input_file(f"{top}/{file}.index") as f:
         entry = np.frombuffer(f.read_at(24, 24 * k), INDEX_ENTRY)[0]
     with store.open_input_file(f"{top}/{file}") as f:
-        payload, _ = unframe(f.read_at(int(entry["n_ids"]) * 4 + 9 + 16, int(entry["at"])))
+        payload, _ = unframe(f.read_at(int(entry["size"]), int(entry["at"])))
     return _parse(payload)
 
 
 def _parse(payload: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, null = struct.unpack_from("<qB", payload)
-    return (None if null else doc_id), np.frombuffer(payload, "<u4", offset=9)
+    doc_id, null, width = struct.unpack_from("<qBB", payload)
+    return (None if null else doc_id), np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -153,9 +152,9 @@ def read_records(spark: SparkSession, folder: str, manifest: DataFrame, with_ids
                 rows = []
                 with store.open_input_stream(f"{top}/{file}", buffer_size=1 << 20) as f:
                     for entry in index:
-                        payload, _ = unframe(f.read(int(entry["n_ids"]) * 4 + 25))
+                        payload, _ = unframe(f.read(int(entry["size"])))
                         doc_id, ids = _parse(payload)
-                        rows.append((doc_id, base + int(entry["start"]), len(ids), zlib.crc32(payload[9:]), *([ids] * with_ids)))
+                        rows.append((doc_id, base + int(entry["start"]), len(ids), zlib.crc32(ids.tobytes()), *([ids] * with_ids)))
                         if len(rows) == 2000:
                             yield _batch(rows)
                             rows = []
@@ -172,7 +171,7 @@ def read_records(spark: SparkSession, folder: str, manifest: DataFrame, with_ids
     return files.mapInArrow(read, schema)
 
 
-def token_records(docs: DataFrame, tokenizer_path: Callable[[], str]) -> DataFrame:
+def token_records(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Write docs as records and read them back."""
     folder = new_folder(docs.sparkSession, "records")
-    return read_records(docs.sparkSession, folder, write_records(docs, folder, tokenizer_path))
+    return read_records(docs.sparkSession, folder, write_records(docs, folder, vocabulary))

@@ -1,81 +1,154 @@
-"""Token ids of whole texts with public tokenizers, as little-endian uint32 bytes.
-
-Both vocabularies used here split a text at white space first, so a text is encoded piece by piece:
-a piece is a run of spaces and line feeds with what follows up to the next one, each different
-piece goes through the tokenizers library once, and its ids are kept for later texts.  A boundary
-between pieces always stands between a character that is not white space and one that is.  A text
-with any other white space, where that is not certain, is encoded as a whole.
+"""Token ids of whole texts with public tokenizers.
+
+Both vocabularies used here split a text at white space and between letters and punctuation before
+they look for merges.  So texts are cut into pieces at places where such a split is certain, each
+different piece goes through the tokenizers library once, and its ids are kept for later texts of the
+same worker.  Pieces are found, told apart (by 64-bit hashes) and put together again for many texts at
+once.
+
+Places that are certain: between an ASCII letter and a full stop or comma; and before a run of spaces
+and line feeds, if the character before it surely isn't white space.  What isn't certain stays in one
+piece.  `drop_space` is for vocabularies that drop white space and fold case: there pieces are the
+runs without spaces and line feeds, with A-Z folded.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from .words import BYTE_POWERS, BYTE_VALUES, LOWER, U64, mix, prefix_sums, slices, text_buffer
+
+IS_ASCII_LETTER = np.zeros(256, bool)
+IS_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+IS_BLANK = np.zeros(256, bool)
+IS_BLANK[[32, 10]] = True
+IS_STOP = np.zeros(256, bool)
+IS_STOP[[ord("."), ord(",")]] = True
+
 
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[᠎​﻿]")
+def _shift(mask: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(mask)
+    out[by:] = mask[: max(0, len(mask) - by)]
+    return out
+
+
+def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces; those of each text cover it."""
+    blank, b = IS_BLANK[buf], buf
+    plain = (b > 0x20) & (b < 0x7F)
+    two = (b >= 0x80) & _shift((b >= 0xC3) & (b <= 0xDF), 1)
+    three = (b >= 0x80) & _shift((b >= 0xE4) & (b <= 0xEF), 2)
+    cut = blank & _shift(plain | two | three, 1)
+    cut |= IS_STOP[b] & _shift(IS_ASCII_LETTER[b], 1)
+    starts = off[:-1]
+    cut[starts[np.diff(off) > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """encode(texts) -> ids of each as bytes.  One per Python worker and vocabulary."""
+    """encode(...) -> ids.  One per Python worker and vocabulary; `most` pieces are kept."""
 
     kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, drop_space: bool, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.most, self.ids = most, {}
+        self.drop_space, self.most = drop_space, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = [np.zeros(0, np.uint32)]
+        self.flat = self.ids[0]
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, drop_space: bool) -> Encoder:
         if path not in cls.kept:
-            cls.kept[path] = cls(path)
+            cls.kept[path] = cls(path, drop_space)
         return cls.kept[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
-        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
-        pieces = [() if i in whole else _PIECE.findall(t) for i, t in enumerate(texts)]
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        new = set()
-        for p in pieces:
-            new.update(p)
-        new = list(new.difference(self.ids.keys()))
-        self.ids.update(zip(new, self._whole(new), strict=True))
-        get = self.ids.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, p)) for i, p in enumerate(pieces)]
-
-
-def by_size(texts: list[str | None], most: int = 1 << 21) -> Iterable[tuple[int, int]]:
-    """Runs of texts of up to `most` characters together."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        if size and size + len(t or "") > most:
-            yield i, j
-            i, size = j, 0
-        size += len(t or "")
-    if i < len(texts):
-        yield i, len(texts)
-
-
-def public_path(name: str) -> Callable[[], str]:
-    """The place of a vocabulary file, looked up where it is used."""
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        if len(self.keys) > self.most:
+            self._forget()
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int32, len(got))
+        flat = np.fromiter((x for row in got for x in row), np.uint32, int(n.sum()))
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(n) - n)
+        self.n = np.insert(self.n, place, n)
+        self.keys = np.insert(self.keys, place, keys)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _run(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.drop_space:
+            buf = LOWER[buf]
+        starts = piece_starts(buf, off)
+        ends = np.append(starts[1:], len(buf))[: len(starts)]
+        if self.drop_space:  # a piece is blanks with what follows; leave the blanks out
+            word = ~IS_BLANK[buf]
+            before = np.append(0, np.cumsum(word))
+            size = before[ends] - before[starts]
+            tail = ends - size
+            inner = before[ends] - before[tail] == size  # the blanks all stand in front
+            starts = np.where(inner, tail, starts)
+            some = size > 0
+            starts, ends = starts[some], ends[some]
+        sums = prefix_sums(BYTE_VALUES[buf], BYTE_POWERS)
+        hashes = mix((sums[ends] - sums[starts]) * BYTE_POWERS(len(buf) + 1)[1][starts])
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = buf.tobytes()
+            self._learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        n = self.n[at][back].astype(np.int64)
+        total = np.append(0, np.cumsum(n))
+        ids = self.flat[np.repeat(self.at[at][back] - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(starts, off)]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For runs (i, j) of texts: their ids, and where those of each text begin (and end)."""
+        buf, off = text_buffer(texts)
+        for i, j in slices(off, 1 << 21):
+            ids, first = self._run(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            yield i, j, ids, first
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """ids of each text."""
+        for i, j, ids, first in self.encode(texts):
+            for k in range(j - i):
+                yield ids[first[k] : first[k + 1]]
+
+
+class Vocabulary:
+    """A vocabulary file by name, looked up where it is used."""
+
+    def __init__(self, path: Callable[[], str], drop_space: bool, id_bytes: int):
+        self.path, self.drop_space, self.id_bytes = path, drop_space, id_bytes
+
+    def encoder(self) -> Encoder:
+        return Encoder.of(self.path(), self.drop_space)
+
+
+def public(name: str, drop_space: bool) -> Vocabulary:
+    """One of the public vocabularies installed with this Python; their ids fit two bytes."""
 
     def path() -> str:
         import public_tokenizers
 
         return public_tokenizers.path(name)
 
-    return path
+    return Vocabulary(path, drop_space, 2)
