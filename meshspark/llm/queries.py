@@ -24,6 +24,12 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op4_fragment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similarity import similar_groups
+
+    return similar_groups(load(spark, sf_dir, "documents"))
+
+
 def op5_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -60,7 +66,7 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op4_fragment_jaccard, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
 
 ORACLE_SQL: dict[str, str] = {}
 
