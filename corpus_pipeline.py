@@ -1,8 +1,66 @@
-"""Placeholder until all stages stand."""
+"""Documents to packed training sequences: five stages, each over all that the one before kept.
 
-STAGES = []
+language     documents whose language can't be told go (no text, no letters, or an ambiguous codeword)
+near_copies  of each group of near copies the smallest doc_id stays
+passages     words of passages that an earlier document has go; documents left without words go
+benchmark    documents that hold benchmark passages go
+packing      the rest is packed into sequences of 2048 tokens
+
+A row without doc_id can't be followed through the stages: `language` leaves it out.  A table without
+rows gives no sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshspark.llm import decontaminate, langid, packing, queries, similarity, windows
+from meshspark.llm.shared import load, materialise
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is told: not `und` and not ambiguous."""
+    docs = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
+    labelled = langid.predict(docs, langid.train(docs))
+    return labelled.where(F.col("lang_pred") != langid.UNDETERMINED).where(~F.col("ambiguous")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each component."""
+    groups = similarity.similar_groups(docs)
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated windows; n_chars follows the text."""
+    cut = windows.substring_dedup(docs.select(*COLUMNS), with_text=True)
+    kept = cut.where(F.col("n_removed") < F.col("n_words"))
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a benchmark passage."""
+    hits = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"))
+    bad = hits.where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece with its sequence and offset."""
+    return packing.pack_documents(docs, queries.BYTE_BPE)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("benchmark", benchmark), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
