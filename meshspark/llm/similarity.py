@@ -9,8 +9,8 @@
 4. The global order is cut into FRAGMENTS ranges of about equal volume.  A pair's overlap is counted in
    each fragment on its own, and the counts are summed per pair: that decides a link, exactly.
 
-Pairs that must be counted: first each class with the class that leads most of its prefix n-grams, over
-LEADER_ROUNDS rounds, so that large groups of near copies become one component by as many pairs as
+Pairs that must be counted: first each class with one that leads most of its prefix n-grams (the likeliest
+hub of near copies, or of a component drawn by hash), over LEADER_ROUNDS rounds, so that large groups of near copies become one component by as many pairs as
 they have members.  Then *all* pairs of different components that share a prefix n-gram and pass the
 filters on size and position.  Pairs inside a component can't change the result and are left out; no
 other pair is.
@@ -194,7 +194,11 @@ def ordered_classes(docs: DataFrame, k: int, percent: int, text_col: str) -> Dat
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(g, sid, n, pos): shared n-grams of each class's prefix; pos counts all grams before."""
+    """(g, sid, n, pos, hub): shared n-grams of each class's prefix; pos counts all grams before.
+
+    hub is the mean logarithm of the counts of a class's grams: among near copies, the one with most
+    of what the others share has the largest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,9 +208,11 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
             size = have - least_overlap(n, percent) + 1
             pos = [np.arange(s) + m - h for s, m, h in zip(size, n, have, strict=True)]
             g = np.concatenate([g[:s] for g, s in zip(grams, size, strict=True)]) if len(n) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(n, size)), pa.array(np.concatenate(pos) if pos else g)], names=["g", "sid", "n", "pos"])
+            hub = np.array([np.log(np.frombuffer(t, np.uint16)).sum() for t in b.column(3).to_pylist()]) / n
+            cols = [pa.array(g), *(pa.array(np.repeat(c, size)) for c in (b.column(0).to_numpy(), n)), pa.array(np.concatenate(pos) if pos else g), pa.array(np.repeat(hub, size))]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "sid", "n", "pos", "hub"])
 
-    return materialise(classes.select("sid", "n", "grams").mapInArrow(run, "g long, sid long, n long, pos long"), "prefixes")
+    return materialise(classes.select("sid", "n", "grams", "times").mapInArrow(run, "g long, sid long, n long, pos long, hub double"), "prefixes")
 
 
 def _places(grams: bytes, times: bytes) -> np.ndarray:
@@ -280,10 +286,12 @@ def link_classes(classes: DataFrame, percent: int) -> DataFrame:
     """(sid, comp) of the classes: the smallest sid that links reach."""
     prefixes, fragments = _prefixes(classes, percent), _fragments(classes)
     comp = materialise(classes.select("sid", F.col("sid").alias("comp")), "groups")
-    for _ in range(LEADER_ROUNDS):
+    for turn in range(LEADER_ROUNDS):
         p = prefixes.join(comp, "sid")
-        ends = p.groupBy("g").agg(*(f(F.struct("comp", "sid", "n")).alias(c) for f, c in ((F.min, "low"), (F.max, "high")))).where("low.comp <> high.comp")
-        met = p.join(ends, "g").select("sid", "n", "comp", F.explode(F.array("low", "high")).alias("y")).where("y.comp <> comp")
+        lead = {"hub": F.struct("hub", "sid", "comp", "n"), "other": F.struct(F.xxhash64("comp", F.lit(turn)), "hub", "sid", "comp", "n")}
+        ends = p.groupBy("g").agg(*(F.max(v).alias(k) for k, v in lead.items()), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        ends = ends.select("g", F.array(*(F.struct(f"{k}.sid", f"{k}.comp", f"{k}.n") for k in lead)).alias("ends"))
+        met = p.join(ends, "g").select("sid", "n", "comp", F.explode("ends").alias("y")).where("y.comp <> comp")
         fits = met.where(100 * F.least("n", "y.n") >= percent * F.greatest("n", "y.n"))
         best = fits.groupBy("sid", "n", "y").agg(F.count("*").alias("times")).groupBy("sid", "n").agg(F.max(F.struct("times", "y")).alias("m"))
         pairs = _pairs(best.select(F.col("sid").alias("x"), F.col("m.y.sid").alias("y"), F.col("n").alias("nx"), F.col("m.y.n").alias("ny")), percent)
@@ -292,10 +300,12 @@ def link_classes(classes: DataFrame, percent: int) -> DataFrame:
             break
         comp = _relabel(comp, links)
     p = prefixes.join(comp, "sid")
-    mixed = p.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("g")
-    p = materialise(p.join(mixed, "g"), "mixed")
-    x, y = (p.select("g", *(F.col(c).alias(c + s) for c in ("sid", "n", "pos", "comp"))) for s in "xy")
-    near = (F.col("sidx") < F.col("sidy")) & (F.col("compx") != F.col("compy"))
+    many = p.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    p = materialise(p.join(many.where("comps > 1"), "g"), "mixed")
+    # Of two different components one at least isn't the n-gram's main one.
+    x = p.where("comp <> main").select("g", *(F.col(c).alias(c + "x") for c in ("sid", "n", "pos", "comp")))
+    y = p.select("g", "main", *(F.col(c).alias(c + "y") for c in ("sid", "n", "pos", "comp")))
+    near = (F.col("compx") != F.col("compy")) & ((F.col("compy") == F.col("main")) | (F.col("sidx") < F.col("sidy")))
     near &= 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     near &= (100 + percent) * F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= percent * (F.col("nx") + F.col("ny"))
     met = x.join(y, "g").where(near).select(F.col("sidx").alias("x"), F.col("sidy").alias("y"), "nx", "ny")
