@@ -2,27 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-from . import fixtures
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _cut_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .plans import cuts
-
-    nodes, patches = (fixtures.table(spark, sf_dir, t) for t in ("dag_nodes", "dag_patches"))
-    return cuts.emitted_patches(patches, cuts.by_size(nodes, 200_000))
-
-
-QUERIES["cut_by_size"] = _cut_by_size
-ORACLE_SQL["cut_by_size"] = fixtures.with_(
-    """WITH run AS (SELECT node, error, size_bytes, sum(size_bytes) OVER (ORDER BY error DESC, node ROWS UNBOUNDED PRECEDING) AS running FROM dag_nodes),
-     sel AS (SELECT node FROM run WHERE running <= 200000)
-SELECT p.src, p.ordinal, p.dst FROM dag_patches p
-WHERE EXISTS (SELECT 1 FROM sel s WHERE s.node = p.src) AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.node = p.dst)"""
-)
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running
+
+
+def by_budget(nodes: DataFrame, column: str, budget: float) -> DataFrame:
+    """Nodes in order of falling error while `column` sums to `budget` at most."""
+    return running(nodes, ["error", "node"], {"running": column}, descending=True).where(F.col("running") <= budget).select("node")
+
 
 def by_size(nodes: DataFrame, budget: int) -> DataFrame:
-    """Nodes in order of falling error while their sizes sum to `budget` bytes at most."""
-    run = Window.orderBy(F.desc("error"), "node").rowsBetween(Window.unboundedPreceding, 0)
-    return nodes.withColumn("running", F.sum("size_bytes").over(run)).filter(F.col("running") <= budget).select("node")
+    return by_budget(nodes, "size_bytes", budget)
 
 
 def emitted_patches(patches: DataFrame, chosen: DataFrame) -> DataFrame:
