@@ -13,7 +13,7 @@ entry of 24 bytes a record: byte offset, ids of this file before it, bytes.  Wit
 any record by one seek (`read_record`).
 
 Files follow each other in ascending doc_id order and so do their records; null doc_ids come
-first, rows with equal doc_ids stand side by side in order of their texts, and a null text is an
+first, rows with equal doc_ids stand side by side in order of a hash of their texts, and a null text is an
 empty one.  Every attempt of a task writes files of its own name; only those in the manifest, one
 row per file, count, so lost executors and repeated attempts leave nothing wrong behind.
 """
@@ -73,8 +73,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary: Vocabulary, end_id:
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "text"]
-    ordered = docs.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Range cuts are drawn from ids and hashes, so no texts go to the driver.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     kind = np.dtype(f"<u{vocabulary.id_bytes}")
     end = np.array([end_id], kind).tobytes()
 
