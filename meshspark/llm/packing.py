@@ -169,7 +169,8 @@ def pack(table: DataFrame, capacity: int = 2048) -> DataFrame:
     shared = spark.sparkContext.broadcast(plan)
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = table.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # One row per length and partition: no proven bound, so no broadcast.
+    ranked = table.join(bases.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     keep = [c for c in table.columns if c not in ("part", "nth")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
