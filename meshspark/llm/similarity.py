@@ -107,7 +107,7 @@ def _send(texts: list[pa.Array], chunk: int, buckets: int, k: int) -> pa.Table:
     grams, own = grams[order], own[order]
     bucket = ((grams >> U64(32)) * U64(buckets)) >> U64(32)
     some, first = np.unique(bucket, return_index=True)
-    ends = np.append(first[1:], len(grams))
+    ends = np.append(first[1:], len(grams))[: len(some)]
     small = np.uint16 if keep.sum() <= 1 << 16 else np.uint32
     rows = [(chunk % buckets, chunk, True, planes(sid[keep]), n[keep].astype(np.uint32).tobytes(), np.dtype(small).str.encode())]
     rows += [(int(x), chunk, False, planes(grams[s:e]), own[s:e].astype(small).tobytes(), None) for x, s, e in zip(some, first, ends, strict=True)]
@@ -164,7 +164,7 @@ def _survivors(table: pa.Table, percent: int) -> pa.Table:
         keys, own, times = keys[order], own[order], times[order]
         some = np.unique(own)
         first = np.searchsorted(own, some)
-        ends = np.append(first[1:], len(own))
+        ends = np.append(first[1:], len(own))[: len(some)]
         out = [(int(sid[d]), int(n[d]), keys[s:e].tobytes(), times[s:e].tobytes()) for d, s, e in zip(some, first, ends, strict=True)]
     cols = list(zip(*out, strict=True)) or [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sid", "n", "grams", "times"])
