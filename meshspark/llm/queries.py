@@ -18,6 +18,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(load(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -66,7 +72,7 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op3_feistel_shards, op4_fragment_jaccard, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_difference_cover_repeats, op3_feistel_shards, op4_fragment_jaccard, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
 
 ORACLE_SQL: dict[str, str] = {}
 

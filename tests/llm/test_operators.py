@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshspark.llm import components, decontaminate, langid, packing, queries, quality, records, sharding, similarity, warc, windows
+from meshspark.llm import components, decontaminate, langid, packing, queries, quality, records, sharding, similarity, suffixes, warc, windows
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, bucket string, chunk string"
@@ -326,3 +326,30 @@ def test_op10_accuracy_and_undetermined(spark, odd, empty):
     assert all((True, True) in got[d] for d in (4, 5, 6, 12)) and (False, False) in got[10]
     assert langid.identify(empty).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def repeats_by_force(rows, k):
+    n = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        n.update(b[i : i + k] for i in range(len(b) - k + 1))
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - k + 1):
+            if n[b[i : i + k]] > 1:
+                gone[i : i + k] = True
+        kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
+        out.append((d, len(b), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_op2_matches_brute_force(spark):
+    rows = [(i, t) for i, t, _ in ODD if i != 11] + [(20, "ab" * 150), (21, "q" * 201), (22, "start " + "q" * 260), (23, PASSAGE[:205] + "!"), (24, "?" + PASSAGE[3:206])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == repeats_by_force(rows, 200)
+
+
+def test_op2_empty_table(empty):
+    assert suffixes.remove_repeats(empty).count() == 0
