@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures
 
@@ -29,15 +29,18 @@ def query(name: str, sql: str | None):
     return register
 
 
-def scalar(name: str, table: str, key: str, made: dict[str, tuple[Column, str]], where: str | None = None) -> None:
-    """Register columns computed row by row: name -> (Spark column, SQL expression)."""
+def register_scalar(columns: Callable[[str], dict], name: str, table: str, key: str, made: dict[str, tuple[object, str]], where: str | None = None) -> None:
+    """Register columns computed row by row: name -> (Spark column, SQL expression).
+
+    Columns are made when the query runs, as they need a session.
+    """
     cond = f" WHERE {where}" if where else ""
     sql = f"SELECT {key}, {', '.join(f'{e} AS {n}' for n, (_, e) in made.items())} FROM {table}{cond}"
 
     @query(name, sql)
     def _(t: Tables) -> DataFrame:
         df = t(table).where(where) if where else t(table)
-        return df.select(key, *(c.alias(n) for n, (c, _) in made.items()))
+        return df.select(key, *(c.alias(n) for n, (c, _) in columns(name).items()))
 
 
 from . import dag, mesh, points, scalars, tiers, windows  # noqa: E402, F401
