@@ -43,4 +43,4 @@ def register_scalar(columns: Callable[[str], dict], name: str, table: str, key:
         return df.select(key, *(c.alias(n) for n, (c, _) in columns(name).items()))
 
 
-from . import dag, mesh, points, scalars, tiers, windows  # noqa: E402, F401
+from . import dag, files, mesh, points, scalars, tiers, windows  # noqa: E402, F401
