@@ -77,7 +77,8 @@ def streamed(spark, sf_dir):
     """Nodes resident after all requests came as a stream."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    # A stream's plain path must be a folder; a pattern may also name one file.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     requests = events.select(F.col("user_id").alias("node"), F.date_trunc("hour", "ts").alias("frame"), F.col("value").alias("error"))
     top = scratch(spark, "requests")
     R.follow(requests, f"{top}/table", f"{top}/checkpoint", once=True).awaitTermination()
