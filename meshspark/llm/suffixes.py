@@ -7,7 +7,8 @@
 3. Suffixes of the runs are sorted by the difference cover {1, 2} modulo 3: triples of symbols at
    positions 1 and 2 modulo 3 get names in rising order; the strings of names are sorted the same way,
    until names cover `length` bytes or are all different; then the remaining suffixes (0 modulo 3) are
-   merged in by their first symbols and the rank that follows, among suffixes of equal triples.
+   merged in by their first symbols and the rank that follows, by counts of smaller sampled suffixes.
+   Every sort is cut into ranges of its whole order, so no symbol or triple stays in one task.
 4. Neighbours in the sorted order are compared on their first `length` bytes (by hash): each window
    with an equal neighbour starts elsewhere too.  The bytes of all such windows are removed.
 
@@ -31,7 +32,7 @@ from . import exchange
 from .shared import materialise, small_batches
 from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, cover, prefix_sums, slices, text_buffer
 
-PIECE, SUFFIXES = 64, 200_000
+PIECE = 64
 
 
 def _lowest(x: np.ndarray, width: int) -> np.ndarray:
@@ -110,78 +111,47 @@ def _positions(runs: DataFrame, length: int) -> DataFrame:
     return materialise(named.mapInArrow(run, "s long, i long, c long, h long, at long, w long"), "positions")
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Local ranks of suffixes, within each group of equal first three symbols.
-
-    Sampled ones (m 1 and 2) are ordered by their rank r; a remaining one (m 0) is compared with those
-    of m 1 by the rank one symbol on, with those of m 2 by the rank two symbols on.
-    """
-    a, b, d, m, r, r1, r2 = (table.column(c).to_numpy() for c in ("a", "b", "d", "m", "r", "r1", "r2"))
-    order = np.lexsort((d, b, a))
-    head = np.ones(len(order), bool)
-    head[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0) | (np.diff(d[order]) != 0)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(head) - 1
-    wide = max(int(x.max()) for x in (r, r1, r2)) + 1
-    r, one, two = (group * wide + x for x in (r, r1, r2))
-    sample, zero = np.flatnonzero(m > 0), np.flatnonzero(m == 0)
-    ranks = np.unique(r[sample])
-    place = np.zeros(len(m), np.int64)
-    place[sample] = 2 * np.searchsorted(ranks, r[sample]) + 1
-    slot = 2 * np.searchsorted(ranks, group[zero] * wide)
-    tie = np.zeros(len(zero), bool)
-    for cls, by in ((1, one), (2, two)):
-        own = np.flatnonzero(m == cls)
-        own = own[np.lexsort((r[own], by[own]))]
-        if len(own):
-            left = np.searchsorted(by[own], by[zero], "left")
-            below, here = own[np.maximum(left - 1, 0)], own[np.minimum(left, len(own) - 1)]
-            slot = np.where((left > 0) & (group[below] == group[zero]) & ~tie, np.maximum(slot, place[below] + 1), slot)
-            same = (left < len(own)) & (by[here] == by[zero])
-            slot = np.where(same & ~tie, place[here], slot)
-            tie |= same
-    place[zero] = slot
-    last = np.where(place % 2 == 0, r1, 0)
-    order = np.lexsort((last, place, group))
-    step = np.ones(len(order), bool)
-    step[1:] = (np.diff(group[order]) != 0) | (np.diff(place[order]) != 0) | (np.diff(last[order]) != 0)
-    local = np.empty(len(order), np.int64)
-    local[order] = np.cumsum(step)
-    return table.select(["s", "i", "a", "b", "d"]).append_column("local", pa.array(local))
-
-
 def suffix_ranks(symbols: DataFrame, reach: int) -> DataFrame:
-    """(s, i, rank) of symbols (s, i, c), c > 0: equal ranks have `reach` equal symbols and more.
+    """(s, i, rank) of symbols (s, i, c), c > 0: ranks from 1 without gaps or ties.
 
-    Ranks rise with the suffixes; what ends is smaller than what goes on.
+    Ranks rise with the first `reach` symbols; what ends is smaller than what goes on.  Suffixes that
+    agree on those may stand in any order, so a symbol or triple that is common fills several ranges.
     """
     w = W.partitionBy("s").orderBy("i")
     after = lambda k: F.coalesce(F.lead("c", k).over(w), F.lit(0)).alias("bd"[k - 1])
     t = materialise(symbols.select("s", "i", F.col("c").alias("a"), after(1), after(2)), "triples")
-    sampled = t.where("i % 3 <> 0")
-    names = materialise(running(sampled.select("a", "b", "d").distinct(), ["a", "b", "d"], number="c"), "names")
-    named = materialise(sampled.join(names, ["a", "b", "d"]).select(F.xxhash64("s", F.col("i") % 3).alias("s"), F.floor(F.col("i") / 3).alias("i"), "c"), "named")
-    if reach <= 3 or names.count() == named.count():
-        known = named.select("s", "i", F.col("c").alias("rank"))
+    sampled, order = t.where("i % 3 <> 0"), ["a", "b", "d", "s", "i"]
+    if reach <= 3:
+        known = running(sampled, order, number="r").select("s", "i", "r")
     else:
-        known = suffix_ranks(named, -(-reach // 3))
-
-    # The rank at i + k, if that is a sampled position; 0 past the end.
-    def at(name: str) -> DataFrame:
-        return known.select(F.col("s").alias(f"s_{name}"), F.col("i").alias(f"i_{name}"), F.col("rank").alias(name))
-
-    full = t.withColumn("m", (F.col("i") % 3).cast("int"))
-    for k, name in ((0, "r"), (1, "r1"), (2, "r2")):
-        x = at(name)
-        full = full.join(x, (F.xxhash64("s", (F.col("i") + k) % 3) == F.col(f"s_{name}")) & (F.floor((F.col("i") + k) / 3) == F.col(f"i_{name}")), "left").drop(f"s_{name}", f"i_{name}")
-    full = full.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("r", "r1", "r2")})
-    # Equal triples meet in one task of several groups' worth; SUFFIXES positions a task, about.
-    tasks = max(1, -(-t.count() // SUFFIXES))
-    dealt = full.withColumn("task", F.pmod(F.xxhash64("a", "b", "d"), F.lit(tasks)))
-    merged = materialise(dealt.groupBy("task").applyInArrow(_merge, "s long, i long, a long, b long, d long, local long"), "merged")
-    keys = ["a", "b", "d", "local"]
-    order = running(merged.select(*keys).distinct(), keys, number="rank")
-    return materialise(merged.join(order, keys).select("s", "i", "rank"), "ranks")
+        # A name counts the different triples up to it: each triple's first place counts one.
+        firsts = sampled.groupBy("a", "b", "d").agg(F.min(F.struct("s", "i")).alias("f")).select("f.s", "f.i", F.lit(1).cast("long").alias("first"))
+        marked = materialise(sampled.join(firsts, ["s", "i"], "left").fillna(0, ["first"]), "marked")
+        names = materialise(running(marked, order, {"c": "first"}).select("s", "i", "c"), "names")
+        n = names.agg(F.max("c").alias("names"), F.count("*").alias("all")).first()
+        if n["names"] in (None, n["all"]):
+            known = names.withColumnRenamed("c", "r")
+        else:
+            of = [F.xxhash64("s", F.col("i") % 3), F.floor(F.col("i") / 3)]
+            ranks = suffix_ranks(names.select(of[0].alias("s"), of[1].alias("i"), "c"), -(-reach // 3))
+            ranks = ranks.select(F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("rank").alias("r"))
+            known = sampled.select("s", "i", of[0].alias("_s"), of[1].alias("_i")).join(ranks, ["_s", "_i"]).select("s", "i", "r")
+
+    # The ranks one and two symbols on, where those are sampled; 0 past the end.
+    on = lambda k: F.coalesce(F.lead("r", k).over(w), F.lit(0)).alias(f"r{k}")
+    m = (F.col("i") % 3).cast("int").alias("m")
+    full = materialise(t.join(known, ["s", "i"], "left").select("s", "i", m, "a", "b", "r", on(1), on(2)), "followed")
+    # How many sampled suffixes stand before a remaining one: by (a, r1) among those of m 1, by
+    # (a, b, r2) among those of m 2.  It goes before the sampled suffix that has as many before it.
+    one, two = (F.col("m") == k for k in (1, 2))
+    first = running(full.where(~two).withColumn("_s1", one.cast("long")), ["a", "r1", "m", "s", "i"], {"n1": "_s1"})
+    second = running(full.where(~one).withColumn("_s2", two.cast("long")), ["a", "b", "r2", "m", "s", "i"], {"n2": "_s2"})
+    rest = first.where("m = 0").select("s", "i", "a", "r1", "n1").join(second.where("m = 0").select("s", "i", "n2"), ["s", "i"])
+    rest = rest.select("s", "i", (F.col("n1") + F.col("n2")).alias("place"), F.lit(0).alias("kind"), "a", "r1")
+    zero = F.lit(0).cast("long")
+    both = rest.unionAll(full.where("m > 0").select("s", "i", (F.col("r") - 1).alias("place"), F.lit(1).alias("kind"), zero.alias("a"), zero.alias("r1")))
+    both = materialise(both, "merged")
+    return materialise(running(both, ["place", "kind", "a", "r1", "s", "i"], number="rank").select("s", "i", "rank"), "ranks")
 
 
 def repeated_windows(runs: DataFrame, length: int) -> DataFrame:

@@ -353,3 +353,31 @@ def test_op2_matches_brute_force(spark):
 
 def test_op2_empty_table(empty):
     assert suffixes.remove_repeats(empty).count() == 0
+
+
+def test_op2_ranks_follow_the_suffixes_in_even_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    strings = {1: [1] * 700, 2: [1] * 400 + [2] + [1] * 299, 3: rng.integers(1, 3, 600).tolist(), 4: [2, 1] * 200, 5: [1], 6: [1, 1], 7: [2, 1, 1]}
+    symbols = spark.createDataFrame([(s, i, c) for s, cs in strings.items() for i, c in enumerate(cs)], "s long, i long, c long")
+    most, real = [], suffixes.running
+
+    def watched(df, *a, **b):
+        counts = real(df, *a, **b)
+        parts = counts.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count"), F.sum("count")).first()
+        most.append((parts[0] or 0) / (parts[1] or 1))
+        return counts
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(suffixes, "running", watched)
+    got = suffixes.suffix_ranks(symbols, 40).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["rank"] for r in got) == list(range(1, sum(map(len, strings.values())) + 1))
+    ordered = [tuple(strings[r["s"]][r["i"] : r["i"] + 40]) for r in sorted(got, key=lambda r: r["rank"])]
+    assert ordered == sorted(ordered)
+    assert max(most) < 0.6
+
+
+def test_op2_long_text_of_one_letter(spark):
+    rows = [(1, "z" * 30000), (2, "a" + "z" * 250), (3, "no repeat " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == repeats_by_force(rows, 200)
