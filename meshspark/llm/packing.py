@@ -8,9 +8,10 @@ end, so that the first piece may be shorter.  The histogram of piece lengths (on
     so that every length is covered as often as it occurs
 
 is solved by multiplicative weights: each length has a price, which grows the less of it is covered;
-a knapsack dynamic program over the capacity finds the configuration of greatest price, and a share of
-what it can cover is added to its amount.  Amounts are rounded down, and what is left over is packed
-best-fit: the longest piece first, then what fills the rest exactly, or else the longest that fits.
+a knapsack dynamic program over the capacity finds the configurations of greatest price, and a share of
+what they can cover is added to their amounts, until every length is covered.  Amounts are rounded up as
+far as pieces are left; what their rounding leaves over is packed best-fit: the longest piece first, then
+what fills the rest exactly, or else the longest that fits.
 
 The result is a plan of configurations with multiplicities, whose size doesn't depend on the number of
 pieces.  The r-th piece of a length finds its sequence and offset in the plan by a binary search; r
@@ -70,8 +71,8 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end_id
     return materialise(docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * with_ids), "pieces")
 
 
-def _best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of greatest total price that fits: unbounded knapsack."""
+def _knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: for each room the greatest total price that fits, and a length it ends with (0: none)."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -82,7 +83,12 @@ def _best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -
             k = int(value.argmax())
             if value[k] > best[c]:
                 best[c], last[c] = value[k], lengths[k]
-    out, c = Counter(), capacity
+    return best, last
+
+
+def _configuration(last: np.ndarray, c: int) -> Counter:
+    """The multiset of lengths that fills a room of c at the greatest price."""
+    out = Counter()
     while c > 0:
         if last[c]:
             out[int(last[c])] += 1
@@ -92,34 +98,55 @@ def _best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, turns: int = 250, share: float = 0.25, rate: float = 0.3) -> Plan:
-    """Configurations and how often each is used; together they hold exactly the histogram's pieces."""
+def program(histogram: dict[int, int], capacity: int, share: float = 0.25, rate: float = 0.3, slack: float = 0.02) -> tuple[Plan, dict[int, int]]:
+    """The linear program's plan, and what its rounding leaves over of each length.
+
+    A turn takes the best configuration, and those that come within `slack` of its price and have no
+    length in common with one already taken.  Each step covers `share` of what some length needs, or
+    all that it lacks; covered lengths leave.  So (1 / share + 1) turns a length are enough for all.
+    """
     plan: Plan = [(Counter({capacity: 1}), histogram[capacity])] if histogram.get(capacity) else []
     lengths = np.array(sorted(n for n in histogram if n < capacity and histogram[n]), np.int64)
-    if not len(lengths):
-        return plan
     need = np.array([histogram[int(n)] for n in lengths], float)
     place = {int(n): i for i, n in enumerate(lengths)}
     covered, amounts = np.zeros(len(lengths)), {}
-    for _ in range(turns):
-        if (covered >= need).all():
-            break
-        price = lengths * np.exp(-rate * covered / need)
-        price[covered >= need] *= 1e-3
-        c = _best_configuration(price, lengths, capacity)
-        at = np.array([place[n] for n in c])
-        times = np.array(list(c.values()), float)
-        step = float((share * need[at] / times).min())
-        covered[at] += step * times
-        key = tuple(sorted(c.items()))
-        amounts[key] = amounts.get(key, 0.0) + step
+    while len(lack := np.flatnonzero(covered < need)):
+        price = lengths[lack] * np.exp(-rate * covered[lack] / need[lack])
+        best, last = _knapsack(price, lengths[lack], capacity)
+        value = price + best[capacity - lengths[lack]]
+        taken: set[int] = set()
+        for k in np.argsort(-value, kind="stable"):
+            n = int(lengths[lack[k]])
+            if taken and value[k] < (1 - slack) * best[capacity]:
+                break
+            if n in taken:
+                continue
+            c = _configuration(last, capacity - n)
+            c[n] += 1
+            if not taken.isdisjoint(c):
+                continue
+            taken.update(c)
+            at = np.array([place[x] for x in c])
+            times = np.array(list(c.values()), float)
+            step = float((np.minimum(share * need[at], need[at] - covered[at]) / times).min())
+            covered[at] += step * times
+            full = at[covered[at] >= need[at] * (1 - 1e-9)]
+            covered[full] = need[full]
+            key = tuple(sorted(c.items()))
+            amounts[key] = amounts.get(key, 0.0) + step
     left = {int(n): int(histogram[int(n)]) for n in lengths}
     for key, x in sorted(amounts.items(), key=lambda kv: (-kv[1], kv[0])):
-        m = min([int(x), *(left[n] // k for n, k in key)])
+        m = min([int(np.ceil(x - 1e-6)), *(left[n] // k for n, k in key)])
         if m > 0:
             plan.append((Counter(dict(key)), m))
             for n, k in key:
                 left[n] -= k * m
+    return plan, left
+
+
+def solve(histogram: dict[int, int], capacity: int) -> Plan:
+    """Configurations and how often each is used; together they hold exactly the histogram's pieces."""
+    plan, left = program(histogram, capacity)
     return plan + best_fit(left, capacity)
 
 

@@ -381,3 +381,23 @@ def test_op2_long_text_of_one_letter(spark):
     rows = [(1, "z" * 30000), (2, "a" + "z" * 250), (3, "no repeat " * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == repeats_by_force(rows, 200)
+
+
+def test_op5_program_covers_every_length(monkeypatch):
+    rng = np.random.default_rng(5)
+    histogram = {int(n): int(k) for n, k in enumerate(rng.integers(2000, 9000, 320), 1)}
+    left, real = {}, packing.best_fit
+
+    def watched(rest, capacity):
+        left.update(rest)
+        return real(rest, capacity)
+
+    monkeypatch.setattr(packing, "best_fit", watched)
+    plan = packing.solve(histogram, 320)
+    held = collections.Counter()
+    for c, m in plan:
+        assert sum(n * k for n, k in c.items()) <= 320
+        held.update({n: k * m for n, k in c.items()})
+    assert held == collections.Counter(histogram)
+    assert sum(left.values()) < 0.02 * sum(histogram.values())
+    assert sum(m for _, m in plan) <= 1.05 * sum(n * k for n, k in histogram.items()) / 320
