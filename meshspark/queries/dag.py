@@ -53,6 +53,11 @@ def _(t):
     return D.children(t("dag_nodes"), t("dag_patches").where("src < 50")).select("src", "dst", c("dst_error").alias("error"))
 
 
+@query("dag_03_all_children", "SELECT p.src, p.dst, n.error FROM dag_patches p JOIN dag_nodes s ON s.node = p.src JOIN dag_nodes n ON n.node = p.dst")
+def _(t):
+    return D.children(t("dag_nodes"), t("dag_patches")).select("src", "dst", c("dst_error").alias("error"))
+
+
 @query("dag_10_view_metric", "SELECT node, round(error / greatest(0.002 * greatest(sqrt((cx - 5) * (cx - 5) + (cy - 5) * (cy - 5) + cz * cz) - tight_radius, 0.1), 1e-6), 3) AS e FROM dag_nodes")
 def _(t):
     d = F.sqrt((c("cx") - 5) * (c("cx") - 5) + (c("cy") - 5) * (c("cy") - 5) + c("cz") * c("cz")) - c("tight_radius")

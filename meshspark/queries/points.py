@@ -88,6 +88,19 @@ def _(t):
     return P.nearest(p.where("id % 7 = 0").withColumn("x", F.col("x") + 0.3), p, 1, 1.0).select("q", "p")
 
 
+# All points are queries; SQL would compare every pair.
+@query("jon_11_all_nearest", None)
+def _(t):
+    p = pts(t)
+    return P.nearest(p, p, 4, 2.0).select("q", "p", F.round("d2", 4).alias("d2"), "rank")
+
+
+@query("jon_13_all_closest", None)
+def _(t):
+    p = pts(t)
+    return P.nearest(p.withColumn("x", F.col("x") + 0.3), p, 1, 1.0).select("q", "p")
+
+
 @query("jon_14_ray_hits", "SELECT node, round(cx * 0.6 + cy * 0.8, 4) AS along FROM dag_nodes WHERE (cx * cx + cy * cy + cz * cz) - (cx * 0.6 + cy * 0.8) * (cx * 0.6 + cy * 0.8) <= 9 AND cx * 0.6 + cy * 0.8 > 0")
 def _(t):
     center = (F.col("cx"), F.col("cy"), F.col("cz"))
