@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .words import BYTE_POWERS, BYTE_VALUES, NON_SPACE, U64, Words, cover, find_words, mix, per_doc, prefix_sums, slices, text_buffer
+from .words import NON_SPACE, U64, Words, cover, find_words, mix, per_doc, slices, span_hashes, text_buffer
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED, KEEP_SHARE = 8, 20, 30, 0.5
@@ -86,9 +86,7 @@ def read_lines(buf: np.ndarray, off: np.ndarray) -> Lines:
     before = np.append(-1, breaks)[k] + 1
     after = np.append(breaks, len(buf))[k]
     start, end = np.maximum(before, off[line_doc]), np.minimum(after, off[line_doc + 1])
-    sums = prefix_sums(BYTE_VALUES[buf], BYTE_POWERS)
-    text = mix((sums[end] - sums[start]) * BYTE_POWERS(len(buf) + 1)[1][start])
-    _, later = _repeated(text ^ own[line_doc])
+    _, later = _repeated(span_hashes(buf, start, end) ^ own[line_doc])
 
     def share(mask: np.ndarray, of: np.ndarray) -> np.ndarray:
         s = _sums(mask[buf])

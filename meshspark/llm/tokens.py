@@ -3,8 +3,9 @@
 Both vocabularies used here split a text at white space and between letters and punctuation before
 they look for merges.  So texts are cut into pieces at places where such a split is certain, each
 different piece goes through the tokenizers library once, and its ids are kept for later texts of the
-same worker.  Pieces are found, told apart (by 64-bit hashes) and put together again for many texts at
-once.
+same worker.  Pieces are found by hash and told apart by their bytes, for many texts at once.  A text
+that holds the name of an added token (`<|endoftext|>`) goes through the library as a whole: the library
+finds such names before it splits.
 
 Places that are certain: between an ASCII letter and a full stop or comma; and before a run of spaces
 and line feeds, if the character before it surely isn't white space.  What isn't certain stays in one
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .words import BYTE_POWERS, BYTE_VALUES, LOWER, U64, mix, prefix_sums, slices, text_buffer
+from .words import LOWER, U64, slices, span_hashes, text_buffer
 
 IS_ASCII_LETTER = np.zeros(256, bool)
 IS_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -59,14 +60,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.drop_space, self.most = drop_space, most
+        self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = [np.zeros(0, np.uint32)]
-        self.flat = self.ids[0]
+        self.flat = np.zeros(0, np.uint32)
+        self.text_at, self.size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     @classmethod
     def of(cls, path: str, drop_space: bool) -> Encoder:
@@ -74,19 +75,43 @@ class Encoder:
             cls.kept[path] = cls(path, drop_space)
         return cls.kept[path]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) > self.most:
-            self._forget()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in raw], add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter((x for row in got for x in row), np.uint32, int(n.sum()))
         place = np.searchsorted(self.keys, keys)
         self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(n) - n)
         self.n = np.insert(self.n, place, n)
+        size = np.fromiter(map(len, raw), np.int32, len(raw))
+        self.text_at = np.insert(self.text_at, place, len(self.text) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
         self.keys = np.insert(self.keys, place, keys)
         self.flat = np.concatenate([self.flat, flat])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw), np.uint8)])
+
+    def _differing(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes aren't those kept under their hash."""
+        n = ends - starts
+        odd = self.size[which] != n
+        n = np.where(odd, 0, n)
+        total = np.cumsum(n)
+        step = np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n)
+        unlike = np.flatnonzero(buf[np.repeat(starts, n) + step] != self.text[np.repeat(self.text_at[which], n) + step])
+        odd[np.searchsorted(total, unlike, "right")] = True
+        return np.flatnonzero(odd)
+
+    def _whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts that hold the name of an added token."""
+        raw, found = buf.tobytes(), set()
+        for name in self.names:
+            at = raw.find(name)
+            while at >= 0:
+                found.add(int(np.searchsorted(off, at, "right")) - 1)
+                at = raw.find(name, at + 1)
+        return np.array(sorted(found), np.int64)
 
     def _run(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        given, whole = buf, self._whole(buf, off)
         if self.drop_space:
             buf = LOWER[buf]
         starts = piece_starts(buf, off)
@@ -100,8 +125,7 @@ class Encoder:
             starts = np.where(inner, tail, starts)
             some = size > 0
             starts, ends = starts[some], ends[some]
-        sums = prefix_sums(BYTE_VALUES[buf], BYTE_POWERS)
-        hashes = mix((sums[ends] - sums[starts]) * BYTE_POWERS(len(buf) + 1)[1][starts])
+        hashes = span_hashes(buf, starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._forget()
@@ -112,12 +136,23 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             raw = buf.tobytes()
-            self._learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._learn(keys[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
-        n = self.n[at][back].astype(np.int64)
+        which = at[back]
+        n = self.n[which].astype(np.int64)
         total = np.append(0, np.cumsum(n))
-        ids = self.flat[np.repeat(self.at[at][back] - total[:-1], n) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, off)]
+        ids = self.flat[np.repeat(self.at[which] - total[:-1], n) + np.arange(total[-1])]
+        first = total[np.searchsorted(starts, off)]
+        again = np.union1d(whole, np.searchsorted(off, starts[self._differing(buf, starts, ends, which)], "right") - 1)
+        return self._again(given, off, ids, first, again.astype(np.int64)) if len(again) else (ids, first)
+
+    def _again(self, buf: np.ndarray, off: np.ndarray, ids: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with those of some texts taken anew, from the texts as a whole."""
+        each = [ids[first[d] : first[d + 1]] for d in range(len(off) - 1)]
+        got = self.tokenizer.encode_batch_fast([buf[off[d] : off[d + 1]].tobytes().decode() for d in which], add_special_tokens=False)
+        for d, e in zip(which, got, strict=True):
+            each[d] = np.array(e.ids, np.uint32)
+        return np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For runs (i, j) of texts: their ids, and where those of each text begin (and end)."""

@@ -1,11 +1,16 @@
 """Words of many texts at once: numpy over the bytes of an Arrow column, no Python object per word.
 
-A hash here is 64 bits: a polynomial over random per-byte values modulo 2**64, finished by a bit
-mixer.  Texts never run into each other: a word or window belongs to one text.
+Words, lines and pieces of text are hashed by a chain over their 8-byte blocks with a full bit mixer after
+each (`span_hashes`); spans of more than DIGEST bytes by a cryptographic digest.  Windows of a few words
+are polynomials over word hashes.  Windows of bytes (`byte_window_hashes`) are polynomials over bytes
+modulo 2**64, for which some regular strings agree by construction: they serve as filters only, where equal
+strings must meet and unequal ones may.  Texts never run into each other: a word or window belongs to
+one text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +55,7 @@ class _Powers:
 
 BYTE_POWERS, WORD_POWERS = _Powers(0xD1342543DE82EF95), _Powers(0xAF251AF3B0F025B5)
 BYTE_VALUES = _values(256, 17)
+DIGEST = 1024
 
 
 def byte_class(negated: bytes) -> np.ndarray:
@@ -103,6 +109,28 @@ def byte_window_hashes(sums: np.ndarray, starts: np.ndarray, length: int) -> np.
     return mix((sums[starts + length] - sums[starts]) * down[starts])
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span buf[starts[i]:ends[i]]; equal bytes have equal hashes wherever they stand."""
+    n = ends - starts
+    h = mix(n.astype(U64) + U64(0x9E3779B97F4A7C15))
+    if not len(buf):
+        return h
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    words = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    at = np.flatnonzero((n > 0) & (n <= DIGEST))
+    k = 0
+    while len(at):
+        left = np.minimum(n[at] - k, 8).astype(U64)
+        block = words[starts[at] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - left * U64(8)))
+        h[at] = mix((h[at] ^ block) + U64(0xD1342543DE82EF95))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > DIGEST).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 @dataclass
 class Words:
     """Words of a run of texts: byte spans, hashes, and the first word of each text."""
@@ -135,7 +163,8 @@ def find_words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = NON_SPACE, l
     if not len(buf):
         e = np.zeros(0, np.int64)
         return Words(e, e, np.zeros(0, U64), np.zeros(len(off), np.int64))
-    inside = (kind[LOWER] if lower else kind)[buf]
+    buf = LOWER[buf] if lower else buf
+    inside = kind[buf]
     filled = np.diff(off) > 0
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
@@ -144,9 +173,7 @@ def find_words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = NON_SPACE, l
     after[-1], after[:-1] = False, inside[1:]
     after[off[1:][filled] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    sums = prefix_sums((BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[buf], BYTE_POWERS)
-    hashes = mix((sums[ends] - sums[starts]) * BYTE_POWERS(len(buf))[1][starts])
-    return Words(starts, ends, hashes, np.searchsorted(starts, off).astype(np.int64))
+    return Words(starts, ends, span_hashes(buf, starts, ends), np.searchsorted(starts, off).astype(np.int64))
 
 
 def cover(at: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
