@@ -1,14 +1,15 @@
 """Benchmark passages in documents: Wu-Manber multi-pattern search over words.
 
-A pattern is a run of item words; symbols are words (64-bit hashes), blocks are two words.  Within
+A pattern is a run of item words; symbols are words (by their hashes), blocks are two words.  Within
 one pattern length m, the shift table says for a block of text how far the search window may move
 on before any pattern can end there; blocks that occur in no pattern move it by m - 1.  Where the
-shift is 0, the hash of the window's last words selects a bucket of patterns, and a comparison of
-all m words confirms.  Many places are searched in step: texts are cut into lanes of LANE words
-that overlap by m - 1, and each turn moves every lane's window by its own shift.
+shift is 0, the hash of the window's last SUFFIX words selects a bucket of patterns, and a comparison of
+all m words, byte for byte, confirms.  Many places are searched in step: texts are cut into lanes of
+LANE words that overlap by m - 1, and each turn moves every lane's window by its own shift.
 
-The items reach the executors in blocks of bounded size (`block_bytes` of item text); with more
-than one block the documents are scanned once per block and marks are united per document.
+The items reach the executors in blocks of bounded size (`block_bytes` of item text), one after another:
+with more than one block the documents are scanned once per block, the marks of texts with a hit are
+written, and marks are united per document in the end.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z.  A null text has no words,
 in items as in documents; items without words match nothing; items with a null id mark words but are
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_bytes
-from .words import ALNUM, U64, cover, find_words, mix, per_doc, slices, text_buffer
+from .shared import materialise, small_batches, text_bytes
+from .words import ALNUM, LOWER, U64, Words, cover, find_words, mix, per_doc, slices, text_buffer
 
-LANE = 256
+LANE, SUFFIX = 256, 4
 
 
 @dataclass
@@ -38,14 +39,15 @@ class Patterns:
 
     m: int
     words: np.ndarray  # patterns x m
+    texts: list[bytes]  # the patterns' words, joined by one space
     owners: list[list]  # item ids of each pattern
     block: int
     block_keys: np.ndarray  # sorted; shift of each
     shifts: np.ndarray
-    last: np.ndarray  # sorted bucket keys; patterns in that order
+    last: np.ndarray  # sorted bucket keys (hashes of the last words); patterns in that order
 
     @classmethod
-    def build(cls, m: int, words: np.ndarray, owners: list[list]) -> Patterns:
+    def build(cls, m: int, words: np.ndarray, texts: list[bytes], owners: list[list]) -> Patterns:
         block = min(2, m)
         ends = _blocks(words, block)  # patterns x (m - block + 1)
         keys, shift = ends.ravel(), np.broadcast_to(m - block - np.arange(m - block + 1), ends.shape).ravel()
@@ -53,11 +55,13 @@ class Patterns:
         keys, shift = keys[order], shift[order]
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
-        order = np.argsort(ends[:, -1], kind="stable")
-        return cls(m, words[order], [owners[i] for i in order], block, keys[first], shift[first], ends[order, -1])
+        last = _blocks(words[:, -min(SUFFIX, m) :], min(SUFFIX, m))[:, 0]
+        order = np.argsort(last, kind="stable")
+        return cls(m, words[order], [texts[i] for i in order], [owners[i] for i in order], block, keys[first], shift[first], last[order])
 
-    def find(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, pattern) of each occurrence in texts whose words are text[first[i]:first[i + 1]]."""
+    def find(self, w: Words, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of each occurrence in texts with words w of the bytes raw."""
+        text, first = w.hashes, w.first
         m, step = self.m, LANE - self.m + 1 if LANE > 2 * self.m else LANE
         counts = np.maximum(np.diff(first) - m + 1, 0)  # windows of each text
         lanes = -(-counts // step)
@@ -74,11 +78,15 @@ class Patterns:
             i = np.minimum(np.searchsorted(self.block_keys, key), len(self.block_keys) - 1)
             shift = np.where(self.block_keys[i] == key, self.shifts[i], m - self.block + 1)
             if len(hit := np.flatnonzero(shift == 0)):
-                low, high = (np.searchsorted(self.last, key[hit], s) for s in ("left", "right"))
+                size = min(SUFFIX, m)
+                last = _blocks(text[at[hit][:, None] + np.arange(m - size, m)], size)[:, 0]
+                low, high = (np.searchsorted(self.last, last, s) for s in ("left", "right"))
                 which = np.repeat(hit, high - low)
                 pattern = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
                 same = (text[at[which][:, None] + np.arange(m)] == self.words[pattern]).all(1)
-                found_at.append(at[which[same]])
+                where, pattern = at[which[same]], pattern[same]
+                same = [raw[w.starts[a] : w.ends[a + m - 1]] == self.texts[p] or b" ".join(raw[s:e] for s, e in zip(w.starts[a : a + m], w.ends[a : a + m], strict=True)) == self.texts[p] for a, p in zip(where.tolist(), pattern.tolist(), strict=True)]
+                found_at.append(where[same])
                 found.append(pattern[same])
             at = at + np.maximum(shift, 1)
             alive = at < stop
@@ -90,31 +98,34 @@ class Patterns:
 
 def _blocks(words: np.ndarray, block: int) -> np.ndarray:
     """Key of the block that starts at each word of each row."""
-    if block == 1:
-        return words
-    return mix(words[:, :-1] * U64(0x9E3779B97F4A7C15) + words[:, 1:])
+    out = words
+    for k in range(1, block):
+        out = mix(out[:, :-1] * U64(0x9E3779B97F4A7C15) + words[:, k:])
+    return out
 
 
 def compile_items(items: list[tuple], window: int) -> list[Patterns]:
     """items: (item_id, text)."""
-    by_length: dict[int, dict[bytes, list]] = {}
+    by_length: dict[int, dict[bytes, tuple[np.ndarray, dict]]] = {}
     for item, text in items:
-        buf = np.frombuffer((text or "").encode(), np.uint8)
-        h = find_words(buf, np.array([0, len(buf)]), ALNUM, lower=True).hashes
-        m = min(window, len(h))
-        for k in range(len(h) - m + 1 if m else 0):
-            owners = by_length.setdefault(m, {}).setdefault(h[k : k + m].tobytes(), [])
-            if item is not None and item not in owners:
-                owners.append(item)
-    return [Patterns.build(m, np.array([np.frombuffer(k, U64) for k in p]), list(p.values())) for m, p in sorted(by_length.items())]
+        buf = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        raw, w = buf.tobytes(), find_words(buf, np.array([0, len(buf)]), ALNUM)
+        words = [raw[s:e] for s, e in zip(w.starts, w.ends, strict=True)]
+        m = min(window, len(words))
+        for k in range(len(words) - m + 1 if m else 0):
+            _, owners = by_length.setdefault(m, {}).setdefault(b" ".join(words[k : k + m]), (w.hashes[k : k + m], {}))
+            if item is not None:
+                owners[item] = True
+    return [Patterns.build(m, np.array([h for h, _ in p.values()]), list(p), [list(o) for _, o in p.values()]) for m, p in sorted(by_length.items())]
 
 
 def search(buf: np.ndarray, off: np.ndarray, patterns: list[Patterns]) -> tuple[np.ndarray, np.ndarray, list[set]]:
     """(mask of hit words, first word of each text, items that occur in each text)."""
-    w = find_words(buf, off, ALNUM, lower=True)
+    buf = LOWER[buf]
+    w, raw = find_words(buf, off, ALNUM), buf.tobytes()
     hit, items = np.zeros(len(w.hashes), bool), [set() for _ in range(len(off) - 1)]
     for p in patterns:
-        at, which = p.find(w.hashes, w.first)
+        at, which = p.find(w, raw)
         if len(at):
             hit |= cover(at, p.m, len(hit))
             doc = np.searchsorted(w.first, at, "right") - 1
@@ -155,12 +166,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def _in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, blocks: int) -> DataFrame:
+    """One scan per block of items; only texts with a hit leave marks."""
     spark, parts = docs.sparkSession, []
-    # Rows of equal id stay apart by their text.
-    keyed = docs.select("doc_id", "text", F.struct("doc_id", F.sha2("text", 256).alias("text")).alias("key"))
+    # Rows are told apart by id and text; copies of a row get the same marks.
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k1"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("k2"))
     base = benchmark.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):
-        items = spark.sparkContext.broadcast([(r[0], r[1]) for r in base.where(F.col("block") == k).collect()])
+        items = spark.sparkContext.broadcast([(r[0], r[1]) for r in base.where(F.col("block") == k).collect()])  # a block
 
         def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             tables = compile_items(items.value, window)
@@ -168,24 +180,34 @@ def _in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, blocks: int)
                 buf, off = text_buffer(b.column(0))
                 for i, j in slices(off, 1 << 21):
                     hit, first, found = search(buf[off[i] : off[j]], off[i : j + 1] - off[i], tables)
-                    marks = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() for d in range(j - i)]
-                    ids = [sorted(map(str, x)) for x in found]
-                    yield pa.RecordBatch.from_arrays([b.column(1)[i:j], pa.array(np.diff(first)), pa.array(marks), pa.array(ids, pa.list_(pa.string()))], names=["key", "n_words", "marks", "items"])
+                    some = np.flatnonzero(per_doc(hit, first))
+                    marks = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() for d in some]
+                    ids = [sorted(map(str, found[d])) for d in some]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(some + i)) for c in (1, 2)), pa.array(marks, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=["k1", "k2", "marks", "items"])
 
-        parts.append(keyed.select("text", "key").mapInArrow(scan, "key struct<doc_id: long, text: string>, n_words long, marks binary, items array<string>"))
+        parts.append(materialise(keyed.select("text", "k1", "k2").mapInArrow(scan, "k1 long, k2 string, marks binary, items array<string>"), "marks"))
+        items.destroy()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
 
-    def unite(key: tuple, table: pa.Table) -> pa.Table:
-        marks = [np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()[: 1 << 30]]
-        n_hit = int(np.unpackbits(np.bitwise_or.reduce(marks)).sum()) if len(marks[0]) else 0
+    def unite(table: pa.Table) -> pa.Table:
+        """Of one document: a row per block at most."""
+        marks = [np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()]
+        n_hit = int(np.unpackbits(np.bitwise_or.reduce(marks)).sum())
         items = {x for row in table.column("items").to_pylist() for x in row}
-        return pa.table({"doc_id": pa.array([key[0].as_py()["doc_id"]], pa.int64()), "text": pa.array([key[0].as_py()["text"]], pa.string()), "n_words": table.column("n_words").slice(0, 1).combine_chunks(), "n_hit": pa.array([n_hit]), "n_items": pa.array([len(items)]), "items_sha256": pa.array([_digest(items)]), "contaminated": pa.array([n_hit > 0])})
+        keys = {c: table.column(c).slice(0, 1).combine_chunks() for c in ("k1", "k2")}
+        return pa.table(keys | {"n_hit": pa.array([n_hit]), "n_items": pa.array([len(items)]), "items_sha256": pa.array([_digest(items)])})
 
-    one = every.dropDuplicates(["key", "marks", "items"]).groupBy("key").applyInArrow(unite, RESULT.replace("doc_id long,", "doc_id long, text string,"))
-    back = one.withColumn("key", F.struct("doc_id", "text")).drop("doc_id", "text")
-    # Copies of a row come back as often as they stood there.
-    joined = copies.join(back, copies["key"].eqNullSafe(back["key"]))
-    return joined.select(copies["key"]["doc_id"].alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.explode(F.expr("sequence(1, copies)")).alias("_")).drop("_")
+    hits = every.dropDuplicates().groupBy("k1", "k2").applyInArrow(unite, "k1 long, k2 string, n_hit long, n_items long, items_sha256 string")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = text_buffer(b.column(1))
+            for i, j in slices(off, 1 << 21):
+                w = find_words(buf[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, lower=True)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(w.counts), b.column(2)[i:j], b.column(3)[i:j]], names=["doc_id", "n_words", "k1", "k2"])
+
+    counted = keyed.mapInArrow(count, "doc_id long, n_words long, k1 long, k2 string").join(hits, ["k1", "k2"], "left")
+    zero, none = F.lit(0).cast("long"), F.lit(_digest([]))
+    return counted.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))

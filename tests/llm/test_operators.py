@@ -184,7 +184,6 @@ def tokenizers():
     out = {}
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         out[name] = Tokenizer.from_file(public_tokenizers.path(name))
-        out[name].encode_special_tokens = True
     return out
 
 
