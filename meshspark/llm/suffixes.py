@@ -1,25 +1,31 @@
 """Substring deduplication over bytes, by a distributed difference-cover suffix sort.
 
-1. Equal texts become one (64-bit hash); a text that stands there twice is covered as a whole.
-2. Only bytes that can repeat are sorted: of each full window (`length` bytes) the 64-byte piece of
-   smallest hash must occur elsewhere too, which an exchange of keys tells exactly (`exchange`).
-   What is left is a set of runs.
-3. Suffixes of the runs are sorted by the difference cover {1, 2} modulo 3: triples of symbols at
-   positions 1 and 2 modulo 3 get names in rising order; the strings of names are sorted the same way,
-   until names cover `length` bytes or are all different; then the remaining suffixes (0 modulo 3) are
-   merged in by their first symbols and the rank that follows, by counts of smaller sampled suffixes.
-   Every sort is cut into ranges of its whole order, so no symbol or triple stays in one task.
-4. Neighbours in the sorted order are compared on their first `length` bytes (by hash): each window
-   with an equal neighbour starts elsewhere too.  The bytes of all such windows are removed.
+1. Only bytes that can repeat are sorted: of each window (`length` bytes) the PIECE-byte piece of smallest
+   hash must occur elsewhere too, which an exchange of keys tells (`exchange`); equal strings always pass.
+   What is left is a set of runs; equal runs (128-bit digest) become one, and a run that stands there
+   twice is covered as a whole.
+2. Runs are cut into phrases at anchors, places that the bytes around them decide (`Anchors`).  So equal
+   windows hold the same anchor and, from it on, the same phrases; each window belongs to one anchor.
+   Phrases get names in rising byte order.
+3. The suffixes that start at anchors are sorted by the difference cover {1, 2} modulo 3 over phrases:
+   triples of names at places 1 and 2 modulo 3 get names in rising order; the strings of names are sorted
+   the same way, until they cover `length` bytes or are all different; then the remaining suffixes
+   (0 modulo 3) are merged in by their first names and the rank that follows, by counts of smaller
+   sampled suffixes.  Every sort is cut into ranges of its whole order, so no phrase or triple stays in
+   one task.
+4. The suffixes that start between anchors are merged in by the bytes that lead to the next anchor and
+   that anchor's rank; neighbours that agree on `length` bytes start elsewhere too.  This is done in
+   even ranges of ranks, on the bytes themselves; windows that may go on in the next range are told
+   apart by a 128-bit digest.  The bytes of all repeated windows are removed.
 
 A null or empty text has no bytes.  Matches never cross texts.  Rows of equal texts are all removed if
-they have `length` bytes or more, whatever their ids.
+they have `length` bytes or more, whatever their ids.  Other columns of docs are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.prefix import running
 from . import exchange
-from .shared import materialise, small_batches
-from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, cover, prefix_sums, slices, text_buffer
+from .shared import materialise, small_batches, text_bytes
+from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, per_doc, prefix_sums, slices, text_buffer
 
-PIECE = 64
+PIECE, TRIGGER, DENSITY = 100, 16, 32
+RANGE = 1 << 15  # anchors a task
+LAST = np.iinfo(U64).max
 
 
 def _lowest(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,18 +61,18 @@ class Candidates:
 
     def __init__(self, table: pa.Table, length: int):
         self.buf, self.off = text_buffer(table.column("text"))
+        piece = min(PIECE, length)
         at, stand, pieces = [], [], []
         for i, j in slices(self.off):
             b, o = self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
             w = _starts(o, length)
             if len(w):
                 sums = prefix_sums(BYTE_VALUES[b], BYTE_POWERS)
-                g = np.full(len(b), np.iinfo(U64).max, U64)
-                p = _starts(o, PIECE)
-                g[p] = byte_window_hashes(sums, p, PIECE)
-                low = _lowest(np.append(g, np.full(length, np.iinfo(U64).max, U64)), length - PIECE + 1)[w]
+                g = np.full(len(b) + length, LAST, U64)
+                p = _starts(o, piece)
+                g[p] = byte_window_hashes(sums, p, piece)
                 at.append(w + self.off[i])
-                stand.append(low)
+                stand.append(_lowest(g, length - piece + 1)[w])
                 pieces.append(g[p])
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.at, self.stand = join(at, np.int64), join(stand, U64)
@@ -84,35 +91,180 @@ class Candidates:
 
 
 def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(h, start, bytes) of texts (h, text)."""
+    """(k, start, run, bytes) of texts (k, text); run is a digest of the bytes."""
 
     def finish(table: pa.Table, bits: exchange.Bits) -> pa.Table:
-        c, ids = Candidates(table, length), table.column("h").to_pylist()
-        rows = [(ids[d], a, c.buf[c.off[d] + a : c.off[d] + b].tobytes()) for d, a, b in c.runs(bits[0], length)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "start", "bytes"])
+        c, ids = Candidates(table, length), table.column("k").to_pylist()
+        raw = c.buf.tobytes()
+        rows = [(ids[d], a, raw[c.off[d] + a : c.off[d] + b]) for d, a, b in c.runs(bits[0], length)]
+        rows = [(k, a, hashlib.blake2b(x, digest_size=16).digest(), x) for k, a, x in rows]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["k", "start", "run", "bytes"])
 
     level = exchange.Level(lambda t, _: (Candidates(t, length).keys, None))
-    return materialise(exchange.run(texts, "h", "text", [level], finish, "h long, start long, bytes binary"), "runs")
+    return materialise(exchange.run(texts, "k", "text", [level], finish, "k long, start long, run binary, bytes binary"), "runs")
 
 
-def _positions(runs: DataFrame, length: int) -> DataFrame:
-    """(s, i, c, h, at, w): one row per byte of a run; w is the hash of the window that starts there."""
+class Anchors:
+    """Anchors of a batch of runs (buf[off[r]:off[r + 1]], `length` bytes each at least).
+
+    A trigger is a place whose next TRIGGER bytes have a hash divisible by DENSITY.  An anchor is a
+    trigger, or a place `reach` behind the latest trigger or more, where reach is the last place of a
+    window that holds TRIGGER bytes of it.  A window belongs to its first trigger, or without one to its
+    place `reach`.  low and high: the windows of an anchor start that many bytes before it.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, length: int):
+        reach = length - TRIGGER
+        first = np.repeat(off[:-1], np.diff(off))
+        end = np.repeat(off[1:], np.diff(off))
+        place = np.arange(len(buf))
+        p = _starts(off, TRIGGER)
+        hit = np.zeros(len(buf), bool)
+        hit[p] = byte_window_hashes(prefix_sums(BYTE_VALUES[buf], BYTE_POWERS), p, TRIGGER) % U64(DENSITY) == 0
+        latest = np.maximum.accumulate(np.where(hit, place, -1)) if len(buf) else place
+        latest = np.where(latest < first, first - 1, latest)  # up to this place; none: before the run
+        before = np.append(-1, latest)[:-1]
+        before = np.where(place == first, first - 1, before)
+        inside = place <= end - TRIGGER
+        dense = inside & ~hit & (place - first >= reach) & (latest <= place - reach)
+        self.at = at = np.flatnonzero(hit | dense)
+        self.run = np.searchsorted(off, at, "right") - 1
+        self.first, self.end = first[at], end[at]
+        self.high = np.where(hit[at], np.minimum(reach, at - before[at] - 1), np.where(latest[at] < at - reach, reach, -1))
+        self.low = np.where(hit[at], np.maximum(0, at - (self.end - length)), reach)
+        ahead = np.append(at[1:], 0)
+        same = np.append(self.run[1:] == self.run[:-1], False)[: len(at)]
+        self.phrase_end = np.where(same, ahead + TRIGGER, self.end)
+        self.number = np.arange(len(at)) - np.searchsorted(self.run, self.run)
+        #: most anchors in `length` bytes
+        self.most = int((np.searchsorted(at, np.minimum(at + length, self.end)) - np.arange(len(at))).max(initial=0))
+
+
+def _numpy(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def phrases(runs: DataFrame, length: int) -> DataFrame:
+    """(s, i, phrase, most): the phrase at each anchor of runs (s, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s, h, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.frombuffer(data, np.uint8)
-                n, at = len(x), np.arange(len(x) - length + 1)
-                w = pa.array(np.append(byte_window_hashes(prefix_sums(BYTE_VALUES[x], BYTE_POWERS), at, length).view(np.int64), np.zeros(length - 1, np.int64)), mask=np.arange(n) > n - length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s)), pa.array(np.arange(n)), pa.array(x.astype(np.int64) + 1), pa.array(np.full(n, h)), pa.array(np.arange(n) + start), w], names=["s", "i", "c", "h", "at", "w"])
+            buf, off = text_buffer(b.column(1))
+            s = b.column(0).to_numpy()
+            for i, j in slices(off):
+                x, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+                a, raw = Anchors(x, o, length), x.tobytes()
+                got = [raw[p:q] for p, q in zip(a.at.tolist(), a.phrase_end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(s[i:j][a.run]), pa.array(a.number), pa.array(got, pa.binary()), pa.array(np.full(len(got), a.most))], names=["s", "i", "phrase", "most"])
+
+    return materialise(runs.select("s", "bytes").mapInArrow(run, "s long, i long, phrase binary, most long"), "phrases")
+
+
+def _sorted_scan(df: DataFrame, order: list[str], scan: Callable[[list[np.ndarray], dict], list[np.ndarray]], names: list[str], name: str) -> DataFrame:
+    """scan(columns of a batch, state of the partition) -> rows (names), over ranges of the whole order.
+
+    Columns are whole numbers.  A last row per partition, marked by `state`, holds the state's whole
+    numbers: what the ranges before add is known from those rows.
+    """
+    schema = ", ".join([*(f"{n} long" for n in names), "part long", "state array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, state = TaskContext.get().partitionId(), {}
+        for b in batches:
+            if b.num_rows:
+                got = scan(_numpy(b), state)
+                n = len(got[0])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, got), pa.array(np.full(n, part)), pa.nulls(n, pa.list_(pa.int64()))], names=[*names, "part", "state"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([0], pa.int64()) for _ in names), pa.array([part], pa.int64()), pa.array([[int(x) for x in state.values()]], pa.list_(pa.int64()))], names=[*names, "part", "state"])
+
+    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    return materialise(spread.sortWithinPartitions(*order).mapInArrow(run, schema), name)
+
+
+def _states(table: DataFrame) -> list[tuple[int, list[int]]]:
+    """One (partition, state) per range that had rows, in order."""
+    return [(r["part"], r["state"]) for r in table.where("size(state) > 0").select("part", "state").orderBy("part").collect()]
+
+
+def _above(table: DataFrame, bases: list[tuple[int, int]], value: str, name: str, *keep: str) -> DataFrame:
+    """table's rows with `name`: value plus what the ranges before add (one row per range)."""
+    small = table.sparkSession.createDataFrame(bases or [(-1, 0)], "part long, _base long")
+    return table.where("state IS NULL").join(F.broadcast(small), "part").select(*keep, (F.col(value) + F.col("_base")).alias(name))
 
-    named = runs.select(F.xxhash64("h", "start").alias("s"), "h", "start", "bytes")
-    return materialise(named.mapInArrow(run, "s long, i long, c long, h long, at long, w long"), "positions")
+
+def numbered(df: DataFrame, order: list[str], keep: list[str], name: str) -> DataFrame:
+    """keep's columns and row numbers from 1 in the whole order."""
+    at = [order.index(c) for c in keep]
+
+    def scan(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
+        n = len(cols[0])
+        done = state.get("n", 0)
+        state["n"] = done + n
+        return [*(cols[i] for i in at), np.arange(done + 1, done + n + 1)]
+
+    table = _sorted_scan(df.select(*order), order, scan, [*keep, "v"], name)
+    bases, total = [], 0
+    for part, (n,) in _states(table):
+        bases.append((part, total))
+        total += n
+    return _above(table, bases, "v", name, *keep)
+
+
+def _named(sampled: DataFrame) -> tuple[DataFrame, int, int]:
+    """(s, i, c): c counts the different triples (a, b, d) up to a row's; how many there are, and rows."""
+
+    def scan(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
+        a, b, d, s, i = cols
+        last = state.get("last", [])
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (d[1:] != d[:-1])
+        if last:
+            new[0] = (a[0], b[0], d[0]) != tuple(last)
+        else:
+            state |= {"a": a[0], "b": b[0], "d": d[0], "n": 0, "rows": 0, "la": 0, "lb": 0, "ld": 0}
+        c = state["n"] + np.cumsum(new)
+        state |= {"n": c[-1], "rows": state["rows"] + len(a), "la": a[-1], "lb": b[-1], "ld": d[-1]}
+        return [s, i, c]
+
+    def keep_last(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
+        full = state | {"last": [state[k] for k in ("la", "lb", "ld")] if state else []}
+        out = scan(cols, full)
+        full.pop("last")
+        state |= full
+        return out
+
+    table = _sorted_scan(sampled.select("a", "b", "d", "s", "i"), ["a", "b", "d", "s", "i"], keep_last, ["s", "i", "v"], "names")
+    bases, total, rows, last = [], 0, 0, None
+    for part, (a, b, d, n, many, la, lb, ld) in _states(table):
+        total -= (a, b, d) == last  # the range goes on with the triple that the one before ended with
+        bases.append((part, total))
+        total, rows, last = total + n, rows + many, (la, lb, ld)
+    return _above(table, bases, "v", "c", "s", "i"), total, rows
+
+
+def _smaller(full: DataFrame, order: list[str], m: int, name: str) -> DataFrame:
+    """(s, i, name): how many sampled suffixes of places m modulo 3 stand before each remaining one."""
+    of = {c: k for k, c in enumerate(order)}
+
+    def scan(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
+        sampled = cols[of["m"]] > 0
+        count = state.get("n", 0) + np.cumsum(sampled)
+        state["n"] = count[-1]
+        return [cols[of["s"]][~sampled], cols[of["i"]][~sampled], count[~sampled]]
+
+    table = _sorted_scan(full.where(F.col("m").isin(0, m)).select(*order), order, scan, ["s", "i", "v"], name)
+    bases, total = [], 0
+    for part, (n,) in _states(table):
+        bases.append((part, total))
+        total += n
+    return _above(table, bases, "v", name, "s", "i")
 
 
 def suffix_ranks(symbols: DataFrame, reach: int) -> DataFrame:
-    """(s, i, rank) of symbols (s, i, c), c > 0: ranks from 1 without gaps or ties.
+    """(s, i, rank) of symbols (s, i, c), c > 0, i from 0 on in each string: ranks from 1 without gaps or ties.
 
     Ranks rise with the first `reach` symbols; what ends is smaller than what goes on.  Suffixes that
     agree on those may stand in any order, so a symbol or triple that is common fills several ranges.
@@ -120,74 +272,193 @@ def suffix_ranks(symbols: DataFrame, reach: int) -> DataFrame:
     w = W.partitionBy("s").orderBy("i")
     after = lambda k: F.coalesce(F.lead("c", k).over(w), F.lit(0)).alias("bd"[k - 1])
     t = materialise(symbols.select("s", "i", F.col("c").alias("a"), after(1), after(2)), "triples")
-    sampled, order = t.where("i % 3 <> 0"), ["a", "b", "d", "s", "i"]
+    sampled = t.where("i % 3 <> 0")
     if reach <= 3:
-        known = running(sampled, order, number="r").select("s", "i", "r")
+        known = numbered(sampled, ["a", "b", "d", "s", "i"], ["s", "i"], "r")
     else:
-        # A name counts the different triples up to it: each triple's first place counts one.
-        firsts = sampled.groupBy("a", "b", "d").agg(F.min(F.struct("s", "i")).alias("f")).select("f.s", "f.i", F.lit(1).cast("long").alias("first"))
-        marked = materialise(sampled.join(firsts, ["s", "i"], "left").fillna(0, ["first"]), "marked")
-        names = materialise(running(marked, order, {"c": "first"}).select("s", "i", "c"), "names")
-        n = names.agg(F.max("c").alias("names"), F.count("*").alias("all")).first()
-        if n["names"] in (None, n["all"]):
+        names, different, rows = _named(sampled)
+        if different == rows:
             known = names.withColumnRenamed("c", "r")
         else:
-            of = [F.xxhash64("s", F.col("i") % 3), F.floor(F.col("i") / 3)]
-            ranks = suffix_ranks(names.select(of[0].alias("s"), of[1].alias("i"), "c"), -(-reach // 3))
-            ranks = ranks.select(F.col("s").alias("_s"), F.col("i").alias("_i"), F.col("rank").alias("r"))
-            known = sampled.select("s", "i", of[0].alias("_s"), of[1].alias("_i")).join(ranks, ["_s", "_i"]).select("s", "i", "r")
-
+            # The names at places 1 and 2 modulo 3 are two strings for each string.
+            shorter = names.select((2 * F.col("s") + F.col("i") % 3 - 1).alias("s"), F.expr("i div 3").alias("i"), "c")
+            ranks = suffix_ranks(shorter, -(-reach // 3))
+            known = ranks.select(F.expr("s div 2").alias("s"), F.expr("3 * i + s % 2 + 1").alias("i"), F.col("rank").alias("r"))
     # The ranks one and two symbols on, where those are sampled; 0 past the end.
     on = lambda k: F.coalesce(F.lead("r", k).over(w), F.lit(0)).alias(f"r{k}")
-    m = (F.col("i") % 3).cast("int").alias("m")
-    full = materialise(t.join(known, ["s", "i"], "left").select("s", "i", m, "a", "b", "r", on(1), on(2)), "followed")
+    full = materialise(t.join(known, ["s", "i"], "left").select("s", "i", (F.col("i") % 3).alias("m"), "a", "b", F.coalesce("r", F.lit(0)).alias("r"), on(1), on(2)), "followed")
     # How many sampled suffixes stand before a remaining one: by (a, r1) among those of m 1, by
     # (a, b, r2) among those of m 2.  It goes before the sampled suffix that has as many before it.
-    one, two = (F.col("m") == k for k in (1, 2))
-    first = running(full.where(~two).withColumn("_s1", one.cast("long")), ["a", "r1", "m", "s", "i"], {"n1": "_s1"})
-    second = running(full.where(~one).withColumn("_s2", two.cast("long")), ["a", "b", "r2", "m", "s", "i"], {"n2": "_s2"})
-    rest = first.where("m = 0").select("s", "i", "a", "r1", "n1").join(second.where("m = 0").select("s", "i", "n2"), ["s", "i"])
-    rest = rest.select("s", "i", (F.col("n1") + F.col("n2")).alias("place"), F.lit(0).alias("kind"), "a", "r1")
+    rest = _smaller(full, ["a", "r1", "m", "s", "i"], 1, "n1").join(_smaller(full, ["a", "b", "r2", "m", "s", "i"], 2, "n2"), ["s", "i"])
+    rest = rest.join(full.where("m = 0").select("s", "i", "a", "r1"), ["s", "i"]).select("s", "i", (F.col("n1") + F.col("n2")).alias("place"), F.lit(0).cast("long").alias("kind"), "a", "r1")
     zero = F.lit(0).cast("long")
-    both = rest.unionAll(full.where("m > 0").select("s", "i", (F.col("r") - 1).alias("place"), F.lit(1).alias("kind"), zero.alias("a"), zero.alias("r1")))
-    both = materialise(both, "merged")
-    return materialise(running(both, ["place", "kind", "a", "r1", "s", "i"], number="rank").select("s", "i", "rank"), "ranks")
-
-
-def repeated_windows(runs: DataFrame, length: int) -> DataFrame:
-    """(h, at) of the windows that start elsewhere too: neighbours in suffix order that agree."""
-    places = _positions(runs, length)
-    ranks = suffix_ranks(places.select("s", "i", "c"), length)
-    sorted_ = ranks.join(places.where("w IS NOT NULL"), ["s", "i"]).select("rank", "h", "at", "w")
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(sorted_.agg(F.percentile_approx("rank", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("c")).first()["c"] or []))
-    ranged = materialise(sorted_.withColumn("part", sum((F.when(F.col("rank") > c, 1).otherwise(0) for c in cuts), F.lit(0))), "sorted")
-    ends = ranged.groupBy("part").agg(F.min_by("w", "rank").alias("low"), F.max_by("w", "rank").alias("high"))
-    row = W.orderBy("part")  # one row per range
-    ends = ends.select("part", F.lag("high").over(row).alias("before"), F.lead("low").over(row).alias("behind"))
-    order = W.partitionBy("part").orderBy("rank", "w")
-    near = [F.col("w") == F.lag("w").over(order), F.col("w") == F.lead("w").over(order)]
-    met = ranged.select("part", "h", "at", "w", *(F.coalesce(x, F.lit(False)).alias(n) for x, n in zip(near, ("p", "q"), strict=True)))
-    met = met.join(F.broadcast(ends), "part")
-    return met.where("p OR q OR w <=> before OR w <=> behind").select("h", "at")
-
-
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    both = rest.unionAll(full.where("m > 0").select("s", "i", (F.col("r") - 1).alias("place"), (zero + 1).alias("kind"), zero.alias("a"), zero.alias("r1")))
+    return numbered(both, ["place", "kind", "a", "r1", "s", "i"], ["s", "i"], "rank")
+
+
+def _contexts(runs: DataFrame, ranks: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """(part, rank, s, at, low, high, bytes): anchors that windows belong to, in even ranges of ranks.
+
+    bytes: `high` bytes before the anchor, and up to `length` from it on.
+    """
+    total = ranks.agg(F.max("rank").alias("n")).first()["n"] or 0
+    parts = max(1, -(-total // RANGE))
+    # One row per run: its anchors' ranks in order.
+    of = ranks.groupBy("s").agg(F.expr("transform(array_sort(collect_list(struct(i, rank))), x -> x.rank)").alias("ranks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = text_buffer(b.column(1))
+            s, lists = b.column(0).to_numpy(), b.column(2)
+            flat, first = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, j in slices(off):
+                x, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+                a, raw = Anchors(x, o, length), x.tobytes()
+                rank = flat[first[i:j][a.run] + a.number]
+                k = np.flatnonzero(a.low <= a.high)
+                at, low, high = a.at[k], a.low[k], a.high[k]
+                got = [raw[p:q] for p, q in zip((at - high).tolist(), np.minimum(at + length, a.end[k]).tolist(), strict=True)]
+                cols = [(rank[k] - 1) * parts // max(total, 1), rank[k], s[i:j][a.run[k]], at - a.first[k], low, high]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(got, pa.binary())], names=["part", "rank", "s", "at", "low", "high", "bytes"])
+
+    met = runs.select("s", "bytes").join(of, "s").select("s", "bytes", "ranks")
+    return met.mapInArrow(run, "part long, rank long, s long, at long, low long, high long, bytes binary"), parts
+
+
+class Suffixes:
+    """Anchors of one range of ranks, and the windows that belong to them."""
+
+    def __init__(self, table: pa.Table, length: int):
+        order = np.argsort(table.column("rank").to_numpy(), kind="stable")
+        self.s, self.at, self.low, self.high = (table.column(c).to_numpy()[order] for c in ("s", "at", "low", "high"))
+        self.raw, self.length = table.column("bytes").combine_chunks().take(pa.array(order)), length
+        buf, off = text_buffer(self.raw)
+        n = len(order)
+        right = np.diff(off) - self.high
+        self.left = self._matrix(buf, off[1:] - right - 1, self.high, -1)
+        ahead = self._matrix(buf, off[1:] - right, right, 1)
+        self.common = np.zeros(n, np.int64)  # with the neighbour before
+        same = ahead[1:] == ahead[:-1]
+        first = np.where(same.all(1), same.shape[1], same.argmin(1)) if same.size else np.zeros(max(n - 1, 0), np.int64)
+        self.common[1:] = np.minimum(first, np.minimum(right[1:], right[:-1]))
+
+    @staticmethod
+    def _matrix(buf: np.ndarray, start: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+        out = np.zeros((len(n), int(n.max(initial=0))), np.uint8)
+        row = np.repeat(np.arange(len(n)), n)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        out[row, col] = buf[start[row] + step * col]
+        return out
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """(found, open) by anchor and bytes before it: windows with an equal one in this range, and
+        windows that the ranges beside it may hold too."""
+        n, most = len(self.s), int(self.high.max(initial=0))
+        found, edge = np.zeros((n, most + 1), bool), np.zeros((n, most + 1), bool)
+        group = np.zeros(n, np.int64)  # same bytes before the anchor
+        rows = np.arange(n)
+        for d in range(most + 1):
+            if d:
+                rows = rows[self.high[rows] >= d]
+                _, group[rows] = np.unique(group[rows] << 8 | self.left[rows, d - 1], return_inverse=True)
+            k = rows[self.low[rows] <= d]
+            if not len(k):
+                continue
+            part = np.cumsum(self.common < self.length - d)  # suffixes that agree as far as a window needs
+            _, back, count = np.unique(part[k] * n + group[k], return_inverse=True, return_counts=True)
+            found[k, d] = count[back] > 1
+            edge[k, d] = (part[k] == part[0]) | (part[k] == part[-1])
+        return found, edge
+
+
+MARKS = "s long, first long, end long, key binary"
+
+
+def _resolve(table: pa.Table, length: int) -> pa.Table:
+    """Spans of repeated windows (key is null), and one row per different window that another range may
+    hold: with its place where it has no equal in this range."""
+    x = Suffixes(table, length)
+    found, edge = x.repeated()
+    step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(step == 1)
+    _, last = np.nonzero(step == -1)  # found for first <= d < last
+    rows = [x.s[row], x.at[row] - last + 1, x.at[row] - first + length]
+    spans = pa.table([*map(pa.array, rows), pa.nulls(len(row), pa.binary())], names=["s", "first", "end", "key"])
+    keys: dict[bytes, tuple] = {}
+    raw = x.raw.to_pylist() if edge.any() else []
+    for r, d in zip(*(a.tolist() for a in np.nonzero(edge)), strict=True):
+        h = int(x.high[r])
+        key = hashlib.blake2b(raw[r][h - d : h - d + length], digest_size=16).digest()
+        keys[key] = (None, None, None) if found[r, d] else (int(x.s[r]), int(x.at[r]) - d, int(x.at[r]) - d + length)
+    open_ = list(zip(*keys.values(), strict=True)) or [[]] * 3
+    other = pa.table([*(pa.array(c, pa.int64()) for c in open_), pa.array(list(keys), pa.binary())], names=["s", "first", "end", "key"])
+    return pa.concat_tables([spans, other])
+
+
+def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
+    """(s, first, end) of runs (s, bytes): bytes of windows that start elsewhere too."""
+    cut = phrases(runs, length)
+    contents = cut.select("phrase").distinct()
+    spread = contents.repartitionByRange(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "phrase").sortWithinPartitions("phrase")
+    # The row's number in its partition; partitions are ranges in rising order.
+    listed = materialise(spread.select("phrase", F.spark_partition_id().cast("long").alias("part"), (F.monotonically_increasing_id() % (1 << 33) + 1).alias("v"), F.lit(None).cast("long").alias("state")), "contents")
+    bases, total = [], 0
+    for r in listed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        bases.append((r["part"], total))
+        total += r["n"]
+    names = _above(listed, bases, "v", "c", "phrase")
+    reach = cut.agg(F.max("most").alias("n")).first()["n"] or 1
+    ranks = materialise(suffix_ranks(cut.join(names, "phrase").select("s", "i", "c"), reach), "ranks")
+    contexts, _ = _contexts(runs, ranks, length)
+    marks = materialise(contexts.groupBy("part").applyInArrow(lambda t: _resolve(t, length), MARKS), "marks")
+    beside = marks.where("key IS NOT NULL")
+    many = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = beside.where("s IS NOT NULL").join(many, "key").select("s", "first", "end")
+    return marks.where("key IS NULL").select("s", "first", "end").unionAll(met)
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     small_batches(docs.sparkSession)
-    body = F.coalesce(F.col("text"), F.lit(""))
-    texts = materialise(docs.select(body.alias("text"), F.xxhash64(body).alias("h")).groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
-    marks = repeated_windows(candidate_runs(texts.select("h", "text"), length), length)
+    if length <= TRIGGER:
+        raise ValueError(f"length must be greater than {TRIGGER}")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    occurrences = candidate_runs(texts.select("k", "text"), length)
+    runs = occurrences.groupBy("run").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
+    runs = materialise(runs.withColumn("s", F.monotonically_increasing_id()), "distinct")
+    spans = repeated_spans(runs, length)
+    of = spans.groupBy("s").agg(F.collect_list(F.struct("first", "end")).alias("spans"))  # of one run
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.octet_length("bytes").cast("long").alias("end")))
+    marked = runs.select("run", "s", "copies", whole.alias("whole")).join(of, "s", "left").where("copies > 1 OR spans IS NOT NULL")
+    marked = marked.select("run", F.when(F.col("copies") > 1, F.col("whole")).otherwise(F.col("spans")).alias("spans"))
+    marks = occurrences.select("k", "start", "run").join(marked, "run").select("k", "start", "spans")
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        data = (table.column("text")[0].as_py() or "").encode()
-        n, at = len(data), found.column("at").to_numpy()
-        if table.column("copies")[0].as_py() > 1 and n >= length:
-            at = np.arange(n - length + 1)
-        gone = cover(at, length, n)
-        spans = int(np.sum(np.diff(np.append(False, gone).astype(np.int8)) == 1))
-        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        return pa.table({"h": table.column("h").combine_chunks(), "n_bytes": pa.array([n]), "n_removed": pa.array([int(gone.sum())]), "n_spans": pa.array([spans]), "kept_sha256": pa.array([hashlib.sha256(kept).hexdigest()])})
-
-    result = texts.groupBy("h").cogroup(marks.groupBy("h")).applyInArrow(finish, "h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return docs.select("doc_id", F.xxhash64(body).alias("h")).join(result, "h").drop("h")
+        buf, off = text_buffer(table.column("text"))
+        ids = table.column("k").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        spans_ = found.column("spans").combine_chunks()
+        n = np.diff(spans_.offsets.to_numpy())
+        flat = spans_.flatten()
+        k, start = (np.repeat(found.column(c).to_numpy(), n) for c in ("k", "start"))
+        first, end = (flat.field(c).to_numpy() + start for c in ("first", "end"))
+        step = np.zeros(len(buf) + 1, np.int64)
+        low, high = (np.searchsorted(ids[order], k, s) for s in ("left", "right"))
+        for turn in range(int((high - low).max(initial=0))):  # rows with equal id and text
+            some = low + turn < high
+            base = off[order[(low + turn)[some]]]
+            np.add.at(step, base + first[some], 1)
+            np.add.at(step, base + end[some], -1)
+        gone = np.cumsum(step[:-1]) > 0
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        starts = off[:-1][np.diff(off) > 0]
+        begins[starts] = gone[starts]
+        kept, raw = buf[~gone].tobytes(), np.append(0, np.cumsum(per_doc(~gone, off)))
+        digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(raw[:-1].tolist(), raw[1:].tolist(), strict=True)]
+        return pa.table({"doc_id": table.column("doc_id").combine_chunks(), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(per_doc(gone, off)), "n_spans": pa.array(per_doc(begins, off)), "kept_sha256": pa.array(digests, pa.string())})
+
+    chunks = max(1, -(-text_bytes(texts) // exchange.CHUNK_BYTES))
+    deal = lambda df: df.withColumn("_chunk", F.pmod(F.xxhash64("k"), F.lit(chunks))).groupBy("_chunk")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return deal(texts).cogroup(deal(marks)).applyInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

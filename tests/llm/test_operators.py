@@ -344,8 +344,22 @@ def repeats_by_force(rows, k):
     return sorted(out, key=str)
 
 
-def test_op2_matches_brute_force(spark):
-    rows = [(i, t) for i, t, _ in ODD if i != 11] + [(20, "ab" * 150), (21, "q" * 201), (22, "start " + "q" * 260), (23, PASSAGE[:205] + "!"), (24, "?" + PASSAGE[3:206])]
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_op2_matches_brute_force(spark, table, request):
+    df = request.getfixturevalue(table)
+    if table == "odd":
+        rows = [(20, "ab" * 150), (21, "q" * 201), (22, "start " + "q" * 260), (23, PASSAGE[:205] + "!"), (24, "?" + PASSAGE[3:206])]
+        df = df.select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == repeats_by_force(texts(df), 200)
+
+
+def test_op2_small_ranges(spark, monkeypatch):
+    """Windows that many ranges of ranks hold: a passage behind and before many different texts."""
+    monkeypatch.setattr(suffixes, "RANGE", 16)
+    rng = np.random.default_rng(4)
+    some = lambda n: "".join(rng.choice(list("abcd "), n))
+    passage, other = some(300), some(230)
+    rows = [(i, some(100) + passage + some(150)) for i in range(40)] + [(100 + i, other[i:] + passage[: 40 * i]) for i in range(8)] + [(200 + i, some(50) + "xy" * (120 + i)) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == repeats_by_force(rows, 200)
 
@@ -358,18 +372,16 @@ def test_op2_ranks_follow_the_suffixes_in_even_ranges(spark, monkeypatch):
     rng = np.random.default_rng(3)
     strings = {1: [1] * 700, 2: [1] * 400 + [2] + [1] * 299, 3: rng.integers(1, 3, 600).tolist(), 4: [2, 1] * 200, 5: [1], 6: [1, 1], 7: [2, 1, 1]}
     symbols = spark.createDataFrame([(s, i, c) for s, cs in strings.items() for i, c in enumerate(cs)], "s long, i long, c long")
-    most, real = [], suffixes.running
+    most, real = [], suffixes._sorted_scan
 
-    def watched(df, *a, **b):
-        counts = real(df, *a, **b)
-        parts = counts.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count"), F.sum("count")).first()
+    def watched(*a):
+        out = real(*a)
+        parts = out.where("state IS NULL").groupBy("part").count().agg(F.max("count"), F.sum("count")).first()
         most.append((parts[0] or 0) / (parts[1] or 1))
-        return counts
+        return out
 
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    monkeypatch.setattr(suffixes, "running", watched)
+    monkeypatch.setattr(suffixes, "_sorted_scan", watched)
     got = suffixes.suffix_ranks(symbols, 40).collect()
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(r["rank"] for r in got) == list(range(1, sum(map(len, strings.values())) + 1))
     ordered = [tuple(strings[r["s"]][r["i"] : r["i"] + 40]) for r in sorted(got, key=lambda r: r["rank"])]
     assert ordered == sorted(ordered)
