@@ -25,7 +25,7 @@ from .words import U64
 
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 BLOCKS = "bucket long, chunk long, level int, n long, keys binary, vals binary"
-ANSWERS = "chunk long, level int, bucket long, n long, bits binary"
+ANSWERS = "chunk long, level int, bucket long, n long, bits binary, less binary"
 
 Bits = list[np.ndarray]
 
@@ -34,14 +34,14 @@ Bits = list[np.ndarray]
 class Level:
     """keys(table, bits of earlier levels) -> (sorted different keys, a value each or None).
 
-    Without values the bit says that another chunk has the key too; with them, that another chunk
-    has it with a smaller value.
+    The bit says that another chunk has the key too (`less`, where there are values: that another chunk
+    has it with a smaller value).
     """
 
     keys: Callable[[pa.Table, Bits], tuple[np.ndarray, np.ndarray | None]]
 
 
-def _send(chunk: int, level: int, buckets: int, keys: np.ndarray, vals: np.ndarray | None) -> pa.Table:
+def send(chunk: int, level: int, buckets: int, keys: np.ndarray, vals: np.ndarray | None) -> pa.Table:
     own = ((keys >> U64(32)) * U64(buckets)) >> U64(32)  # rises with the key
     some, first = np.unique(own, return_index=True)
     ends = np.append(first[1:], len(keys))
@@ -66,44 +66,65 @@ def _answer(table: pa.Table) -> pa.Table:
     head[1:] = s[1:] != s[:-1]
     at = np.flatnonzero(head)
     group = np.cumsum(head) - 1
+    ends = np.cumsum([len(b) for b in blocks])
+
+    def pack(hit: np.ndarray) -> pa.Array:
+        bits = np.empty(len(keys), bool)
+        bits[order] = hit
+        return pa.array([np.packbits(bits[e - len(b) : e]).tobytes() for b, e in zip(blocks, ends, strict=True)], pa.binary())
+
+    out = {c: table.column(c).combine_chunks() for c in ("chunk", "level", "bucket", "n")}
+    out["bits"] = pack(np.diff(np.append(at, len(s)))[group] > 1)
     if valued:
         vals = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("vals").to_pylist()])[order]
-        hit = vals > np.minimum.reduceat(vals, at)[group]
+        out["less"] = pack(vals > np.minimum.reduceat(vals, at)[group])
     else:
-        hit = np.diff(np.append(at, len(s)))[group] > 1
-    bits = np.empty(len(keys), bool)
-    bits[order] = hit
-    ends = np.cumsum([len(b) for b in blocks])
-    packed = [np.packbits(bits[e - len(b) : e]).tobytes() for b, e in zip(blocks, ends, strict=True)]
-    return pa.table({c: table.column(c).combine_chunks() for c in ("chunk", "level", "bucket", "n")} | {"bits": pa.array(packed, pa.binary())})
+        out["less"] = pa.nulls(len(table), pa.binary())
+    return pa.table(out)
+
+
+def answer(sent: DataFrame) -> DataFrame:
+    """ANSWERS to BLOCKS: which of a chunk's keys other chunks have too."""
+    return sent.groupBy("bucket").applyInArrow(_answer, ANSWERS)
 
 
-def _bits(answers: pa.Table, levels: int) -> Bits:
+def masks(answers: pa.Table, levels: int, column: str = "bits") -> Bits:
     """One mask per level, in order of the keys sent."""
     out: list[list[np.ndarray]] = [[] for _ in range(levels)]
     for r in sorted(answers.to_pylist(), key=lambda r: (r["level"], r["bucket"])):
-        out[r["level"]].append(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool))
+        out[r["level"]].append(np.unpackbits(np.frombuffer(r[column], np.uint8), count=r["n"]).astype(bool))
     return [np.concatenate(x) if x else np.zeros(0, bool) for x in out]
 
 
 def _first(level: Level, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda t: _send(t.column("_chunk")[0].as_py(), 0, buckets, *level.keys(t.drop_columns(["_chunk"]), []))
+    return lambda t: send(t.column("_chunk")[0].as_py(), 0, buckets, *level.keys(t, []))
 
 
 def _later(level: Level, k: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda t, a: _send(t.column("_chunk")[0].as_py(), k, buckets, *level.keys(t.drop_columns(["_chunk"]), _bits(a, k)))
+    return lambda t, a: send(t.column("_chunk")[0].as_py(), k, buckets, *level.keys(t, masks(a, k)))
 
 
-def run(docs: DataFrame, id_col: str, text_col: str, levels: list[Level], finish: Callable[[pa.Table, Bits], pa.Table], schema: str) -> DataFrame:
-    """finish(table of a chunk, bits of all levels), over all chunks.  The table has docs' columns."""
-    total = text_bytes(docs, text_col)
-    chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    dealt = F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.xxhash64(text_col))), F.lit(chunks))
-    parts = docs.withColumn("_chunk", dealt).groupBy("_chunk")
+def counts(texts: DataFrame, text_col: str) -> tuple[int, int]:
+    """Chunks and buckets for texts of this size."""
+    total = text_bytes(texts, text_col)
+    return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // BUCKET_BYTES))
+
+
+def dealt(df: DataFrame, key: str, chunks: int) -> DataFrame:
+    """df with `_chunk`, the chunk of a key."""
+    return df.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
+
+
+def run(texts: DataFrame, key: str, text_col: str, levels: list[Level], finish: Callable[[pa.Table, Bits], pa.Table], schema: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """finish(table of a chunk, bits of all levels), over all chunks of texts (key, text and what else it has).
+
+    The tables have texts' columns and `_chunk`.
+    """
+    chunks, buckets = sizes or counts(texts, text_col)
+    parts = dealt(texts, key, chunks).groupBy("_chunk")
     answers = None
     for k, level in enumerate(levels):
         sent = parts.applyInArrow(_first(level, buckets), BLOCKS) if answers is None else parts.cogroup(answers.groupBy("chunk")).applyInArrow(_later(level, k, buckets), BLOCKS)
-        more = sent.groupBy("bucket").applyInArrow(_answer, ANSWERS)
-        answers = more if answers is None else answers.unionAll(more)
+        answers = answer(sent) if answers is None else answers.unionAll(answer(sent))
     n = len(levels)
-    return parts.cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: finish(t.drop_columns(["_chunk"]), _bits(a, n)), schema)
+    return parts.cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: finish(t, masks(a, n)), schema)

@@ -2,8 +2,10 @@
 
 1. Only bytes that can repeat are sorted: of each window (`length` bytes) the PIECE-byte piece of smallest
    hash must occur elsewhere too, which an exchange of keys tells (`exchange`); equal strings always pass.
-   What is left is a set of runs; equal runs (128-bit digest) become one, and a run that stands there
-   twice is covered as a whole.
+   What is left is a set of runs.  Where a run repeats its own last bytes over and over (a period of
+   less than a window), the windows behind the first period equal the ones before them, byte for byte:
+   they are marked at once and cut out.  Equal runs (128-bit digest) become one, and a run that stands
+   there twice is covered as a whole.
 2. Runs are cut into phrases at anchors, places that the bytes around them decide (`Anchors`).  So equal
    windows hold the same anchor and, from it on, the same phrases; each window belongs to one anchor.
    Phrases get names in rising byte order.
@@ -34,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange
-from .shared import materialise, small_batches, text_bytes
+from .shared import materialise, small_batches
 from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, per_doc, prefix_sums, slices, text_buffer
 
 PIECE, TRIGGER, DENSITY = 100, 16, 32
@@ -90,19 +92,58 @@ class Candidates:
         return [(int(doc[a]), int(at[a] - self.off[doc[a]]), int(at[b - 1] - self.off[doc[a]]) + length) for a, b in zip(heads, tails, strict=True)]
 
 
+def _triggers(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    p, hit = _starts(off, TRIGGER), np.zeros(len(buf), bool)
+    hit[p] = byte_window_hashes(prefix_sums(BYTE_VALUES[buf], BYTE_POWERS), p, TRIGGER) % U64(DENSITY) == 0
+    return hit
+
+
+def without_periods(x: bytes, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(runs to keep, spans that are covered): long stretches without a trigger are nearly always periodic."""
+    buf = np.frombuffer(x, np.uint8)
+    n, keep, covered, begin = len(x), [], [], 0
+    if n >= 2 * length:
+        hits = np.flatnonzero(_triggers(buf, np.array([0, n])))
+        edges = np.concatenate([[-1], hits, [n]])
+        for u, v in zip(edges[:-1] + 1, edges[1:], strict=True):
+            at = int(max(u, begin))
+            while at + length < v:
+                step = x.find(x[at : at + length], at + 1, at + 2 * length) - at
+                if step <= 0:
+                    at += length // 4
+                    continue
+                unlike = np.flatnonzero(buf[at + length : n - step] != buf[at + length + step :])
+                end = at + length + (int(unlike[0]) if len(unlike) else n - step - at - length)  # bytes at..end - 1 come again
+                covered.append((at, end + step))
+                # Windows at + step .. end - length + step equal those before them.
+                keep.append((begin, at + step - 1 + length))
+                begin = end - length + step + 1
+                at = begin
+    if begin + length <= n:
+        keep.append((begin, n))
+    return keep, covered
+
+
 def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(k, start, run, bytes) of texts (k, text); run is a digest of the bytes."""
+    """(k, start, end, run, bytes) of texts (k, text); run is a digest of the bytes.
+
+    Rows without run and bytes are spans that repeat in their own text.
+    """
 
     def finish(table: pa.Table, bits: exchange.Bits) -> pa.Table:
         c, ids = Candidates(table, length), table.column("k").to_pylist()
         raw = c.buf.tobytes()
-        rows = [(ids[d], a, raw[c.off[d] + a : c.off[d] + b]) for d, a, b in c.runs(bits[0], length)]
-        rows = [(k, a, hashlib.blake2b(x, digest_size=16).digest(), x) for k, a, x in rows]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["k", "start", "run", "bytes"])
+        rows = []
+        for d, a, b in c.runs(bits[0], length):
+            x = raw[c.off[d] + a : c.off[d] + b]
+            keep, covered = without_periods(x, length)
+            rows += [(ids[d], a + p, a + q, hashlib.blake2b(x[p:q], digest_size=16).digest(), x[p:q]) for p, q in keep]
+            rows += [(ids[d], a + p, a + q, None, None) for p, q in covered]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(cols, (*[pa.int64()] * 3, *[pa.binary()] * 2), strict=True)], names=["k", "start", "end", "run", "bytes"])
 
     level = exchange.Level(lambda t, _: (Candidates(t, length).keys, None))
-    return materialise(exchange.run(texts, "k", "text", [level], finish, "k long, start long, run binary, bytes binary"), "runs")
+    return materialise(exchange.run(texts, "k", "text", [level], finish, "k long, start long, end long, run binary, bytes binary"), "runs")
 
 
 class Anchors:
@@ -119,9 +160,7 @@ class Anchors:
         first = np.repeat(off[:-1], np.diff(off))
         end = np.repeat(off[1:], np.diff(off))
         place = np.arange(len(buf))
-        p = _starts(off, TRIGGER)
-        hit = np.zeros(len(buf), bool)
-        hit[p] = byte_window_hashes(prefix_sums(BYTE_VALUES[buf], BYTE_POWERS), p, TRIGGER) % U64(DENSITY) == 0
+        hit = _triggers(buf, off)
         latest = np.maximum.accumulate(np.where(hit, place, -1)) if len(buf) else place
         latest = np.where(latest < first, first - 1, latest)  # up to this place; none: before the run
         before = np.append(-1, latest)[:-1]
@@ -423,7 +462,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     if length <= TRIGGER:
         raise ValueError(f"length must be greater than {TRIGGER}")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    occurrences = candidate_runs(texts.select("k", "text"), length)
+    found = candidate_runs(texts.select("k", "text"), length)
+    occurrences = found.where("run IS NOT NULL")
     runs = occurrences.groupBy("run").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
     runs = materialise(runs.withColumn("s", F.monotonically_increasing_id()), "distinct")
     spans = repeated_spans(runs, length)
@@ -432,6 +472,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     marked = runs.select("run", "s", "copies", whole.alias("whole")).join(of, "s", "left").where("copies > 1 OR spans IS NOT NULL")
     marked = marked.select("run", F.when(F.col("copies") > 1, F.col("whole")).otherwise(F.col("spans")).alias("spans"))
     marks = occurrences.select("k", "start", "run").join(marked, "run").select("k", "start", "spans")
+    own = found.where("run IS NULL").select("k", F.lit(0).cast("long").alias("start"), F.array(F.struct(F.col("start").alias("first"), "end")).alias("spans"))
+    marks = marks.unionAll(own)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         buf, off = text_buffer(table.column("text"))
@@ -458,7 +500,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(raw[:-1].tolist(), raw[1:].tolist(), strict=True)]
         return pa.table({"doc_id": table.column("doc_id").combine_chunks(), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(per_doc(gone, off)), "n_spans": pa.array(per_doc(begins, off)), "kept_sha256": pa.array(digests, pa.string())})
 
-    chunks = max(1, -(-text_bytes(texts) // exchange.CHUNK_BYTES))
-    deal = lambda df: df.withColumn("_chunk", F.pmod(F.xxhash64("k"), F.lit(chunks))).groupBy("_chunk")
+    chunks, _ = exchange.counts(texts, "text")
+    deal = lambda df: exchange.dealt(df, "k", chunks).groupBy("_chunk")
     kind = docs.schema[id_col].dataType.simpleString()
     return deal(texts).cogroup(deal(marks)).applyInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -140,6 +140,13 @@ class Words:
     hashes: np.ndarray
     first: np.ndarray  # n + 1
 
+    def hashes_of(self, k: int) -> np.ndarray:
+        """Hash of the window of k words at each word; the greatest value where there is none."""
+        out = np.full(len(self.hashes), np.iinfo(U64).max, U64)
+        at, h = self.windows(k)
+        out[at] = h
+        return out
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -158,7 +165,7 @@ class Words:
         return at, mix((sums[at + k] - sums[at]) * WORD_POWERS(n)[1][at] + U64(k))
 
 
-def find_words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
+def find_words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = NON_SPACE, lower: bool = False, hashed: bool = True) -> Words:
     """Words of the texts whose bytes are buf[off[i]:off[i + 1]]; off starts at 0."""
     if not len(buf):
         e = np.zeros(0, np.int64)
@@ -173,7 +180,7 @@ def find_words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = NON_SPACE, l
     after[-1], after[:-1] = False, inside[1:]
     after[off[1:][filled] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return Words(starts, ends, span_hashes(buf, starts, ends), np.searchsorted(starts, off).astype(np.int64))
+    return Words(starts, ends, span_hashes(buf, starts, ends) if hashed else np.zeros(0, U64), np.searchsorted(starts, off).astype(np.int64))
 
 
 def cover(at: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
