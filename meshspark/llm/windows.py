@@ -1,128 +1,245 @@
 """Substring deduplication over words, by level-wise doubling of window lengths.
 
-A window is a run of words of one text.  The first level takes windows of half the length (rounded
-up): of each full window one of its half-length windows stands for it, the one of smallest hash, which
-is the same wherever the full window occurs.  Only where that one also occurs in another text are
-windows extended to the full length, which two half-length ones cover, and compared again: those that
-don't survive the first level cannot repeat at the next.  A word is removed if a full window that
-covers it also starts in a text with a smaller id; all windows are judged on the input.
+A window is a run of words of one text.  Lengths double from `start` words on and stop at `window` on the
+way: 4, 8, 13, 26, 52, ...  Up to `window`, the windows of a level stand for the full ones: of each full
+window one shorter one, that of smallest hash, which is the same wherever the full window occurs; a full
+window whose shorter one no other text has can't repeat and is out.  From `window` on, two windows of one
+level that both repeat and stand one behind the other make one of the next.  The loop ends when no
+window survives; `longest_repeat` is the last length at which a text still had one.
+
+A word is removed if a window of `window` words that covers it also starts in a text with a smaller id; all
+windows are judged on the input.  Levels compare 64-bit hashes, each level with its own; a window is
+removed only if those of all levels agree.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A null text has no words.  A null id counts as larger
-than any other; rows of equal ids don't remove each other's words.
+than any other; rows of equal ids don't remove each other's words, and count as one text.  Columns of docs
+named like the result's are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange
-from .words import U64, Words, cover, find_words, per_doc, slices, text_buffer
+from .shared import materialise, small_batches
+from .words import U64, cover, find_words, mix, per_doc, slices, text_buffer
 
-LAST = np.iinfo(np.int64).max
+LAST, FIRST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+STATE = "k long, id long, chunk long, at binary, keys binary, gone binary"
+RESULT = ("n_words", "n_removed", "kept_sha256", "longest_repeat")
 
 
-def _ids(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+def lengths(window: int, start: int = 4) -> list[int]:
+    """The levels before `window`."""
+    out = []
+    while start < window:
+        out.append(start)
+        start *= 2
+    return out
 
 
 class Windows:
-    """Windows of one chunk: standing-in keys of the first level, full keys of the second."""
-
-    def __init__(self, table: pa.Table, id_col: str, text_col: str, window: int):
-        self.window, half = window, (window + 1) // 2
-        self.buf, self.off = text_buffer(table.column(text_col))
-        ids, at, doc, stand, full, self.first = _ids(table, id_col), [], [], [], [], [np.zeros(1, np.int64)]
-        self.spans: list[Words] = []
-        base = 0
+    """Windows of one chunk, with the keys that stand for them at each level."""
+
+    def __init__(self, table: pa.Table, window: int, levels: list[int]):
+        self.buf, self.off = text_buffer(table.column("text"))
+        ids = table.column("id").to_numpy()
+        at, row, full, stand = [], [], [], [[] for _ in levels]
         for i, j in slices(self.off):
             w = find_words(self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i])
             pos, h = w.windows(window)
-            short = np.full(len(w.hashes) + window, np.iinfo(U64).max, U64)
-            place, g = w.windows(half)
-            short[place] = g
-            low = short[pos]
-            for k in range(1, window - half + 1):
-                low = np.minimum(low, short[pos + k])
-            at.append(pos + base)
-            doc.append(ids[i:j][w.doc()[pos]])
-            stand.append(low)
+            doc = w.doc()[pos]
+            for out, n in zip(stand, levels, strict=True):
+                short = w.hashes_of(n)
+                low = short[pos]
+                for k in range(1, window - n + 1):
+                    low = np.minimum(low, short[pos + k])
+                out.append(low)
+            at.append(pos - w.first[doc])
+            row.append(doc + i)
             full.append(h)
-            self.first.append(w.first[1:] + base)
-            self.spans.append(Words(w.starts + self.off[i], w.ends + self.off[i], np.zeros(0, U64), w.first))
-            base += len(w.hashes)
-        self.n = base
-        self.first = np.concatenate(self.first)
-        self.at, self.doc, self.stand, self.full = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (doc, np.int64), (stand, U64), (full, U64)))
-
-    def first_level(self) -> tuple[np.ndarray, None]:
-        return np.unique(self.stand), None
-
-    def survivors(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Windows whose stand-in occurs in another text, of this chunk or (elsewhere) another one."""
-        keys, back = np.unique(self.stand, return_inverse=True)
-        low, high = np.full(len(keys), LAST), np.full(len(keys), np.iinfo(np.int64).min)
-        np.minimum.at(low, back, self.doc)
-        np.maximum.at(high, back, self.doc)
-        return np.flatnonzero((elsewhere | (low != high))[back])
-
-    def second_level(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Full keys of the survivors, with the smallest id that has each."""
-        s = self.survivors(elsewhere)
-        order = np.lexsort((self.doc[s], self.full[s]))
-        keys, docs = self.full[s][order], self.doc[s][order]
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        self.at, self.row, self.full = join(at, np.int64), join(row, np.int64), join(full, U64)
+        self.stand = [join(x, U64) for x in stand]
+        self.doc = ids[self.row]
+
+    def survivors(self, bits: exchange.Bits) -> np.ndarray:
+        """Windows whose stand-ins of the levels so far all occur in another text."""
+        left = np.arange(len(self.at))
+        for stand, elsewhere in zip(self.stand, bits, strict=False):
+            left = left[shared(stand[left], self.doc[left], elsewhere)]
+        return left
+
+    def level(self, k: int, bits: exchange.Bits) -> tuple[np.ndarray, None]:
+        return np.unique(self.stand[k][self.survivors(bits)]), None
+
+
+def shared(keys: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """Which windows have a key that another text of this chunk or (elsewhere, by key) another has."""
+    some, back = np.unique(keys, return_inverse=True)
+    low, high = np.full(len(some), LAST), np.full(len(some), FIRST)
+    np.minimum.at(low, back, doc)
+    np.maximum.at(high, back, doc)
+    return (elsewhere | (low != high))[back]
+
+
+class State:
+    """Windows of a chunk that are left at a level: rows of texts with their places and keys."""
+
+    def __init__(self, table: pa.Table):
+        self.k, self.id = (table.column(c).to_numpy() for c in ("k", "id"))
+        self.chunk = table.column("chunk")[0].as_py()
+        at = [np.frombuffer(x, np.int32) for x in table.column("at").to_pylist()]
+        n = np.array([len(x) for x in at], np.int64)
+        self.row = np.repeat(np.arange(len(at)), n)
+        self.at = np.concatenate(at).astype(np.int64)
+        self.keys = np.concatenate([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()])
+        self.doc = self.id[self.row]
+
+    def send(self, buckets: int) -> pa.Table:
+        """Different keys with the smallest id that has each."""
+        order = np.lexsort((self.doc, self.keys))
+        keys, docs = self.keys[order], self.doc[order]
         head = np.ones(len(keys), bool)
         head[1:] = keys[1:] != keys[:-1]
-        return keys[head], docs[head]
-
-    def removed(self, bits: exchange.Bits) -> np.ndarray:
-        """Mask over the chunk's words."""
-        keys, docs = self.second_level(bits[0])
-        s = self.survivors(bits[0])
-        k = np.searchsorted(keys, self.full[s])
-        return cover(self.at[s[bits[1][k] | (docs[k] < self.doc[s])]], self.window, self.n)
+        return exchange.send(self.chunk, 0, buckets, keys[head], docs[head])
 
+    def after(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Masks over the windows: found in another text, found in one with a smaller id."""
+        elsewhere, less = exchange.masks(answers, 1)[0], exchange.masks(answers, 1, "less")[0]
+        some, back = np.unique(self.keys, return_inverse=True)
+        low = np.full(len(some), LAST)
+        np.minimum.at(low, back, self.doc)
+        return shared(self.keys, self.doc, elsewhere), less[back] | (low[back] < self.doc)
+
+    def table(self, keep: np.ndarray, gone: np.ndarray | None = None) -> pa.Table:
+        """STATE of the windows kept, and the places (gone) that go; a row per text that has either."""
+        rows = []
+        for r in np.unique(self.row[keep | (gone if gone is not None else False)]):
+            mine = slice(*np.searchsorted(self.row, [r, r + 1]))
+            at, k = self.at[mine], keep[mine]
+            out = at[gone[mine]].astype(np.int32).tobytes() if gone is not None else b""
+            rows.append((int(self.k[r]), int(self.id[r]), self.chunk, at[k].astype(np.int32).tobytes(), self.keys[mine][k].tobytes(), out))
+        return state_table(rows)
+
+    def doubled(self, length: int) -> pa.Table:
+        """STATE of the windows of twice the length whose halves are both here."""
+        order = np.lexsort((self.at, self.row))
+        row, at, keys = self.row[order], self.at[order], self.keys[order]
+        place = row << 32 | at
+        other = np.searchsorted(place, place + length)
+        ok = other < len(place)
+        ok[ok] = place[other[ok]] == place[ok] + length
+        self.row, self.at, self.keys = row[ok], at[ok], mix(keys[ok] * U64(0x9E3779B97F4A7C15) + keys[other[ok]])
+        return self.table(np.ones(len(self.at), bool))
+
+
+def state_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["k", "id", "chunk", "at", "keys", "gone"])
+
+
+def _candidates(texts: DataFrame, window: int, start: int, sizes: tuple[int, int]) -> DataFrame:
+    """STATE of the full windows that the levels before let pass."""
+    levels = lengths(window, start)
+
+    def keys(k: int) -> exchange.Level:
+        return exchange.Level(lambda t, bits: Windows(t, window, levels[: k + 1]).level(k, bits))
 
-def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """docs' columns but the text, with n_words, n_removed, kept_sha256 and, if asked for, the text that is kept.
+    def finish(table: pa.Table, bits: exchange.Bits) -> pa.Table:
+        w, rows = Windows(table, window, levels), []
+        left = w.survivors(bits)
+        k, ids, chunk = (table.column(c).to_pylist() for c in ("k", "id", "_chunk"))
+        for r in np.unique(w.row[left]).tolist():
+            mine = left[slice(*np.searchsorted(w.row[left], [r, r + 1]))]
+            rows.append((k[r], ids[r], chunk[r], w.at[mine].astype(np.int32).tobytes(), w.full[mine].tobytes(), b""))
+        return state_table(rows)
+
+    if not levels:
+        return exchange.dealt(texts, "k", sizes[0]).groupBy("_chunk").applyInArrow(lambda t: finish(t, []), STATE)
+    return exchange.run(texts, "k", "text", [keys(k) for k in range(len(levels))], finish, STATE, sizes)
+
+
+def _answered(first: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(t: pa.Table, a: pa.Table) -> pa.Table:
+        s = State(t)
+        repeated, smaller = s.after(a)
+        return s.table(repeated, smaller if first else None)
+
+    return run
+
+
+def _doubled(length: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: State(t).doubled(length)
+
+
+def repeated_windows(texts: DataFrame, window: int, start: int, sizes: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of texts (k, id, text): (k, gone) the windows to remove, and (k, longest) the last level reached."""
+    state = materialise(_candidates(texts, window, start, sizes), "windows")
+    marks, longest, length = None, None, window
+    while True:
+        first, n = marks is None, length
+        answers = exchange.answer(state.groupBy("chunk").applyInArrow(lambda t: State(t).send(sizes[1]), exchange.BLOCKS))
+        found = materialise(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answered(first), STATE), "windows")
+        if first:
+            marks = found.where("octet_length(gone) > 0").select("k", "gone")
+        some = found.where("octet_length(at) > 0")
+        reached = some.select("k", F.lit(n).cast("long").alias("longest"))
+        longest = reached if longest is None else longest.unionAll(reached)
+        state = materialise(some.groupBy("chunk").applyInArrow(_doubled(n), STATE), "windows")
+        if not state.limit(1).count():
+            return marks.distinct(), longest.groupBy("k").agg(F.max("longest").alias("longest"))
+        length *= 2
+
+
+def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, start: int = 4) -> DataFrame:
+    """docs' columns but the text, with n_words, n_removed, kept_sha256, longest_repeat and, if asked for, the text that is kept.
 
     kept_sha256 is that of the kept words joined by one space.  The text keeps its own white space; a
     removed word goes with the white space behind it, and a text that loses nothing stays as it is.
     """
-    levels = [
-        exchange.Level(lambda t, _: Windows(t, id_col, text_col, window).first_level()),
-        exchange.Level(lambda t, bits: Windows(t, id_col, text_col, window).second_level(bits[0])),
-    ]
-
-    def finish(table: pa.Table, bits: exchange.Bits) -> pa.Table:
-        w = Windows(table, id_col, text_col, window)
-        gone = w.removed(bits)
-        n_removed, n_words = per_doc(gone, w.first), np.diff(w.first)
-        starts = np.concatenate([s.starts for s in w.spans]) if w.spans else np.zeros(0, np.int64)
-        raw, digests, texts = w.buf.tobytes(), [], []
-        for d in range(len(table)):
-            body = raw[w.off[d] : w.off[d + 1]]
-            a, b = w.first[d], w.first[d + 1]
-            if n_removed[d]:
-                keep = ~gone[a:b]
-                joined = b" ".join([x for x, k in zip(body.split(), keep.tolist(), strict=True) if k])
-                if with_text:
-                    edges = np.concatenate([[0], starts[a:b] - w.off[d], [len(body)]])
-                    runs = np.append(True, keep)  # what stands before the first word stays
-                    texts.append(b"".join([body[edges[i] : edges[i + 1]] for i in np.flatnonzero(runs)]).decode())
-            else:
-                joined = b" ".join(body.split())
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != text_col and c not in RESULT]
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    texts = docs.select(key.alias("k"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    sizes = exchange.counts(texts, "text")
+    marks, longest = repeated_windows(texts, window, start, sizes)
+
+    def finish(table: pa.Table, found: pa.Table) -> pa.Table:
+        texts, keys = table.column("text"), table.column("k").to_pylist()
+        of = dict(zip(found.column("k").to_pylist(), zip(found.column("gone").to_pylist(), found.column("longest").to_pylist(), strict=True), strict=True))
+        buf, off = text_buffer(texts)
+        digests, kept_texts, n_words, n_removed = [], [], [], []
+        for i, j in slices(off):
+            raw, base = buf[off[i] : off[j]].tobytes(), off[i]
+            w = find_words(buf[off[i] : off[j]], off[i : j + 1] - base, hashed=False)
+            for d in range(j - i):
+                body, a, b = raw[off[i + d] - base : off[i + d + 1] - base], w.first[d], w.first[d + 1]
+                at = np.frombuffer(of.get(keys[i + d], (b"", 0))[0] or b"", np.int32)
+                gone = cover(at.astype(np.int64), window, int(b - a))
+                n_words.append(int(b - a))
+                n_removed.append(int(gone.sum()))
+                parts = body.split()
+                digests.append(hashlib.sha256(b" ".join([x for x, g in zip(parts, gone.tolist(), strict=True) if not g] if len(at) else parts)).hexdigest())
                 if with_text:
-                    texts.append(table.column(text_col)[d].as_py())
-            digests.append(hashlib.sha256(joined).hexdigest())
-        out = table.drop_columns([text_col])
-        for name, col in (("n_words", pa.array(n_words)), ("n_removed", pa.array(n_removed)), ("kept_sha256", pa.array(digests, pa.string()))):
-            out = out.append_column(name, col)
-        return out.append_column(text_col, pa.array(texts, pa.string())) if with_text else out
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*fields, "n_words long", "n_removed long", "kept_sha256 string", *([f"`{text_col}` string"] if with_text else [])])
-    return exchange.run(docs, id_col, text_col, levels, finish, schema)
+                    edges = np.concatenate([[0], w.starts[a:b] - (off[i + d] - base), [len(body)]])
+                    runs = np.flatnonzero(np.append(True, ~gone))  # what stands before the first word stays
+                    kept_texts.append(b"".join([body[edges[k] : edges[k + 1]] for k in runs]).decode() if len(at) else table.column("_given")[i + d].as_py())
+        out = pa.table([table.column(f"_{n}") for n in range(len(others))], names=[f"_{n}" for n in range(len(others))]) if others else None
+        more = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array([of.get(k, (b"", 0))[1] or 0 for k in keys], pa.int64())] + [pa.array(kept_texts, pa.string())] * with_text
+        return pa.table([*(out.columns if others else []), *more], names=[*(f"_{n}" for n in range(len(others))), *RESULT, *(["_text"] * with_text)])
+
+    # The result's columns go by number, so that docs may have columns of any name.
+    wide = docs.select(key.alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *([F.col(f"`{text_col}`").alias("_given")] if with_text else []), *(F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(others)))
+    found = longest.join(marks, "k", "left")
+    kinds = [f"_{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(others)]
+    schema = ", ".join([*kinds, "n_words long", "n_removed long", "kept_sha256 string", "longest_repeat long", *(["_text string"] * with_text)])
+    done = exchange.dealt(wide, "k", sizes[0]).groupBy("_chunk").cogroup(exchange.dealt(found, "k", sizes[0]).groupBy("_chunk")).applyInArrow(finish, schema)
+    return done.select(*(F.col(f"_{n}").alias(c) for n, c in enumerate(others)), *RESULT, *([F.col("_text").alias(text_col)] * with_text))

@@ -124,9 +124,19 @@ def test_op8_matches_brute_force(table, request):
     assert sorted(map(tuple, got), key=str) == removed_by_force(texts(df))
 
 
+def test_op8_doubles_until_nothing_survives(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(["a", *base[:120], "b"])), (3, " ".join(["c", *base[200:230]])), (4, " ".join(base[:12])), (5, " ".join(f"x{i}" for i in range(50)))]
+    got = {r["doc_id"]: (r["n_removed"], r["longest_repeat"]) for r in windows.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 104), 2: (120, 104), 3: (30, 26), 4: (0, 0), 5: (0, 0)}
+
+
 def test_op8_keeps_text_and_other_columns(odd, empty):
-    out = windows.substring_dedup(odd.drop("n_words", "bucket"), with_text=True)
+    odd = odd.withColumn("_chunk", F.lit(1)).withColumn("_0", F.lit("x")).withColumn("k", F.lit(2.5))
+    out = windows.substring_dedup(odd, with_text=True)
+    assert sorted(out.columns) == sorted({*odd.columns, "n_removed", "kept_sha256", "longest_repeat"})
     for r in out.collect():
+        assert (r["_chunk"], r["_0"], r["k"], r["bucket"]) == (1, "x", 2.5, "b")
         if r["n_removed"] == 0:
             assert (r["doc_id"], r["text"]) in [(i, t) for i, t, _ in ODD]
         else:
