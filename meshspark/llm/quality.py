@@ -2,10 +2,14 @@
 boilerplate, Viterbi decoding finds the best label sequence, and the share of words in content lines
 decides whether the text is kept (KEEP_SHARE and more).
 
-The field is trained here, by gradient ascent on the likelihood, from texts with a quality label: the
-lines of a good text are content and those of a bad one boilerplate.  Training takes a bounded sample
-(`sample` texts at most, drawn by a hash of the id; half of them good where there are enough bad
-ones); without any, or with one kind only, DEFAULT weights hold.
+The field is trained here from texts with a quality label, which says nothing of single lines: line labels
+are latent.  Each round finds the labels' distribution under the field, by forward-backward, and moves it
+as little as needed until a good text expects CONTENT_GOOD of its words in content lines or more and a
+bad one CONTENT_BAD or less (one multiplier per text, found by halving); then gradient steps fit the
+field to it.  So a good page may keep its menu as boilerplate.  Training takes a bounded sample: `sample`
+texts at most, drawn by a hash of the id, half of them good where there are enough bad ones, and of each
+LINES_MOST neighbouring lines at most, from a place that the hash draws.  Without labels, or with one
+kind only, DEFAULT weights hold; ids with labels that contradict count as bad.
 
 A null or empty text has no words, fails the base rules, and isn't kept.  Lines without a word carry
 no label.  Rows are judged one by one, so equal rows get equal results.
@@ -26,6 +30,7 @@ from .words import NON_SPACE, U64, Words, cover, find_words, mix, per_doc, slice
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED, KEEP_SHARE = 8, 20, 30, 0.5
+CONTENT_GOOD, CONTENT_BAD, LINES_MOST = 0.7, 0.3, 200
 FEATURES = ("bias", "log_words", "upper", "digits", "symbols", "exclaim", "repeats_line", "ends_sentence", "word_length", "repeats_words", "address", "other_punctuation")
 
 
@@ -155,9 +160,10 @@ class Field:
             labels[at - 1] = back[at, labels[at]]
         return labels
 
-    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the log likelihood of labels y, by the forward-backward recursions."""
-        s = np.stack([np.zeros(len(x)), x @ self.weights], 1)
+    def expected(self, x: np.ndarray, first: np.ndarray, bias: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of boilerplate of each line, expected label pairs), by the forward-backward
+        recursions; bias is added to the lines' scores for boilerplate."""
+        s = np.stack([np.zeros(len(x)), x @ self.weights + bias], 1)
         counts = np.diff(first)
         order = np.argsort(-counts, kind="stable")
         begin, counts = first[:-1][order], counts[order]
@@ -176,9 +182,29 @@ class Field:
         at = np.flatnonzero(inner)
         q = ahead[at - 1][:, :, None] + self.pairs + (s[at] + behind[at])[:, None, :]
         q = np.exp(q - _lse(q.reshape(len(at), 4), 1)[:, None, None])
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[at - 1], y[at]), 1)
-        return x.T @ (y - p[:, 1]), seen - q.sum(0)
+        return p[:, 1], q.sum(0)
+
+    def completed(self, x: np.ndarray, first: np.ndarray, words: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`expected` under the constraints on each text's expected share of content words."""
+        counts = np.diff(first)
+        some = counts > 0
+        row = np.repeat(np.arange(len(counts)), counts)
+        total = np.bincount(row, words, len(counts))
+        push = words * (counts / np.maximum(total, 1))[row]  # one on average
+        sign = np.where(good, -1.0, 1.0)
+
+        def broken(p: np.ndarray) -> np.ndarray:
+            share = np.bincount(row, words * (1 - p), len(counts)) / np.maximum(total, 1)
+            return some & np.where(good, share < CONTENT_GOOD, share > CONTENT_BAD)
+
+        p, pairs = self.expected(x, first)
+        low, high = np.zeros(len(counts)), np.where(broken(p), 40.0, 0.0)
+        for _ in range(10 if high.any() else 0):
+            middle = (low + high) / 2
+            p, _ = self.expected(x, first, (sign * middle)[row] * push)
+            more = broken(p)
+            low, high = np.where(more, middle, low), np.where(more, high, middle)
+        return self.expected(x, first, (sign * high)[row] * push)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -190,47 +216,59 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 DEFAULT = Field(np.array([-3.0, 0, 4, 3, 8, 1, 1, 0, 0, 2, 1, 0]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, turns: int = 150) -> Field:
+def fit(x: np.ndarray, first: np.ndarray, words: np.ndarray, good: np.ndarray, rounds: int = 6, steps: int = 30) -> Field:
+    """A field for lines x of texts (first) with words each, of which some texts are good."""
+    scale = np.maximum(np.abs(x).max(0), 1e-9)
+    field, n = Field(DEFAULT.weights * scale, DEFAULT.pairs.copy()), len(x)
+    x = x / scale
+    for _ in range(rounds):
+        p, pairs = field.completed(x, first, words, good)
+        m, v = ([np.zeros(x.shape[1]), np.zeros((2, 2))] for _ in range(2))
+        for k in range(1, steps + 1):  # Adam, with a little shrinkage
+            now, seen = field.expected(x, first)
+            for i, (g, w) in enumerate(((x.T @ (p - now), field.weights), (pairs - seen, field.pairs))):
+                g = g / n - 1e-4 * w
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
+                w += 0.15 * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.99**k)) + 1e-8)
+    field.weights /= scale
+    return field
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Field:
     """Fit the field on a bounded sample of labelled texts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(0) or not sizes.get(1):
+    sizes = {r["quality"]: r["n"] for r in known.groupBy((F.col("quality") > 0).alias("quality")).agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(False) or not sizes.get(True):
         return DEFAULT
     share = {q: min(1.0, sample / 2 / n) for q, n in sizes.items()}
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.where(dice < F.when(F.col("quality") == 1, share[1]).otherwise(share[0])).limit(2 * sample)
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("long").alias("quality"))
+    chosen = known.where(dice < F.when(F.col("quality") > 0, share[True]).otherwise(share[False])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("long").alias("quality"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("dice"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = text_buffer(b.column(0))
-            good = b.column(1).to_numpy()
+            good, dice = b.column(1).to_numpy(), b.column(2).to_numpy()
             for i, j in slices(off):
                 found = read_lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                rows = [found.x[found.first[d] : found.first[d + 1]].astype(np.float32).tobytes() for d in range(j - i)]
+                rows = []
+                for d in range(j - i):
+                    low, high = found.first[d], found.first[d + 1]
+                    low += int(dice[i + d]) % max(high - low - LINES_MOST + 1, 1)
+                    some = slice(low, min(high, low + LINES_MOST))
+                    rows.append(np.column_stack([found.words[some], found.x[some]]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(good[i:j])], names=["x", "quality"])
 
-    got = some.mapInArrow(features, "x binary, quality long").toArrow().to_pydict()
-    xs = [np.frombuffer(r, np.float32).reshape(-1, len(FEATURES)).astype(float) for r in got["x"]]
-    first = np.append(0, np.cumsum([len(r) for r in xs]))
-    x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)))
-    if not len(x):
-        return DEFAULT
-    y = np.repeat([1 - min(1, q) for q in got["quality"]], np.diff(first)).astype(int)
-    if y.min() == y.max():
+    got = some.mapInArrow(features, "x binary, quality long").toArrow().to_pydict()  # sample x LINES_MOST rows of features, twice
+    rows = sorted(zip(got["x"], got["quality"], strict=True))
+    xs = [np.frombuffer(r, np.float32).reshape(-1, len(FEATURES) + 1).astype(float) for r, _ in rows]
+    first = np.append(0, np.cumsum([len(r) for r in xs])).astype(np.int64)
+    good = np.array([q > 0 for _, q in rows], bool)
+    filled = np.diff(first) > 0
+    if not (good & filled).any() or not (~good & filled).any():
         return DEFAULT
-    scale = np.maximum(np.abs(x).max(0), 1e-9)
-    field, n = Field(np.zeros(x.shape[1]), np.zeros((2, 2))), len(x)
-    m = [np.zeros(x.shape[1]), np.zeros((2, 2))]
-    v = [np.zeros(x.shape[1]), np.zeros((2, 2))]
-    for k in range(1, turns + 1):  # Adam, with a little shrinkage
-        grads = field.gradient(x / scale, first, y)
-        for i, (g, p) in enumerate(zip(grads, (field.weights, field.pairs), strict=True)):
-            g = g / n - 1e-4 * p
-            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
-            p += 0.15 * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.99**k)) + 1e-8)
-    field.weights /= scale
-    return field
+    x = np.concatenate(xs)
+    return fit(x[:, 1:], first, x[:, 0], good)
 
 
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
