@@ -2,17 +2,19 @@
 
 1. Every text becomes its set of different n-grams (64-bit hashes).  Equal sets are one *class*.
 2. N-grams are counted: chunks of texts send their n-grams to buckets (ranges of hashes, sized by the
-   input), each once per chunk however often it stands there; n-grams that occur once come back no
-   more.  A class of n grams of which fewer than the least overlap are shared has no partner.
-3. The global order is by rising count, then hash.  Two classes that are similar enough share an n-gram
+   input), each once per chunk however often it stands there, with its count; those that occur once
+   come back no more.  A class of n grams of which fewer than the least overlap are shared has no partner.
+3. The global order is by rising count, then hash; counts of 65535 and more rank alike, which no link
+   depends on.  Two classes that are similar enough share an n-gram
    of their prefixes in that order (prefix filter).
 4. The global order is cut into FRAGMENTS ranges of about equal volume.  A pair's overlap is counted in
    each fragment on its own, and the counts are summed per pair: that decides a link, exactly.
 
 Pairs that must be counted: first each class with one that leads most of its prefix n-grams (the likeliest
-hub of near copies, or of a component drawn by hash), over LEADER_ROUNDS rounds, so that large groups of near copies become one component by as many pairs as
-they have members.  Then *all* pairs of different components that share a prefix n-gram and pass the
-filters on size and position.  Pairs inside a component can't change the result and are left out; no
+hub of near copies, or of a component drawn by hash), over LEADER_ROUNDS rounds, so that large groups of
+near copies become one component by as many pairs as they have members.  Then *all* pairs of different
+components that share a prefix n-gram, lie in neighbouring classes of size (a third apart, as much as
+a link allows), and pass the filters on size and position.  Pairs inside a component can't change the result and are left out; no
 other pair is.
 
 A null or empty text has an empty set, links with nothing, and is its own component.  A text of fewer
@@ -105,39 +107,42 @@ def _send(texts: list[pa.Array], chunk: int, buckets: int, k: int) -> pa.Table:
     grams, own = grams[keep[own]], place[own[keep[own]]].astype(np.uint32)
     order = np.argsort(grams, kind="stable")
     grams, own = grams[order], own[order]
+    head = np.ones(len(grams), bool)
+    head[1:] = grams[1:] != grams[:-1]
+    at = np.flatnonzero(head)
+    times, grams = np.diff(np.append(at, len(own))).astype(np.uint32), grams[at]
     bucket = ((grams >> U64(32)) * U64(buckets)) >> U64(32)
     some, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(grams))[: len(some)]
     small = np.uint16 if keep.sum() <= 1 << 16 else np.uint32
-    rows = [(chunk % buckets, chunk, True, planes(sid[keep]), n[keep].astype(np.uint32).tobytes(), np.dtype(small).str.encode())]
-    rows += [(int(x), chunk, False, planes(grams[s:e]), own[s:e].astype(small).tobytes(), None) for x, s, e in zip(some, first, ends, strict=True)]
+    # What the chunk keeps for itself: its sets, and which of them hold each n-gram.
+    rows = [(chunk % buckets, chunk, True, planes(sid[keep]), n[keep].astype(np.uint32).tobytes(), np.dtype(small).str.encode() + own.astype(small).tobytes())]
+    rows += [(int(x), chunk, False, planes(grams[s:e]), times[s:e].tobytes(), None) for x, s, e in zip(some, first, ends, strict=True)]
     return _rows(rows)
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """What a bucket got: n-grams of two sets and more go back to their chunks, with their counts."""
+    """What a bucket got: counts go back to the chunks, and the n-grams that two sets or more have."""
     rows = table.select(["bucket", "chunk", "info", "a", "b", "c"]).to_pylist()
     back = [tuple(r.values()) for r in rows if r["info"]]
     sent = [r for r in rows if not r["info"]]
     if sent:
         blocks = [from_planes(r["a"]) for r in sent]
         keys = np.concatenate(blocks)
+        own = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in sent])
         order = np.argsort(keys, kind="stable")
         s = keys[order]
         head = np.ones(len(s), bool)
         head[1:] = s[1:] != s[:-1]
-        times = np.diff(np.append(np.flatnonzero(head), len(s)))
-        n = np.empty(len(keys), np.uint32)
-        n[order] = np.repeat(times, times)
-        at = 0
-        for r, keys in zip(sent, blocks, strict=True):
-            times = n[at : at + len(keys)]
-            at += len(keys)
+        total = np.add.reduceat(own[order].astype(np.int64), np.flatnonzero(head))
+        n = np.empty(len(keys), np.int64)
+        n[order] = total[np.cumsum(head) - 1]
+        ends = np.cumsum([len(x) for x in blocks])
+        for r, keys, e in zip(sent, blocks, ends, strict=True):
+            times = np.minimum(n[e - len(keys) : e], 65535).astype(np.uint16)
             some = times > 1
-            if some.any():
-                width = len(r["b"]) // len(keys)
-                own = np.frombuffer(r["b"], f"<u{width}")[some]
-                back.append((r["bucket"], r["chunk"], False, planes(keys[some]), own.tobytes(), np.minimum(times[some], 65535).astype(np.uint16).tobytes()))
+            # Counts of 1 and of the n-grams in this chunk: rows of ones and zeros, which compress well.
+            back.append((r["bucket"], r["chunk"], False, planes(keys[some]), r["b"], np.where(some, times, 0).astype(np.uint16).tobytes()))
     return _rows(back)
 
 
@@ -150,12 +155,16 @@ def _survivors(table: pa.Table, percent: int) -> pa.Table:
     rows = table.to_pylist()
     info = [r for r in rows if r["info"]][0]
     sid, n = from_planes(info["a"]).view(np.int64), np.frombuffer(info["b"], np.uint32).astype(np.int64)
-    got = [r for r in rows if not r["info"]]
+    got = sorted((r for r in rows if not r["info"]), key=lambda r: r["bucket"])  # rising n-grams, as `own` has them
     out = []
     if got:
-        keys = np.concatenate([from_planes(r["a"]) for r in got])
-        own = np.concatenate([np.frombuffer(r["b"], info["c"].decode()) for r in got]).astype(np.int64)
+        kind = np.dtype(info["c"][:3].decode())
+        own = np.frombuffer(info["c"][3:], kind).astype(np.int64)
+        here = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in got]).astype(np.int64)
         times = np.concatenate([np.frombuffer(r["c"], np.uint16) for r in got])
+        some = np.repeat(times > 1, here)
+        keys = np.repeat(np.concatenate([from_planes(r["a"]) for r in got]), here[times > 1])
+        own, times = own[some], np.repeat(times, here)[some]
         shared = np.bincount(own, minlength=len(n))
         fit = shared >= least_overlap(n, percent)
         keep = fit[own]
@@ -278,7 +287,7 @@ def _relabel(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (sid, comp) with the components that links (a, b) of sids join."""
     a, b = comp.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("sid").alias("b"), F.col("comp").alias("cb"))
     joined = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    to = joined.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    to = joined.select(F.col("id").alias("comp"), F.col("comp").alias("to"))  # one row per component
     return materialise(comp.join(to, "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp")), "groups")
 
 
@@ -302,13 +311,16 @@ def link_classes(classes: DataFrame, percent: int) -> DataFrame:
     p = prefixes.join(comp, "sid")
     many = p.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
     p = materialise(p.join(many.where("comps > 1"), "g"), "mixed")
-    # Of two different components one at least isn't the n-gram's main one.
-    x = p.where("comp <> main").select("g", *(F.col(c).alias(c + "x") for c in ("sid", "n", "pos", "comp")))
-    y = p.select("g", "main", *(F.col(c).alias(c + "y") for c in ("sid", "n", "pos", "comp")))
+    # Of two different components one at least isn't the n-gram's main one; sizes lie in the same class
+    # or in neighbouring ones.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    near_sizes = F.explode(F.sequence(size - 1, size + 1)).alias("size")
+    x = p.where("comp <> main").select("g", near_sizes, *(F.col(c).alias(c + "x") for c in ("sid", "n", "pos", "comp")))
+    y = p.select("g", size.alias("size"), "main", *(F.col(c).alias(c + "y") for c in ("sid", "n", "pos", "comp")))
     near = (F.col("compx") != F.col("compy")) & ((F.col("compy") == F.col("main")) | (F.col("sidx") < F.col("sidy")))
     near &= 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     near &= (100 + percent) * F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= percent * (F.col("nx") + F.col("ny"))
-    met = x.join(y, "g").where(near).select(F.col("sidx").alias("x"), F.col("sidy").alias("y"), "nx", "ny")
+    met = x.join(y, ["g", "size"]).where(near).select(F.col("sidx").alias("x"), F.col("sidy").alias("y"), "nx", "ny")
     links = materialise(_linked(_pairs(met, percent), fragments, percent), "pairs")
     return _relabel(comp, links) if links.limit(1).count() else comp
 
@@ -320,6 +332,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     comp = link_classes(ordered_classes(docs, shingle, percent, text_col), percent)
     named = sets.where("sid IS NOT NULL").join(comp, "sid", "left").select("doc_id", "n_shingles", F.coalesce("comp", "sid").alias("comp"))
     named = materialise(named, "members")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join below has a shuffle of its own, of which Spark splits large parts.
+    least = materialise(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     empty = sets.where("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.join(least, "comp").select("doc_id", "n_shingles", "component_id").unionAll(empty)
