@@ -88,11 +88,11 @@ def answer(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_answer, ANSWERS)
 
 
-def masks(answers: pa.Table, levels: int, column: str = "bits") -> Bits:
-    """One mask per level, in order of the keys sent."""
+def masks(answers: pa.Table, levels: int, column: str | None = None) -> Bits:
+    """One mask per level, in order of the keys sent: `column`, or `less` where there is one and else `bits`."""
     out: list[list[np.ndarray]] = [[] for _ in range(levels)]
     for r in sorted(answers.to_pylist(), key=lambda r: (r["level"], r["bucket"])):
-        out[r["level"]].append(np.unpackbits(np.frombuffer(r[column], np.uint8), count=r["n"]).astype(bool))
+        out[r["level"]].append(np.unpackbits(np.frombuffer(r[column or ("bits" if r["less"] is None else "less")], np.uint8), count=r["n"]).astype(bool))
     return [np.concatenate(x) if x else np.zeros(0, bool) for x in out]
 
 

@@ -26,7 +26,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Free the disk of materialised tables that nothing reads any more: an empty table takes their place."""
+    for t in tables:
+        t.sparkSession.range(0).write.mode("overwrite").parquet(t.shared_path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

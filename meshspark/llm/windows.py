@@ -1,15 +1,16 @@
 """Substring deduplication over words, by level-wise doubling of window lengths.
 
 A window is a run of words of one text.  Lengths double from `start` words on and stop at `window` on the
-way: 4, 8, 13, 26, 52, ...  Up to `window`, the windows of a level stand for the full ones: of each full
-window one shorter one, that of smallest hash, which is the same wherever the full window occurs; a full
-window whose shorter one no other text has can't repeat and is out.  From `window` on, two windows of one
-level that both repeat and stand one behind the other make one of the next.  The loop ends when no
-window survives; `longest_repeat` is the last length at which a text still had one.
+way: 4, 8, 13.  Up to `window`, the windows of a level stand for the full ones: of each full window one
+shorter one, that of smallest hash, which is the same wherever the full window occurs; a full window
+whose shorter one no other text has can't repeat and is out.  A word is removed if a window of `window`
+words that covers it also starts in a text with a smaller id; all windows are judged on the input.
 
-A word is removed if a window of `window` words that covers it also starts in a text with a smaller id; all
-windows are judged on the input.  Levels compare 64-bit hashes, each level with its own; a window is
-removed only if those of all levels agree.
+`longest_repeats` goes on from there: two windows of one level that both repeat and stand one behind the
+other make one of the next (26, 52, ...), until no window survives.
+
+Levels compare 64-bit hashes, each level with its own; a window is removed only if those of all levels
+agree.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A null text has no words.  A null id counts as larger
 than any other; rows of equal ids don't remove each other's words, and count as one text.  Columns of docs
@@ -23,16 +24,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .shared import materialise, small_batches
-from .words import U64, cover, find_words, mix, per_doc, slices, text_buffer
+from .shared import discard, materialise, small_batches
+from .words import U64, cover, find_words, mix, slices, text_buffer
 
 LAST, FIRST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-STATE = "k long, id long, chunk long, at binary, keys binary, gone binary"
-RESULT = ("n_words", "n_removed", "kept_sha256", "longest_repeat")
+STATE = "k long, id long, chunk long, at binary, keys binary"
+RESULT = ("n_words", "n_removed", "kept_sha256")
 
 
 def lengths(window: int, start: int = 4) -> list[int]:
@@ -79,6 +80,19 @@ class Windows:
     def level(self, k: int, bits: exchange.Bits) -> tuple[np.ndarray, None]:
         return np.unique(self.stand[k][self.survivors(bits)]), None
 
+    def last(self, bits: exchange.Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Full keys of the survivors, with the smallest id that has each."""
+        left = self.survivors(bits)
+        return smallest(self.full[left], self.doc[left])
+
+    def removed(self, bits: exchange.Bits) -> tuple[np.ndarray, np.ndarray]:
+        """(text, first word) of each window to remove."""
+        left = self.survivors(bits[:-1])
+        keys, docs = smallest(self.full[left], self.doc[left])
+        k = np.searchsorted(keys, self.full[left])
+        gone = left[bits[-1][k] | (docs[k] < self.doc[left])]
+        return self.row[gone], self.at[gone]
+
 
 def shared(keys: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
     """Which windows have a key that another text of this chunk or (elsewhere, by key) another has."""
@@ -89,6 +103,15 @@ def shared(keys: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarr
     return (elsewhere | (low != high))[back]
 
 
+def smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the smallest id of each."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    return keys[head], docs[head]
+
+
 class State:
     """Windows of a chunk that are left at a level: rows of texts with their places and keys."""
 
@@ -103,29 +126,19 @@ class State:
         self.doc = self.id[self.row]
 
     def send(self, buckets: int) -> pa.Table:
-        """Different keys with the smallest id that has each."""
-        order = np.lexsort((self.doc, self.keys))
-        keys, docs = self.keys[order], self.doc[order]
-        head = np.ones(len(keys), bool)
-        head[1:] = keys[1:] != keys[:-1]
-        return exchange.send(self.chunk, 0, buckets, keys[head], docs[head])
-
-    def after(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Masks over the windows: found in another text, found in one with a smaller id."""
-        elsewhere, less = exchange.masks(answers, 1)[0], exchange.masks(answers, 1, "less")[0]
-        some, back = np.unique(self.keys, return_inverse=True)
-        low = np.full(len(some), LAST)
-        np.minimum.at(low, back, self.doc)
-        return shared(self.keys, self.doc, elsewhere), less[back] | (low[back] < self.doc)
-
-    def table(self, keep: np.ndarray, gone: np.ndarray | None = None) -> pa.Table:
-        """STATE of the windows kept, and the places (gone) that go; a row per text that has either."""
+        return exchange.send(self.chunk, 0, buckets, np.unique(self.keys), None)
+
+    def repeated(self, answers: pa.Table) -> pa.Table:
+        """STATE of the windows that another text has too."""
+        keep = shared(self.keys, self.doc, exchange.masks(answers, 1)[0])
+        self.row, self.at, self.keys = self.row[keep], self.at[keep], self.keys[keep]
+        return self.table()
+
+    def table(self) -> pa.Table:
         rows = []
-        for r in np.unique(self.row[keep | (gone if gone is not None else False)]):
+        for r in np.unique(self.row).tolist():
             mine = slice(*np.searchsorted(self.row, [r, r + 1]))
-            at, k = self.at[mine], keep[mine]
-            out = at[gone[mine]].astype(np.int32).tobytes() if gone is not None else b""
-            rows.append((int(self.k[r]), int(self.id[r]), self.chunk, at[k].astype(np.int32).tobytes(), self.keys[mine][k].tobytes(), out))
+            rows.append((int(self.k[r]), int(self.id[r]), self.chunk, self.at[mine].astype(np.int32).tobytes(), self.keys[mine].tobytes()))
         return state_table(rows)
 
     def doubled(self, length: int) -> pa.Table:
@@ -137,93 +150,99 @@ class State:
         ok = other < len(place)
         ok[ok] = place[other[ok]] == place[ok] + length
         self.row, self.at, self.keys = row[ok], at[ok], mix(keys[ok] * U64(0x9E3779B97F4A7C15) + keys[other[ok]])
-        return self.table(np.ones(len(self.at), bool))
+        return self.table()
 
 
 def state_table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["k", "id", "chunk", "at", "keys", "gone"])
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["k", "id", "chunk", "at", "keys"])
+
+
+def _levels(window: int, start: int) -> list[exchange.Level]:
+    levels = lengths(window, start)
+    of = lambda k: exchange.Level(lambda t, bits: Windows(t, window, levels[: k + 1]).level(k, bits))
+    return [of(k) for k in range(len(levels))]
 
 
 def _candidates(texts: DataFrame, window: int, start: int, sizes: tuple[int, int]) -> DataFrame:
     """STATE of the full windows that the levels before let pass."""
     levels = lengths(window, start)
 
-    def keys(k: int) -> exchange.Level:
-        return exchange.Level(lambda t, bits: Windows(t, window, levels[: k + 1]).level(k, bits))
-
     def finish(table: pa.Table, bits: exchange.Bits) -> pa.Table:
         w, rows = Windows(table, window, levels), []
         left = w.survivors(bits)
         k, ids, chunk = (table.column(c).to_pylist() for c in ("k", "id", "_chunk"))
         for r in np.unique(w.row[left]).tolist():
             mine = left[slice(*np.searchsorted(w.row[left], [r, r + 1]))]
-            rows.append((k[r], ids[r], chunk[r], w.at[mine].astype(np.int32).tobytes(), w.full[mine].tobytes(), b""))
+            rows.append((k[r], ids[r], chunk[r], w.at[mine].astype(np.int32).tobytes(), w.full[mine].tobytes()))
         return state_table(rows)
 
     if not levels:
         return exchange.dealt(texts, "k", sizes[0]).groupBy("_chunk").applyInArrow(lambda t: finish(t, []), STATE)
-    return exchange.run(texts, "k", "text", [keys(k) for k in range(len(levels))], finish, STATE, sizes)
-
+    return exchange.run(texts, "k", "text", _levels(window, start), finish, STATE, sizes)
 
-def _answered(first: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(t: pa.Table, a: pa.Table) -> pa.Table:
-        s = State(t)
-        repeated, smaller = s.after(a)
-        return s.table(repeated, smaller if first else None)
 
-    return run
+def _repeated(table: pa.Table, answers: pa.Table) -> pa.Table:
+    return State(table).repeated(answers)
 
 
 def _doubled(length: int) -> Callable[[pa.Table], pa.Table]:
     return lambda t: State(t).doubled(length)
 
 
-def repeated_windows(texts: DataFrame, window: int, start: int, sizes: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Of texts (k, id, text): (k, gone) the windows to remove, and (k, longest) the last level reached."""
-    state = materialise(_candidates(texts, window, start, sizes), "windows")
-    marks, longest, length = None, None, window
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """A row's key (of id and text), its id with nulls last, and its text without nulls."""
+    ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.xxhash64(ident, text).alias("k"), F.coalesce(ident.cast("long"), F.lit(LAST)).alias("id"), text.alias("text")
+
+
+def longest_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", start: int = 4) -> DataFrame:
+    """(doc_id, longest) of the texts with a window that another text has too: the last level reached."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(*_keyed(docs, id_col, text_col))
+    sizes = exchange.counts(texts, "text")
+    state, longest, length = materialise(_candidates(texts, window, start, sizes), "windows"), None, window
     while True:
-        first, n = marks is None, length
-        answers = exchange.answer(state.groupBy("chunk").applyInArrow(lambda t: State(t).send(sizes[1]), exchange.BLOCKS))
-        found = materialise(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answered(first), STATE), "windows")
-        if first:
-            marks = found.where("octet_length(gone) > 0").select("k", "gone")
-        some = found.where("octet_length(at) > 0")
-        reached = some.select("k", F.lit(n).cast("long").alias("longest"))
+        answers = exchange.answer(state.groupBy("chunk").applyInArrow(_sender(sizes[1]), exchange.BLOCKS))
+        found = materialise(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_repeated, STATE), "windows")
+        reached = found.select("id", F.lit(length).cast("long").alias("longest"))
         longest = reached if longest is None else longest.unionAll(reached)
-        state = materialise(some.groupBy("chunk").applyInArrow(_doubled(n), STATE), "windows")
+        last, state = state, materialise(found.groupBy("chunk").applyInArrow(_doubled(length), STATE), "windows")
+        discard(last)
         if not state.limit(1).count():
-            return marks.distinct(), longest.groupBy("k").agg(F.max("longest").alias("longest"))
+            ident = F.when(F.col("id") != LAST, F.col("id")).alias("doc_id")
+            return longest.groupBy(ident).agg(F.max("longest").alias("longest"))
         length *= 2
 
 
+def _sender(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: State(t).send(buckets)
+
+
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, start: int = 4) -> DataFrame:
-    """docs' columns but the text, with n_words, n_removed, kept_sha256, longest_repeat and, if asked for, the text that is kept.
+    """docs' columns but the text, with n_words, n_removed, kept_sha256 and, if asked for, the text that is kept.
 
     kept_sha256 is that of the kept words joined by one space.  The text keeps its own white space; a
     removed word goes with the white space behind it, and a text that loses nothing stays as it is.
     """
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col and c not in RESULT]
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    texts = docs.select(key.alias("k"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sizes = exchange.counts(texts, "text")
-    marks, longest = repeated_windows(texts, window, start, sizes)
+    levels = [*_levels(window, start), exchange.Level(lambda t, bits: Windows(t, window, lengths(window, start)).last(bits))]
 
-    def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        texts, keys = table.column("text"), table.column("k").to_pylist()
-        of = dict(zip(found.column("k").to_pylist(), zip(found.column("gone").to_pylist(), found.column("longest").to_pylist(), strict=True), strict=True))
-        buf, off = text_buffer(texts)
+    def finish(table: pa.Table, bits: exchange.Bits) -> pa.Table:
+        found = Windows(table, window, lengths(window, start))
+        row, first = found.removed(bits)
+        begin = np.searchsorted(row, np.arange(len(table) + 1))
+        buf, off = found.buf, found.off
         digests, kept_texts, n_words, n_removed = [], [], [], []
         for i, j in slices(off):
             raw, base = buf[off[i] : off[j]].tobytes(), off[i]
             w = find_words(buf[off[i] : off[j]], off[i : j + 1] - base, hashed=False)
             for d in range(j - i):
                 body, a, b = raw[off[i + d] - base : off[i + d + 1] - base], w.first[d], w.first[d + 1]
-                at = np.frombuffer(of.get(keys[i + d], (b"", 0))[0] or b"", np.int32)
-                gone = cover(at.astype(np.int64), window, int(b - a))
+                at = first[begin[i + d] : begin[i + d + 1]]
+                gone = cover(at, window, int(b - a))
                 n_words.append(int(b - a))
                 n_removed.append(int(gone.sum()))
                 parts = body.split()
@@ -232,14 +251,14 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
                     edges = np.concatenate([[0], w.starts[a:b] - (off[i + d] - base), [len(body)]])
                     runs = np.flatnonzero(np.append(True, ~gone))  # what stands before the first word stays
                     kept_texts.append(b"".join([body[edges[k] : edges[k + 1]] for k in runs]).decode() if len(at) else table.column("_given")[i + d].as_py())
-        out = pa.table([table.column(f"_{n}") for n in range(len(others))], names=[f"_{n}" for n in range(len(others))]) if others else None
-        more = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array([of.get(k, (b"", 0))[1] or 0 for k in keys], pa.int64())] + [pa.array(kept_texts, pa.string())] * with_text
-        return pa.table([*(out.columns if others else []), *more], names=[*(f"_{n}" for n in range(len(others))), *RESULT, *(["_text"] * with_text)])
+        names = [f"_{n}" for n in range(len(others))]
+        more = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(kept_texts, pa.string())] * with_text
+        return pa.table([*(table.column(n) for n in names), *more], names=[*names, *RESULT, *(["_text"] * with_text)])
 
-    # The result's columns go by number, so that docs may have columns of any name.
-    wide = docs.select(key.alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *([F.col(f"`{text_col}`").alias("_given")] if with_text else []), *(F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(others)))
-    found = longest.join(marks, "k", "left")
+    # docs' columns go by number, so that they may have any name.
+    given = [F.col(f"`{text_col}`").alias("_given")] if with_text else []
+    wide = docs.select(*_keyed(docs, id_col, text_col), *given, *(F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(others)))
     kinds = [f"_{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(others)]
-    schema = ", ".join([*kinds, "n_words long", "n_removed long", "kept_sha256 string", "longest_repeat long", *(["_text string"] * with_text)])
-    done = exchange.dealt(wide, "k", sizes[0]).groupBy("_chunk").cogroup(exchange.dealt(found, "k", sizes[0]).groupBy("_chunk")).applyInArrow(finish, schema)
+    schema = ", ".join([*kinds, "n_words long", "n_removed long", "kept_sha256 string", *(["_text string"] * with_text)])
+    done = exchange.run(wide, "k", "text", levels, finish, schema)
     return done.select(*(F.col(f"_{n}").alias(c) for n, c in enumerate(others)), *RESULT, *([F.col("_text").alias(text_col)] * with_text))
