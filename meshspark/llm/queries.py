@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .shared import load
 from .tokens import public
 
@@ -74,13 +75,9 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_difference_cover_repeats, op3_feistel_shards, op4_fragment_jaccard, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
 
-ORACLE_SQL: dict[str, str] = {}
-
-ORACLE_SQL["op7_warc_revisits"] = """
-WITH h AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
-     d AS (SELECT page_id, url, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM h),
-     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d),
-     r AS (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS revisit FROM f)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN revisit THEN first_id END AS refers_to, url, '<urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':sha256:' || payload_digest || '>' AS record_id
-FROM r"""
+ORACLE_SQL: dict[str, str] = {
+    "op4_fragment_jaccard": oracles.FRAGMENT_JACCARD,
+    "op7_warc_revisits": oracles.WARC_REVISITS,
+    "op8_doubled_windows": oracles.DOUBLED_WINDOWS,
+    "op9_wu_manber_decontamination": oracles.WU_MANBER,
+}

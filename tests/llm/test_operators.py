@@ -127,14 +127,16 @@ def test_op8_matches_brute_force(table, request):
 def test_op8_doubles_until_nothing_survives(spark):
     base = [f"w{i}" for i in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(["a", *base[:120], "b"])), (3, " ".join(["c", *base[200:230]])), (4, " ".join(base[:12])), (5, " ".join(f"x{i}" for i in range(50)))]
-    got = {r["doc_id"]: (r["n_removed"], r["longest_repeat"]) for r in windows.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (0, 104), 2: (120, 104), 3: (30, 26), 4: (0, 0), 5: (0, 0)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["longest"] for r in windows.longest_repeats(df).collect()} == {1: 104, 2: 104, 3: 26}
+    assert {r["doc_id"]: r["n_removed"] for r in windows.substring_dedup(df).collect()} == {1: 0, 2: 120, 3: 30, 4: 0, 5: 0}
+    assert windows.lengths(13) == [4, 8] and windows.lengths(13, 2) == [2, 4, 8] and windows.lengths(13, 13) == []
 
 
 def test_op8_keeps_text_and_other_columns(odd, empty):
     odd = odd.withColumn("_chunk", F.lit(1)).withColumn("_0", F.lit("x")).withColumn("k", F.lit(2.5))
     out = windows.substring_dedup(odd, with_text=True)
-    assert sorted(out.columns) == sorted({*odd.columns, "n_removed", "kept_sha256", "longest_repeat"})
+    assert sorted(out.columns) == sorted({*odd.columns, "n_removed", "kept_sha256"})
     for r in out.collect():
         assert (r["_chunk"], r["_0"], r["k"], r["bucket"]) == (1, "x", 2.5, "b")
         if r["n_removed"] == 0:
