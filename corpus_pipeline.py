@@ -1,18 +1,19 @@
 """Documents to packed training sequences: five stages, each over all that the one before kept.
 
 language     documents whose language can't be told go (no text, no letters, or an ambiguous codeword)
-near_copies  of each group of near copies the smallest doc_id stays
+near_copies  of each group of near copies the one of smallest doc_id stays
 passages     words of passages that an earlier document has go; documents left without words go
 benchmark    documents that hold benchmark passages go
 packing      the rest is packed into sequences of 2048 tokens
 
-A row without doc_id can't be followed through the stages: `language` leaves it out.  A table without
-rows gives no sequences.
+A row without doc_id gets one in `language`, made of a hash of its text and larger than 2 ** 62.  Rows of
+equal doc_id are told apart by their texts; of equal rows one stays, as they are copies of each other.
+A table without rows gives no sequences.  Other columns than those of documents are left behind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshspark.llm import decontaminate, langid, packing, queries, similarity, windows
@@ -21,18 +22,25 @@ from meshspark.llm.shared import load, materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _key() -> Column:
+    """Of a row: by its id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told: not `und` and not ambiguous."""
-    docs = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), *COLUMNS[1:])
     labelled = langid.predict(docs, langid.train(docs))
     return labelled.where(F.col("lang_pred") != langid.UNDETERMINED).where(~F.col("ambiguous")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component."""
-    groups = similarity.similar_groups(docs)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep one row of each component: that of smallest doc_id."""
+    keyed = docs.select(*COLUMNS, _key().alias("_key"))
+    groups = similarity.similar_groups(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    first = groups.join(keyed.select("_key", "doc_id"), "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key"))
+    return keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +52,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark passage."""
-    hits = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"))
-    bad = hits.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, _key().alias("_key"))
+    hits = decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
+    bad = hits.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
