@@ -27,16 +27,15 @@ they have `length` bytes or more, whatever their ids.  Other columns of docs are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import exchange
-from .shared import materialise, small_batches
+from . import blocks, exchange
+from .shared import discard, materialise, small_batches, text_bytes
 from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, per_doc, prefix_sums, slices, text_buffer
 
 PIECE, TRIGGER, DENSITY = 100, 16, 32
@@ -175,193 +174,199 @@ class Anchors:
         ahead = np.append(at[1:], 0)
         same = np.append(self.run[1:] == self.run[:-1], False)[: len(at)]
         self.phrase_end = np.where(same, ahead + TRIGGER, self.end)
-        self.number = np.arange(len(at)) - np.searchsorted(self.run, self.run)
         #: most anchors in `length` bytes
         self.most = int((np.searchsorted(at, np.minimum(at + length, self.end)) - np.arange(len(at))).max(initial=0))
 
 
-def _numpy(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+CHUNK = "chunk long, s binary, n binary, bytes binary"
 
 
-def phrases(runs: DataFrame, length: int) -> DataFrame:
-    """(s, i, phrase, most): the phrase at each anchor of runs (s, bytes)."""
+def chunked(runs: DataFrame, total: int) -> DataFrame:
+    """CHUNK of runs (s, bytes): about exchange.CHUNK_BYTES of bytes in a row, one run behind the other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = text_buffer(b.column(1))
-            s = b.column(0).to_numpy()
-            for i, j in slices(off):
-                x, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                a, raw = Anchors(x, o, length), x.tobytes()
-                got = [raw[p:q] for p, q in zip(a.at.tolist(), a.phrase_end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s[i:j][a.run]), pa.array(a.number), pa.array(got, pa.binary()), pa.array(np.full(len(got), a.most))], names=["s", "i", "phrase", "most"])
-
-    return materialise(runs.select("s", "bytes").mapInArrow(run, "s long, i long, phrase binary, most long"), "phrases")
-
-
-def _sorted_scan(df: DataFrame, order: list[str], scan: Callable[[list[np.ndarray], dict], list[np.ndarray]], names: list[str], name: str) -> DataFrame:
-    """scan(columns of a batch, state of the partition) -> rows (names), over ranges of the whole order.
-
-    Columns are whole numbers.  A last row per partition, marked by `state`, holds the state's whole
-    numbers: what the ranges before add is known from those rows.
-    """
-    schema = ", ".join([*(f"{n} long" for n in names), "part long", "state array<long>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def pack(table: pa.Table) -> pa.Table:
+        buf, off = text_buffer(table.column("bytes"))
+        made = [table.column("_chunk")[0].as_py(), table.column("s").to_numpy().tobytes(), np.diff(off).astype(np.int64).tobytes(), buf.tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(made, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "s", "n", "bytes"])
 
-        part, state = TaskContext.get().partitionId(), {}
-        for b in batches:
-            if b.num_rows:
-                got = scan(_numpy(b), state)
-                n = len(got[0])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, got), pa.array(np.full(n, part)), pa.nulls(n, pa.list_(pa.int64()))], names=[*names, "part", "state"])
-        yield pa.RecordBatch.from_arrays([*(pa.array([0], pa.int64()) for _ in names), pa.array([part], pa.int64()), pa.array([[int(x) for x in state.values()]], pa.list_(pa.int64()))], names=[*names, "part", "state"])
+    chunks = max(1, -(-total // exchange.CHUNK_BYTES))
+    return materialise(exchange.dealt(runs.select("s", "bytes"), "s", chunks).groupBy("_chunk").applyInArrow(pack, CHUNK), "chunks")
 
-    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    return materialise(spread.sortWithinPartitions(*order).mapInArrow(run, schema), name)
 
+def _parsed(n: np.ndarray, data: bytes, length: int) -> Iterator[tuple[int, int, Anchors, bytes]]:
+    """Of runs of n bytes each, for slices (i, j): their anchors and bytes."""
+    buf, off = np.frombuffer(data, np.uint8), np.append(0, np.cumsum(n))
+    for i, j in slices(off):
+        x = buf[off[i] : off[j]]
+        yield i, j, Anchors(x, off[i : j + 1] - off[i], length), x.tobytes()
 
-def _states(table: DataFrame) -> list[tuple[int, list[int]]]:
-    """One (partition, state) per range that had rows, in order."""
-    return [(r["part"], r["state"]) for r in table.where("size(state) > 0").select("part", "state").orderBy("part").collect()]
 
+def named_phrases(chunks: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """(chunk, n, c): the strings of phrase names of the chunks' runs, names in rising byte order; and the
+    most anchors that `length` bytes hold."""
 
-def _above(table: DataFrame, bases: list[tuple[int, int]], value: str, name: str, *keep: str) -> DataFrame:
-    """table's rows with `name`: value plus what the ranges before add (one row per range)."""
-    small = table.sparkSession.createDataFrame(bases or [(-1, 0)], "part long, _base long")
-    return table.where("state IS NULL").join(F.broadcast(small), "part").select(*keep, (F.col(value) + F.col("_base")).alias(name))
+    def different(n: np.ndarray, data: bytes) -> tuple[list[bytes], list[list[bytes]], list[np.ndarray], int]:
+        found, counts, most = [], [], 0
+        for i, j, a, raw in _parsed(n, data, length):
+            found.append([raw[p:q] for p, q in zip(a.at.tolist(), a.phrase_end.tolist(), strict=True)])
+            counts.append(np.bincount(a.run, minlength=j - i))
+            most = max(most, a.most)
+        return sorted({x for f in found for x in f}), found, counts, most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got, _, _, most = different(np.frombuffer(n, np.int64), data)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(got), pa.int64()), pa.array(got, pa.binary()), pa.array([most] * len(got), pa.int64())], names=["chunk", "phrase", "most"])
+
+    listed = materialise(chunks.select("chunk", "n", "bytes").mapInArrow(run, "chunk long, phrase binary, most long"), "phrases")
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = listed.select("phrase").distinct().repartitionByRange(parts, "phrase").sortWithinPartitions("phrase")
+    # A row's number in its partition; partitions are ranges in rising order.
+    contents = materialise(spread.select("phrase", F.spark_partition_id().cast("long").alias("part"), (F.monotonically_increasing_id() % (1 << 33) + 1).alias("v")), "contents")
+    bases, total = [], 0
+    for r in contents.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row per partition
+        bases.append((r["part"], total))
+        total += r["n"]
+    small = chunks.sparkSession.createDataFrame(bases or [(-1, 0)], "part long, base long")
+    numbers = contents.join(F.broadcast(small), "part").select("phrase", (F.col("v") + F.col("base")).alias("c"))
 
-def numbered(df: DataFrame, order: list[str], keep: list[str], name: str) -> DataFrame:
-    """keep's columns and row numbers from 1 in the whole order."""
-    at = [order.index(c) for c in keep]
+    def replace(table: pa.Table, names: pa.Table) -> pa.Table:
+        made = []
+        for chunk, n, data in zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "bytes")), strict=True):
+            phrases, found, counts, _ = different(np.frombuffer(n, np.int64), data)
+            # Names rise with the phrases: both in order fit each other.
+            of = dict(zip(phrases, np.sort(names.column("c").to_numpy()).tolist(), strict=True))
+            made.append((chunk, np.concatenate(counts).astype(np.int64).tobytes(), np.array([of[x] for f in found for x in f], np.int64).tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "n", "c"])
 
-    def scan(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
-        n = len(cols[0])
-        done = state.get("n", 0)
-        state["n"] = done + n
-        return [*(cols[i] for i in at), np.arange(done + 1, done + n + 1)]
+    names = listed.select("chunk", "phrase").join(numbers, "phrase").select("chunk", "c")
+    strings = materialise(chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(replace, "chunk long, n binary, c binary"), "strings")
+    reach = listed.agg(F.max("most").alias("n")).first()["n"] or 1
+    discard(listed, contents)
+    return strings, reach
 
-    table = _sorted_scan(df.select(*order), order, scan, [*keep, "v"], name)
-    bases, total = [], 0
-    for part, (n,) in _states(table):
-        bases.append((part, total))
-        total += n
-    return _above(table, bases, "v", name, *keep)
-
-
-def _named(sampled: DataFrame) -> tuple[DataFrame, int, int]:
-    """(s, i, c): c counts the different triples (a, b, d) up to a row's; how many there are, and rows."""
-
-    def scan(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
-        a, b, d, s, i = cols
-        last = state.get("last", [])
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (d[1:] != d[:-1])
-        if last:
-            new[0] = (a[0], b[0], d[0]) != tuple(last)
-        else:
-            state |= {"a": a[0], "b": b[0], "d": d[0], "n": 0, "rows": 0, "la": 0, "lb": 0, "ld": 0}
-        c = state["n"] + np.cumsum(new)
-        state |= {"n": c[-1], "rows": state["rows"] + len(a), "la": a[-1], "lb": b[-1], "ld": d[-1]}
-        return [s, i, c]
-
-    def keep_last(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
-        full = state | {"last": [state[k] for k in ("la", "lb", "ld")] if state else []}
-        out = scan(cols, full)
-        full.pop("last")
-        state |= full
-        return out
 
-    table = _sorted_scan(sampled.select("a", "b", "d", "s", "i"), ["a", "b", "d", "s", "i"], keep_last, ["s", "i", "v"], "names")
-    bases, total, rows, last = [], 0, 0, None
-    for part, (a, b, d, n, many, la, lb, ld) in _states(table):
-        total -= (a, b, d) == last  # the range goes on with the triple that the one before ended with
-        bases.append((part, total))
-        total, rows, last = total + n, rows + many, (la, lb, ld)
-    return _above(table, bases, "v", "c", "s", "i"), total, rows
+def _inside(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in its string, end of its string) of each symbol of strings of n symbols."""
+    ends = np.repeat(np.cumsum(n), n)
+    return np.arange(len(ends)) - (ends - np.repeat(n, n)), ends
 
 
-def _smaller(full: DataFrame, order: list[str], m: int, name: str) -> DataFrame:
-    """(s, i, name): how many sampled suffixes of places m modulo 3 stand before each remaining one."""
-    of = {c: k for k, c in enumerate(order)}
+def _after(x: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The value k symbols on in the same string; 0 past its end."""
+    at = np.arange(len(x)) + k
+    return np.where(at < ends, x[np.minimum(at, len(x) - 1)], 0) if len(x) else x
 
-    def scan(cols: list[np.ndarray], state: dict) -> list[np.ndarray]:
-        sampled = cols[of["m"]] > 0
-        count = state.get("n", 0) + np.cumsum(sampled)
-        state["n"] = count[-1]
-        return [cols[of["s"]][~sampled], cols[of["i"]][~sampled], count[~sampled]]
 
-    table = _sorted_scan(full.where(F.col("m").isin(0, m)).select(*order), order, scan, ["s", "i", "v"], name)
-    bases, total = [], 0
-    for part, (n,) in _states(table):
-        bases.append((part, total))
-        total += n
-    return _above(table, bases, "v", name, "s", "i")
+def _shorter(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each string's places at 1 and at 2 modulo 3 as two strings: (their lengths, the places in order)."""
+    i, _ = _inside(n)
+    m, of = i % 3, np.repeat(np.arange(len(n)), n)
+    places = np.flatnonzero(m)
+    places = places[np.lexsort((places, m[places], of[places]))]
+    return np.stack([(n + 1) // 3, n // 3], 1).ravel(), places
 
 
-def suffix_ranks(symbols: DataFrame, reach: int) -> DataFrame:
-    """(s, i, rank) of symbols (s, i, c), c > 0, i from 0 on in each string: ranks from 1 without gaps or ties.
+def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
+    """(chunk, r) of strings (chunk, n, c), c > 0: the rank of the suffix at each symbol, from 1 without gaps or ties.
 
     Ranks rise with the first `reach` symbols; what ends is smaller than what goes on.  Suffixes that
     agree on those may stand in any order, so a symbol or triple that is common fills several ranges.
     """
-    w = W.partitionBy("s").orderBy("i")
-    after = lambda k: F.coalesce(F.lead("c", k).over(w), F.lit(0)).alias("bd"[k - 1])
-    t = materialise(symbols.select("s", "i", F.col("c").alias("a"), after(1), after(2)), "triples")
-    sampled = t.where("i % 3 <> 0")
-    if reach <= 3:
-        known = numbered(sampled, ["a", "b", "d", "s", "i"], ["s", "i"], "r")
-    else:
-        names, different, rows = _named(sampled)
-        if different == rows:
-            known = names.withColumnRenamed("c", "r")
-        else:
-            # The names at places 1 and 2 modulo 3 are two strings for each string.
-            shorter = names.select((2 * F.col("s") + F.col("i") % 3 - 1).alias("s"), F.expr("i div 3").alias("i"), "c")
-            ranks = suffix_ranks(shorter, -(-reach // 3))
-            known = ranks.select(F.expr("s div 2").alias("s"), F.expr("3 * i + s % 2 + 1").alias("i"), F.col("rank").alias("r"))
-    # The ranks one and two symbols on, where those are sampled; 0 past the end.
-    on = lambda k: F.coalesce(F.lead("r", k).over(w), F.lit(0)).alias(f"r{k}")
-    full = materialise(t.join(known, ["s", "i"], "left").select("s", "i", (F.col("i") % 3).alias("m"), "a", "b", F.coalesce("r", F.lit(0)).alias("r"), on(1), on(2)), "followed")
-    # How many sampled suffixes stand before a remaining one: by (a, r1) among those of m 1, by
-    # (a, b, r2) among those of m 2.  It goes before the sampled suffix that has as many before it.
-    rest = _smaller(full, ["a", "r1", "m", "s", "i"], 1, "n1").join(_smaller(full, ["a", "b", "r2", "m", "s", "i"], 2, "n2"), ["s", "i"])
-    rest = rest.join(full.where("m = 0").select("s", "i", "a", "r1"), ["s", "i"]).select("s", "i", (F.col("n1") + F.col("n2")).alias("place"), F.lit(0).cast("long").alias("kind"), "a", "r1")
-    zero = F.lit(0).cast("long")
-    both = rest.unionAll(full.where("m > 0").select("s", "i", (F.col("r") - 1).alias("place"), (zero + 1).alias("kind"), zero.alias("a"), zero.alias("r1")))
-    return numbered(both, ["place", "kind", "a", "r1", "s", "i"], ["s", "i"], "rank")
-
-
-def _contexts(runs: DataFrame, ranks: DataFrame, length: int) -> tuple[DataFrame, int]:
+
+    def triples(r: blocks.Row) -> tuple[np.ndarray, list[np.ndarray]]:
+        i, ends = _inside(r["n"])
+        at = np.flatnonzero(i % 3)
+        return at, [_after(r["c"], ends, k)[at] for k in range(3)]
+
+    size = lambda r: len(r["c"])
+    short = reach <= 3
+    answers, bases, different, rows = blocks.ranked(strings, triples, "number" if short else "names", "triples")
+    keep = lambda r, v: {"chunk": r["chunk"], "n": r["n"], "c": r["c"], "r": v}
+    named = blocks.attach(strings, answers, bases, keep, size, "chunk long, n binary, c binary, r binary", "named")
+    if not short and different < rows:
+
+        def shorten(r: blocks.Row, _: np.ndarray) -> blocks.Row:
+            n, places = _shorter(r["n"])
+            return {"chunk": r["chunk"], "n": n, "c": r["r"][places]}
+
+        ranks = suffix_ranks(blocks.each(named, shorten, "chunk long, n binary, c binary", "shorter"), -(-reach // 3))
+
+        def lengthen(table: pa.Table, got: pa.Table) -> pa.Table:
+            made = []
+            for r, q in zip(blocks.rows_of(table), blocks.rows_of(got), strict=True):
+                out = np.zeros(len(r["c"]), np.int64)
+                out[_shorter(r["n"])[1]] = q["r"]
+                made.append((r["chunk"], r["n"].tobytes(), r["c"].tobytes(), out.tobytes()))
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "n", "c", "r"])
+
+        before, named = named, materialise(named.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(lengthen, "chunk long, n binary, c binary, r binary"), "named")
+        discard(before, ranks)
+
+    # How many sampled suffixes stand before a remaining one: by (c, rank of the next) among those at 1
+    # modulo 3, by (c, next c, rank of the one after) among those at 2.  Both orders are one, kind first.
+    def neighbours(r: blocks.Row) -> tuple[np.ndarray, list[np.ndarray]]:
+        i, ends = _inside(r["n"])
+        m, c = i % 3, r["c"]
+        one, two = np.flatnonzero(m != 2), np.flatnonzero(m != 1)
+        join = lambda x, y: np.concatenate([x[one], y[two]])
+        kind, zero = np.repeat([1, 2], [len(one), len(two)]), np.zeros(len(c), np.int64)
+        places = np.concatenate([one, two + len(c)])
+        return places, [kind, join(c, c), join(_after(r["r"], ends, 1), _after(c, ends, 1)), join(zero, _after(r["r"], ends, 2)), join((m > 0).astype(np.int64), (m > 0).astype(np.int64))]
+
+    def ones(r: blocks.Row, _: np.ndarray) -> blocks.Row:
+        return {"chunk": r["chunk"], "n": np.array([(r["n"] + 1) // 3]).sum(keepdims=True)}
+
+    answers, bases, _, _ = blocks.ranked(named, neighbours, "marked", "neighbours")
+    first = sum(int(np.frombuffer(r["n"], np.int64).sum()) for r in blocks.each(named, ones, "chunk long, n binary", "ones").select("n").toLocalIterator())
+
+    def placed(r: blocks.Row, v: np.ndarray) -> blocks.Row:
+        i, _ = _inside(r["n"])
+        n = len(r["c"])
+        # Those of kind 2 come behind all of kind 1.
+        return {"chunk": r["chunk"], "n": r["n"], "c": r["c"], "r": r["r"], "p": np.where(i % 3, r["r"] - 1, v[:n] + v[n:] - first)}
+
+    full = blocks.attach(named, answers, bases, placed, lambda r: 2 * len(r["c"]), "chunk long, n binary, c binary, r binary, p binary", "placed")
+    discard(named)
+
+    # A remaining suffix goes before the sampled one that has as many before it.
+    def order(r: blocks.Row) -> tuple[np.ndarray, list[np.ndarray]]:
+        i, ends = _inside(r["n"])
+        rest = i % 3 == 0
+        zero = np.zeros(len(i), np.int64)
+        return np.arange(len(i)), [r["p"], (~rest).astype(np.int64), np.where(rest, r["c"], zero), np.where(rest, _after(r["r"], ends, 1), zero)]
+
+    answers, bases, _, _ = blocks.ranked(full, order, "number", "order")
+    out = blocks.attach(full, answers, bases, lambda r, v: {"chunk": r["chunk"], "r": v}, size, "chunk long, r binary", "ranks")
+    discard(full)
+    return out
+
+
+def _contexts(chunks: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
     """(part, rank, s, at, low, high, bytes): anchors that windows belong to, in even ranges of ranks.
 
     bytes: `high` bytes before the anchor, and up to `length` from it on.
     """
-    total = ranks.agg(F.max("rank").alias("n")).first()["n"] or 0
+    most = blocks.each(ranks, lambda r, _: {"chunk": r["chunk"], "n": np.array([r["r"].max(initial=0)])}, "chunk long, n binary", "most")
+    total = max((int(np.frombuffer(r["n"], np.int64)[0]) for r in most.select("n").toLocalIterator()), default=0)
     parts = max(1, -(-total // RANGE))
-    # One row per run: its anchors' ranks in order.
-    of = ranks.groupBy("s").agg(F.expr("transform(array_sort(collect_list(struct(i, rank))), x -> x.rank)").alias("ranks"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = text_buffer(b.column(1))
-            s, lists = b.column(0).to_numpy(), b.column(2)
-            flat, first = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, j in slices(off):
-                x, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                a, raw = Anchors(x, o, length), x.tobytes()
-                rank = flat[first[i:j][a.run] + a.number]
+    def run(table: pa.Table, got: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([], pa.int64())] * 6 + [pa.array([], pa.binary())], names=["part", "rank", "s", "at", "low", "high", "bytes"])]
+        for r in table.to_pylist():
+            s, rank, base = np.frombuffer(r["s"], np.int64), np.frombuffer(got.column("r")[0].as_py(), np.int64), 0
+            for i, j, a, raw in _parsed(np.frombuffer(r["n"], np.int64), r["bytes"], length):
+                mine = rank[base : base + len(a.at)]
+                base += len(a.at)
                 k = np.flatnonzero(a.low <= a.high)
                 at, low, high = a.at[k], a.low[k], a.high[k]
-                got = [raw[p:q] for p, q in zip((at - high).tolist(), np.minimum(at + length, a.end[k]).tolist(), strict=True)]
-                cols = [(rank[k] - 1) * parts // max(total, 1), rank[k], s[i:j][a.run[k]], at - a.first[k], low, high]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(got, pa.binary())], names=["part", "rank", "s", "at", "low", "high", "bytes"])
+                cut = [raw[p:q] for p, q in zip((at - high).tolist(), np.minimum(at + length, a.end[k]).tolist(), strict=True)]
+                cols = [(mine[k] - 1) * parts // max(total, 1), mine[k], s[i:j][a.run[k]], at - a.first[k], low, high]
+                out.append(pa.table([*map(pa.array, cols), pa.array(cut, pa.binary())], names=out[0].column_names))
+        return pa.concat_tables(out)
 
-    met = runs.select("s", "bytes").join(of, "s").select("s", "bytes", "ranks")
-    return met.mapInArrow(run, "part long, rank long, s long, at long, low long, high long, bytes binary"), parts
+    return chunks.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(run, "part long, rank long, s long, at long, low long, high long, bytes binary")
 
 
 class Suffixes:
@@ -436,20 +441,11 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
 
 def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
     """(s, first, end) of runs (s, bytes): bytes of windows that start elsewhere too."""
-    cut = phrases(runs, length)
-    contents = cut.select("phrase").distinct()
-    spread = contents.repartitionByRange(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "phrase").sortWithinPartitions("phrase")
-    # The row's number in its partition; partitions are ranges in rising order.
-    listed = materialise(spread.select("phrase", F.spark_partition_id().cast("long").alias("part"), (F.monotonically_increasing_id() % (1 << 33) + 1).alias("v"), F.lit(None).cast("long").alias("state")), "contents")
-    bases, total = [], 0
-    for r in listed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
-        bases.append((r["part"], total))
-        total += r["n"]
-    names = _above(listed, bases, "v", "c", "phrase")
-    reach = cut.agg(F.max("most").alias("n")).first()["n"] or 1
-    ranks = materialise(suffix_ranks(cut.join(names, "phrase").select("s", "i", "c"), reach), "ranks")
-    contexts, _ = _contexts(runs, ranks, length)
-    marks = materialise(contexts.groupBy("part").applyInArrow(lambda t: _resolve(t, length), MARKS), "marks")
+    chunks = chunked(runs, text_bytes(runs, "bytes"))
+    strings, reach = named_phrases(chunks, length)
+    ranks = suffix_ranks(strings, reach)
+    marks = materialise(_contexts(chunks, ranks, length).groupBy("part").applyInArrow(lambda t: _resolve(t, length), MARKS), "marks")
+    discard(chunks, strings, ranks)
     beside = marks.where("key IS NOT NULL")
     many = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = beside.where("s IS NOT NULL").join(many, "key").select("s", "first", "end")

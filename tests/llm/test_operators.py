@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshspark.llm import components, decontaminate, langid, packing, queries, quality, records, sharding, similarity, suffixes, warc, windows
+from meshspark.llm import blocks, components, decontaminate, langid, packing, queries, quality, records, sharding, similarity, suffixes, warc, windows
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, bucket string, chunk string"
@@ -368,6 +368,7 @@ def test_op2_matches_brute_force(spark, table, request):
 def test_op2_small_ranges(spark, monkeypatch):
     """Windows that many ranges of ranks hold: a passage behind and before many different texts."""
     monkeypatch.setattr(suffixes, "RANGE", 16)
+    monkeypatch.setattr(blocks, "RANGE", 300)
     rng = np.random.default_rng(4)
     some = lambda n: "".join(rng.choice(list("abcd "), n))
     passage, other = some(300), some(230)
@@ -382,20 +383,25 @@ def test_op2_empty_table(empty):
 
 def test_op2_ranks_follow_the_suffixes_in_even_ranges(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    strings = {1: [1] * 700, 2: [1] * 400 + [2] + [1] * 299, 3: rng.integers(1, 3, 600).tolist(), 4: [2, 1] * 200, 5: [1], 6: [1, 1], 7: [2, 1, 1]}
-    symbols = spark.createDataFrame([(s, i, c) for s, cs in strings.items() for i, c in enumerate(cs)], "s long, i long, c long")
-    most, real = [], suffixes._sorted_scan
+    strings = [[1] * 700, [1] * 400 + [2] + [1] * 299, rng.integers(1, 3, 600).tolist(), [2, 1] * 200, [1], [1, 1], [2, 1, 1]]
+    pack = lambda x: np.array(x, np.int64).tobytes()
+    rows = [(k, pack([len(x) for x in part]), pack([c for x in part for c in x])) for k, part in enumerate((strings[:3], strings[3:]))]
+    monkeypatch.setattr(blocks, "RANGE", 400)
+    monkeypatch.setattr(blocks, "SAMPLE", 200)
+    most, real = [], blocks.ranked
 
     def watched(*a):
         out = real(*a)
-        parts = out.where("state IS NULL").groupBy("part").count().agg(F.max("count"), F.sum("count")).first()
-        most.append((parts[0] or 0) / (parts[1] or 1))
+        sizes = [np.frombuffer(r["state"], np.int64)[1] for r in out[0].where("state IS NOT NULL").collect()]
+        most.append(max(sizes) / sum(sizes))
         return out
 
-    monkeypatch.setattr(suffixes, "_sorted_scan", watched)
-    got = suffixes.suffix_ranks(symbols, 40).collect()
-    assert sorted(r["rank"] for r in got) == list(range(1, sum(map(len, strings.values())) + 1))
-    ordered = [tuple(strings[r["s"]][r["i"] : r["i"] + 40]) for r in sorted(got, key=lambda r: r["rank"])]
+    monkeypatch.setattr(blocks, "ranked", watched)
+    got = {r["chunk"]: np.frombuffer(r["r"], np.int64) for r in suffixes.suffix_ranks(spark.createDataFrame(rows, "chunk long, n binary, c binary"), 40).collect()}
+    ranks = np.concatenate([got[0], got[1]])
+    assert sorted(ranks.tolist()) == list(range(1, len(ranks) + 1))
+    starts = [(s, i) for s, x in enumerate(strings) for i in range(len(x))]
+    ordered = [tuple(strings[s][i : i + 40]) for _, (s, i) in sorted(zip(ranks.tolist(), starts, strict=True))]
     assert ordered == sorted(ordered)
     assert max(most) < 0.6
 
