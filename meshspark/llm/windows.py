@@ -61,7 +61,7 @@ class Windows:
                 low = short[pos]
                 for k in range(1, window - n + 1):
                     low = np.minimum(low, short[pos + k])
-                out.append(low)
+                out.append(mix(low))  # least hashes lie close together; keys are to fill all buckets alike
             at.append(pos - w.first[doc])
             row.append(doc + i)
             full.append(h)
