@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, exchange
 from .shared import discard, materialise, small_batches, text_bytes
-from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, per_doc, prefix_sums, slices, text_buffer
+from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, mix, per_doc, prefix_sums, slices, text_buffer
 
 PIECE, TRIGGER, DENSITY = 100, 16, 32
 RANGE = 1 << 15  # anchors a task
@@ -73,8 +73,9 @@ class Candidates:
                 p = _starts(o, piece)
                 g[p] = byte_window_hashes(sums, p, piece)
                 at.append(w + self.off[i])
-                stand.append(_lowest(g, length - piece + 1)[w])
-                pieces.append(g[p])
+                # Least hashes lie close together; mixed again, keys fill all buckets alike.
+                stand.append(mix(_lowest(g, length - piece + 1)[w]))
+                pieces.append(mix(g[p]))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.at, self.stand = join(at, np.int64), join(stand, U64)
         self.keys = np.unique(self.stand)
