@@ -98,7 +98,7 @@ def _configuration(last: np.ndarray, c: int) -> Counter:
     return out
 
 
-def program(histogram: dict[int, int], capacity: int, share: float = 0.25, rate: float = 0.3, slack: float = 0.02) -> tuple[Plan, dict[int, int]]:
+def program(histogram: dict[int, int], capacity: int, share: float = 0.5, rate: float = 0.3, slack: float = 0.1) -> tuple[Plan, dict[int, int]]:
     """The linear program's plan, and what its rounding leaves over of each length.
 
     A turn takes the best configuration, and those that come within `slack` of its price and have no
