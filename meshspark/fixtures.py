@@ -37,6 +37,22 @@ JOIN mesh_vertices d ON d.vid = a.vid + 21""",
         """SELECT n.node AS src, k.i AS ordinal, CASE WHEN 2 * n.node + k.i < t.n THEN 2 * n.node + k.i ELSE t.n END AS dst
 FROM dag_nodes n CROSS JOIN (SELECT 1 AS i UNION ALL SELECT 2 UNION ALL SELECT 3) k CROSS JOIN (SELECT count(*) AS n FROM part) t
 WHERE 2 * n.node + k.i < t.n OR (k.i = 1 AND 2 * n.node + 1 >= t.n)""",
+    ),
+    "cones": (
+        ("dag_nodes",),
+        """SELECT node, error, nvert, nface, cx, cy, cz, radius, tight_radius, CAST(CASE node % 4 WHEN 0 THEN 19659 WHEN 1 THEN 0 WHEN 2 THEN 26212 ELSE -19659 END AS INT) AS n0,
+       CAST(CASE node % 4 WHEN 0 THEN 26212 WHEN 1 THEN -19659 ELSE 0 END AS INT) AS n1, CAST(CASE node % 4 WHEN 0 THEN 0 WHEN 1 THEN 26212 WHEN 2 THEN 19659 ELSE 26212 END AS INT) AS n2,
+       CAST(3276 + (node % 7) * 2000 AS INT) AS n3 FROM dag_nodes""",
+    ),
+    "node_faces": (
+        ("mesh_vertices", "mesh_faces"),
+        """SELECT CAST(floor(f.v0 / 100) AS BIGINT) AS node, f.fid, f.v0, f.v1, f.v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2
+FROM mesh_faces f JOIN mesh_vertices a ON a.vid = f.v0 JOIN mesh_vertices b ON b.vid = f.v1 JOIN mesh_vertices c ON c.vid = f.v2""",
+    ),
+    "node_index": (
+        ("dag_nodes", "dag_patches"),
+        """SELECT n.node, n.error, n.nvert, n.nface, n.cx, n.cy, n.cz, n.radius, n.tight_radius, n.size_bytes, coalesce(p.patches, 0) AS patches
+FROM dag_nodes n LEFT JOIN (SELECT src, count(*) AS patches FROM dag_patches GROUP BY src) p ON p.src = n.node""",
     ),
     "splats": (
         (),

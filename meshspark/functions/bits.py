@@ -67,3 +67,9 @@ def trailing_zeros(v: Column) -> Column:
     """Level of row v in a ruler sequence; 0 for 0."""
     low = v.cast("long").bitwiseAND(-v.cast("long"))
     return F.when(v == 0, F.lit(0)).otherwise(F.bit_count(low - 1))
+
+
+def residual_bits(v: Column) -> Column:
+    """What a residual holds beside its class: its zig-zag number plus one, without the highest bit."""
+    u = zigzag(v) + 1
+    return u - F.pow(F.lit(2.0), ilog2(u)).cast("long")

@@ -58,3 +58,8 @@ def hsv(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
 
 def gray(v: Column) -> Column:
     return F.floor(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)) * 255).cast("int")
+
+
+def debug_colour(i: Column) -> tuple[Column, Column, Column]:
+    """Channels that tell neighbouring numbers apart.  Fixed values: the factors and remainders."""
+    return tuple(F.pmod(F.pmod(i, F.lit(m)) * k, F.lit(r)) + r for m, k, r in ((16, 135, 127), (7, 57, 127), (11, 171, 63)))

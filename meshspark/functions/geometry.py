@@ -72,17 +72,6 @@ def planes_distance(center: Vector, radius: Column, planes: list) -> Column:
     return F.least(*(plane_distance(center, p) + radius for p in planes))
 
 
-def backface(cone: Vector, width: Column, center: Vector, radius: Column, view: tuple[float, float, float], scale: float = 32766.0) -> Column:
-    """All faces of a normal cone look away from the view point."""
-    d = sub(center, tuple(F.lit(v) for v in view))
-    f = dot(d, tuple(c / scale for c in cone)) - radius - width / scale * norm(d)
-    return (f >= 0.001) & (f * f >= dot(d, d) * 0.01)
-
-
-def screen_error(error: Column, dist: Column, resolution: float, near: float = 0.1) -> Column:
-    return error / F.greatest(F.lit(resolution) * F.greatest(dist, F.lit(near)), F.lit(1e-6))
-
-
 def ray_sphere(center: Vector, radius: Column, origin: tuple, direction: tuple) -> Column:
     """Distance along a unit ray to the sphere: 0 inside, null where it isn't met."""
     oc = sub(center, tuple(F.lit(float(v)) for v in origin))
@@ -113,3 +102,87 @@ def affine(p: Vector, m: list[float]) -> Vector:
 def pad(size: Column, to: int = 256) -> Column:
     """Next multiple of a power of two."""
     return (size.cast("long") - 1).bitwiseAND(F.lit(~(to - 1))) + to
+
+
+def around(center: Vector, radius: Column) -> tuple[Vector, Vector]:
+    """The box (low, high) around a sphere."""
+    return tuple(c - radius for c in center), tuple(c + radius for c in center)
+
+
+def boxes_meet(low: Vector, high: Vector, other_low: Vector, other_high: Vector) -> Column:
+    out = F.lit(True)
+    for a, b, p, q in zip(low, high, other_low, other_high, strict=True):
+        out = out & (a <= q) & (b >= p)
+    return out
+
+
+def box_diagonal(low: Vector, high: Vector) -> Column:
+    return norm(sub(high, low))
+
+
+def box_volume(low: Vector, high: Vector) -> Column:
+    d = sub(high, low)
+    return d[0] * d[1] * d[2]
+
+
+def sphere_add(a: Vector, r: Column, b: Vector, s: Column) -> tuple[Vector, Column]:
+    """The smallest sphere around two spheres."""
+    d = norm(sub(b, a))
+    inside, outside = d + s <= r, d + r <= s
+    step = (d + s - r) / 2 / d
+    center = tuple(F.when(inside, p).when(outside, q).otherwise(p + (q - p) * step) for p, q in zip(a, b, strict=True))
+    return center, F.when(inside, r).when(outside, s).otherwise((d + r + s) / 2)
+
+
+def pack_cone(n: Vector) -> tuple[Column, Column, Column, Column]:
+    """A scaled normal as four whole numbers: its direction by 32766, its length (10 at most) by 3276."""
+    size = norm(n)
+    unit = tuple(F.when(size > 0.001, c / size).otherwise(c) for c in n)
+    return (*(pack_unit(c) for c in unit), (F.least(size, F.lit(10.0)) * 3276).cast("int"))
+
+
+def normal_z(x: Column, y: Column, sign: Column) -> Column:
+    """The third component of a packed unit normal."""
+    z = F.sqrt(F.greatest(F.lit(32767.0 * 32767.0) - x * x - y * y, F.lit(0.0)))
+    return (F.when(sign == 1, -z).otherwise(z)).cast("int")
+
+
+#: Bytes of a payload's columns, per vertex or face.
+COORD_BYTES, UV_BYTES, NORMAL_BYTES, COLOUR_BYTES, FACE_BYTES = 12, 8, 6, 4, 6
+ATTRIBUTE_BYTES = {"byte": 1, "ubyte": 1, "short": 2, "ushort": 2, "int": 4, "uint": 4, "float": 4, "double": 8}
+
+
+def element_width(attributes: list[str]) -> int:
+    """Bytes of attributes such as `float3`."""
+    return sum(ATTRIBUTE_BYTES[a.rstrip("0123456789")] * int(a[-1]) for a in attributes)
+
+
+def payload_size(nvert: Column, nface: Column, normals: bool, colours: bool, uv: bool) -> Column:
+    width = COORD_BYTES + NORMAL_BYTES * normals + COLOUR_BYTES * colours + UV_BYTES * uv
+    return nvert * width + nface * FACE_BYTES
+
+
+def payload_offsets(nvert: Column, normals: bool, colours: bool, uv: bool) -> list[Column]:
+    """First bytes of the columns: coordinates, texture coordinates, normals, colours, faces."""
+    at, out = 0, []
+    for width in (0, COORD_BYTES, UV_BYTES * uv, NORMAL_BYTES * normals, COLOUR_BYTES * colours):
+        at += width
+        out.append((nvert * at).cast("long"))
+    return out
+
+
+def matrix_of(text: Column) -> Column:
+    """16 numbers parted by colons; anything else is an error."""
+    numbers = F.transform(F.split(text, ":"), lambda v: v.cast("double"))
+    bad = (F.size(numbers) != 16) | F.exists(numbers, lambda v: v.isNull())
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a matrix of 16 numbers: "), text)).cast("array<double>")).otherwise(numbers)
+
+
+def float_precision(center: Vector, size: Vector) -> Column:
+    """Bits that single precision leaves a box of this size so far from the origin; the worst axis counts."""
+    bits = (F.log2(F.nullif(F.abs(s), F.lit(0.0))) - F.log2(F.nullif(F.abs(c), F.lit(0.0))) + 24 for c, s in zip(center, size, strict=True))
+    return F.least(*(F.coalesce(b, F.lit(1e9)) for b in bits))
+
+
+def precision_verdict(bits: Column) -> Column:
+    return F.when(bits < 12, "refuse").when(bits < 16, "warn").otherwise("fine")

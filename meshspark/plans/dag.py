@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialise
+
 
 def children(nodes: DataFrame, patches: DataFrame) -> DataFrame:
     """(src, dst) joined with both ends' columns, as src_* and dst_*."""
@@ -21,12 +23,8 @@ def by_error(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder; a temporary folder is set only where the session names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshspark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+    """df written to the shared folder and read again."""
+    return materialise(df, "graph")
 
 
 def closed_cut(nodes: DataFrame, patches: DataFrame, expand: Column) -> DataFrame:
@@ -36,13 +34,21 @@ def closed_cut(nodes: DataFrame, patches: DataFrame, expand: Column) -> DataFram
     """
     accepted = checkpointed(nodes.where(expand).select("node"))
     inner = checkpointed(patches.select("src", F.col("dst").alias("node")).join(accepted, "node", "left_semi"))
-    front = checkpointed(accepted.join(patches.select(F.col("dst").alias("node")), "node", "left_anti"))
-    seen = front
-    while front.limit(1).count():
-        below = inner.join(front.withColumnRenamed("node", "src"), "src", "left_semi").select("node").distinct()
-        front = checkpointed(below.join(seen, "node", "left_anti"))
-        seen = checkpointed(seen.unionAll(front))
-    return seen
+    roots = accepted.join(patches.select(F.col("dst").alias("node")), "node", "left_anti")
+    return reached(roots, inner.withColumnRenamed("node", "dst"))
+
+
+def reached(start: DataFrame, patches: DataFrame) -> DataFrame:
+    """(node) of start and all that patches lead to from there, each once: one join per level."""
+    seen = [checkpointed(start.distinct())]
+    while True:
+        below = patches.join(seen[-1].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        for level in seen:
+            below = below.join(level, "node", "left_anti")
+        front = checkpointed(below)
+        if not front.limit(1).count():
+            return reduce(DataFrame.unionAll, seen)
+        seen.append(front)
 
 
 def exposed(patches: DataFrame, chosen: DataFrame) -> DataFrame:

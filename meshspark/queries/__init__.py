@@ -43,4 +43,13 @@ def register_scalar(columns: Callable[[str], dict], name: str, table: str, key:
         return df.select(key, *(c.alias(n) for n, (c, _) in columns(name).items()))
 
 
-from . import dag, files, mesh, points, scalars, tiers, windows  # noqa: E402, F401
+def rowwise(name: str, table: str, key: str, columns: Callable[[], dict], sql: dict[str, str]) -> None:
+    """Register columns computed row by row: name -> Spark column, made when the query runs, and name -> SQL."""
+
+    @query(name, f"SELECT {key}, {', '.join(f'{e} AS {n}' for n, e in sql.items())} FROM {table}")
+    def _(t: Tables) -> DataFrame:
+        made = columns()
+        return t(table).select(key, *(made[n].alias(n) for n in sql))
+
+
+from . import dag, files, mesh, nodes, points, scalars, shapes, tiers, view, windows  # noqa: E402, F401

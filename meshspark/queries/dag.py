@@ -48,33 +48,16 @@ def _(t):
     return D.closed_cut(t("dag_nodes"), t("dag_patches"), error >= 20)
 
 
-@query("dag_03_children", "SELECT p.src, p.dst, n.error FROM dag_patches p JOIN dag_nodes n ON n.node = p.dst WHERE p.src < 50")
-def _(t):
-    return D.children(t("dag_nodes"), t("dag_patches").where("src < 50")).select("src", "dst", c("dst_error").alias("error"))
-
-
 @query("dag_03_all_children", "SELECT p.src, p.dst, n.error FROM dag_patches p JOIN dag_nodes s ON s.node = p.src JOIN dag_nodes n ON n.node = p.dst")
 def _(t):
     return D.children(t("dag_nodes"), t("dag_patches")).select("src", "dst", c("dst_error").alias("error"))
 
 
-@query("dag_10_view_metric", "SELECT node, round(error / greatest(0.002 * greatest(sqrt((cx - 5) * (cx - 5) + (cy - 5) * (cy - 5) + cz * cz) - tight_radius, 0.1), 1e-6), 3) AS e FROM dag_nodes")
-def _(t):
-    d = F.sqrt((c("cx") - 5) * (c("cx") - 5) + (c("cy") - 5) * (c("cy") - 5) + c("cz") * c("cz")) - c("tight_radius")
-    return t("dag_nodes").select("node", F.round(G.screen_error(c("error"), d, 0.002), 3).alias("e"))
-
-
 @query("dag_11_draw_list", f"WITH {CUT} SELECT p.src, count(*) AS patches FROM dag_patches p WHERE p.src IN (SELECT node FROM sel) AND p.dst NOT IN (SELECT node FROM sel) GROUP BY p.src")
 def _(t):
     return cuts.emitted_patches(t("dag_patches"), chosen(t)).groupBy("src").agg(F.count("*").alias("patches"))
 
 
-@query("dag_13_near_far", "SELECT round(min(sqrt(cx * cx + cy * cy + cz * cz) - tight_radius), 4) AS near, round(max(sqrt(cx * cx + cy * cy + cz * cz) + tight_radius), 4) AS far FROM dag_nodes")
-def _(t):
-    d = G.norm((c("cx"), c("cy"), c("cz")))
-    return t("dag_nodes").agg(F.round(F.min(d - c("tight_radius")), 4).alias("near"), F.round(F.max(d + c("tight_radius")), 4).alias("far"))
-
-
 @query("dag_15_components", "SELECT vid AS id, vid % 20 AS comp FROM mesh_vertices WHERE (SELECT count(*) FROM mesh_vertices v WHERE v.vid % 20 = mesh_vertices.vid % 20) > 1")
 def _(t):
     v = t("mesh_vertices")
@@ -120,16 +103,6 @@ def _(t):
     return t("dag_patches").join(chosen(t).withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
 
 
-@query("flt_22_structure_checks", "SELECT src, dst FROM dag_patches WHERE dst <= src OR dst > (SELECT count(*) FROM dag_nodes)")
-def _(t):
-    return t("dag_patches").where((c("dst") <= c("src")) | (c("dst") > t("dag_nodes").count())).select("src", "dst")
-
-
-@query("flt_23_saturation_violations", "SELECT p.src, p.ordinal, p.dst FROM dag_patches p JOIN dag_nodes a ON a.node = p.src JOIN dag_nodes b ON b.node = p.dst WHERE b.error >= a.error")
-def _(t):
-    return D.unsaturated(t("dag_nodes"), t("dag_patches"))
-
-
 @query("jon_02_edge_lookup", "SELECT p.src, a.error AS e0, p.dst, b.error AS e1 FROM dag_patches p JOIN dag_nodes a ON a.node = p.src JOIN dag_nodes b ON b.node = p.dst")
 def _(t):
     return D.children(t("dag_nodes"), t("dag_patches")).select("src", c("src_error").alias("e0"), "dst", c("dst_error").alias("e1"))
@@ -179,17 +152,6 @@ def _(t):
     return t("dag_nodes").agg(F.round(F.avg("nface"), 4).alias("mean"), F.round(F.stddev_pop("nface"), 4).alias("deviation"))
 
 
-@query("agg_25_coordinate_step", "SELECT min(error / 2) AS step FROM dag_nodes WHERE node IN (SELECT src FROM dag_patches WHERE dst = (SELECT count(*) FROM dag_nodes))")
-def _(t):
-    n = t("dag_nodes")
-    return D.finest_level(n, t("dag_patches"), n.count()).agg(F.min(c("error") / 2).alias("step"))
-
-
-@query("agg_42_near_far", "SELECT round(min(cx - radius), 4) AS near, round(max(cx + radius), 4) AS far FROM dag_nodes")
-def _(t):
-    return t("dag_nodes").agg(F.round(F.min(c("cx") - c("radius")), 4).alias("near"), F.round(F.max(c("cx") + c("radius")), 4).alias("far"))
-
-
 @query("fn_s08_patch_report", "SELECT src, string_agg('[' || CAST(dst AS VARCHAR) || ']', ' ' ORDER BY dst) AS patches FROM dag_patches GROUP BY src")
 def _(t):
     ends = F.array_sort(F.collect_list("dst"))

@@ -32,35 +32,16 @@ def _(t):
     return M.corners(t("mesh_faces"))
 
 
-@query("prj_02_splat_rows", "SELECT pid, x, y, z, 255 AS a, node FROM splats")
-def _(t):
-    return t("splats").select("pid", "x", "y", "z", F.lit(255).alias("a"), "node")
-
-
 @query("prj_04_tagged_triangles", f"WITH {TRI} SELECT fid, x0, y1, z2, 7 AS node FROM tri")
 def _(t):
     return tri(t).select("fid", "x0", "y1", "z2", F.lit(7).alias("node"))
 
 
-@query("prj_08_columnar", f"WITH {TRI} SELECT CAST(v0 // 20 AS BIGINT) AS node, count(*) AS n, string_agg(CAST(v0 AS VARCHAR), ',' ORDER BY fid) AS column0 FROM tri GROUP BY 1")
-def _(t):
-    g = t("mesh_faces").groupBy(F.floor(F.col("v0") / 20).alias("node"))
-    rows = g.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("fid", "v0"))).alias("f"))
-    return rows.select("node", "n", F.concat_ws(",", F.transform("f", lambda v: v["v0"].cast("string"))).alias("column0"))
-
-
 @query("flt_01_degenerate", f"WITH {TRI} SELECT fid FROM tri WHERE NOT ((x0 = x1 AND y0 = y1 AND z0 = z1) OR (x0 = x2 AND y0 = y2 AND z0 = z2) OR (x1 = x2 AND y1 = y2 AND z1 = z2))")
 def _(t):
     return M.drop_degenerate(tri(t)).select("fid")
 
 
-@query("flt_02_degenerate_ids", "SELECT fid, v0, v1, v2 FROM mesh_faces WHERE v0 % 3 <> v1 % 3 AND v0 % 3 <> v2 % 3 AND v1 % 3 <> v2 % 3")
-def _(t):
-    f = t("mesh_faces")
-    key = [F.col(f"v{k}") % 3 for k in range(3)]
-    return f.where((key[0] != key[1]) & (key[0] != key[2]) & (key[1] != key[2]))
-
-
 @query("flt_06_border_vertices", f"WITH {TRI}, o AS (SELECT * FROM tri WHERE NOT ({_in(0)} AND {_in(1)} AND {_in(2)})) SELECT v0 AS vid FROM o UNION SELECT v1 FROM o UNION SELECT v2 FROM o")
 def _(t):
     return M.border_vertices(tri(t), LOW, HIGH)
@@ -77,11 +58,6 @@ def _(t):
     return t("mesh_faces").join(mask, "v0", "left_semi").select("fid")
 
 
-@query("flt_19_thin_faces", f"WITH {TRI} SELECT fid FROM tri WHERE abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) > 1e-5")
-def _(t):
-    return M.face_normal(tri(t)).where(F.abs("nz") > 1e-5).select("fid")
-
-
 @query("jon_10_edge_adjacency", f"WITH {U_SQL} SELECT f, g, a, b FROM u WHERE n = 2")
 def _(t):
     return M.adjacency(t("mesh_faces"))
@@ -160,12 +136,6 @@ def _(t):
     return tri(t).select("fid", F.when(right >= 3 - right, 1).otherwise(0).alias("child"))
 
 
-@query("msh_16_seam_split", "SELECT fid, k, vid, dense_rank() OVER (PARTITION BY vid ORDER BY fid % 3) - 1 AS copy FROM (SELECT fid, 0 AS k, v0 AS vid FROM mesh_faces UNION ALL SELECT fid, 1, v1 FROM mesh_faces UNION ALL SELECT fid, 2, v2 FROM mesh_faces)")
-def _(t):
-    uv = F.col("fid") % 3
-    return M.corners(t("mesh_faces")).withColumn("copy", F.dense_rank().over(W.partitionBy("vid").orderBy(uv)).cast("long") - 1)
-
-
 @query("agg_22_totals", "SELECT CAST(sum(nvert) AS BIGINT) AS nvert, CAST(sum(nface) AS BIGINT) AS nface FROM dag_nodes")
 def _(t):
     return t("dag_nodes").agg(F.sum("nvert").alias("nvert"), F.sum("nface").alias("nface"))

@@ -34,60 +34,22 @@ def _(t):
     return t("splats").groupBy("node").agg(F.count("*").alias("n"))
 
 
-@query("agg_14_anchors", "SELECT node, min(x * 0.6 + y * 0.8) AS low, max(x * 0.6 + y * 0.8) AS high FROM splats GROUP BY node")
-def _(t):
-    v = F.col("x") * 0.6 + F.col("y") * 0.8
-    return t("splats").groupBy("node").agg(F.min(v).alias("low"), F.max(v).alias("high"))
-
-
 @query("agg_17_spacing", "SELECT node, round(8 * sqrt(power((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 2.0::DOUBLE / 3) / count(*)), 4) AS spacing FROM splats GROUP BY node")
 def _(t):
     return P.spacing(t("splats"), ["node"]).select("node", F.round("spacing", 4).alias("spacing"))
 
 
-@query("agg_30_quantised_range", "SELECT CAST(min(floor(x / 4.0 + 0.5)) AS BIGINT) AS low, CAST(max(floor(x / 4.0 + 0.5)) AS BIGINT) AS high FROM splats")
-def _(t):
-    q = G.grid(F.col("x"), 2)
-    return t("splats").agg(F.min(q).alias("low"), F.max(q).alias("high"))
-
-
-@query("agg_12_cone_histogram", "SELECT node, CAST(floor(49 * acos(greatest(-1.0, least(1.0, (x * 0.6 + y * 0.8) / sqrt(x * x + y * y + z * z)))) / pi()) AS BIGINT) AS bin, count(*) AS n FROM splats WHERE x * x + y * y + z * z > 0 GROUP BY 1, 2")
-def _(t):
-    p = G.vec()
-    cos = (F.col("x") * 0.6 + F.col("y") * 0.8) / G.norm(p)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
-    return t("splats").where(G.dot(p, p) > 0).groupBy("node", F.floor(49 * angle / F.pi()).alias("bin")).agg(F.count("*").alias("n"))
-
-
 @query("flt_03_in_box", "SELECT pid FROM splats WHERE x >= 5 AND x < 20 AND y >= 1 AND y < 6 AND z >= 0 AND z < 4")
 def _(t):
     return t("splats").where(G.in_box(G.vec(), (5, 1, 0), (20, 6, 4))).select("pid")
 
 
-@query("flt_24_tight_spheres", "SELECT s.node, max((s.x - 25) * (s.x - 25) + (s.y - 5) * (s.y - 5)) AS d2 FROM splats s GROUP BY s.node HAVING max((s.x - 25) * (s.x - 25) + (s.y - 5) * (s.y - 5)) > 600")
-def _(t):
-    d2 = (F.col("x") - 25) * (F.col("x") - 25) + (F.col("y") - 5) * (F.col("y") - 5)
-    return t("splats").groupBy("node").agg(F.max(d2).alias("d2")).where("d2 > 600")
-
-
-@query("jon_11_nearest", f"WITH {PTS}, q AS (SELECT * FROM p WHERE id % 10 = 0), m AS (SELECT q.id AS q, p.id AS p, {D2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, p.id) AS rank FROM q, p) SELECT q, p, round(d2, 4) AS d2, CAST(rank AS INT) AS rank FROM m WHERE rank <= 4")
-def _(t):
-    p = pts(t)
-    return P.nearest(p.where("id % 10 = 0"), p, 4, 2.0).select("q", "p", F.round("d2", 4).alias("d2"), "rank")
-
-
 @query("jon_12_within", f"WITH {PTS}, q AS (SELECT * FROM p) SELECT q.id AS q, p.id AS p, round({D2}, 4) AS d2 FROM q, p WHERE {D2} < 2.25")
 def _(t):
     p = pts(t)
     return P.within(p, p, 1.5).select("q", "p", F.round("d2", 4).alias("d2"))
 
 
-@query("jon_13_closest", f"WITH {PTS}, q AS (SELECT id, x + 0.3 AS x, y, z FROM p WHERE id % 7 = 0), m AS (SELECT q.id AS q, p.id AS p, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, p.id) AS r FROM q, p) SELECT q, p FROM m WHERE r = 1")
-def _(t):
-    p = pts(t)
-    return P.nearest(p.where("id % 7 = 0").withColumn("x", F.col("x") + 0.3), p, 1, 1.0).select("q", "p")
-
-
 # All points are queries; SQL would compare every pair.
 @query("jon_11_all_nearest", None)
 def _(t):
@@ -101,13 +63,6 @@ def _(t):
     return P.nearest(p.withColumn("x", F.col("x") + 0.3), p, 1, 1.0).select("q", "p")
 
 
-@query("jon_14_ray_hits", "SELECT node, round(cx * 0.6 + cy * 0.8, 4) AS along FROM dag_nodes WHERE (cx * cx + cy * cy + cz * cz) - (cx * 0.6 + cy * 0.8) * (cx * 0.6 + cy * 0.8) <= 9 AND cx * 0.6 + cy * 0.8 > 0")
-def _(t):
-    center = (F.col("cx"), F.col("cy"), F.col("cz"))
-    along = F.col("cx") * 0.6 + F.col("cy") * 0.8
-    return t("dag_nodes").where((G.dot(center, center) - along * along <= 9) & (along > 0)).select("node", F.round(along, 4).alias("along"))
-
-
 @query("jon_07_box_overlap", """WITH b AS (SELECT node AS id, cx - 0.6 AS min_x, cx + 0.6 AS max_x, cy - 0.6 AS min_y, cy + 0.6 AS max_y, cz - 0.6 AS min_z, cz + 0.6 AS max_z FROM dag_nodes)
 SELECT a.id AS a, b.id AS b FROM b a, b b WHERE a.id < b.id AND a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y AND a.min_z <= b.max_z AND b.min_z <= a.max_z""")
 def _(t):
@@ -123,37 +78,6 @@ def _(t):
     return P.route(cells, s.select("pid", "x", "y", "z")).select("pid", "cell")
 
 
-@query("msh_05_route_by_split", "SELECT pid, CASE WHEN x < 25 THEN 0 ELSE 1 END AS side FROM splats")
-def _(t):
-    return t("splats").select("pid", F.when(F.col("x") < 25, 0).otherwise(1).alias("side"))
-
-
-@query("jon_09_coincident", "SELECT x, y, z, count(DISTINCT node) AS nodes FROM splats GROUP BY x, y, z HAVING count(DISTINCT node) > 1")
-def _(t):
-    return t("splats").groupBy("x", "y", "z").agg(F.countDistinct("node").alias("nodes")).where("nodes > 1")
-
-
-@query("agg_35_unify_normals", "SELECT x, y, z, CAST(sum(node) AS BIGINT) AS total FROM splats GROUP BY x, y, z HAVING count(*) > 1")
-def _(t):
-    return t("splats").groupBy("x", "y", "z").agg(F.sum("node").alias("total"), F.count("*").alias("n")).where("n > 1").drop("n")
-
-
-@query("agg_36_finest_value", "SELECT x, y, z, max(pid) AS pid FROM splats GROUP BY x, y, z")
-def _(t):
-    return t("splats").groupBy("x", "y", "z").agg(F.max_by("pid", F.struct("pid")).alias("pid"))
-
-
-@query("udx_09_cell_average", "SELECT CAST(floor(x / 5) AS BIGINT) AS cell, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM splats GROUP BY 1")
-def _(t):
-    return t("splats").groupBy(F.floor(F.col("x") / 5).alias("cell")).agg(F.round(F.avg("y"), 4).alias("y"), F.round(F.avg("z"), 4).alias("z"))
-
-
 @query("udx_11_attributes", "SELECT vid, r + g + b AS brightness FROM mesh_vertices")
 def _(t):
     return t("mesh_vertices").withColumn("brightness", F.col("r") + F.col("g") + F.col("b")).select("vid", "brightness")
-
-
-@query("prj_18_node_descriptor", "SELECT node, count(*) AS nvert, round((min(x) + max(x)) / 2, 4) AS cx, round((max(x) - min(x)) / 2, 4) AS half FROM splats GROUP BY node")
-def _(t):
-    mid, half = (F.min("x") + F.max("x")) / 2, (F.max("x") - F.min("x")) / 2
-    return t("splats").groupBy("node").agg(F.count("*").alias("nvert"), F.round(mid, 4).alias("cx"), F.round(half, 4).alias("half"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import colour as C
 from ..functions import geometry as G
-from . import query, register_scalar
+from . import register_scalar
 
 big = lambda e: f"CAST({e} AS BIGINT)"
 PLANES = [(1.0, 0.0, 0.0, -2.0), (-1.0, 0.0, 0.0, 15.0), (0.0, 1.0, 0.0, -3.0), (0.0, -1.0, 0.0, 40.0)]
@@ -55,52 +55,33 @@ def define(F, G, B, C, scalar):
     scalar("fn_m05_dequantise", "splats", "pid", {"v": ((G.grid(c("x"), 2) + 3) * F.lit(4.0), "(floor(x / 4.0 + 0.5) + 3) * 4.0")})
     scalar("fn_m06_ilog2", "dag_nodes", "node", {"v": (B.ilog2(c("node")), "CASE WHEN node = 0 THEN 0 ELSE CAST(floor(log2(node)) AS INT) END")})
     scalar("fn_m07_needed_bits", "dag_nodes", "node", {"v": (B.needed_bits(c("node") - 700), "CAST(CASE WHEN node - 700 IN (0, -1) THEN 1 WHEN node > 700 THEN length(bin(node - 700)) + 1 ELSE length(bin(699 - node)) + 1 END AS INT)")})
-    scalar("fn_m08_screen_error", "dag_nodes", "node", {"v": (F.round(G.screen_error(c("error"), G.norm((c("cx"), c("cy"), c("cz"))), 0.002), 4), "round(error / greatest(0.002 * greatest(sqrt(cx * cx + cy * cy + cz * cz), 0.1), 1e-6), 4)")})
-    scalar("fn_m09_resolution", "dag_nodes", "node", {"v": (F.lit(0.002) * c("cx"), "CAST(0.002 AS DOUBLE) * cx")})
     CENTER = (c("cx"), c("cy"), c("cz"))
     scalar("fn_m10_planes_distance", "dag_nodes", "node", {"v": (F.round(G.planes_distance(CENTER, c("tight_radius"), PLANES), 4), f"round(least({', '.join(_DIST)}), 4)")})
     _DD = "(cx * cx + cy * cy + cz * cz)"
     scalar("fn_m13_ray_sphere", "dag_nodes", "node", {"v": (F.round(G.ray_sphere(CENTER, c("tight_radius") * 3, (0, 0, 0), (0.6, 0.8, 0.0)), 4), f"round(CASE WHEN {_DD} <= 9 * tight_radius * tight_radius THEN 0 WHEN cx * 0.6 + cy * 0.8 > 0 AND {_DD} - (cx * 0.6 + cy * 0.8) * (cx * 0.6 + cy * 0.8) <= 9 * tight_radius * tight_radius THEN (cx * 0.6 + cy * 0.8) - sqrt(greatest(9 * tight_radius * tight_radius - ({_DD} - (cx * 0.6 + cy * 0.8) * (cx * 0.6 + cy * 0.8)), 0)) END, 4)")})
-    scalar("fn_m14_distance_error", "dag_nodes", "node", {"v": (F.round(c("error") / F.greatest(G.norm(CENTER) - c("tight_radius"), F.lit(0.1)), 4), f"round(error / greatest(sqrt{_DD} - tight_radius, 0.1), 4)")})
-    scalar("fn_m15_cone_pack", "splats", "pid", {"v": (G.pack_unit(c("y") / 5 - 1), "CAST(trunc(greatest(least(y / 5 - 1, 1.0), -1.0) * 32766.0) AS INT)")})
     scalar("fn_m16_normal_pack", "splats", "pid", {"v": ((c("y") / 16 * 32766).cast("int"), "CAST(trunc(y / 16 * 32766) AS INT)")})
-    scalar("fn_m17_normal_z", "splats", "pid", {"v": (F.round(F.sqrt(F.greatest(F.lit(0.0), 32767.0 * 32767.0 - c("x") * c("x") * 1e5)), 4), "round(sqrt(greatest(0.0, 32767.0::DOUBLE * 32767.0::DOUBLE - x * x * 1e5)), 4)")})
     scalar("fn_m18_clamp_split", "dag_nodes", "node", {"v": (F.round(G.clamp_split(c("cx"), F.lit(0.0), c("cx") + c("cy"), 0.333), 4), "round(least(greatest(cx, (cx + cy) * ((1 - 0.333::DOUBLE) / 2)), (cx + cy) * ((1 + 0.333::DOUBLE) / 2)), 4)")})
     scalar("fn_m19_longest_axis", "mesh_vertices", "vid", {"axis": (G.longest_axis(c("x"), c("y"), c("z")), "CASE WHEN x > y AND x > z THEN 0 WHEN NOT (x > y) AND y > z THEN 1 ELSE 2 END")})
-    scalar("fn_m20_box_algebra", "dag_nodes", "node", {"low": (F.least(c("cx"), c("cy")), "least(cx, cy)"), "high": (F.greatest(c("cx"), c("cy") + 2), "greatest(cx, cy + 2)"), "meets": ((c("cx") <= 10.0) & (c("cx") + 2 >= 5.0), "cx <= 10 AND cx + 2 >= 5")})
-    scalar("fn_m21_sphere_algebra", "dag_nodes", "node", {"holds": (G.distance2(CENTER, (F.lit(10.0), F.lit(10.0), F.lit(2.0))) <= c("radius") * c("radius"), "(cx - 10) * (cx - 10) + (cy - 10) * (cy - 10) + (cz - 2) * (cz - 2) <= radius * radius")})
-    scalar("fn_m22_quadric", "mesh_vertices", "vid", {"v": (F.round(F.pow(G.plane_distance(P, (0.6, 0.8, 0.0, -3.0)), 2), 4), "round(power(x * 0.6 + y * 0.8 + z * 0 - 3, 2), 4)")})
     scalar("fn_m23_zigzag", "dag_nodes", "node", {"u": (B.zigzag(c("node") - 500), "CASE WHEN node < 500 THEN -2 * (node - 500) - 1 ELSE 2 * (node - 500) END"), "back": (B.unzigzag(B.zigzag(c("node") - 500)), "node - 500")})
     scalar("fn_m24_round_up_pow2", "dag_nodes", "node", {"v": (B.round_up_pow2(c("node")), big("CASE WHEN node <= 1 THEN 1 ELSE power(2, length(bin(node - 1))) END"))})
     scalar("fn_b01_morton", "splats", "pid", {"code": (M, M_SQL)})
     UNIT = {a: F.floor(c(a) / 51 * 64) for a in "xyz"}
     scalar("fn_b02_morton_in_box", "splats", "pid", {"code": (B.morton(UNIT["x"], UNIT["y"], UNIT["z"], 6), _morton_sql("floor(x / 51 * 64)", "floor(y / 51 * 64)", "floor(z / 51 * 64)", 6))})
-    scalar("fn_b03_morton_decode", "splats", "pid", {f"d{a}": (B.morton_axis(M, k, 6), f"CAST(trunc({a}) AS BIGINT) & 63" if a != "x" else big("CAST(trunc(x) AS BIGINT) & 63")) for k, a in enumerate("xyz")}, where="y = floor(y) AND z = floor(z)")
-    scalar("fn_b04_morton_2d", "dag_nodes", "node", {"v": (B.morton_axis(c("node"), 1, 8, 2), " | ".join(f"(((node >> {2 * i + 1}) & 1) << {i})" for i in range(8)))})
     scalar("fn_b05_highest_difference", "dag_nodes", "node", {"v": (B.highest_difference(c("node"), c("node") + 5), "CAST(length(bin(xor(node, node + 5))) - 1 AS INT)")})
     scalar("fn_b06_bit_ops", "dag_nodes", "node", {"s": (B.set_bit(c("node"), 3), big("node | 8")), "cl": (B.clear_bit(c("node"), 1), big("node & ~2")), "t": (B.test_bit(c("node"), 2), "(node & 4) <> 0")})
     scalar("fn_b09_flags", "dag_nodes", "node", {"textured": (c("node").bitwiseAND(F.lit(1)) != 0, "(node & 1) <> 0"), "packed": (c("node").bitwiseAND(F.lit(6)) != 0, "(node & 6) <> 0")})
     scalar("fn_s05_range_header", "dag_nodes", "node", {"h": (F.format_string("bytes=%d-%d", c("node") * 256, c("node") * 256 + c("size_bytes") - 1), "'bytes=' || CAST(node * 256 AS VARCHAR) || '-' || CAST(node * 256 + size_bytes - 1 AS VARCHAR)")})
     scalar("fn_s03_suffix", "part", "p_partkey", {"is_plate": (c("p_type").endswith("STEEL"), "suffix(p_type, 'STEEL')"), "file": (F.concat(F.regexp_replace("p_name", r"\s.*$", ""), F.lit(".ply")), "regexp_replace(p_name, '\\s.*$', '') || '.ply'")})
-    scalar("fn_s06_scheme", "part", "p_partkey", {"http": (F.concat(F.when(c("p_size") > 25, F.lit("http://")).otherwise(F.lit("file://")), c("p_brand")).startswith("http://"), "p_size > 25"), "rest": (F.substring(F.concat(F.lit("http://"), c("p_brand")), 8, 1000), "p_brand")})
     scalar("fn_s02_line_tokens", "mesh_faces", "fid", {"a": (F.split(F.split(F.concat_ws(" ", F.lit("f"), F.concat(c("v0") + 1, F.lit("/7/9")), c("v1") + 1), " ")[1], "/")[0].cast("long") - 1, "v0")})
-    scalar("prj_10_row_width", "dag_nodes", "node", {"width": (c("nvert") * 12 + c("nface") * 6, "nvert * 12 + nface * 6")})
     scalar("prj_13_affine", "mesh_vertices", "vid", {n: (F.round(v, 6), f"round({e}, 6)") for n, v, e in zip(("tx", "ty", "tz"), G.affine(P, [2, 0, 0, 1, 0, 3, 0, -1, 0, 0, 0.5, 4, 0, 0, 0, 1]), ("2 * x + 1", "3 * y - 1", "0.5 * z + 4"), strict=True)})
-    scalar("prj_14_matrix_literal", "region", "r_regionkey", {"m": (F.element_at(F.transform(F.split(F.lit("1:0:0:5:0:1:0:0:0:0:1:0:0:0:0:1"), ":"), lambda v: v.cast("double")), 4), "CAST(string_split('1:0:0:5:0:1:0:0:0:0:1:0:0:0:0:1', ':')[4] AS DOUBLE)")})
-    scalar("prj_19_debug_colour", "dag_nodes", "node", {"r": (F.pmod(F.pmod(c("node"), F.lit(11)) * 171, F.lit(63)) + 63, "(node % 11) * 171 % 63 + 63")})
     scalar("snk_09_pad", "dag_nodes", "node", {"padded": (G.pad(c("nface") * 6 + 1), big("(((nface * 6 + 1) - 1) // 256) * 256 + 256"))})
     scalar("flt_20_tiny_normal", "splats", "pid", {"nx": (F.when(G.norm(P) < 5, F.lit(1.0)).otherwise(c("x")), "CASE WHEN sqrt(x * x + y * y + z * z) < 5 THEN 1.0 ELSE x END")})
-    scalar("flt_12_backface", "dag_nodes", "node", {"back": (G.backface((F.lit(0.0), F.lit(0.0), F.lit(32766.0)), F.lit(3276.6), CENTER, c("tight_radius"), (0.0, 0.0, -5.0)), "(cz + 5 - tight_radius - 3276.6::DOUBLE / 32766 * sqrt(cx * cx + cy * cy + (cz + 5) * (cz + 5)) >= 0.001) AND power(cz + 5 - tight_radius - 3276.6::DOUBLE / 32766 * sqrt(cx * cx + cy * cy + (cz + 5) * (cz + 5)), 2) >= 0.01 * (cx * cx + cy * cy + (cz + 5) * (cz + 5))")})
-    scalar("flt_13_frontface", "dag_nodes", "node", {"front": (~(G.dot(CENTER, (F.lit(0.0), F.lit(0.6), F.lit(0.8))) - c("tight_radius") > 3), "NOT (cy * 0.6 + cz * 0.8 - tight_radius > 3)")})
-    scalar("flt_16_float_precision", "dag_nodes", "node", {"bits": (F.round(F.log2(c("tight_radius")) - F.log2(F.abs(c("cx")) + 1) + 24, 4), "round(log2(tight_radius) - log2(abs(cx) + 1) + 24, 4)")})
     RGB = (c("r"), c("g"), c("b"))
     scalar("fn_c01_to_ycc", "mesh_vertices", "vid", {n: (v, e) for n, v, e in zip(("y0", "cb", "cr"), C.to_ycc(*RGB), ("g", "((b - g) % 256 + 256) % 256", "((r - g) % 256 + 256) % 256"), strict=True)})
     scalar("fn_c02_round_trip", "mesh_vertices", "vid", {n: (v, n[0]) for n, v in zip(("r1", "g1", "b1"), C.from_ycc(*C.to_ycc(*RGB)), strict=True)})
     scalar("fn_c03_quantise", "mesh_vertices", "vid", {"q": (C.quantise(c("r"), 8), "(r // 8) * 8")})
     scalar("fn_c04_ramp", "mesh_vertices", "vid", {"g0": (C.ramp(c("z"), 0.0, 8.0)[1], "CAST(floor(CASE WHEN least(z / 8, 1.0) * 4 < 1 THEN 255 * (least(z / 8, 1.0) * 4) WHEN least(z / 8, 1.0) * 4 < 3 THEN 255.0 ELSE 255 * (1 - (least(z / 8, 1.0) * 4 - 3)) END) AS INT)")})
-    scalar("fn_c06_hsv", "mesh_vertices", "vid", {"p": (F.round(C.hsv(F.lit(0.0), c("g") / 256.0, c("b") / 256.0)[1], 4), "round(b / 256.0::DOUBLE * (1 - g / 256.0::DOUBLE), 4)")})
     scalar("fn_c08_gray_lerp", "mesh_vertices", "vid", {"gray": (C.gray(c("z") / 8), "CAST(floor(least(z / 8, 1.0) * 255) AS INT)"), "mid": (C.lerp(c("r"), c("g"), F.lit(0.25)), "r * 0.75::DOUBLE + g * 0.25::DOUBLE")})
-    scalar("cod_04_residual_class", "dag_nodes", "node", {"class": (B.ilog2(B.zigzag(c("node") - 300) + 1), "CAST(length(bin((CASE WHEN node < 300 THEN -2 * (node - 300) - 1 ELSE 2 * (node - 300) END) + 1)) - 1 AS INT)")})
     scalar("win_09_ruler_level", "dag_nodes", "node", {"level": (B.trailing_zeros(c("node")), "CAST(CASE WHEN node = 0 THEN 0 ELSE length(bin(node & -node)) - 1 END AS INT)")})
     scalar("msh_09_alternate_split", "dag_nodes", "node", {"ratio": (F.when(B.ilog2(c("node") + 1) % 2 == 1, F.lit(0.3333)).otherwise(F.lit(0.6666)), "CAST(CASE WHEN (length(bin(node + 1)) - 1) % 2 = 1 THEN 0.3333 ELSE 0.6666 END AS DOUBLE)")})
     scalar("msh_19_texture_size", "dag_nodes", "node", {"w": (F.greatest(F.lit(1).cast("long"), F.floor(c("nvert") / F.sqrt(F.lit(2.0)))), big("greatest(1, floor(nvert / sqrt(2.0::DOUBLE)))"))})
@@ -114,9 +95,3 @@ def _columns(name: str) -> dict:
 
 
 define(*(_Any() for _ in range(4)), lambda *args, **kwargs: register_scalar(_columns, *args, **kwargs))
-
-
-@query("fn_s01_header_textures", "SELECT p_partkey, 'tex' || CAST(p_size AS VARCHAR) || '.png' AS texture FROM part")
-def _(t):
-    header = F.concat(F.lit("ply\nformat ascii 1.0\ncomment TextureFile tex"), F.col("p_size"), F.lit(".png\nend_header\n"))
-    return t("part").select("p_partkey", F.explode(F.regexp_extract_all(header, F.lit(r"comment TextureFile (\S+)"), F.lit(1))).alias("texture"))

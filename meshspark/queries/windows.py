@@ -39,21 +39,6 @@ def _(t):
     return running(d, ["node"], {"s": "padded"}).select("node", (c("s") - c("padded")).alias("at"))
 
 
-@query("prj_16_offset_spans", f"SELECT node, CAST({PAD} AS BIGINT) AS size FROM dag_nodes")
-def _(t):
-    from ..functions.geometry import pad
-
-    d = t("dag_nodes").withColumn("padded", pad(c("nface") * 6))
-    ends = running(d, ["node"], {"s": "padded"})
-    return ends.select("node", (c("s") - (c("s") - c("padded"))).alias("size"))
-
-
-@query("prj_17_last_patch", "SELECT node, CAST(coalesce(n, 0) AS BIGINT) AS patches FROM dag_nodes LEFT JOIN (SELECT src, count(*) AS n FROM dag_patches GROUP BY src) ON src = node")
-def _(t):
-    n = t("dag_patches").groupBy(c("src").alias("node")).agg(F.count("*").alias("n"))
-    return t("dag_nodes").join(n, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("patches"))
-
-
 @query("win_05_reverse", "SELECT (SELECT count(*) FROM dag_nodes) - 1 - node AS node, error FROM dag_nodes")
 def _(t):
     n = t("dag_nodes").count()
@@ -89,15 +74,6 @@ def _(t):
     return t("splats").select("x", "y", "z").distinct()
 
 
-@query("win_12_smoothed_path", "SELECT a.vid, round(sum(exp(-0.1 * (b.vid - a.vid) * (b.vid - a.vid)) * b.z) / sum(exp(-0.1 * (b.vid - a.vid) * (b.vid - a.vid))), 4) AS z FROM mesh_vertices a JOIN mesh_vertices b ON b.vid - a.vid BETWEEN -6 AND 5 GROUP BY a.vid")
-def _(t):
-    v = t("mesh_vertices").select("vid", "z")
-    shifted = v.select(F.explode(F.sequence(F.lit(-6), F.lit(5))).alias("k"), (c("vid") - c("k")).alias("at"), "z")
-    w = F.exp(-0.1 * c("k") * c("k"))
-    out = shifted.groupBy(c("at").alias("vid")).agg(F.round(F.sum(w * c("z")) / F.sum(w), 4).alias("z"))
-    return out.join(v.select("vid"), "vid", "left_semi").select("vid", "z")
-
-
 @query("srt_01_error_order", "SELECT node, row_number() OVER (ORDER BY error DESC, node) AS place FROM dag_nodes")
 def _(t):
     return running(t("dag_nodes"), ["error", "node"], number="place", descending=True).select("node", "place")
@@ -175,8 +151,3 @@ def _(t):
     first = t("mesh_vertices").groupBy("r").agg(F.min("vid").alias("f"))
     numbered = running(first, ["f", "r"], number="n").select("r", (c("n") - 1).alias("n"))
     return t("mesh_vertices").join(numbered, "r").select("vid", "r", "n")
-
-
-@query("str_22_chunk_offsets", "SELECT node, CAST(sum(size_bytes) OVER (ORDER BY node) - size_bytes AS BIGINT) AS at FROM dag_nodes")
-def _(t):
-    return running(t("dag_nodes"), ["node"], {"s": "size_bytes"}).select("node", (c("s") - c("size_bytes")).alias("at"))

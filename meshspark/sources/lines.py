@@ -5,13 +5,12 @@ A path is one file, or a folder whose files follow each other by name (as `save`
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import new_folder
+
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(line, value), lines from 0 in file order.
@@ -36,6 +35,5 @@ def words(col: str = "value") -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return new_folder(spark, name)
