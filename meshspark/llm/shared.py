@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, materialise, new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="meshspark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.shared_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Free the disk of materialised tables that nothing reads any more: an empty table takes their place."""
-    for t in tables:
-        t.sparkSession.range(0).write.mode("overwrite").parquet(t.shared_path)
+__all__ = ["discard", "load", "materialise", "new_folder", "shared_dir", "small_batches", "text_bytes"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
