@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of different n-grams (64-bit hashes).  Equal sets are one *class*.
 2. N-grams are counted: chunks of texts send their n-grams to buckets (ranges of hashes, sized by the
-   input), each once per chunk however often it stands there, with its count; those that occur once
+   input), each once per chunk however often it stands there (with its count); those that occur once
    come back no more.  A class of n grams of which fewer than the least overlap are shared has no partner.
 3. The global order is by rising count, then hash; counts of 65535 and more rank alike, which no link
    depends on.  Two classes that are similar enough share an n-gram
@@ -115,34 +115,44 @@ def _send(texts: list[pa.Array], chunk: int, buckets: int, k: int) -> pa.Table:
     some, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(grams))[: len(some)]
     small = np.uint16 if keep.sum() <= 1 << 16 else np.uint32
-    # What the chunk keeps for itself: its sets, and which of them hold each n-gram.
-    rows = [(chunk % buckets, chunk, True, planes(sid[keep]), n[keep].astype(np.uint32).tobytes(), np.dtype(small).str.encode() + own.astype(small).tobytes())]
-    rows += [(int(x), chunk, False, planes(grams[s:e]), times[s:e].tobytes(), None) for x, s, e in zip(some, first, ends, strict=True)]
+    # An n-gram of one set goes with the set; one of several goes once, with their number, and which sets
+    # they are stays with the chunk.
+    light = times == 1
+    kind = np.dtype(small).str.encode()
+    rows = [(chunk % buckets, chunk, True, planes(sid[keep]), n[keep].astype(np.uint32).tobytes(), kind + own[~np.repeat(light, times)].astype(small).tobytes())]
+    single = own[at].astype(small)
+    for x, s, e in zip(some, first, ends, strict=True):
+        one, many = np.flatnonzero(light[s:e]) + s, np.flatnonzero(~light[s:e]) + s
+        rows.append((int(x), chunk, False, planes(grams[one]), single[one].tobytes(), kind))
+        if len(many):
+            rows.append((int(x), chunk, False, planes(grams[many]), times[many].tobytes(), b"many"))
     return _rows(rows)
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """What a bucket got: counts go back to the chunks, and the n-grams that two sets or more have."""
+    """What a bucket got: n-grams of two sets and more go back to their chunks, with their counts."""
     rows = table.select(["bucket", "chunk", "info", "a", "b", "c"]).to_pylist()
     back = [tuple(r.values()) for r in rows if r["info"]]
     sent = [r for r in rows if not r["info"]]
     if sent:
         blocks = [from_planes(r["a"]) for r in sent]
         keys = np.concatenate(blocks)
-        own = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in sent])
+        here = np.concatenate([np.frombuffer(r["b"], np.uint32).astype(np.int64) if r["c"] == b"many" else np.ones(len(x), np.int64) for r, x in zip(sent, blocks, strict=True)])
         order = np.argsort(keys, kind="stable")
         s = keys[order]
         head = np.ones(len(s), bool)
         head[1:] = s[1:] != s[:-1]
-        total = np.add.reduceat(own[order].astype(np.int64), np.flatnonzero(head))
+        total = np.add.reduceat(here[order], np.flatnonzero(head)) if len(s) else here
         n = np.empty(len(keys), np.int64)
         n[order] = total[np.cumsum(head) - 1]
         ends = np.cumsum([len(x) for x in blocks])
         for r, keys, e in zip(sent, blocks, ends, strict=True):
             times = np.minimum(n[e - len(keys) : e], 65535).astype(np.uint16)
-            some = times > 1
-            # Counts of 1 and of the n-grams in this chunk: rows of ones and zeros, which compress well.
-            back.append((r["bucket"], r["chunk"], False, planes(keys[some]), r["b"], np.where(some, times, 0).astype(np.uint16).tobytes()))
+            if r["c"] == b"many":
+                back.append((r["bucket"], r["chunk"], False, r["a"], r["b"], b"many" + times.tobytes()))
+            elif (some := times > 1).any():
+                own = np.frombuffer(r["b"], r["c"].decode())[some]
+                back.append((r["bucket"], r["chunk"], False, planes(keys[some]), own.tobytes(), r["c"] + times[some].tobytes()))
     return _rows(back)
 
 
@@ -155,16 +165,25 @@ def _survivors(table: pa.Table, percent: int) -> pa.Table:
     rows = table.to_pylist()
     info = [r for r in rows if r["info"]][0]
     sid, n = from_planes(info["a"]).view(np.int64), np.frombuffer(info["b"], np.uint32).astype(np.int64)
-    got = sorted((r for r in rows if not r["info"]), key=lambda r: r["bucket"])  # rising n-grams, as `own` has them
+    got = sorted((r for r in rows if not r["info"]), key=lambda r: r["bucket"])  # rising n-grams
     out = []
     if got:
-        kind = np.dtype(info["c"][:3].decode())
-        own = np.frombuffer(info["c"][3:], kind).astype(np.int64)
-        here = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in got]).astype(np.int64)
-        times = np.concatenate([np.frombuffer(r["c"], np.uint16) for r in got])
-        some = np.repeat(times > 1, here)
-        keys = np.repeat(np.concatenate([from_planes(r["a"]) for r in got]), here[times > 1])
-        own, times = own[some], np.repeat(times, here)[some]
+        kind = info["c"][:3].decode()
+        keys, own, times, kept = [], [], [], 0
+        several = np.frombuffer(info["c"][3:], kind)  # sets of the n-grams that went once for several
+        for r in got:
+            g = from_planes(r["a"])
+            if r["c"].startswith(b"many"):
+                here = np.frombuffer(r["b"], np.uint32).astype(np.int64)
+                keys.append(np.repeat(g, here))
+                times.append(np.repeat(np.frombuffer(r["c"][4:], np.uint16), here))
+                own.append(several[kept : kept + int(here.sum())])
+                kept += int(here.sum())
+            else:
+                keys.append(g)
+                times.append(np.frombuffer(r["c"][3:], np.uint16))
+                own.append(np.frombuffer(r["b"], kind))
+        keys, own, times = np.concatenate(keys), np.concatenate(own).astype(np.int64), np.concatenate(times)
         shared = np.bincount(own, minlength=len(n))
         fit = shared >= least_overlap(n, percent)
         keep = fit[own]
