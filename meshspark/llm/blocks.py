@@ -88,7 +88,7 @@ def ranked(chunks: DataFrame, keys: Keys, mode: str, name: str) -> tuple[DataFra
                 else:
                     part = np.zeros(len(places), np.int64)
                 some, first = np.unique(part, return_index=True)
-                ends = np.append(first[1:], len(part))
+                ends = np.append(first[1:], len(part))[: len(some)]
                 made = [(int(p), r["chunk"], total[-1][s:e].tobytes(), np.concatenate([c[s:e] for c in total[:-2]]).tobytes(), len(cols)) for p, s, e in zip(some, first, ends, strict=True)]
                 names, types = [x.split()[0] for x in SENT.split(", ")], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 5, types, strict=True)], names=names)

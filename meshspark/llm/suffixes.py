@@ -6,9 +6,9 @@
    less than a window), the windows behind the first period equal the ones before them, byte for byte:
    they are marked at once and cut out.  Equal runs (128-bit digest) become one, and a run that stands
    there twice is covered as a whole.
-2. Runs are cut into phrases at anchors, places that the bytes around them decide (`Anchors`).  So equal
-   windows hold the same anchor and, from it on, the same phrases; each window belongs to one anchor.
-   Phrases get names in rising byte order.
+2. Runs are cut into phrases at anchors, places that their next bytes decide (`Anchors`).  So equal windows
+   hold the same anchors and the same phrases between them; each window belongs to one anchor.  Phrases
+   get names in rising byte order.
 3. The suffixes that start at anchors are sorted by the difference cover {1, 2} modulo 3 over phrases:
    triples of names at places 1 and 2 modulo 3 get names in rising order; the strings of names are sorted
    the same way, until they cover `length` bytes or are all different; then the remaining suffixes
@@ -63,33 +63,42 @@ class Candidates:
     def __init__(self, table: pa.Table, length: int):
         self.buf, self.off = text_buffer(table.column("text"))
         piece = min(PIECE, length)
-        at, stand, pieces = [], [], []
+        width = length - piece + 1  # pieces of a window
+        at, n, stand, pieces = [], [], [], []
         for i, j in slices(self.off):
             b, o = self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
             w = _starts(o, length)
-            if len(w):
-                sums = prefix_sums(BYTE_VALUES[b], BYTE_POWERS)
-                g = np.full(len(b) + length, LAST, U64)
-                p = _starts(o, piece)
-                g[p] = byte_window_hashes(sums, p, piece)
-                at.append(w + self.off[i])
-                # Least hashes lie close together; mixed again, keys fill all buckets alike.
-                stand.append(mix(_lowest(g, length - piece + 1)[w]))
-                pieces.append(mix(g[p]))
+            if not len(w):
+                continue
+            p = _starts(o, piece)
+            g = np.full(len(b) + length, LAST, U64)
+            g[p] = byte_window_hashes(prefix_sums(BYTE_VALUES[b], BYTE_POWERS), p, piece)
+            low = _lowest(g, width)[w]
+            # Neighbouring windows mostly share their piece: they go on as one row.
+            head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (np.diff(w) != 1)))
+            at.append(w[head] + self.off[i])
+            n.append(np.diff(np.append(head, len(w))))
+            stand.append(low[head])
+            # Pieces that stand for a window: the greatest least hash of the windows around is theirs.
+            least = np.zeros(len(b) + length, U64)
+            least[w + width - 1] = low
+            pieces.append(g[p][~_lowest(~least, width)[p] == g[p]])
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.at, self.stand = join(at, np.int64), join(stand, U64)
+        self.at, self.n = join(at, np.int64), join(n, np.int64)
+        # Least hashes lie close together; mixed again, keys fill all buckets alike.
+        self.stand = mix(join(stand, U64))
         self.keys = np.unique(self.stand)
-        every = np.sort(join(pieces, U64))
+        every = np.sort(mix(join(pieces, U64)))
         self.own = np.searchsorted(every, self.keys, "right") - np.searchsorted(every, self.keys, "left") > 1
 
     def runs(self, elsewhere: np.ndarray, length: int) -> list[tuple[int, int, int]]:
         """(text, first byte, end) of what may repeat."""
         ok = (self.own | elsewhere)[np.searchsorted(self.keys, self.stand)] if len(self.keys) else np.zeros(0, bool)
-        at = self.at[ok]
+        at, end = self.at[ok], (self.at + self.n)[ok]
         doc = np.searchsorted(self.off, at, "right") - 1
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(doc) != 0)) + 1
-        heads, tails = np.append(0, cut)[: len(cut) + (len(at) > 0)], np.append(cut, len(at))[: len(cut) + (len(at) > 0)]
-        return [(int(doc[a]), int(at[a] - self.off[doc[a]]), int(at[b - 1] - self.off[doc[a]]) + length) for a, b in zip(heads, tails, strict=True)]
+        head = np.flatnonzero(np.append(True, (at[1:] != end[:-1]) | (np.diff(doc) != 0))[: len(at)])
+        tail = np.append(head[1:], len(at))[: len(head)] - 1
+        return [(int(doc[a]), int(at[a] - self.off[doc[a]]), int(end[b] - 1 - self.off[doc[a]]) + length) for a, b in zip(head, tail, strict=True)]
 
 
 def _triggers(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -147,36 +156,45 @@ def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
 
 
 class Anchors:
-    """Anchors of a batch of runs (buf[off[r]:off[r + 1]], `length` bytes each at least).
+    """Anchors of a batch of runs (buf[off[r]:off[r + 1]], `length` bytes each at least), in order.
+
+    A trigger is a place whose next TRIGGER bytes have a hash divisible by DENSITY.  Every trigger is an
+    anchor, and a window belongs to its first trigger.  The start of a window without triggers is an anchor
+    of its own.  low and high: the windows of an anchor start that many bytes before it.
 
-    A trigger is a place whose next TRIGGER bytes have a hash divisible by DENSITY.  An anchor is a
-    trigger, or a place `reach` behind the latest trigger or more, where reach is the last place of a
-    window that holds TRIGGER bytes of it.  A window belongs to its first trigger, or without one to its
-    place `reach`.  low and high: the windows of an anchor start that many bytes before it.
+    A trigger's phrase goes up to the end of the next one, or for `length` bytes where that is farther: then
+    no window needs what follows, and the string of phrases ends.  The phrase of a window without triggers is
+    a mark with a digest of the window, a string of its own.  size: anchors of each string.
     """
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, length: int):
         reach = length - TRIGGER
-        first = np.repeat(off[:-1], np.diff(off))
-        end = np.repeat(off[1:], np.diff(off))
+        first, end = (np.repeat(x, np.diff(off)) for x in (off[:-1], off[1:]))
         place = np.arange(len(buf))
         hit = _triggers(buf, off)
-        latest = np.maximum.accumulate(np.where(hit, place, -1)) if len(buf) else place
-        latest = np.where(latest < first, first - 1, latest)  # up to this place; none: before the run
-        before = np.append(-1, latest)[:-1]
-        before = np.where(place == first, first - 1, before)
-        inside = place <= end - TRIGGER
-        dense = inside & ~hit & (place - first >= reach) & (latest <= place - reach)
-        self.at = at = np.flatnonzero(hit | dense)
+        ahead = np.minimum.accumulate(np.where(hit, place, len(buf) + length)[::-1])[::-1] if len(buf) else place
+        alone = (ahead > place + reach) & (place <= end - length)
+        self.at = at = np.flatnonzero(hit | alone)
+        self.hit = hit = hit[at]
         self.run = np.searchsorted(off, at, "right") - 1
         self.first, self.end = first[at], end[at]
-        self.high = np.where(hit[at], np.minimum(reach, at - before[at] - 1), np.where(latest[at] < at - reach, reach, -1))
-        self.low = np.where(hit[at], np.maximum(0, at - (self.end - length)), reach)
-        ahead = np.append(at[1:], 0)
-        same = np.append(self.run[1:] == self.run[:-1], False)[: len(at)]
-        self.phrase_end = np.where(same, ahead + TRIGGER, self.end)
-        #: most anchors in `length` bytes
-        self.most = int((np.searchsorted(at, np.minimum(at + length, self.end)) - np.arange(len(at))).max(initial=0))
+        trigger = np.flatnonzero(hit)
+        before, behind = np.full(len(at), -1), np.full(len(at), len(buf) + length)
+        before[trigger[1:]], behind[trigger[:-1]] = at[trigger[:-1]], at[trigger[1:]]
+        before, behind = np.maximum(before, self.first - 1), np.where(behind < self.end, behind, len(buf) + length)
+        self.high = np.where(hit, np.minimum(reach, at - before - 1), 0)
+        self.low = np.where(hit, np.maximum(0, at - (self.end - length)), 0)
+        self.phrase_end = np.minimum(np.minimum(behind + TRIGGER, at + length), self.end)
+        starts = np.ones(len(at), bool)
+        starts[trigger[1:]] = behind[trigger[:-1]] > at[trigger[:-1]] + reach
+        self.size = np.diff(np.append(np.flatnonzero(starts), len(at)))
+        #: most triggers in `length` bytes
+        t = at[trigger]
+        self.most = int((np.searchsorted(t, np.minimum(t + length, self.end[trigger])) - np.arange(len(t))).max(initial=1))
+
+    def phrases(self, raw: bytes) -> list[bytes]:
+        mark = lambda x: b"\x00" * TRIGGER + hashlib.blake2b(x, digest_size=16).digest()
+        return [raw[p:q] if hit else mark(raw[p:q]) for p, q, hit in zip(self.at.tolist(), self.phrase_end.tolist(), self.hit.tolist(), strict=True)]
 
 
 CHUNK = "chunk long, s binary, n binary, bytes binary"
@@ -208,9 +226,9 @@ def named_phrases(chunks: DataFrame, length: int) -> tuple[DataFrame, int]:
 
     def different(n: np.ndarray, data: bytes) -> tuple[list[bytes], list[list[bytes]], list[np.ndarray], int]:
         found, counts, most = [], [], 0
-        for i, j, a, raw in _parsed(n, data, length):
-            found.append([raw[p:q] for p, q in zip(a.at.tolist(), a.phrase_end.tolist(), strict=True)])
-            counts.append(np.bincount(a.run, minlength=j - i))
+        for _, _, a, raw in _parsed(n, data, length):
+            found.append(a.phrases(raw))
+            counts.append(a.size)
             most = max(most, a.most)
         return sorted({x for f in found for x in f}), found, counts, most
 
@@ -395,23 +413,37 @@ class Suffixes:
         out[row, col] = buf[start[row] + step * col]
         return out
 
+    def _groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each anchor in the order of the bytes before it, read backwards; bytes in common with the one before in it)."""
+        n, most = self.left.shape
+        if not most:
+            return np.arange(n), np.zeros(n, np.int64)
+        order = np.argsort(np.ascontiguousarray(self.left).view(f"V{most}").ravel(), kind="stable")
+        same = self.left[order[1:]] == self.left[order[:-1]]
+        common = np.zeros(n, np.int64)
+        common[1:] = np.where(same.all(1), most, same.argmin(1)) if n > 1 else 0
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        return place, common
+
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """(found, open) by anchor and bytes before it: windows with an equal one in this range, and
         windows that the ranges beside it may hold too."""
         n, most = len(self.s), int(self.high.max(initial=0))
         found, edge = np.zeros((n, most + 1), bool), np.zeros((n, most + 1), bool)
-        group = np.zeros(n, np.int64)  # same bytes before the anchor
+        place, alike = self._groups()
         rows = np.arange(n)
         for d in range(most + 1):
-            if d:
-                rows = rows[self.high[rows] >= d]
-                _, group[rows] = np.unique(group[rows] << 8 | self.left[rows, d - 1], return_inverse=True)
+            rows = rows[self.high[rows] >= d]
             k = rows[self.low[rows] <= d]
             if not len(k):
                 continue
             part = np.cumsum(self.common < self.length - d)  # suffixes that agree as far as a window needs
-            _, back, count = np.unique(part[k] * n + group[k], return_inverse=True, return_counts=True)
-            found[k, d] = count[back] > 1
+            key = part[k] * (n + 1) + np.cumsum(alike < d)[place[k]]  # and that have d bytes before them in common
+            ordered = np.sort(key)
+            twice = ordered[1:][ordered[1:] == ordered[:-1]]
+            at = np.minimum(np.searchsorted(twice, key), max(len(twice) - 1, 0))
+            found[k, d] = twice[at] == key if len(twice) else False
             edge[k, d] = (part[k] == part[0]) | (part[k] == part[-1])
         return found, edge
 
