@@ -48,6 +48,18 @@ WHERE 2 * n.node + k.i < t.n OR (k.i = 1 AND 2 * n.node + 1 >= t.n)""",
         ("mesh_vertices", "mesh_faces"),
         """SELECT CAST(floor(f.v0 / 100) AS BIGINT) AS node, f.fid, f.v0, f.v1, f.v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2
 FROM mesh_faces f JOIN mesh_vertices a ON a.vid = f.v0 JOIN mesh_vertices b ON b.vid = f.v1 JOIN mesh_vertices c ON c.vid = f.v2""",
+    ),
+    "wedges": (
+        ("node_faces",),
+        """SELECT fid, node, k, vid, chart, (x - 10 * chart) / 10 AS u, y / 100 AS v FROM (
+SELECT fid, node, 0 AS k, v0 AS vid, x0 AS x, y0 AS y, CASE WHEN least(x0, x1, x2) >= 10 THEN 1 ELSE 0 END AS chart FROM node_faces UNION ALL
+SELECT fid, node, 1, v1, x1, y1, CASE WHEN least(x0, x1, x2) >= 10 THEN 1 ELSE 0 END FROM node_faces UNION ALL
+SELECT fid, node, 2, v2, x2, y2, CASE WHEN least(x0, x1, x2) >= 10 THEN 1 ELSE 0 END FROM node_faces)""",
+    ),
+    "node_vertices": (
+        ("node_faces", "mesh_vertices"),
+        """SELECT w.node, w.vid, m.x, m.y, m.z, m.r, m.g, m.b, CAST((m.vid * 7919 + w.node * 31) % 2001 - 1000 AS INT) AS nx, CAST((m.vid * 104729 + w.node * 17) % 2001 - 1000 AS INT) AS ny, 32000 AS nz
+FROM (SELECT DISTINCT node, vid FROM (SELECT node, v0 AS vid FROM node_faces UNION ALL SELECT node, v1 FROM node_faces UNION ALL SELECT node, v2 FROM node_faces)) w JOIN mesh_vertices m ON m.vid = w.vid""",
     ),
     "node_index": (
         ("dag_nodes", "dag_patches"),
