@@ -427,10 +427,10 @@ class Suffixes:
         return place, common
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """(found, open) by anchor and bytes before it: windows with an equal one in this range, and
-        windows that the ranges beside it may hold too."""
+        """(found, open): windows with an equal one in this range, by anchor and bytes before it; and (anchor,
+        bytes before it) of windows that the ranges beside it may hold too, one of equal ones."""
         n, most = len(self.s), int(self.high.max(initial=0))
-        found, edge = np.zeros((n, most + 1), bool), np.zeros((n, most + 1), bool)
+        found, edge = np.zeros((n, most + 1), bool), [np.zeros((0, 2), np.int64)]
         place, alike = self._groups()
         rows = np.arange(n)
         for d in range(most + 1):
@@ -444,8 +444,10 @@ class Suffixes:
             twice = ordered[1:][ordered[1:] == ordered[:-1]]
             at = np.minimum(np.searchsorted(twice, key), max(len(twice) - 1, 0))
             found[k, d] = twice[at] == key if len(twice) else False
-            edge[k, d] = (part[k] == part[0]) | (part[k] == part[-1])
-        return found, edge
+            beside = np.flatnonzero((part[k] == part[0]) | (part[k] == part[-1]))
+            one = k[beside[np.unique(key[beside], return_index=True)[1]]]
+            edge.append(np.stack([one, np.full(len(one), d)], 1))
+        return found, np.concatenate(edge)
 
 
 MARKS = "s long, first long, end long, key binary"
@@ -462,10 +464,9 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     rows = [x.s[row], x.at[row] - last + 1, x.at[row] - first + length]
     spans = pa.table([*map(pa.array, rows), pa.nulls(len(row), pa.binary())], names=["s", "first", "end", "key"])
     keys: dict[bytes, tuple] = {}
-    raw = x.raw.to_pylist() if edge.any() else []
-    for r, d in zip(*(a.tolist() for a in np.nonzero(edge)), strict=True):
+    for r, d in edge.tolist():
         h = int(x.high[r])
-        key = hashlib.blake2b(raw[r][h - d : h - d + length], digest_size=16).digest()
+        key = hashlib.blake2b(x.raw[r].as_py()[h - d : h - d + length], digest_size=16).digest()
         keys[key] = (None, None, None) if found[r, d] else (int(x.s[r]), int(x.at[r]) - d, int(x.at[r]) - d + length)
     open_ = list(zip(*keys.values(), strict=True)) or [[]] * 3
     other = pa.table([*(pa.array(c, pa.int64()) for c in open_), pa.array(list(keys), pa.binary())], names=["s", "first", "end", "key"])
