@@ -54,6 +54,8 @@ TABLES = {
 
 def read_range(path: str, start: int, n: int) -> bytes:
     """n bytes of a file from `start` on."""
+    if n <= 0:
+        return b""
     if path.startswith(("http://", "https://")):
         ask = urllib.request.Request(path, headers={"Range": f"bytes={start}-{start + n - 1}"})
         with urllib.request.urlopen(ask) as got:
@@ -136,8 +138,8 @@ class ContainerReader(DataSourceReader):
             return [Nodes(0, 0)]
         n = self.header.n_textures if self.table == "textures" else self.header.n_nodes - 1
         if self.only is not None:
-            return [Nodes(k, k + 1) for k in sorted(self.only) if 0 <= k < n]
-        return [Nodes(k, min(k + NODES, n)) for k in range(0, n, NODES)]
+            return [Nodes(k, k + 1) for k in sorted(self.only) if 0 <= k < n] or [Nodes(0, 0)]
+        return [Nodes(k, min(k + NODES, n)) for k in range(0, n, NODES)] or [Nodes(0, 0)]
 
     def read(self, part: Nodes) -> Iterator[pa.RecordBatch]:
         for cols in getattr(self, f"_{self.table}")(part):
