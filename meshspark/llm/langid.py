@@ -8,8 +8,8 @@ a language's codeword is weighted by how often that classifier was right on that
 training texts; the language of least total loss is predicted, `score` is its share of
 exp(-loss), and a text whose two best losses lie close together is flagged as ambiguous.
 
-Trigram counts come from all training rows, added up by Spark; the driver gets one count per
-language and bin (LANGUAGES_MOST x BINS at most).  Bit weights are measured on a bounded sample of
+Trigram counts come from all training rows, added up by Spark, and so do the two sides of each bit; the
+driver gets a total per language and a weight per bit and bin.  Bit weights are measured on a bounded sample of
 training rows (`sample`, 4000 by default, about; drawn by a hash of the id).
 
 A null text, or one without any letter, is `und` with score 0.  Rows with a null id count as
@@ -27,12 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import discard, materialise, small_batches
 from .words import per_doc, slices, text_buffer
 
 BITS, UNDETERMINED = 15, "und"
 BINS = 1 << BITS
-LANGUAGES_MOST = 1000
 TEMPERATURE, AMBIGUOUS = 3.0, 0.1
 
 
@@ -134,19 +133,35 @@ def train(docs: DataFrame, sample: int = 4000) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(some)), pa.array(some.astype(np.int32)), pa.array(row[some].astype(np.int64))], names=["lang", "bin", "n"])
 
     small_batches(docs.sparkSession)
-    counts = known.select("text", "lang").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()
-    languages = sorted(set(table.column("lang").to_pylist()))
+    counts = materialise(known.select("text", "lang").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "trigrams")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
+    languages = sorted(totals)
     if not languages:
+        discard(counts)
         return None
-    if len(languages) > LANGUAGES_MOST:
-        raise ValueError(f"{len(languages)} languages; {LANGUAGES_MOST} at most")
-    shares = np.full((len(languages), BINS), 0.5)
     number = {x: i for i, x in enumerate(languages)}
-    np.add.at(shares, ([number[x] for x in table.column("lang").to_pylist()], table.column("bin").to_numpy()), table.column("n").to_numpy())
-    shares /= shares.sum(1, keepdims=True)
     code = codewords(len(languages))
-    plus, minus = (np.array([shares[side].mean(0) if side.any() else np.full(BINS, 1 / BINS) for side in (code == s).T]) for s in (1, -1))
+    norm = 1 / (np.array([totals[x] for x in languages]) + 0.5 * BINS)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each bit and bin: the shares that languages with +1 and with -1 have, added up."""
+        sums = np.zeros((2, code.shape[1], BINS))
+        for b in batches:
+            own = np.array([number[x] for x in b.column(0).to_pylist()], int)
+            bins, w = b.column(1).to_numpy(), b.column(2).to_numpy() * norm[own]
+            for side, sign in enumerate((1, -1)):
+                for bit in range(code.shape[1]):
+                    sums[side, bit] += np.bincount(bins, w * (code[own, bit] == sign), BINS)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    sums = np.zeros((2, code.shape[1], BINS))
+    for r in counts.coalesce(4).mapInArrow(shares, "sums binary").toLocalIterator():  # four rows of bits x BINS
+        sums += np.frombuffer(r["sums"]).reshape(sums.shape)
+    discard(counts)
+    sides = np.array([code == s for s in (1, -1)])
+    n = sides.sum(1)[:, :, None]
+    smooth = np.stack([(0.5 * norm[:, None] * s).sum(0) for s in sides])[:, :, None]
+    plus, minus = np.where(n > 0, (sums + smooth) / np.maximum(n, 1), 1 / BINS)
     weights = np.concatenate([np.log(plus / minus), np.zeros((code.shape[1], 1))], 1)
     model = Model(languages, code, weights, np.full(code.shape, 1 / code.shape[1]))
 
@@ -173,8 +188,9 @@ def train(docs: DataFrame, sample: int = 4000) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred string, score double, ambiguous boolean."""
+    """docs with lang_pred string, score double, ambiguous boolean; columns of these names are replaced."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     names = docs.columns
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

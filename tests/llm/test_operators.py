@@ -339,6 +339,14 @@ def test_op10_accuracy_and_undetermined(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_op10_many_languages_and_clashing_columns(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10 % 10] * 4} {'uvwxyz'[i // 100 % 6] * 3} " * 6, f"l{i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("x"), "score": F.lit("y")})
+    got = langid.predict(docs, langid.train(docs))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"]
+    assert got.where("lang_pred = 'und'").count() == 0
+
+
 def repeats_by_force(rows, k):
     n = collections.Counter()
     for _, t in rows:
