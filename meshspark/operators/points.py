@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..tables import materialise
 from .prefix import running
 
 
@@ -44,16 +45,26 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float) -> Dat
     """(q, p, d2, rank): the k nearest points, ties by id.
 
     Cells of growing size are searched; a query is done when its k-th neighbour is nearer than the
-    searched radius, so no query meets all points unless the set is small.
+    searched radius, so no query meets all points unless the set is small.  The search ends when the
+    radius spans the box around all points and queries, so fewer than k points are found whole.  Rows
+    with a null coordinate are near nothing.
     """
-    left, out, total = queries, None, points.count()
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in "xyz")
+    left, points = queries.select("id", *"xyz").where(whole), points.select("id", *"xyz").where(whole)
+    box = bounds(left.unionAll(points)).first()
+    span = sum((float(box[f"max_{c}"]) - float(box[f"min_{c}"])) ** 2 for c in "xyz") ** 0.5 if box["min_x"] is not None else 0.0
+    out = None
     while True:
+        last = radius > span
         found = within(left, points, radius)
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "p"))).where(F.col("rank") <= k)
-        full = ranked.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total)).select("q")
+        ranked = materialise(ranked, "near")
+        full = ranked.groupBy("q").agg(F.count("*").alias("n")).where(F.lit(last) | (F.col("n") >= k)).select("q")
         done = ranked.join(full, "q", "left_semi")
         out = done if out is None else out.unionAll(done)
-        left = left.join(full.withColumnRenamed("q", "id"), "id", "left_anti")
+        if last:
+            return out
+        left = materialise(left.join(full.withColumnRenamed("q", "id"), "id", "left_anti"), "left")
         if not left.limit(1).count():
             return out
         radius *= 2

@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import numbered, save, words
@@ -32,11 +32,23 @@ def read_obj(spark: SparkSession, path: str) -> Mesh:
     rows = numbered(spark, path).withColumn("w", words())
     of = lambda tag: rows.where(F.col("w")[0] == tag)
     v, f = _renumber(of("v")), _renumber(of("f"))
-    vertices = v.select(F.col("n").alias("vid"), *(F.col("w")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")))
-    faces = f.select(F.col("n").alias("fid"), *((F.split(F.col("w")[k + 1], "/")[0].cast("long") - 1).alias(f"v{k}") for k in range(3)))
+    vertices = v.select(F.col("n").alias("vid"), *(_number(F.get("w", F.lit(k + 1)), F.col("w")).alias(c) for k, c in enumerate("xyz")))
+    faces = f.select(F.col("n").alias("fid"), *((F.split(x, "/")[0].cast("long") - 1).alias(f"v{k}") for k, x in enumerate(_corners(F.col("w"), F.size("w") - 1, 1))))
     return vertices, faces
 
 
+def _corners(row: Column, count: Column, first: int) -> list[Column]:
+    """Three corner words of a face line; a face of another number of corners, or a word that is missing, is an error."""
+    bad = F.raise_error(F.concat(F.lit("not a triangle: "), F.concat_ws(" ", row))).cast("string")
+    return [F.when((count == 3) & (F.size(row) >= first + 3), row[first + k]).otherwise(bad) for k in range(3)]
+
+
+def _number(word: Column, row: Column) -> Column:
+    """A coordinate; anything else is an error."""
+    bad = F.raise_error(F.concat(F.lit("no coordinate in: "), F.concat_ws(" ", row))).cast("double")
+    return F.coalesce(word.try_cast("double"), bad)
+
+
 def _renumber(rows: DataFrame) -> DataFrame:
     """n from 0 in order of lines."""
     from ..operators.prefix import running
@@ -64,7 +76,7 @@ def read_off(spark: SparkSession, path: str) -> Mesh:
     nv, nf = int(head["w"][0]), int(head["w"][1])
     v, f = rows.where(F.col("n").between(2, nv + 1)), rows.where(F.col("n").between(nv + 2, nv + nf + 1))
     vertices = v.select((F.col("n") - 2).alias("vid"), *(F.col("w")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
-    return vertices, f.select((F.col("n") - 2 - nv).alias("fid"), *(F.col("w")[k + 1].cast("long").alias(f"v{k}") for k in range(3)))
+    return vertices, f.select((F.col("n") - 2 - nv).alias("fid"), *(x.cast("long").alias(f"v{k}") for k, x in enumerate(_corners(F.col("w"), F.col("w")[0].cast("int"), 1))))
 
 
 def _counts(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -127,7 +139,7 @@ def read_ply_text(spark: SparkSession, path: str) -> Mesh:
     vertices = body.select(F.col("n").alias("vid"), *cols)
     if "face" not in found:
         return vertices, spark.createDataFrame([], "fid long, v0 long, v1 long, v2 long")
-    return vertices, found["face"][0].select(F.col("n").alias("fid"), *(F.col("w")[k + 1].cast("long").alias(f"v{k}") for k in range(3)))
+    return vertices, found["face"][0].select(F.col("n").alias("fid"), *(x.cast("long").alias(f"v{k}") for k, x in enumerate(_corners(F.col("w"), F.col("w")[0].cast("int"), 1))))
 
 
 def _ply_arrays(data: bytes) -> dict[str, np.ndarray]:

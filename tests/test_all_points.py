@@ -27,3 +27,12 @@ def test_children_of_all_nodes(spark):
     want = sorted((r["src"], r["dst"]) for r in fixtures.table(spark, SF, "dag_patches").collect() if {r["src"], r["dst"]} <= nodes)
     assert max(want)[0] >= 50
     assert sorted((r["src"], r["dst"]) for r in QUERIES["dag_03_all_children"](spark, SF).collect()) == want
+
+
+def test_neighbours_end_without_points_and_with_nulls(spark):
+    from meshspark.operators.points import nearest
+
+    q = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0)], "id long, x double, y double, z double")
+    p = spark.createDataFrame([(7, 3.0, 4.0, 0.0), (8, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    assert nearest(q, p.limit(0), 2, 1.0).count() == 0
+    assert [tuple(r) for r in nearest(q, p, 2, 0.5).collect()] == [(1, 7, 25.0, 1)]

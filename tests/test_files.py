@@ -66,3 +66,12 @@ def test_ply_points_have_no_faces(spark, tmp_path):
     v, f = S.read_ply_text(spark, f"file://{p}")
     assert sorted(map(tuple, v.collect())) == [(0, 0.0, 0.0, 0.0), (1, 1.0, 2.0, 3.0)]
     assert f.count() == 0
+
+
+@pytest.mark.parametrize("body", ["v 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf 1 2 3 4\n", "v 0 0\nv 1 0 0\nv 1 1 0\nf 1 2 3\n", "v 0 x 0\nv 1 0 0\nv 1 1 0\nf 1 2 3\n"])
+def test_obj_of_polygons_or_bad_numbers_is_refused(spark, tmp_path, body):
+    p = tmp_path / "m.obj"
+    p.write_text(body)
+    v, f = S.read_obj(spark, f"file://{p}")
+    with pytest.raises(Exception, match="not a triangle|no coordinate"):
+        v.collect(), f.collect()
