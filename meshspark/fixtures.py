@@ -48,6 +48,11 @@ WHERE 2 * n.node + k.i < t.n OR (k.i = 1 AND 2 * n.node + 1 >= t.n)""",
         ("mesh_vertices", "mesh_faces"),
         """SELECT CAST(floor(f.v0 / 100) AS BIGINT) AS node, f.fid, f.v0, f.v1, f.v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2
 FROM mesh_faces f JOIN mesh_vertices a ON a.vid = f.v0 JOIN mesh_vertices b ON b.vid = f.v1 JOIN mesh_vertices c ON c.vid = f.v2""",
+    ),
+    "rough_faces": (
+        ("mesh_faces",),
+        """SELECT fid, v0, v1, v2 FROM mesh_faces UNION ALL SELECT fid + 1000000000, v1, v2, v0 FROM mesh_faces WHERE fid % 37 = 0
+UNION ALL SELECT fid + 2000000000, v0, v0, v1 FROM mesh_faces WHERE fid % 41 = 0 UNION ALL SELECT fid + 3000000000, v0, v1, v0 + 60 FROM mesh_faces WHERE fid % 86 = 0""",
     ),
     "wedges": (
         ("node_faces",),
