@@ -334,14 +334,14 @@ def _(t):
     return pick(t, "z").join(s, "vid").select("vid", F.round((c("z") + c("s")) / (1 + c("n")), 5).alias("z"))
 
 
-@query("vm_07_taubin", f"WITH {NEAR}, s1 AS (SELECT v.vid, v.z + 0.5 * (avg(o.z) - v.z) AS z FROM mesh_vertices v JOIN nb ON nb.vid = v.vid JOIN mesh_vertices o ON o.vid = nb.other GROUP BY v.vid, v.z) SELECT v.vid, round(v.z - 0.53 * (avg(o.z) - v.z), 3) AS z FROM s1 v JOIN nb ON nb.vid = v.vid JOIN s1 o ON o.vid = nb.other GROUP BY v.vid, v.z")
+@query("vm_07_taubin", f"WITH {NEAR}, s1 AS (SELECT v.vid, v.z + 0.5 * (avg(o.z) - v.z) AS z FROM mesh_vertices v JOIN nb ON nb.vid = v.vid JOIN mesh_vertices o ON o.vid = nb.other GROUP BY v.vid, v.z) SELECT v.vid, round(v.z - 0.53 * (avg(o.z) - v.z) + 1e-7, 3) AS z FROM s1 v JOIN nb ON nb.vid = v.vid JOIN s1 o ON o.vid = nb.other GROUP BY v.vid, v.z")
 def _(t):
     """A step towards the neighbours' mean and one away from it."""
     near, v = around(t), pick(t, "z")
     for step in (0.5, -0.53):
         mean = near.join(v.select(c("vid").alias("other"), c("z").alias("oz")), "other").groupBy("vid").agg(F.avg("oz").alias("m"))
         v = v.join(mean, "vid").select("vid", (c("z") + step * (c("m") - c("z"))).alias("z"))
-    return v.select("vid", F.round("z", 3).alias("z"))
+    return v.select("vid", F.round(c("z") + 1e-7, 3).alias("z"))
 
 
 @query("vm_10_colour_laplacian", f"WITH {NEAR} SELECT v.vid, CAST(sum(o.r) // count(*) AS BIGINT) AS r FROM mesh_vertices v JOIN nb ON nb.vid = v.vid JOIN mesh_vertices o ON o.vid = nb.other GROUP BY v.vid")
