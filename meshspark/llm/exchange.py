@@ -44,7 +44,7 @@ class Level:
 def send(chunk: int, level: int, buckets: int, keys: np.ndarray, vals: np.ndarray | None) -> pa.Table:
     own = ((keys >> U64(32)) * U64(buckets)) >> U64(32)  # rises with the key
     some, first = np.unique(own, return_index=True)
-    ends = np.append(first[1:], len(keys))
+    ends = np.append(first[1:], len(keys))[: len(some)]
     rows = {
         "bucket": some.astype(np.int64),
         "chunk": np.full(len(some), chunk, np.int64),
