@@ -40,6 +40,7 @@ from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, mix, per_d
 
 PIECE, TRIGGER, DENSITY = 100, 16, 32
 RANGE = 1 << 15  # anchors a task
+SEGMENT = 1 << 20  # bytes that are looked at together
 LAST = np.iinfo(U64).max
 
 
@@ -57,6 +58,17 @@ def _starts(off: np.ndarray, length: int) -> np.ndarray:
     return np.repeat(off[:-1] - np.append(0, np.cumsum(counts))[:-1], counts) + np.arange(counts.sum())
 
 
+def _segments(off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first byte, offsets from there) of runs of texts of SEGMENT bytes together; a longer text comes in
+    parts of SEGMENT windows, which share the bytes that windows of both hold."""
+    for i, j in slices(off, SEGMENT):
+        n = int(off[j] - off[i])
+        if j > i + 1 or n <= SEGMENT + length:
+            yield int(off[i]), off[i : j + 1] - off[i]
+        else:
+            yield from ((int(off[i]) + s, np.array([0, min(n - s, SEGMENT + length - 1)])) for s in range(0, n - length + 1, SEGMENT))
+
+
 class Candidates:
     """Windows of one chunk and the pieces that stand for them."""
 
@@ -65,8 +77,8 @@ class Candidates:
         piece = min(PIECE, length)
         width = length - piece + 1  # pieces of a window
         at, n, stand, pieces = [], [], [], []
-        for i, j in slices(self.off):
-            b, o = self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
+        for base, o in _segments(self.off, length):
+            b = self.buf[base : base + o[-1]]
             w = _starts(o, length)
             if not len(w):
                 continue
@@ -76,7 +88,7 @@ class Candidates:
             low = _lowest(g, width)[w]
             # Neighbouring windows mostly share their piece: they go on as one row.
             head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (np.diff(w) != 1)))
-            at.append(w[head] + self.off[i])
+            at.append(w[head] + base)
             n.append(np.diff(np.append(head, len(w))))
             stand.append(low[head])
             # Pieces that stand for a window: the greatest least hash of the windows around is theirs.
@@ -146,6 +158,8 @@ def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
         for d, a, b in c.runs(bits[0], length):
             x = raw[c.off[d] + a : c.off[d] + b]
             keep, covered = without_periods(x, length)
+            # A long run comes in parts, each window in one of them.
+            keep = [(at, min(q, at + SEGMENT + length - 1)) for p, q in keep for at in range(p, q - length + 1, SEGMENT)]
             rows += [(ids[d], a + p, a + q, hashlib.blake2b(x[p:q], digest_size=16).digest(), x[p:q]) for p, q in keep]
             rows += [(ids[d], a + p, a + q, None, None) for p, q in covered]
         cols = list(zip(*rows, strict=True)) or [[]] * 5

@@ -376,6 +376,7 @@ def test_op2_matches_brute_force(spark, table, request):
 def test_op2_small_ranges(spark, monkeypatch):
     """Windows that many ranges of ranks hold: a passage behind and before many different texts."""
     monkeypatch.setattr(suffixes, "RANGE", 16)
+    monkeypatch.setattr(suffixes, "SEGMENT", 150)
     monkeypatch.setattr(blocks, "RANGE", 300)
     rng = np.random.default_rng(4)
     some = lambda n: "".join(rng.choice(list("abcd "), n))
