@@ -420,11 +420,14 @@ class Suffixes:
         self.common[1:] = np.minimum(first, np.minimum(right[1:], right[:-1]))
 
     @staticmethod
-    def _matrix(buf: np.ndarray, start: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    def _matrix(buf: np.ndarray, start: np.ndarray, n: np.ndarray, step: int, rows: int = 1024) -> np.ndarray:
+        """A row per anchor: n bytes from `start` on, forwards or backwards; places are made for some rows at a time."""
         out = np.zeros((len(n), int(n.max(initial=0))), np.uint8)
-        row = np.repeat(np.arange(len(n)), n)
-        col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        out[row, col] = buf[start[row] + step * col]
+        for i in range(0, len(n), rows):
+            some = n[i : i + rows]
+            row = np.repeat(np.arange(len(some)), some)
+            col = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
+            out[row + i, col] = buf[start[i + row] + step * col]
         return out
 
     def _groups(self) -> tuple[np.ndarray, np.ndarray]:
