@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import discard, materialise
 
-SAMPLE, RANGE = 24, 1 << 19  # keys a chunk, rows a range
+SAMPLE, RANGE = 24, 1 << 17  # keys a chunk, rows a range
 Row = dict[str, np.ndarray]
 Keys = Callable[[Row], tuple[np.ndarray, list[np.ndarray]]]
 

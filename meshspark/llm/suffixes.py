@@ -215,14 +215,14 @@ CHUNK = "chunk long, s binary, n binary, bytes binary"
 
 
 def chunked(runs: DataFrame, total: int) -> DataFrame:
-    """CHUNK of runs (s, bytes): about exchange.CHUNK_BYTES of bytes in a row, one run behind the other."""
+    """CHUNK of runs (s, bytes): about SEGMENT bytes in a row, one run behind the other."""
 
     def pack(table: pa.Table) -> pa.Table:
         buf, off = text_buffer(table.column("bytes"))
         made = [table.column("_chunk")[0].as_py(), table.column("s").to_numpy().tobytes(), np.diff(off).astype(np.int64).tobytes(), buf.tobytes()]
         return pa.table([pa.array([x], t) for x, t in zip(made, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "s", "n", "bytes"])
 
-    chunks = max(1, -(-total // exchange.CHUNK_BYTES))
+    chunks = max(1, -(-total // SEGMENT))
     return materialise(exchange.dealt(runs.select("s", "bytes"), "s", chunks).groupBy("_chunk").applyInArrow(pack, CHUNK), "chunks")
 
 
