@@ -73,11 +73,30 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_difference_cover_repeats, op3_feistel_shards, op4_fragment_jaccard, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language)}
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .counts import token_counts
+
+    return token_counts(load(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_difference_cover_repeats, op3_feistel_shards, op4_fragment_jaccard, op5_configuration_packing, op6_crf_line_quality, op7_warc_revisits, op8_doubled_windows, op9_wu_manber_decontamination, op10_ecoc_language, op11_lobpcg_whitening, op12_token_counts, op13_source_divergence)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_fragment_jaccard": oracles.FRAGMENT_JACCARD,
     "op7_warc_revisits": oracles.WARC_REVISITS,
     "op8_doubled_windows": oracles.DOUBLED_WINDOWS,
     "op9_wu_manber_decontamination": oracles.WU_MANBER,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
