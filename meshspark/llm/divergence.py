@@ -4,8 +4,8 @@
    letters and everything beyond ASCII; only A-Z fold) in the UTF-8 buffer of many texts at once; where the
    mark changes a term begins or ends.  Slices are grouped by XXH64, computed for all slices together,
    and each is compared byte for byte with the first of its group (`group_slices`); those that differ get
-   groups of their own.  Each Arrow batch sends one row per (language, source, term) with its occurrences
-   and the number of its documents.
+   groups of their own.  A batch's texts are put in order of language and source and counted in runs of
+   RUN_BYTES; a run sends one row per (language, source, term): its occurrences and documents.
 2. Spark adds these up, keeps the terms in at least `min_docs` documents of a language, and deals a
    language's terms into blocks by hash: as many as keep a block near BLOCK cells, so no term, source or
    language stands in one task as a whole.
@@ -171,26 +171,24 @@ def _added(t: pa.Table) -> pa.Table:
 
 
 def count_terms(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """CELLS: (lang, source, term, occurrences, documents), added up per Arrow batch only."""
+    """CELLS: (lang, source, term, occurrences, documents), added up per run only."""
     named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = pc.dictionary_encode(pc.binary_join_element_wise(b.column(0).cast(pa.binary()), b.column(1).cast(pa.binary()), b"\xff"))  # no byte of UTF-8
+            names = [x.split(b"\xff") for x in pairs.dictionary.to_pylist()]
+            lang, source = (pa.array([x[k].decode() for x in names], pa.string()) for k in (0, 1))
             group = pairs.indices.to_numpy().astype(np.int64)
-            buf, off = text_buffer(b.column(2))
-            tables = []
+            order = np.argsort(group, kind="stable")  # so that a run holds few groups, and most groups are in one run
+            group = group[order]
+            buf, off = text_buffer(b.column(2).take(pa.array(order)))
             for i, j in slices(off, run_bytes):
                 part = buf[off[i] : off[j]]
-                tables.append(_long(part, int(group[i]), run_bytes) if len(part) > run_bytes else _run(part, off[i : j + 1] - off[i], group[i:j]))
-            if not tables:
-                continue
-            t = _added(pa.concat_tables(tables))
-            names = [x.split(b"\xff") for x in pairs.dictionary.to_pylist()]
-            own = t.column("group").combine_chunks()
-            cols = [pa.array([x[k].decode() for x in names], pa.string()).take(own) for k in (0, 1)]
-            out = pa.table({"lang": cols[0], "source": cols[1], "term": t.column("term").cast(pa.binary()), "n": t.column("n"), "docs": t.column("docs")})
-            yield from out.to_batches(max_chunksize=1 << 16)
+                t = _long(part, int(group[i]), run_bytes) if len(part) > run_bytes else _run(part, off[i : j + 1] - off[i], group[i:j])
+                own = t.column("group").combine_chunks()
+                out = pa.table({"lang": lang.take(own), "source": source.take(own), "term": t.column("term").cast(pa.binary()), "n": t.column("n"), "docs": t.column("docs")})
+                yield from out.to_batches(max_chunksize=1 << 16)
 
     return named.mapInArrow(count, CELLS)
 
