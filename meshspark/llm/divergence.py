@@ -39,7 +39,7 @@ from .words import LOWER, U64, slices, text_buffer
 #: Bytes of terms, after A-Z became a-z.
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
-RUN_BYTES, BLOCK, SCALE_STEPS = 2 << 20, 1 << 20, (1000, 1000, 1000)
+RUN_BYTES, BLOCK, FEW_LANGS, SCALE_STEPS = 2 << 20, 1 << 20, 10_000, (1000, 1000, 1000)
 CELLS = "lang string, source string, term binary, n long, docs long"
 PARTS = "lang string, source string, part string, item string, value long"
 
@@ -286,6 +286,9 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, run_bytes: int = R
     # Blocks of a language: as its cells ask for, and no more than its pairs of sources make worth while.
     pairs = groups.groupBy("lang").agg((F.count("*") * F.count("*")).alias("pairs"))
     blocks = pairs.join(langs, "lang", "left").select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("cells", F.lit(0)) / F.greatest(F.lit(block), "pairs"))).cast("long").alias("blocks"))
+    blocks = materialise(blocks, "blocks")
+    if blocks.limit(FEW_LANGS + 1).count() <= FEW_LANGS:  # else a join by language, which AQE splits where it is skewed
+        blocks = F.broadcast(blocks)
     left = cells.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "source", "term", "n")
     right = sources.join(blocks, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>"))).select("lang", "block", "source", "total", "kept")
     parts = left.groupBy("lang", "block").cogroup(right.groupBy("lang", "block")).applyInArrow(lambda a, b: _block(a, b, top), PARTS)
