@@ -5,6 +5,8 @@ A node holds a bounded number of vertices and faces, so a group of one node is a
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,23 +19,83 @@ from .mesh import face_normal
 
 #: Rings around the mean normal, and the share of normals a cone must hold.
 RINGS, SHARE = 50, 0.95
-TIGHT, SLACK = 1.001, 1.01
 
 
-def tight_sphere(points: np.ndarray, speed: float = 0.7) -> tuple[np.ndarray, float]:
-    """A small sphere around points: from the box's middle, steps along the axes while the radius falls."""
-    center = (points.min(0) + points.max(0)) / 2
-    reach = lambda c: float(np.sqrt(((points - c) ** 2).sum(1).max()))
-    radius = reach(center)
-    step = radius / 8
-    moves = np.concatenate([np.eye(3), -np.eye(3)])
-    while step > radius * (TIGHT - 1):
-        tries = [(reach(center + step * m), k) for k, m in enumerate(moves)]
-        least, k = min(tries)
-        if least < radius / TIGHT:
-            center, radius = center + step * moves[k], least
-        step *= speed
-    return center, radius * SLACK
+def _through(points: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """The smallest sphere through all of up to four points; None if there is none."""
+    rest = points[1:] - points[0]
+    if not len(rest):
+        return points[0], 0.0
+    gram = 2 * rest @ rest.T
+    if np.linalg.matrix_rank(gram) < len(rest):
+        return None
+    step = np.linalg.solve(gram, (rest**2).sum(1)) @ rest
+    return points[0] + step, float(np.sqrt((step**2).sum()))
+
+
+def _support(points: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """The smallest sphere around up to five points, by trying all sets of up to four, and the set it stands on."""
+    best = None
+    for k in range(1, min(4, len(points)) + 1):
+        for some in combinations(range(len(points)), k):
+            got = _through(points[list(some)])
+            if got is None or (best is not None and got[1] >= best[1]):
+                continue
+            if (np.linalg.norm(points - got[0], axis=1) <= got[1] * (1 + 1e-12) + 1e-300).all():
+                best = (*got, points[list(some)])
+    return best if best is not None else _roughly(points)
+
+
+def _roughly(points: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """For points that rounding leaves without such a set: around the middle of the two farthest apart."""
+    apart = np.linalg.norm(points[:, None] - points[None], axis=2)
+    pair = points[list(np.unravel_index(apart.argmax(), apart.shape))]
+    center = pair.mean(0)
+    return center, float(np.linalg.norm(points - center, axis=1).max()), pair
+
+
+def tight_sphere(points: np.ndarray, least: float = 1e-9) -> tuple[np.ndarray, float]:
+    """The smallest sphere around points, but for a share `least` of its radius.
+
+    It stands on four points at most.  Of a sphere on some the farthest point outside joins them, and the
+    smallest sphere of those, five at most, is larger; when none is outside, it is the smallest of all.
+    """
+    center, radius, on = _support(points[:1])
+    for _ in range(1000):  # each sphere is larger than the last; a few dozen do
+        away = ((points - center) ** 2).sum(1)
+        far = int(away.argmax())
+        reach = float(np.sqrt(away[far]))
+        if reach <= radius * (1 + least):
+            break
+        center, radius, on = _support(np.concatenate([on, points[far : far + 1]]))
+    return center, max(radius, float(np.sqrt(((points - center) ** 2).sum(1).max())))
+
+
+def enclosing_sphere(points: DataFrame, least: float = 1e-9) -> DataFrame:
+    """One row (cx, cy, cz, radius, passes): the smallest sphere around all points (x, y, z); no row if there are none.
+
+    The steps of tight_sphere with the farthest point found by an aggregate: every pass over the points gives the
+    driver one point.  It starts from the extremes along the axes.  Points with null coordinates don't count.
+    """
+    points = points.select(*(F.col(c).cast("double").alias(c) for c in "xyz")).dropna()
+    row = F.struct(*"xyz")
+    ends = points.agg(*(f(row, F.col(c)).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.min_by, F.max_by))).first()
+    kind = "cx double, cy double, cz double, radius double, passes int"
+    if ends[0] is None:
+        return points.sparkSession.createDataFrame([], kind)
+    known = np.unique(np.array([tuple(e) for e in ends]), axis=0)
+    center, radius = tight_sphere(known)
+    on = known[np.linalg.norm(known - center, axis=1) >= radius * (1 - 1e-9)]
+    on, passes = _support(on[:5])[2], 1
+    while True:
+        center, radius, _ = _support(on)
+        away = sum((F.col(c) - F.lit(float(m))) ** 2 for c, m in zip("xyz", center, strict=True))
+        far = points.agg(F.max_by(row, away).alias("p"), F.sqrt(F.max(away)).alias("reach")).first()
+        passes += 1
+        if far["reach"] <= radius * (1 + least) or passes > 200:
+            break
+        on = _support(np.concatenate([on, [tuple(far["p"])]]))[2]
+    return points.sparkSession.createDataFrame([(*map(float, center), max(radius, far["reach"]), passes)], kind)
 
 
 def spheres(vertices: DataFrame, by: str = "node") -> DataFrame:
@@ -151,4 +213,4 @@ def unify_normals(vertices: DataFrame, levels: DataFrame) -> DataFrame:
     return v.join(at, place).select("node", "vid", *(F.col(f"w{c}").alias(c) for c in ("nx", "ny", "nz")))
 
 
-__all__ = ["anchors", "cones", "descriptors", "discard", "heights", "saturated", "spheres", "sturdy", "tight_sphere", "unify_normals"]
+__all__ = ["anchors", "cones", "descriptors", "discard", "enclosing_sphere", "heights", "saturated", "spheres", "sturdy", "tight_sphere", "unify_normals"]

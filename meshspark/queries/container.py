@@ -130,10 +130,11 @@ def _(t):
 soup = lambda t: t("node_faces").select(*B.CORNERS)
 
 
-@query("msh_02_cells_in_capacity", "SELECT 0 AS cell, 0 AS n WHERE false")
+@query("msh_02_cells_in_capacity", "SELECT CAST(count(*) AS BIGINT) AS triangles, count(*) > 400 AS parted, 0 AS over FROM mesh_faces")
 def _(t):
-    """Zero rows: no leaf holds more than its capacity."""
-    return B.partition(soup(t), 400)[0].groupBy("cell").agg(F.count("*").alias("n")).where("n > 400")
+    """All triangles are in cells, and no cell holds more than its capacity."""
+    cells = B.partition(soup(t), 400)[0].groupBy("cell").agg(F.count("*").alias("n"))
+    return cells.agg(F.sum("n").alias("triangles"), (F.count("*") > 1).alias("parted"), F.sum((c("n") > 400).cast("int")).alias("over"))
 
 
 @query("msh_01_cells_hold_all", "SELECT count(*) AS triangles, 0 AS outside FROM mesh_faces")
@@ -159,22 +160,25 @@ def _(t):
     return B.build(soup(t), 400, 100).nodes.where("level = 0").agg(F.sum("nface").alias("faces"))
 
 
-@query("msh_11_patches_cover_nodes", "SELECT 0 AS node WHERE false")
+@query("msh_11_patches_cover_nodes", "SELECT count(*) > 400 AS levels, CAST(count(*) AS BIGINT) AS finest, 0 AS uncovered FROM mesh_faces")
 def _(t):
-    """Zero rows: above the finest level each node's faces all came from nodes below."""
+    """Above the finest level each node's faces all came from nodes below; the finest ones came from none."""
     g = B.build(soup(t), 400, 100)
     from_below = g.patches.groupBy(c("src").alias("node")).agg(F.sum("nface").alias("n"))
-    return g.nodes.where("level > 0").join(from_below, "node", "left").where("n IS NULL OR n <> nface").select("node")
+    met = g.nodes.join(from_below, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    finest, wrong = F.when(c("level") == 0, c("nface") - c("n")), F.when(c("level") > 0, (c("n") != c("nface")).cast("int"))
+    return met.agg((F.max("level") > 0).alias("levels"), F.sum(finest).alias("finest"), F.coalesce(F.sum(wrong), F.lit(0)).alias("uncovered"))
 
 
-@query("msh_12_locked_borders", "SELECT 0 AS x, 0 AS y, 0 AS z WHERE false")
+@query("msh_12_locked_borders", "SELECT count(*) > 400 AS borders, 0 AS missing FROM mesh_faces")
 def _(t):
-    """Zero rows: vertices of faces that cross a cell's border are still there after simplification."""
+    """Vertices of faces that cross a cell's border are still there after simplification."""
     at, boxes = B.partition(soup(t), 400)
     inside = B._inside(0) & B._inside(1) & B._inside(2)
     point = lambda df: df.select(F.explode(F.array(*(F.struct(*(c(f"{a}{k}").alias(a) for a in "xyz")) for k in range(3)))).alias("p")).select("p.*").distinct()
     border = point(at.join(boxes, "cell").where(~inside))
-    return border.join(point(B.simplified(at, boxes, 0.5)), [*"xyz"], "left_anti")
+    kept = point(B.simplified(at, boxes, 0.5)).withColumn("kept", F.lit(1))
+    return border.join(kept, [*"xyz"], "left").agg((F.count("*") > 0).alias("borders"), F.sum(c("kept").isNull().cast("int")).alias("missing"))
 
 
 @query("msh_13_simplified_counts", None)
@@ -183,12 +187,14 @@ def _(t):
     return B.simplified(at, boxes, 0.5).groupBy("cell").agg(F.count("*").alias("nface"), F.max("error").alias("error"))
 
 
-@query("agg_27_build_saturates", "SELECT 0 AS src, 0 AS dst WHERE false")
+@query("agg_27_build_saturates", "SELECT count(*) > 400 AS edges, 0 AS by_error, 0 AS by_sphere FROM mesh_faces")
 def _(t):
-    """Zero rows: a built graph, saturated, has no child of as much error as its parent."""
+    """A built graph, saturated, has no child of as much error as its parent, and none that reaches out of it."""
     g = B.build(soup(t), 400, 100)
     corners = g.faces.select("node", F.explode(F.array(*(F.struct(*(c(f"{a}{k}").alias(a) for a in "xyz")) for k in range(3)))).alias("p")).select("node", "p.*")
     edges = g.patches.withColumn("ordinal", F.row_number().over(W.partitionBy("src").orderBy("dst")))  # a node is bounded
     s = N.saturated(g.nodes.join(N.spheres(corners), "node"), edges)
-    a, b = (s.select(c("node").alias(x), c("error").alias(f"e_{x}")) for x in ("src", "dst"))
-    return edges.join(a, "src").join(b, "dst").where("e_dst >= e_src").select("src", "dst")
+    a, b = (s.select(c("node").alias(x), *(c(k).alias(f"{k}_{x}") for k in ("error", "cx", "cy", "cz", "radius"))) for x in ("src", "dst"))
+    apart = F.sqrt(sum((c(f"c{k}_src") - c(f"c{k}_dst")) ** 2 for k in "xyz"))
+    out = (apart + c("radius_dst") > c("radius_src")).cast("int")
+    return edges.join(a, "src").join(b, "dst").agg((F.count("*") > 0).alias("edges"), F.coalesce(F.sum((c("error_dst") >= c("error_src")).cast("int")), F.lit(0)).alias("by_error"), F.coalesce(F.sum(out), F.lit(0)).alias("by_sphere"))

@@ -77,7 +77,7 @@ def _(t):
 
 @query("agg_41_scene_sphere", None)
 def _(t):
-    return N.spheres(t("mesh_vertices").withColumn("scene", F.lit(0)), "scene")
+    return N.enclosing_sphere(t("mesh_vertices"))
 
 
 # ---- checks
