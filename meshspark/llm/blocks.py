@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, materialise
@@ -163,3 +163,14 @@ def each(chunks: DataFrame, then: Callable[[Row, np.ndarray], Row], schema: str,
                 yield pa.RecordBatch.from_arrays(cols, names=[f for f, _ in fields])
 
     return materialise(chunks.mapInArrow(run, schema), name)
+
+
+def total(chunks: DataFrame, of: Callable[[Row], int], how: Callable[[str], Column]) -> int:
+    """An aggregate (F.sum, F.max) over the chunks' numbers of(row); 0 without chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in rows_of(b):
+                yield pa.RecordBatch.from_arrays([pa.array([of(r)], pa.int64())], names=["n"])
+
+    return chunks.mapInArrow(run, "n long").agg(how("n").alias("n")).first()["n"] or 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import discard, materialise, new_folder, shared_dir
 
-__all__ = ["discard", "load", "materialise", "new_folder", "shared_dir", "small_batches", "text_bytes"]
+__all__ = ["arrow_batches", "discard", "load", "materialise", "new_folder", "shared_dir", "small_batches", "text_bytes"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +24,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Within: Arrow batches of at most `rows` rows and `size` bytes; settings are put back behind."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return df.agg(F.sum(F.octet_length(col)).alias("n")).first()["n"] or 0

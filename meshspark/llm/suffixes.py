@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, exchange
-from .shared import discard, materialise, small_batches, text_bytes
+from .shared import arrow_batches, discard, materialise, text_bytes
 from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, mix, per_doc, prefix_sums, slices, text_buffer
 
 PIECE, TRIGGER, DENSITY = 100, 16, 32
 RANGE = 1 << 15  # anchors a task
 SEGMENT = 1 << 20  # bytes that are looked at together
+BATCH = 4 << 20  # bytes of rows that go to a Python worker at once
 LAST = np.iinfo(U64).max
 
 
@@ -348,11 +349,8 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
         places = np.concatenate([one, two + len(c)])
         return places, [kind, join(c, c), join(_after(r["r"], ends, 1), _after(c, ends, 1)), join(zero, _after(r["r"], ends, 2)), join((m > 0).astype(np.int64), (m > 0).astype(np.int64))]
 
-    def ones(r: blocks.Row, _: np.ndarray) -> blocks.Row:
-        return {"chunk": r["chunk"], "n": np.array([(r["n"] + 1) // 3]).sum(keepdims=True)}
-
     answers, bases, _, _ = blocks.ranked(named, neighbours, "marked", "neighbours")
-    first = sum(int(np.frombuffer(r["n"], np.int64).sum()) for r in blocks.each(named, ones, "chunk long, n binary", "ones").select("n").toLocalIterator())
+    first = blocks.total(named.select("n"), lambda r: int(((r["n"] + 1) // 3).sum()), F.sum)
 
     def placed(r: blocks.Row, v: np.ndarray) -> blocks.Row:
         i, _ = _inside(r["n"])
@@ -381,8 +379,7 @@ def _contexts(chunks: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
 
     bytes: `high` bytes before the anchor, and up to `length` from it on.
     """
-    most = blocks.each(ranks, lambda r, _: {"chunk": r["chunk"], "n": np.array([r["r"].max(initial=0)])}, "chunk long, n binary", "most")
-    total = max((int(np.frombuffer(r["n"], np.int64)[0]) for r in most.select("n").toLocalIterator()), default=0)
+    total = blocks.total(ranks.select("r"), lambda r: int(r["r"].max(initial=0)), F.max)
     parts = max(1, -(-total // RANGE))
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
@@ -505,15 +502,15 @@ def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    small_batches(docs.sparkSession)
     if length <= TRIGGER:
         raise ValueError(f"length must be greater than {TRIGGER}")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    found = candidate_runs(texts.select("k", "text"), length)
-    occurrences = found.where("run IS NOT NULL")
-    runs = occurrences.groupBy("run").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
-    runs = materialise(runs.withColumn("s", F.monotonically_increasing_id()), "distinct")
-    spans = repeated_spans(runs, length)
+    with arrow_batches(docs.sparkSession, 500, BATCH):
+        found = candidate_runs(texts.select("k", "text"), length)
+        occurrences = found.where("run IS NOT NULL")
+        runs = occurrences.groupBy("run").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
+        runs = materialise(runs.withColumn("s", F.monotonically_increasing_id()), "distinct")
+        spans = repeated_spans(runs, length)
     of = spans.groupBy("s").agg(F.collect_list(F.struct("first", "end")).alias("spans"))  # of one run
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.octet_length("bytes").cast("long").alias("end")))
     marked = runs.select("run", "s", "copies", whole.alias("whole")).join(of, "s", "left").where("copies > 1 OR spans IS NOT NULL")
