@@ -39,7 +39,7 @@ from .words import LOWER, U64, slices, text_buffer
 #: Bytes of terms, after A-Z became a-z.
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
-RUN_BYTES, BLOCK, FEW_LANGS, SCALE_STEPS = 2 << 20, 1 << 20, 10_000, (1000, 1000, 1000)
+RUN_BYTES, BLOCK, FEW_LANGS, SCALE_STEPS = 2 << 20, 1 << 16, 10_000, (1000, 1000, 1000)
 CELLS = "lang string, source string, term binary, n long, docs long"
 PARTS = "lang string, source string, part string, item string, value long"
 
