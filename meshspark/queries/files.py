@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..operators import mesh as M
 from ..operators import tiers as T
+from ..sources import binary as B
 from ..sources import meshes as S
 from ..sources.lines import scratch
 from ..streaming import requests as R
@@ -56,6 +57,32 @@ def _(t):
     return _round_trip(t, "ply", [*"xyzrgb"])[1]
 
 
+# Binary files, written by every task and read back in ranges of records.
+@query("src_01_binary_ply", f"WITH {TRI} SELECT {', '.join(S.SOUP)} FROM tri")
+def _(t):
+    soup = M.gather(t("mesh_faces"), t("mesh_vertices"))
+    spark = soup.sparkSession
+    path = "\n".join(B.write_parts(soup, scratch(spark, "ply"), "ply"))
+    v, out = B.read_binary(spark, path, "ply", "vertices"), B.read_binary(spark, path, "ply", "faces")
+    for k in range(3):
+        out = out.join(v.select("file", F.col("vid").alias(f"v{k}"), *(F.col(c).alias(f"{c}{k}") for c in "xyz")), ["file", f"v{k}"])
+    return out.select(*S.SOUP)
+
+
+@query("src_09_raw_triangles", f"WITH {TRI} SELECT {', '.join(f'CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}' for c in S.SOUP)} FROM tri")
+def _(t):
+    soup = M.gather(t("mesh_faces"), t("mesh_vertices"))
+    path = "\n".join(B.write_parts(soup, scratch(soup.sparkSession, "raw"), "raw"))
+    return B.read_binary(soup.sparkSession, path, "raw", "triangles").select(*S.SOUP)
+
+
+@query("src_24_binary_stl", f"WITH {TRI} SELECT {', '.join(f'CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}' for c in S.SOUP)} FROM tri")
+def _(t):
+    soup = M.gather(t("mesh_faces"), t("mesh_vertices"))
+    path = "\n".join(B.write_parts(soup, scratch(soup.sparkSession, "stl"), "stl"))
+    return B.read_binary(soup.sparkSession, path, "stl", "triangles").select(*S.SOUP)
+
+
 @query("src_24_stl_soup", f"WITH {TRI} SELECT row_number() OVER (ORDER BY fid) - 1 AS fid, {', '.join(S.SOUP)} FROM tri")
 def _(t):
     soup = M.gather(t("mesh_faces"), t("mesh_vertices")).select("fid", *S.SOUP)

@@ -1,28 +1,21 @@
 """Mesh files: OBJ, OFF, PLY and STL as text, PLY, STL and raw triangles as binary.
 
 Readers give vertices (vid, x, y, z, and r, g, b, a where the format has colours) and faces (fid, v0, v1,
-v2), or a soup of triangles (fid, x0 .. z2).  Text is read in splits of any size.  A binary file is one
-row of at most 2 GB, decoded by numpy in one task; larger models come as several files.
+v2), or a soup of triangles (fid, x0 .. z2).  Text is read in splits of any size, binary files in ranges of
+records (`binary`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binary import COLOURS, read_binary
 from .lines import numbered, save, words
 
 SOUP = [f"{c}{k}" for k in range(3) for c in "xyz"]
-# Fixed values of the formats.
-PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
-PLY_COLOURS = {"r": ("red", "diffuse_red"), "g": ("green", "diffuse_green"), "b": ("blue", "diffuse_blue"), "a": ("alpha",)}
-STL_RECORD = np.dtype([("normal", "<f4", 3), ("corners", "<f4", 9), ("attribute", "<u2")])
-RAW_RECORD = np.dtype("<f4"), 27
 
 Mesh = tuple[DataFrame, DataFrame]
 
@@ -101,7 +94,7 @@ def write_off(vertices: DataFrame, faces: DataFrame, path: str) -> None:
 def write_ply(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     """Text PLY, with colours where the vertices have r, g, b.  vid must be gapless from 0."""
     colours = [c for c in "rgba" if c in vertices.columns]
-    props = [f"property double {c}" for c in "xyz"] + [f"property uchar {PLY_COLOURS[c][0]}" for c in colours]
+    props = [f"property double {c}" for c in "xyz"] + [f"property uchar {COLOURS[c][0]}" for c in colours]
     before, behind = ["ply", "format ascii 1.0"], ["property list uchar int vertex_indices", "end_header"]
     lines = F.array(*map(F.lit, before), F.concat(F.lit("element vertex "), F.col("nv").cast("string")), *map(F.lit, props), F.concat(F.lit("element face "), F.col("nf").cast("string")), *map(F.lit, behind))
     head = _counts(vertices, faces).select(F.lit(0).alias("block"), F.posexplode(lines).alias("id", "value"))
@@ -133,7 +126,7 @@ def read_ply_text(spark: SparkSession, path: str) -> Mesh:
         start += n
     body, names = found["vertex"]
     cols = [F.col("w")[names.index(c)].cast("double").alias(c) for c in "xyz"]
-    tint = {c: next((names.index(x) for x in known if x in names), None) for c, known in PLY_COLOURS.items()}
+    tint = {c: next((names.index(x) for x in known if x in names), None) for c, known in COLOURS.items()}
     if tint["r"] is not None:
         cols += [(F.lit(255) if i is None else F.col("w")[i].cast("int")).alias(c) for c, i in tint.items()]
     vertices = body.select(F.col("n").alias("vid"), *cols)
@@ -142,56 +135,9 @@ def read_ply_text(spark: SparkSession, path: str) -> Mesh:
     return vertices, found["face"][0].select(F.col("n").alias("fid"), *(x.cast("long").alias(f"v{k}") for k, x in enumerate(_corners(F.col("w"), F.col("w")[0].cast("int"), 1))))
 
 
-def _ply_arrays(data: bytes) -> dict[str, np.ndarray]:
-    """Structured arrays of the vertices and faces of one binary PLY file; faces are triangles."""
-    at = data.index(b"end_header")
-    at = data.index(b"\n", at) + 1
-    kind, elements = ply_elements(data[:at].decode("latin-1").splitlines())
-    order, out = "<" if kind == "binary_little_endian" else ">", {}
-    for name, n, props in elements:
-        fields = []
-        for p in props:
-            if len(p) == 2:
-                fields.append((p[0], order + PLY_TYPES[p[1]]))
-            else:
-                # Lists have the length that the format's triangles have; others are told below.
-                size = {"vertex_indices": 3, "vertex_index": 3, "texcoord": 6}.get(p[0])
-                if size is None:
-                    raise ValueError(f"list {p[0]} of element {name} has no fixed length")
-                fields += [(f"{p[0]}#", order + PLY_TYPES[p[1]]), (p[0], order + PLY_TYPES[p[2]], size)]
-        dtype = np.dtype(fields)
-        out[name] = np.frombuffer(data, dtype, n, at)
-        for f, size in (("vertex_indices", 3), ("vertex_index", 3), ("texcoord", 6)):
-            if f"{f}#" in (dtype.names or ()) and (out[name][f"{f}#"] != size).any():
-                raise ValueError(f"{f} of other lengths than {size}")
-        at += n * dtype.itemsize
-    return out
-
-
 def read_ply_binary(spark: SparkSession, path: str) -> Mesh:
-    """Vertices and faces of binary PLY files; `file` tells models apart."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = _ply_arrays(data)["vertex"]
-                cols = {c: pa.array(v[c].astype(np.float64)) for c in "xyz"}
-                for c, known in PLY_COLOURS.items():
-                    own = next((x for x in known if x in v.dtype.names), None)
-                    full = np.full(len(v), 255, np.int32) if c == "a" and "r" in cols and cols["r"].null_count == 0 else None
-                    cols[c] = pa.array(v[own].astype(np.int32)) if own else pa.nulls(len(v), pa.int32()) if full is None else pa.array(full)
-                yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(v)), "vid": pa.array(np.arange(len(v))), **cols})
-
-    def faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                f = _ply_arrays(data).get("face")
-                if f is not None:
-                    ids = f["vertex_indices" if "vertex_indices" in f.dtype.names else "vertex_index"].astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(f)), "fid": pa.array(np.arange(len(f))), **{f"v{k}": pa.array(np.ascontiguousarray(ids[:, k])) for k in range(3)}})
-
-    return files.mapInArrow(vertices, "file string, vid long, x double, y double, z double, r int, g int, b int, a int"), files.mapInArrow(faces, "file string, fid long, v0 long, v1 long, v2 long")
+    """Vertices and faces of binary PLY files, in ranges of records; `file` tells models apart."""
+    return read_binary(spark, path, "ply", "vertices"), read_binary(spark, path, "ply", "faces")
 
 
 def write_stl(soup: DataFrame, path: str) -> None:
@@ -211,34 +157,14 @@ def read_stl_text(spark: SparkSession, path: str) -> DataFrame:
     return v.groupBy(F.floor(F.col("n") / 3).alias("fid")).agg(*cols)
 
 
-def _soup(spark: SparkSession, path: str, decode, extra: list[str]) -> DataFrame:
-    """Triangles of binary files: decode(bytes) -> array with a row per triangle, columns SOUP + extra."""
-    names = SOUP + extra
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = decode(data).astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(rows)), "fid": pa.array(np.arange(len(rows))), **{c: pa.array(np.ascontiguousarray(rows[:, i])) for i, c in enumerate(names)}})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, fid long, " + ", ".join(f"{c} double" for c in names))
-
-
 def read_stl_binary(spark: SparkSession, path: str) -> DataFrame:
     """(file, fid, x0 .. z2)."""
-    return _soup(spark, path, lambda d: np.frombuffer(d, STL_RECORD, int.from_bytes(d[80:84], "little"), 84)["corners"], [])
+    return read_binary(spark, path, "stl", "triangles")
 
 
 def read_raw_triangles(spark: SparkSession, path: str) -> DataFrame:
     """(file, fid, x0 .. z2, r0 .. b2) of records of 27 floats: positions, normals, colours from 0 to 1."""
-    dtype, width = RAW_RECORD
-    tints = [f"{c}{k}" for k in range(3) for c in "rgb"]
-
-    def decode(data: bytes) -> np.ndarray:
-        rows = np.frombuffer(data, dtype, len(data) // (4 * width) * width).reshape(-1, width)
-        return np.hstack([rows[:, :9], np.floor(rows[:, 18:].astype(np.float64) * 255)])
-
-    return _soup(spark, path, decode, tints)
+    return read_binary(spark, path, "raw", "triangles")
 
 
 READERS = {"obj": read_obj, "off": read_off, "ply": read_ply_text}

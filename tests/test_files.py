@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from meshspark.sources import binary as B
 from meshspark.sources import meshes as S
 from meshspark.sources.lines import numbered
 
@@ -42,15 +43,47 @@ def test_binary_ply(spark, tmp_path, order, kind):
     assert [tuple(r)[1:] for r in faces.collect()] == [(0, 2, 0, 1)]
 
 
-def test_binary_ply_of_quads_is_refused(tmp_path):
-    head = "ply\nformat binary_little_endian 1.0\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
-    with pytest.raises(ValueError, match="other lengths"):
-        S._ply_arrays(head.encode() + bytes([4]) + np.arange(4, dtype="<i4").tobytes())
+def test_binary_ply_of_quads_is_refused(spark, tmp_path):
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 0\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "q.ply").write_bytes(head.encode() + bytes([4]) + np.arange(4, dtype="<i4").tobytes())
+    with pytest.raises(Exception, match="other lengths"):
+        S.read_ply_binary(spark, f"file://{tmp_path}/q.ply")[1].collect()
+
+
+@pytest.mark.parametrize("text, error", [("ply\nformat ascii 1.0\nend_header\n", "no binary PLY"), ("ply\nformat binary_little_endian 1.0\nelement vertex 1\nproperty float x\nend_header\n", "lack"), ("solid", "no PLY header"), ("ply\nformat binary_little_endian 1.0\nelement vertex 9\nproperty float x\nproperty float y\nproperty float z\nend_header\n", "ends before")])
+def test_damaged_ply_is_refused(spark, tmp_path, text, error):
+    (tmp_path / "q.ply").write_text(text)
+    with pytest.raises(Exception, match=error):
+        B.read_binary(spark, f"file://{tmp_path}/q.ply", "ply", "vertices").collect()
+
+
+@pytest.mark.parametrize("order, kind", [("<", "little"), (">", "big")])
+def test_binary_ply_in_ranges(spark, tmp_path, order, kind):
+    """Many ranges of two unlike files: all columns that the headers name, places by header order, extra elements skipped."""
+    n = 40
+    v = np.zeros(n, [("x", f"{order}f8"), ("y", f"{order}f4"), ("z", f"{order}f8"), ("nx", f"{order}f4"), ("ny", f"{order}f4"), ("nz", f"{order}f4"), ("diffuse_red", "u1"), ("diffuse_green", "u1"), ("diffuse_blue", "u1"), ("alpha", "u1")])
+    v["x"], v["y"], v["nz"], v["diffuse_red"], v["alpha"] = np.arange(n) / 7, np.arange(n), 1, np.arange(n), 9
+    f = np.zeros(n, [("a", "u1"), ("v", f"{order}u4", 3), ("b", "u1"), ("t", f"{order}f4", 6), ("k", f"{order}i4")])
+    f["a"], f["v"], f["b"], f["t"], f["k"] = 3, np.arange(3 * n).reshape(n, 3) % n, 6, np.arange(6 * n).reshape(n, 6), np.arange(n) % 2
+    names = [("double", "x"), ("float", "y"), ("float64", "z"), ("float", "nx"), ("float", "ny"), ("float", "nz"), ("uchar", "diffuse_red"), ("uchar", "diffuse_green"), ("uchar", "diffuse_blue"), ("uchar", "alpha")]
+    head = ["ply", f"format binary_{kind}_endian 1.0", "comment TextureFile one two.png", "comment TextureFile b.png", "element camera 1", "property short k", f"element vertex {n}", *(f"property {t} {c}" for t, c in names), f"element face {n}", "property list uchar uint vertex_index", "property list uchar float texcoord", "property int texnumber", "end_header", ""]
+    (tmp_path / "a.ply").write_bytes("\n".join(head).encode() + b"\0\0" + v.tobytes() + f.tobytes())
+    (tmp_path / "b.ply").write_bytes(B.ply_bytes(np.arange(9.0).reshape(1, 9), order))
+    path = f"file://{tmp_path}"
+    got = B.read_binary(spark, path, "ply", "vertices", records=7)
+    assert got.rdd.getNumPartitions() == 7 and got.columns == ["file", "vid", *"xyz", *"rgba", "nx", "ny", "nz"]
+    rows = sorted(tuple(r)[1:] for r in got.collect() if r["file"].endswith("a.ply"))
+    assert rows == [(k, k / 7, float(k), 0.0, k, 0, 0, 9, 0.0, 0.0, 1.0) for k in range(n)]
+    faces = B.read_binary(spark, path, "ply", "faces", records=11).where("file LIKE '%a.ply'").orderBy("fid").collect()
+    assert [tuple(r)[1:] for r in faces] == [(k, *(int(x) for x in f["v"][k]), *map(float, range(6 * k, 6 * k + 6)), k % 2) for k in range(n)]
+    other = [tuple(r)[1:] for r in B.read_binary(spark, path, "ply", "faces").where("file LIKE '%b.ply'").collect()]
+    assert other == [(0, 0, 1, 2, *[None] * 7)]
+    assert sorted(tuple(r)[1:] for r in B.read_binary(spark, path, "ply", "textures").collect()) == [(0, "one two.png"), (1, "b.png")]
 
 
 def test_binary_soups(spark, tmp_path):
     stl, raw = tmp_path / "m.stl", tmp_path / "m.tsp"
-    rows = np.zeros(2, S.STL_RECORD)
+    rows = np.zeros(2, B.STL)
     rows["corners"] = np.arange(18).reshape(2, 9)
     stl.write_bytes(bytes(80) + (2).to_bytes(4, "little") + rows.tobytes())
     got = sorted(tuple(r)[1:] for r in S.read_stl_binary(spark, f"file://{stl}").collect())
