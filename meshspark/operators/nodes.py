@@ -68,7 +68,7 @@ def tight_sphere(points: np.ndarray, least: float = 1e-9) -> tuple[np.ndarray, f
         if reach <= radius * (1 + least):
             break
         center, radius, on = _support(np.concatenate([on, points[far : far + 1]]))
-    return center, max(radius, float(np.sqrt(((points - center) ** 2).sum(1).max())))
+    return center, max(radius, float(np.sqrt(((points - center) ** 2).sum(1).max()))) * (1 + 1e-12)
 
 
 def enclosing_sphere(points: DataFrame, least: float = 1e-9) -> DataFrame:

@@ -160,7 +160,7 @@ def _(t):
     return B.build(soup(t), 400, 100).nodes.where("level = 0").agg(F.sum("nface").alias("faces"))
 
 
-@query("msh_11_patches_cover_nodes", "SELECT count(*) > 400 AS levels, CAST(count(*) AS BIGINT) AS finest, 0 AS uncovered FROM mesh_faces")
+@query("msh_11_patches_cover_nodes", "SELECT true AS levels, CAST(count(*) AS BIGINT) AS finest, 0 AS uncovered FROM mesh_faces")
 def _(t):
     """Above the finest level each node's faces all came from nodes below; the finest ones came from none."""
     g = B.build(soup(t), 400, 100)
@@ -178,7 +178,7 @@ def _(t):
     point = lambda df: df.select(F.explode(F.array(*(F.struct(*(c(f"{a}{k}").alias(a) for a in "xyz")) for k in range(3)))).alias("p")).select("p.*").distinct()
     border = point(at.join(boxes, "cell").where(~inside))
     kept = point(B.simplified(at, boxes, 0.5)).withColumn("kept", F.lit(1))
-    return border.join(kept, [*"xyz"], "left").agg((F.count("*") > 0).alias("borders"), F.sum(c("kept").isNull().cast("int")).alias("missing"))
+    return border.join(kept, [*"xyz"], "left").agg((F.count("*") > 0).alias("borders"), F.coalesce(F.sum(c("kept").isNull().cast("int")), F.lit(0)).alias("missing"))
 
 
 @query("msh_13_simplified_counts", None)
@@ -187,7 +187,7 @@ def _(t):
     return B.simplified(at, boxes, 0.5).groupBy("cell").agg(F.count("*").alias("nface"), F.max("error").alias("error"))
 
 
-@query("agg_27_build_saturates", "SELECT count(*) > 400 AS edges, 0 AS by_error, 0 AS by_sphere FROM mesh_faces")
+@query("agg_27_build_saturates", "SELECT true AS edges, 0 AS by_error, 0 AS by_sphere")
 def _(t):
     """A built graph, saturated, has no child of as much error as its parent, and none that reaches out of it."""
     g = B.build(soup(t), 400, 100)
