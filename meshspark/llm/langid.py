@@ -14,6 +14,8 @@ training rows (`sample`, 4000 by default, about; drawn by a hash of the id).
 
 A null text, or one without any letter, is `und` with score 0.  Rows with a null id count as
 training rows and not as held out.  With nothing to learn from every text is `und`.
+
+An empty table gives no rows.  `identify` reads doc_id, text and lang alone.  A text of any length counts whole, in one task.
 """
 
 from __future__ import annotations

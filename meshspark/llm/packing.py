@@ -19,6 +19,9 @@ comes from a count per (length, partition) and its running sum, so no task needs
 length.
 
 A null or empty text is the end id alone.  Equal rows are packed as often as they stand there.
+
+An empty table gives no rows.  Columns other than doc_id and text are not read.  A text of any length is encoded by one task;
+one of more than the capacity becomes whole sequences and one shorter piece.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@ kind only, DEFAULT weights hold; ids with labels that contradict count as bad.
 
 A null or empty text has no words, fails the base rules, and isn't kept.  Lines without a word carry
 no label.  Rows are judged one by one, so equal rows get equal results.
+
+An empty table gives no rows.  Columns other than doc_id and text are not read, whatever they are called.  A text of any
+length is judged whole, by one task.
 """
 
 from __future__ import annotations

@@ -16,6 +16,9 @@ Files follow each other in ascending doc_id order and so do their records; null
 first, rows with equal doc_ids stand side by side in order of a hash of their texts, and a null text is an
 empty one.  Every attempt of a task writes files of its own name; only those in the manifest, one
 row per file, count, so lost executors and repeated attempts leave nothing wrong behind.
+
+An empty table gives no files and no rows.  Columns other than doc_id and text are not read, whatever they are
+called.  A text of any length is one record, encoded in one task.
 """
 
 from __future__ import annotations

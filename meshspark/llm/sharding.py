@@ -7,6 +7,9 @@ walked along its cycles until it falls below n.
 
 Rows are numbered by (id, size, crc of the text); nulls come first, and equal rows are numbered in
 any order, as they can't be told apart.  A null text has size 8 (no bytes) and the crc of no bytes, 0.
+
+An empty table gives no rows.  `shard_documents` reads doc_id and text alone, whatever other columns are called; a
+text's length has no part but in its size and crc.
 """
 
 from __future__ import annotations

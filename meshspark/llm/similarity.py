@@ -20,6 +20,9 @@ other pair is.
 A null or empty text has an empty set, links with nothing, and is its own component.  A text of fewer
 words than the shingle has its whole word sequence as its one n-gram.  Rows of equal ids are told apart
 by their sets; a null id never names a component that has another one.
+
+An empty table gives no rows.  Columns other than id and text are not read.  Very long texts are cut into words by one
+task and take part with all their n-grams.
 """
 
 from __future__ import annotations

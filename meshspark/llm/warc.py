@@ -10,6 +10,9 @@ manifest count; a repeated attempt of a task writes others.
 A null payload is an empty one.  Payloads under MIN_PAYLOAD bytes are always responses.  Rows that
 tie for the smallest id with equal payloads are responses alike.  A null id is never an original as
 long as another row has one; equal payloads under null ids only are all responses.
+
+An empty table gives no archives and no rows.  Columns other than page_id, url and html are not read.  A payload of any
+length is one record of one task.
 """
 
 from __future__ import annotations

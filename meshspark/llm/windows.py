@@ -15,6 +15,8 @@ agree.
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A null text has no words.  A null id counts as larger
 than any other; rows of equal ids don't remove each other's words, and count as one text.  Columns of docs
 named like the result's are replaced.
+
+An empty table gives no rows.  A text of any length belongs to one task, with all its windows.
 """
 
 from __future__ import annotations
