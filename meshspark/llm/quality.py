@@ -8,8 +8,8 @@ as little as needed until a good text expects CONTENT_GOOD of its words in conte
 bad one CONTENT_BAD or less (one multiplier per text, found by halving); then gradient steps fit the
 field to it.  So a good page may keep its menu as boilerplate.  Training takes a bounded sample: `sample`
 texts at most, drawn by a hash of the id, half of them good where there are enough bad ones, and of each
-LINES_MOST neighbouring lines at most, from a place that the hash draws.  Without labels, or with one
-kind only, DEFAULT weights hold; ids with labels that contradict count as bad.
+`sample_lines` neighbouring lines at most, from a place that the hash draws.  Without labels, or with one
+kind only, DEFAULT weights hold; ids with labels that contradict count as bad, and of rows with one id the least text counts.
 
 A null or empty text has no words, fails the base rules, and isn't kept.  Lines without a word carry
 no label.  Rows are judged one by one, so equal rows get equal results.
@@ -33,7 +33,7 @@ from .words import NON_SPACE, U64, Words, cover, find_words, mix, per_doc, slice
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEATED, KEEP_SHARE = 8, 20, 30, 0.5
-CONTENT_GOOD, CONTENT_BAD, LINES_MOST = 0.7, 0.3, 200
+CONTENT_GOOD, CONTENT_BAD = 0.7, 0.3
 FEATURES = ("bias", "log_words", "upper", "digits", "symbols", "exclaim", "repeats_line", "ends_sentence", "word_length", "repeats_words", "address", "other_punctuation")
 
 
@@ -237,8 +237,8 @@ def fit(x: np.ndarray, first: np.ndarray, words: np.ndarray, good: np.ndarray, r
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Field:
-    """Fit the field on a bounded sample of labelled texts."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: int = 200) -> Field:
+    """Fit the field on a bounded sample: about `sample` labelled texts, twice that at most, and of each `sample_lines` lines at most."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in known.groupBy((F.col("quality") > 0).alias("quality")).agg(F.count("*").alias("n")).collect()}
     if not sizes.get(False) or not sizes.get(True):
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Field:
     share = {q: min(1.0, sample / 2 / n) for q, n in sizes.items()}
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     chosen = known.where(dice < F.when(F.col("quality") > 0, share[True]).otherwise(share[False])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("long").alias("quality"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("dice"))
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", F.col("quality").cast("long").alias("quality"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("dice"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,12 +257,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Field:
                 rows = []
                 for d in range(j - i):
                     low, high = found.first[d], found.first[d + 1]
-                    low += int(dice[i + d]) % max(high - low - LINES_MOST + 1, 1)
-                    some = slice(low, min(high, low + LINES_MOST))
+                    low += int(dice[i + d]) % max(high - low - sample_lines + 1, 1)
+                    some = slice(low, min(high, low + sample_lines))
                     rows.append(np.column_stack([found.words[some], found.x[some]]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(good[i:j])], names=["x", "quality"])
 
-    got = some.mapInArrow(features, "x binary, quality long").toArrow().to_pydict()  # sample x LINES_MOST rows of features, twice
+    got = some.mapInArrow(features, "x binary, quality long").toArrow().to_pydict()  # sample x sample_lines rows of features, twice
     rows = sorted(zip(got["x"], got["quality"], strict=True))
     xs = [np.frombuffer(r, np.float32).reshape(-1, len(FEATURES) + 1).astype(float) for r, _ in rows]
     first = np.append(0, np.cumsum([len(r) for r in xs])).astype(np.int64)
@@ -296,5 +296,6 @@ def judge(docs: DataFrame, field: Field) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(docs, train(docs, labels))
+def quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: int = 200) -> DataFrame:
+    """RESULT of every document, by a field fitted on a bounded sample (see train)."""
+    return judge(docs, train(docs, labels, sample, sample_lines))
