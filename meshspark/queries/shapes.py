@@ -125,6 +125,8 @@ rowwise("vo_01_line_sphere", "dag_nodes", "node", lambda: {n: r4(v) for n, v in
 rowwise("vo_03_plane_line", "node_faces", "fid", lambda: {"t": r4(X.plane_line(point(0.6, 0.8, 0), F.lit(9.0), corners()[0], G.sub(corners()[1], corners()[0])))},
     {"t": "round(CASE WHEN abs(0.6 * (x1 - x0) + 0.8 * (y1 - y0)) > 1e-12 THEN (9 - 0.6 * x0 - 0.8 * y0) / (0.6 * (x1 - x0) + 0.8 * (y1 - y0)) END, 4)"})
 rowwise("vo_05_plane_segment", "node_faces", "fid", lambda: {"hit": X.plane_segment(point(0, 0, 1), F.lit(2.05), corners()[0], corners()[1]).isNotNull()}, {"hit": "z0 <> z1 AND (z0 - 2.05) * (z1 - 2.05) <= 0"})
+rowwise("vo_06_plane_segment_within", "node_faces", "fid", lambda: {"t": r4(X.plane_segment_within(point(0, 0, 1), F.lit(2.05), corners()[0], corners()[1], 0.1))},
+    {"t": "round(CASE WHEN least(abs(z0 - 2.05), abs(z1 - 2.05)) < 0.1 THEN CASE WHEN abs(z0 - 2.05) <= abs(z1 - 2.05) THEN 0.0 ELSE 1.0 END WHEN (z0 - 2.05) * (z1 - 2.05) < 0 THEN (z0 - 2.05) / (z0 - z1) END, 4)"})
 rowwise("vo_07_plane_triangle", "node_faces", "fid", lambda: {"hit": X.plane_triangle(point(0, 0, 1), F.lit(2.05), corners())}, {"hit": "least(z0, z1, z2) <= 2.05 AND greatest(z0, z1, z2) >= 2.05"})
 rowwise("vo_16_plane_box", "dag_nodes", "node", lambda: {"hit": X.plane_box(point(0.6, -0.8, 0), F.lit(1.0), *G.around(center(), c("tight_radius")))}, {"hit": "0.6 * (cx - tight_radius) - 0.8 * (cy + tight_radius) <= 1 AND 0.6 * (cx + tight_radius) - 0.8 * (cy - tight_radius) >= 1"})
 rowwise("vo_18_sphere_sphere", "dag_nodes", "node", lambda: {"hit": X.sphere_sphere(center(), c("tight_radius"), point(10, 20, 2), F.lit(6.0))}, {"hit": "sqrt(power(cx - 10, 2) + power(cy - 20, 2) + power(cz - 2, 2)) <= tight_radius + 6"})
