@@ -52,4 +52,4 @@ def rowwise(name: str, table: str, key: str, columns: Callable[[], dict], sql: d
         return t(table).select(key, *(made[n].alias(n) for n in sql))
 
 
-from . import catalogue, container, dag, files, mesh, nodes, points, scalars, shapes, surfaces, tiers, view, windows  # noqa: E402, F401
+from . import catalogue, cloud, container, dag, files, mesh, nodes, points, scalars, shapes, surfaces, tiers, view, windows  # noqa: E402, F401
