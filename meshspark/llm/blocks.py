@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialise
+from .shared import discard, materialise, tidy
 
 SAMPLE, RANGE = 24, 1 << 17  # keys a chunk, rows a range
 Row = dict[str, np.ndarray]
@@ -118,7 +118,7 @@ def ranked(chunks: DataFrame, keys: Keys, mode: str, name: str) -> tuple[DataFra
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=[x.split()[0] for x in GOT.split(", ")])
 
-    answers = materialise(chunks.mapInArrow(send, SENT).groupBy("part").applyInArrow(sort, GOT), name)
+    answers = materialise(chunks.mapInArrow(send, SENT).groupBy("part").applyInArrow(tidy(sort), GOT), name)
     states = answers.where("state IS NOT NULL").select("part", "state").orderBy("part").collect()
     bases, total, rows, before = {}, 0, 0, None
     for r in states:
@@ -146,7 +146,7 @@ def attach(chunks: DataFrame, answers: DataFrame, bases: dict[int, int], then: C
         types = [pa.binary() if t == "binary" else pa.int64() for _, t in fields]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * len(fields), types, strict=True)], names=[f for f, _ in fields])
 
-    out = materialise(chunks.groupBy("chunk").cogroup(answers.where(F.col("chunk").isNotNull()).groupBy("chunk")).applyInArrow(run, schema), name)
+    out = materialise(chunks.groupBy("chunk").cogroup(answers.where(F.col("chunk").isNotNull()).groupBy("chunk")).applyInArrow(tidy(run), schema), name)
     discard(answers)
     return out
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from inspect import signature
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import discard, materialise, new_folder, shared_dir
 
-__all__ = ["arrow_batches", "discard", "load", "materialise", "new_folder", "shared_dir", "small_batches", "text_bytes"]
+__all__ = ["arrow_batches", "discard", "load", "materialise", "new_folder", "shared_dir", "small_batches", "text_bytes", "tidy"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,3 +43,17 @@ def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return df.agg(F.sum(F.octet_length(col)).alias("n")).first()["n"] or 0
+
+
+def tidy(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """f of one or two Arrow tables; behind it the worker gives memory it doesn't use back to the system, so that
+    waiting workers hold little beside the executor's JVM."""
+
+    def free(out: pa.Table) -> pa.Table:
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+        return out
+
+    if len(signature(f).parameters) == 1:
+        return lambda table: free(f(table))
+    return lambda table, other: free(f(table, other))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, exchange
-from .shared import arrow_batches, discard, materialise, text_bytes
+from .shared import arrow_batches, discard, materialise, text_bytes, tidy
 from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, mix, per_doc, prefix_sums, slices, text_buffer
 
 PIECE, TRIGGER, DENSITY = 100, 16, 32
@@ -224,7 +224,7 @@ def chunked(runs: DataFrame, total: int) -> DataFrame:
         return pa.table([pa.array([x], t) for x, t in zip(made, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "s", "n", "bytes"])
 
     chunks = max(1, -(-total // SEGMENT))
-    return materialise(exchange.dealt(runs.select("s", "bytes"), "s", chunks).groupBy("_chunk").applyInArrow(pack, CHUNK), "chunks")
+    return materialise(exchange.dealt(runs.select("s", "bytes"), "s", chunks).groupBy("_chunk").applyInArrow(tidy(pack), CHUNK), "chunks")
 
 
 def _parsed(n: np.ndarray, data: bytes, length: int) -> Iterator[tuple[int, int, Anchors, bytes]]:
@@ -275,7 +275,7 @@ def named_phrases(chunks: DataFrame, length: int) -> tuple[DataFrame, int]:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "n", "c"])
 
     names = listed.select("chunk", "phrase").join(numbers, "phrase").select("chunk", "c")
-    strings = materialise(chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(replace, "chunk long, n binary, c binary"), "strings")
+    strings = materialise(chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(tidy(replace), "chunk long, n binary, c binary"), "strings")
     reach = listed.agg(F.max("most").alias("n")).first()["n"] or 1
     discard(listed, contents)
     return strings, reach
@@ -335,7 +335,7 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
                 made.append((r["chunk"], r["n"].tobytes(), r["c"].tobytes(), out.tobytes()))
             return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "n", "c", "r"])
 
-        before, named = named, materialise(named.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(lengthen, "chunk long, n binary, c binary, r binary"), "named")
+        before, named = named, materialise(named.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(tidy(lengthen), "chunk long, n binary, c binary, r binary"), "named")
         discard(before, ranks)
 
     # How many sampled suffixes stand before a remaining one: by (c, rank of the next) among those at 1
@@ -396,7 +396,7 @@ def _contexts(chunks: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
                 out.append(pa.table([*map(pa.array, cols), pa.array(cut, pa.binary())], names=out[0].column_names))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(run, "part long, rank long, s long, at long, low long, high long, bytes binary")
+    return chunks.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(tidy(run), "part long, rank long, s long, at long, low long, high long, bytes binary")
 
 
 class Suffixes:
@@ -492,7 +492,7 @@ def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
     chunks = chunked(runs, text_bytes(runs, "bytes"))
     strings, reach = named_phrases(chunks, length)
     ranks = suffix_ranks(strings, reach)
-    marks = materialise(_contexts(chunks, ranks, length).groupBy("part").applyInArrow(lambda t: _resolve(t, length), MARKS), "marks")
+    marks = materialise(_contexts(chunks, ranks, length).groupBy("part").applyInArrow(tidy(lambda t: _resolve(t, length)), MARKS), "marks")
     discard(chunks, strings, ranks)
     beside = marks.where("key IS NOT NULL")
     many = beside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
