@@ -369,7 +369,9 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
         return np.arange(len(i)), [r["p"], (~rest).astype(np.int64), np.where(rest, r["c"], zero), np.where(rest, _after(r["r"], ends, 1), zero)]
 
     answers, bases, _, _ = blocks.ranked(full, order, "number", "order")
-    out = blocks.attach(full, answers, bases, lambda r, v: {"chunk": r["chunk"], "r": v}, size, "chunk long, r binary", "ranks")
+    # Chunks get their ranks by place: of themselves only the number of symbols is needed.
+    sizes = full.select("chunk", (F.octet_length("c") / 8).cast("long").alias("size"))
+    out = blocks.attach(sizes, answers, bases, lambda r, v: {"chunk": r["chunk"], "r": v}, lambda r: r["size"], "chunk long, r binary", "ranks")
     discard(full)
     return out
 
