@@ -8,10 +8,12 @@
    there twice is covered as a whole.
 2. Runs are cut into phrases at anchors, places that their next bytes decide (`Anchors`).  So equal windows
    hold the same anchors and the same phrases between them; each window belongs to one anchor.  Phrases
-   get names in rising byte order.
+   get names in rising byte order.  Anchors keep a distance, so few phrases cover a window, and a few
+   steps of the next sort are enough.
 3. The suffixes that start at anchors are sorted by the difference cover {1, 2} modulo 3 over phrases:
    triples of names at places 1 and 2 modulo 3 get names in rising order; the strings of names are sorted
-   the same way, until they cover `length` bytes or are all different; then the remaining suffixes
+   the same way, until they cover `length` bytes (three names that do are sorted as they are) or are all
+   different; then the remaining suffixes
    (0 modulo 3) are merged in by their first names and the rank that follows, by counts of smaller
    sampled suffixes.  Every sort is cut into ranges of its whole order, so no phrase or triple stays in
    one task.
@@ -27,10 +29,13 @@ they have `length` bytes or more, whatever their ids.  Other columns of docs are
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +43,10 @@ from . import blocks, exchange
 from .shared import arrow_batches, discard, materialise, text_bytes, tidy
 from .words import BYTE_POWERS, BYTE_VALUES, U64, byte_window_hashes, mix, per_doc, prefix_sums, slices, text_buffer
 
-PIECE, TRIGGER, DENSITY = 100, 16, 32
+PIECE, GRAM, RADIUS = 100, 16, 16
 RANGE = 1 << 15  # anchors a task
-SEGMENT = 1 << 20  # bytes that are looked at together
+SEGMENT = 1 << 20  # bytes of runs a chunk
+PART = 1 << 16  # bytes that are looked at together: columns of them fit the processor's caches
 BATCH = 4 << 20  # bytes of rows that go to a Python worker at once
 LAST = np.iinfo(U64).max
 
@@ -60,14 +66,15 @@ def _starts(off: np.ndarray, length: int) -> np.ndarray:
 
 
 def _segments(off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first byte, offsets from there) of runs of texts of SEGMENT bytes together; a longer text comes in
-    parts of SEGMENT windows, which share the bytes that windows of both hold."""
-    for i, j in slices(off, SEGMENT):
+    """(first byte, offsets from there) of runs of texts of PART bytes together; a longer text comes in
+    parts of PART windows, which share the bytes that windows of both hold."""
+    part = min(PART, SEGMENT)
+    for i, j in slices(off, part):
         n = int(off[j] - off[i])
-        if j > i + 1 or n <= SEGMENT + length:
+        if j > i + 1 or n <= part + length:
             yield int(off[i]), off[i : j + 1] - off[i]
         else:
-            yield from ((int(off[i]) + s, np.array([0, min(n - s, SEGMENT + length - 1)])) for s in range(0, n - length + 1, SEGMENT))
+            yield from ((int(off[i]) + s, np.array([0, min(n - s, part + length - 1)])) for s in range(0, n - length + 1, part))
 
 
 class Candidates:
@@ -100,7 +107,8 @@ class Candidates:
         self.at, self.n = join(at, np.int64), join(n, np.int64)
         # Least hashes lie close together; mixed again, keys fill all buckets alike.
         self.stand = mix(join(stand, U64))
-        self.keys = np.unique(self.stand)
+        self.keys = np.sort(self.stand)
+        self.keys = self.keys[np.append(True, self.keys[1:] != self.keys[:-1])[: len(self.keys)]]
         every = np.sort(mix(join(pieces, U64)))
         self.own = np.searchsorted(every, self.keys, "right") - np.searchsorted(every, self.keys, "left") > 1
 
@@ -114,18 +122,40 @@ class Candidates:
         return [(int(doc[a]), int(at[a] - self.off[doc[a]]), int(end[b] - 1 - self.off[doc[a]]) + length) for a, b in zip(head, tail, strict=True)]
 
 
-def _triggers(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    p, hit = _starts(off, TRIGGER), np.zeros(len(buf), bool)
-    hit[p] = byte_window_hashes(prefix_sums(BYTE_VALUES[buf], BYTE_POWERS), p, TRIGGER) % U64(DENSITY) == 0
+def _looks(length: int) -> tuple[int, int]:
+    """(radius, bytes that decide on a trigger) for windows of `length` bytes."""
+    radius = min(RADIUS, (length - GRAM - 1) // 8)
+    return radius, GRAM + 2 * radius
+
+
+def most_triggers(length: int) -> int:
+    """Triggers that start in a window of `length` bytes and end in it or at its end, at most: two are more than a radius apart."""
+    radius, looks = _looks(length)
+    return -(-(length - looks) // (radius + 1))
+
+
+def _triggers(buf: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Places p where, of the hashes of the GRAM bytes from p to p + 2 * radius on, the middle one is the first of the least."""
+    radius, looks = _looks(length)
+    w, hit = _starts(off, looks), np.zeros(len(buf), bool)
+    if len(w) and radius:
+        p, g = _starts(off, GRAM), np.full(len(buf), LAST, U64)
+        g[p] = byte_window_hashes(prefix_sums(BYTE_VALUES[buf], BYTE_POWERS), p, GRAM)
+        low, middle = _lowest(g, radius), g[w + radius]
+        hit[w] = (middle < low[w]) & (middle <= low[w + radius + 1])
+    else:
+        hit[w] = True
     return hit
 
 
-def without_periods(x: bytes, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(runs to keep, spans that are covered): long stretches without a trigger are nearly always periodic."""
+def without_periods(x: bytes, hits: np.ndarray | None, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(runs to keep, spans that are covered): long stretches without a trigger are nearly always periodic.
+
+    hits: places of triggers in x, where it has 2 * length bytes or more.
+    """
     buf = np.frombuffer(x, np.uint8)
     n, keep, covered, begin = len(x), [], [], 0
     if n >= 2 * length:
-        hits = np.flatnonzero(_triggers(buf, np.array([0, n])))
         edges = np.concatenate([[-1], hits, [n]])
         for u, v in zip(edges[:-1] + 1, edges[1:], strict=True):
             at = int(max(u, begin))
@@ -146,6 +176,16 @@ def without_periods(x: bytes, length: int) -> tuple[list[tuple[int, int]], list[
     return keep, covered
 
 
+def _with_triggers(runs: list[tuple], data: list[bytes], length: int) -> Iterator[tuple[tuple, bytes, np.ndarray | None]]:
+    """Each run with its bytes, and its triggers if it is long: made for many runs at once."""
+    off = np.append(0, np.cumsum([len(x) if len(x) >= 2 * length else 0 for x in data])).astype(np.int64)
+    for i, j in slices(off, PART):
+        own = off[i : j + 1] - off[i]
+        hits = np.flatnonzero(_triggers(np.frombuffer(b"".join(x for x in data[i:j] if len(x) >= 2 * length), np.uint8), own, length))
+        cut = np.searchsorted(hits, own)
+        yield from ((runs[k], data[k], hits[cut[k - i] : cut[k - i + 1]] - own[k - i]) for k in range(i, j))
+
+
 def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
     """(k, start, end, run, bytes) of texts (k, text); run is a digest of the bytes.
 
@@ -156,9 +196,9 @@ def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
         c, ids = Candidates(table, length), table.column("k").to_pylist()
         raw = c.buf.tobytes()
         rows = []
-        for d, a, b in c.runs(bits[0], length):
-            x = raw[c.off[d] + a : c.off[d] + b]
-            keep, covered = without_periods(x, length)
+        runs = c.runs(bits[0], length)
+        for (d, a, _), x, hits in _with_triggers(runs, [raw[c.off[d] + a : c.off[d] + b] for d, a, b in runs], length):
+            keep, covered = without_periods(x, hits, length)
             # A long run comes in parts, each window in one of them.
             keep = [(at, min(q, at + SEGMENT + length - 1)) for p, q in keep for at in range(p, q - length + 1, SEGMENT)]
             rows += [(ids[d], a + p, a + q, hashlib.blake2b(x[p:q], digest_size=16).digest(), x[p:q]) for p, q in keep]
@@ -173,9 +213,9 @@ def candidate_runs(texts: DataFrame, length: int) -> DataFrame:
 class Anchors:
     """Anchors of a batch of runs (buf[off[r]:off[r + 1]], `length` bytes each at least), in order.
 
-    A trigger is a place whose next TRIGGER bytes have a hash divisible by DENSITY.  Every trigger is an
-    anchor, and a window belongs to its first trigger.  The start of a window without triggers is an anchor
-    of its own.  low and high: the windows of an anchor start that many bytes before it.
+    A trigger is a place whose next `looks` bytes have their least hash in the middle (`_triggers`).  Every
+    trigger is an anchor, and a window belongs to its first trigger.  The start of a window without triggers
+    is an anchor of its own.  low and high: the windows of an anchor start that many bytes before it.
 
     A trigger's phrase goes up to the end of the next one, or for `length` bytes where that is farther: then
     no window needs what follows, and the string of phrases ends.  The phrase of a window without triggers is
@@ -183,10 +223,11 @@ class Anchors:
     """
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, length: int):
-        reach = length - TRIGGER
+        looks = _looks(length)[1]
+        reach = length - looks
         first, end = (np.repeat(x, np.diff(off)) for x in (off[:-1], off[1:]))
         place = np.arange(len(buf))
-        hit = _triggers(buf, off)
+        hit = _triggers(buf, off, length)
         ahead = np.minimum.accumulate(np.where(hit, place, len(buf) + length)[::-1])[::-1] if len(buf) else place
         alone = (ahead > place + reach) & (place <= end - length)
         self.at = at = np.flatnonzero(hit | alone)
@@ -199,16 +240,13 @@ class Anchors:
         before, behind = np.maximum(before, self.first - 1), np.where(behind < self.end, behind, len(buf) + length)
         self.high = np.where(hit, np.minimum(reach, at - before - 1), 0)
         self.low = np.where(hit, np.maximum(0, at - (self.end - length)), 0)
-        self.phrase_end = np.minimum(np.minimum(behind + TRIGGER, at + length), self.end)
+        self.phrase_end = np.minimum(np.minimum(behind + looks, at + length), self.end)
         starts = np.ones(len(at), bool)
         starts[trigger[1:]] = behind[trigger[:-1]] > at[trigger[:-1]] + reach
         self.size = np.diff(np.append(np.flatnonzero(starts), len(at)))
-        #: most triggers in `length` bytes
-        t = at[trigger]
-        self.most = int((np.searchsorted(t, np.minimum(t + length, self.end[trigger])) - np.arange(len(t))).max(initial=1))
 
     def phrases(self, raw: bytes) -> list[bytes]:
-        mark = lambda x: b"\x00" * TRIGGER + hashlib.blake2b(x, digest_size=16).digest()
+        mark = lambda x: b"\x00" * GRAM + hashlib.blake2b(x, digest_size=16).digest()
         return [raw[p:q] if hit else mark(raw[p:q]) for p, q, hit in zip(self.at.tolist(), self.phrase_end.tolist(), self.hit.tolist(), strict=True)]
 
 
@@ -230,55 +268,96 @@ def chunked(runs: DataFrame, total: int) -> DataFrame:
 def _parsed(n: np.ndarray, data: bytes, length: int) -> Iterator[tuple[int, int, Anchors, bytes]]:
     """Of runs of n bytes each, for slices (i, j): their anchors and bytes."""
     buf, off = np.frombuffer(data, np.uint8), np.append(0, np.cumsum(n))
-    for i, j in slices(off):
+    for i, j in slices(off, PART):
         x = buf[off[i] : off[j]]
         yield i, j, Anchors(x, off[i : j + 1] - off[i], length), x.tobytes()
 
 
-def named_phrases(chunks: DataFrame, length: int) -> tuple[DataFrame, int]:
-    """(chunk, n, c): the strings of phrase names of the chunks' runs, names in rising byte order; and the
-    most anchors that `length` bytes hold."""
+PHRASES = "part long, chunk long, n binary, bytes binary"
+NAMES = "part long, chunk long, c binary, different long"
 
-    def different(n: np.ndarray, data: bytes) -> tuple[list[bytes], list[list[bytes]], list[np.ndarray], int]:
-        found, counts, most = [], [], 0
-        for _, _, a, raw in _parsed(n, data, length):
-            found.append(a.phrases(raw))
-            counts.append(a.size)
-            most = max(most, a.most)
-        return sorted({x for f in found for x in f}), found, counts, most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct(phrases: list[bytes] | pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(different phrases in rising byte order, the place of each given one among them)."""
+    coded = (phrases if isinstance(phrases, pa.Array) else pa.array(phrases, pa.large_binary())).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), place[coded.indices.to_numpy()]
+
+
+def _sized(n: np.ndarray, data: bytes) -> pa.Array:
+    """Texts of n bytes each that lie one behind the other."""
+    off = np.append(0, np.cumsum(n)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(data)])
+
+
+def _phrases(row: dict, length: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different phrases of a chunk, the place of each anchor's among them, anchors of each string)."""
+    found, sizes = [], [np.zeros(0, np.int64)]
+    for _, _, a, raw in _parsed(np.frombuffer(row["n"], np.int64), row["bytes"], length):
+        found += a.phrases(raw)
+        sizes.append(a.size)
+    return *_distinct(found), np.concatenate(sizes)
+
+
+def named_phrases(chunks: DataFrame, length: int) -> DataFrame:
+    """(chunk, n, c): the strings of phrase names of the chunks' runs, names in rising byte order.
+
+    The order of all phrases is cut into even ranges.  Each chunk sends its different phrases to them in
+    one block a range and gets their numbers there back.
+    """
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                n = np.frombuffer(r["n"], np.int64)
+                i = next(iter(slices(np.append(0, np.cumsum(n)), 2 * PART)), (0, 0))[1]
+                some, _, _ = _phrases({"n": n[:i].tobytes(), "bytes": r["bytes"][: n[:i].sum()]}, length)
+                pick = np.unique(np.random.default_rng(r["chunk"] & 0xFFFF).integers(0, len(some), blocks.SAMPLE)) if len(some) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([len(some) * len(r["bytes"]) // max(int(n[:i].sum()), 1)], pa.int64()), pa.array([some.take(pa.array(pick)).to_pylist()], pa.list_(pa.binary()))], names=["n", "some"])
+
+    got = chunks.select("chunk", "n", "bytes").mapInArrow(sample, "n long, some array<binary>").toArrow().to_pydict()
+    ranges = max(1, -(-sum(got["n"]) // blocks.RANGE))
+    found = sorted(x for some in got["some"] for x in some)
+    cuts = sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got, _, _, most = different(np.frombuffer(n, np.int64), data)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(got), pa.int64()), pa.array(got, pa.binary()), pa.array([most] * len(got), pa.int64())], names=["chunk", "phrase", "most"])
-
-    listed = materialise(chunks.select("chunk", "n", "bytes").mapInArrow(run, "chunk long, phrase binary, most long"), "phrases")
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = listed.select("phrase").distinct().repartitionByRange(parts, "phrase").sortWithinPartitions("phrase")
-    # A row's number in its partition; partitions are ranges in rising order.
-    contents = materialise(spread.select("phrase", F.spark_partition_id().cast("long").alias("part"), (F.monotonically_increasing_id() % (1 << 33) + 1).alias("v")), "contents")
-    bases, total = [], 0
-    for r in contents.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row per partition
-        bases.append((r["part"], total))
+            for r in b.to_pylist():
+                phrases, _, _ = _phrases(r, length)
+                buf, off = text_buffer(phrases)
+                listed, n = phrases.to_pylist(), np.diff(off)
+                edges = [0, *(bisect_left(listed, x) for x in cuts), len(listed)]
+                rows = [(k, r["chunk"], n[i:j].tobytes(), buf[off[i] : off[j]].tobytes()) for k, (i, j) in enumerate(pairwise(edges)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (*[pa.int64()] * 2, *[pa.binary()] * 2), strict=True)], names=["part", "chunk", "n", "bytes"])
+
+    def name(table: pa.Table) -> pa.Table:
+        n = [np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()]
+        different, place = _distinct(_sized(np.concatenate(n), b"".join(table.column("bytes").to_pylist())))
+        ends = np.cumsum([len(x) for x in n])
+        c = [(place[e - len(x) : e] + 1).tobytes() for x, e in zip(n, ends, strict=True)]
+        return pa.table([table.column("part"), table.column("chunk"), pa.array(c, pa.binary()), pa.array([len(different)] * len(n), pa.int64())], names=["part", "chunk", "c", "different"])
+
+    names = materialise(chunks.select("chunk", "n", "bytes").mapInArrow(send, PHRASES).groupBy("part").applyInArrow(tidy(name), NAMES), "names")
+    bases, total = {}, 0
+    for r in names.groupBy("part").agg(F.first("different").alias("n")).orderBy("part").collect():  # one row a range
+        bases[r["part"]] = total
         total += r["n"]
-    small = chunks.sparkSession.createDataFrame(bases or [(-1, 0)], "part long, base long")
-    numbers = contents.join(F.broadcast(small), "part").select("phrase", (F.col("v") + F.col("base")).alias("c"))
 
-    def replace(table: pa.Table, names: pa.Table) -> pa.Table:
+    def replace(table: pa.Table, got: pa.Table) -> pa.Table:
+        # Names rise with the phrases: those of the ranges in order fit the chunk's.
+        answers = sorted(got.to_pylist(), key=lambda r: r["part"])
+        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) + bases[r["part"]] for r in answers)])
         made = []
-        for chunk, n, data in zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "bytes")), strict=True):
-            phrases, found, counts, _ = different(np.frombuffer(n, np.int64), data)
-            # Names rise with the phrases: both in order fit each other.
-            of = dict(zip(phrases, np.sort(names.column("c").to_numpy()).tolist(), strict=True))
-            made.append((chunk, np.concatenate(counts).astype(np.int64).tobytes(), np.array([of[x] for f in found for x in f], np.int64).tobytes()))
+        for r in table.to_pylist():
+            _, place, sizes = _phrases(r, length)
+            made.append((r["chunk"], sizes.astype(np.int64).tobytes(), c[place].tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*made, strict=True) if made else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "n", "c"])
 
-    names = listed.select("chunk", "phrase").join(numbers, "phrase").select("chunk", "c")
-    strings = materialise(chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(tidy(replace), "chunk long, n binary, c binary"), "strings")
-    reach = listed.agg(F.max("most").alias("n")).first()["n"] or 1
-    discard(listed, contents)
-    return strings, reach
+    strings = materialise(chunks.select("chunk", "n", "bytes").groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(tidy(replace), "chunk long, n binary, c binary"), "strings")
+    discard(names)
+    return strings
 
 
 def _inside(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,17 +388,20 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
     agree on those may stand in any order, so a symbol or triple that is common fills several ranges.
     """
 
+    short = reach <= 3
+
     def triples(r: blocks.Row) -> tuple[np.ndarray, list[np.ndarray]]:
         i, ends = _inside(r["n"])
-        at = np.flatnonzero(i % 3)
+        at = np.arange(len(i)) if short else np.flatnonzero(i % 3)
         return at, [_after(r["c"], ends, k)[at] for k in range(3)]
 
     size = lambda r: len(r["c"])
-    short = reach <= 3
     answers, bases, different, rows = blocks.ranked(strings, triples, "number" if short else "names", "triples")
+    if short:
+        return _by_place(strings, answers, bases)
     keep = lambda r, v: {"chunk": r["chunk"], "n": r["n"], "c": r["c"], "r": v}
     named = blocks.attach(strings, answers, bases, keep, size, "chunk long, n binary, c binary, r binary", "named")
-    if not short and different < rows:
+    if different < rows:
 
         def shorten(r: blocks.Row, _: np.ndarray) -> blocks.Row:
             n, places = _shorter(r["n"])
@@ -369,45 +451,61 @@ def suffix_ranks(strings: DataFrame, reach: int) -> DataFrame:
         return np.arange(len(i)), [r["p"], (~rest).astype(np.int64), np.where(rest, r["c"], zero), np.where(rest, _after(r["r"], ends, 1), zero)]
 
     answers, bases, _, _ = blocks.ranked(full, order, "number", "order")
-    # Chunks get their ranks by place: of themselves only the number of symbols is needed.
-    sizes = full.select("chunk", (F.octet_length("c") / 8).cast("long").alias("size"))
-    out = blocks.attach(sizes, answers, bases, lambda r, v: {"chunk": r["chunk"], "r": v}, lambda r: r["size"], "chunk long, r binary", "ranks")
+    out = _by_place(full, answers, bases)
     discard(full)
     return out
 
 
+def _by_place(strings: DataFrame, answers: DataFrame, bases: dict[int, int]) -> DataFrame:
+    """(chunk, r): chunks get their numbers by place; of themselves only the number of symbols is needed."""
+    sizes = strings.select("chunk", (F.octet_length("c") / 8).cast("long").alias("size"))
+    return blocks.attach(sizes, answers, bases, lambda r, v: {"chunk": r["chunk"], "r": v}, lambda r: r["size"], "chunk long, r binary", "ranks")
+
+
+COLUMNS = ("rank", "s", "at", "low", "high", "n")
+CONTEXTS = f"part long, {', '.join(f'{c} binary' for c in COLUMNS)}, bytes binary"
+
+
 def _contexts(chunks: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
-    """(part, rank, s, at, low, high, bytes): anchors that windows belong to, in even ranges of ranks.
+    """CONTEXTS: anchors that windows belong to, in even ranges of ranks; a block of a chunk's a row.
 
-    bytes: `high` bytes before the anchor, and up to `length` from it on.
+    bytes: of each anchor, `high` bytes before it and up to `length` from it on; n bytes together.
     """
     total = blocks.total(ranks.select("r"), lambda r: int(r["r"].max(initial=0)), F.max)
     parts = max(1, -(-total // RANGE))
 
     def run(table: pa.Table, got: pa.Table) -> pa.Table:
-        out = [pa.table([pa.array([], pa.int64())] * 6 + [pa.array([], pa.binary())], names=["part", "rank", "s", "at", "low", "high", "bytes"])]
+        out = [pa.table([pa.array([], pa.int64())] + [pa.array([], pa.binary())] * (len(COLUMNS) + 1), names=["part", *COLUMNS, "bytes"])]
         for r in table.to_pylist():
             s, rank, base = np.frombuffer(r["s"], np.int64), np.frombuffer(got.column("r")[0].as_py(), np.int64), 0
             for i, j, a, raw in _parsed(np.frombuffer(r["n"], np.int64), r["bytes"], length):
                 mine = rank[base : base + len(a.at)]
                 base += len(a.at)
                 k = np.flatnonzero(a.low <= a.high)
+                k = k[np.argsort(mine[k])]
                 at, low, high = a.at[k], a.low[k], a.high[k]
-                cut = [raw[p:q] for p, q in zip((at - high).tolist(), np.minimum(at + length, a.end[k]).tolist(), strict=True)]
-                cols = [(mine[k] - 1) * parts // max(total, 1), mine[k], s[i:j][a.run[k]], at - a.first[k], low, high]
-                out.append(pa.table([*map(pa.array, cols), pa.array(cut, pa.binary())], names=out[0].column_names))
+                first, end = at - high, np.minimum(at + length, a.end[k])
+                cols = [mine[k], s[i:j][a.run[k]], at - a.first[k], low, high, end - first]
+                part = (mine[k] - 1) * parts // max(total, 1)
+                some, begin = np.unique(part, return_index=True)
+                first, end = first.tolist(), end.tolist()
+                spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(k)], strict=False))
+                packed = [pa.array([c[p:q].astype(np.int64).tobytes() for p, q in spans], pa.binary()) for c in cols]
+                data = [b"".join([raw[x:y] for x, y in zip(first[p:q], end[p:q], strict=True)]) for p, q in spans]
+                out.append(pa.table([pa.array(some, pa.int64()), *packed, pa.array(data, pa.binary())], names=out[0].column_names))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(tidy(run), "part long, rank long, s long, at long, low long, high long, bytes binary")
+    return chunks.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(tidy(run), CONTEXTS)
 
 
 class Suffixes:
     """Anchors of one range of ranks, and the windows that belong to them."""
 
     def __init__(self, table: pa.Table, length: int):
-        order = np.argsort(table.column("rank").to_numpy(), kind="stable")
-        self.s, self.at, self.low, self.high = (table.column(c).to_numpy()[order] for c in ("s", "at", "low", "high"))
-        self.raw, self.length = table.column("bytes").combine_chunks().take(pa.array(order)), length
+        rank, s, at, low, high, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in COLUMNS)
+        order = np.argsort(rank, kind="stable")
+        self.s, self.at, self.low, self.high = (c[order] for c in (s, at, low, high))
+        self.raw, self.length = _sized(size, b"".join(table.column("bytes").to_pylist())).take(pa.array(order)), length
         buf, off = text_buffer(self.raw)
         n = len(order)
         right = np.diff(off) - self.high
@@ -419,23 +517,44 @@ class Suffixes:
         self.common[1:] = np.minimum(first, np.minimum(right[1:], right[:-1]))
 
     @staticmethod
-    def _matrix(buf: np.ndarray, start: np.ndarray, n: np.ndarray, step: int, rows: int = 1024) -> np.ndarray:
-        """A row per anchor: n bytes from `start` on, forwards or backwards; places are made for some rows at a time."""
-        out = np.zeros((len(n), int(n.max(initial=0))), np.uint8)
-        for i in range(0, len(n), rows):
-            some = n[i : i + rows]
-            row = np.repeat(np.arange(len(some)), some)
-            col = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
-            out[row + i, col] = buf[start[i + row] + step * col]
+    def _matrix(buf: np.ndarray, start: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+        """A row per anchor: n bytes from `start` on, forwards or backwards, and zeros behind them."""
+        width = int(n.max(initial=0))
+        padded = np.append(buf[::step], np.zeros(width + 1, np.uint8))
+        out = np.lib.stride_tricks.sliding_window_view(padded, width)[start if step > 0 else len(buf) - 1 - start]
+        out *= np.arange(width) < n[:, None]
         return out
 
-    def _groups(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each anchor in the order of the bytes before it, read backwards; bytes in common with the one before in it)."""
+    def _beside(self) -> np.ndarray:
+        """Windows that an anchor beside theirs in the order of ranks shows to be repeated, by anchor and bytes before it."""
+        n, most = self.left.shape
+        d = np.arange(most + 1)
+        same = self.left[1:] == self.left[:-1]
+        back = np.where(same.all(1), most, same.argmin(1)) if same.size else np.zeros(max(n - 1, 0), np.int64)
+        back = np.minimum(back, np.minimum(self.high[1:], self.high[:-1]))[:, None]
+        # They have `back` bytes before them and `common` from them on alike.
+        pair = (d <= back) & (d >= self.length - self.common[1:, None])
+        found = np.zeros((n, most + 1), bool)
+        found[1:] |= pair
+        found[:-1] |= pair
+        return found & (d >= self.low[:, None]) & (d <= self.high[:, None])
+
+    def _unsettled(self, found: np.ndarray) -> np.ndarray:
+        """Anchors of groups, alike as far as any window may ask, that have windows not found yet, or lie at an end of the range."""
         n, most = self.left.shape
+        group = np.cumsum(self.common < self.length - most)
+        left = found.sum(1) <= self.high - self.low
+        left[[0, -1]] = True
+        return np.flatnonzero(np.isin(group, group[left]))
+
+    @staticmethod
+    def _groups(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each anchor in the order of the bytes before it, read backwards; bytes in common with the one before in it)."""
+        n, most = left.shape
         if not most:
             return np.arange(n), np.zeros(n, np.int64)
-        order = np.argsort(np.ascontiguousarray(self.left).view(f"V{most}").ravel(), kind="stable")
-        same = self.left[order[1:]] == self.left[order[:-1]]
+        order = np.argsort(np.ascontiguousarray(left).view(f"V{most}").ravel(), kind="stable")
+        same = left[order[1:]] == left[order[:-1]]
         common = np.zeros(n, np.int64)
         common[1:] = np.where(same.all(1), most, same.argmin(1)) if n > 1 else 0
         place = np.empty(n, np.int64)
@@ -445,23 +564,27 @@ class Suffixes:
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """(found, open): windows with an equal one in this range, by anchor and bytes before it; and (anchor,
         bytes before it) of windows that the ranges beside it may hold too, one of equal ones."""
-        n, most = len(self.s), int(self.high.max(initial=0))
-        found, edge = np.zeros((n, most + 1), bool), [np.zeros((0, 2), np.int64)]
-        place, alike = self._groups()
+        found, edge = self._beside(), [np.zeros((0, 2), np.int64)]
+        # Of the others all windows are found, and none that another range may hold.
+        own = self._unsettled(found) if len(self.s) else np.zeros(0, np.int64)
+        common, low, high, n = self.common[own], self.low[own], self.high[own], len(own)
+        place, alike = self._groups(self.left[own])
         rows = np.arange(n)
-        for d in range(most + 1):
-            rows = rows[self.high[rows] >= d]
-            k = rows[self.low[rows] <= d]
+        for d in range(int(high.max(initial=-1)) + 1):
+            rows = rows[high[rows] >= d]
+            k = rows[low[rows] <= d]
             if not len(k):
                 continue
-            part = np.cumsum(self.common < self.length - d)  # suffixes that agree as far as a window needs
+            part = np.cumsum(common < self.length - d)  # suffixes that agree as far as a window needs
             key = part[k] * (n + 1) + np.cumsum(alike < d)[place[k]]  # and that have d bytes before them in common
-            ordered = np.sort(key)
-            twice = ordered[1:][ordered[1:] == ordered[:-1]]
-            at = np.minimum(np.searchsorted(twice, key), max(len(twice) - 1, 0))
-            found[k, d] = twice[at] == key if len(twice) else False
+            order = np.argsort(key, kind="stable")
+            again = np.diff(key[order]) == 0
+            twice = np.zeros(len(k), bool)
+            twice[order[1:]] |= again
+            twice[order[:-1]] |= again
+            found[own[k], d] = twice
             beside = np.flatnonzero((part[k] == part[0]) | (part[k] == part[-1]))
-            one = k[beside[np.unique(key[beside], return_index=True)[1]]]
+            one = own[k[beside[np.unique(key[beside], return_index=True)[1]]]]
             edge.append(np.stack([one, np.full(len(one), d)], 1))
         return found, np.concatenate(edge)
 
@@ -492,8 +615,8 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
 def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
     """(s, first, end) of runs (s, bytes): bytes of windows that start elsewhere too."""
     chunks = chunked(runs, text_bytes(runs, "bytes"))
-    strings, reach = named_phrases(chunks, length)
-    ranks = suffix_ranks(strings, reach)
+    strings = named_phrases(chunks, length)
+    ranks = suffix_ranks(strings, most_triggers(length))
     marks = materialise(_contexts(chunks, ranks, length).groupBy("part").applyInArrow(tidy(lambda t: _resolve(t, length)), MARKS), "marks")
     discard(chunks, strings, ranks)
     beside = marks.where("key IS NOT NULL")
@@ -504,8 +627,8 @@ def repeated_spans(runs: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    if length <= TRIGGER:
-        raise ValueError(f"length must be greater than {TRIGGER}")
+    if length <= GRAM:
+        raise ValueError(f"length must be greater than {GRAM}")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     with arrow_batches(docs.sparkSession, 500, BATCH):
         found = candidate_runs(texts.select("k", "text"), length)

@@ -422,6 +422,47 @@ def test_op2_long_text_of_one_letter(spark):
     assert sorted(map(tuple, suffixes.remove_repeats(df).collect()), key=str) == repeats_by_force(rows, 200)
 
 
+def test_op2_anchors_keep_a_distance_and_follow_the_window():
+    rng = np.random.default_rng(8)
+    window = bytes(rng.choice(list(b"abcd "), 200).tolist())
+    runs = [bytes(rng.choice(list(b"abcd "), n).tolist()) + window + bytes(rng.choice(list(b"abcd "), 20_000).tolist()) for n in (0, 1, 77, 500)]
+    off = np.append(0, np.cumsum([len(x) for x in runs]))
+    a = suffixes.Anchors(np.frombuffer(b"".join(runs), np.uint8), off, 200)
+    starts = off[:-1] + [0, 1, 77, 500]
+    first = [a.at[np.searchsorted(a.at, s)] - s for s in starts]
+    assert len(set(first)) == 1 and first[0] < 200
+    assert np.diff(a.at[a.hit]).min() > 16
+
+
+def test_op2_sends_blocks_and_sorts_few_times(spark, monkeypatch):
+    """Of one chunk and one range: one row, not one an anchor; ranks of anchors in four sorts."""
+    rng = np.random.default_rng(9)
+    some = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = some(6000)
+    rows = [(i, some(40) + passage + some(40)) for i in range(3)]
+    sent, sorts, contexts, ranked = [], [], suffixes._contexts, blocks.ranked
+
+    def watched(*a):
+        out = contexts(*a)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "_contexts", watched)
+    monkeypatch.setattr(blocks, "ranked", lambda *a: sorts.append(a[3]) or ranked(*a))
+    assert sorted(map(tuple, suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == repeats_by_force(rows, 200)
+    assert sent == [1] and len(sorts) <= 4
+
+
+@pytest.mark.parametrize("length", [17, 60])
+def test_op2_shorter_windows(spark, length):
+    rng = np.random.default_rng(length)
+    some = lambda n: "".join(rng.choice(list("ab "), n))
+    passage = some(90)
+    rows = [(i, some(5 * i) + passage[i:] + some(30)) for i in range(6)] + [(10, "xyz" * 60), (11, "q" + "xyz" * 30), (12, passage[:length]), (13, passage[: length - 1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffixes.remove_repeats(df, length).collect()), key=str) == repeats_by_force(rows, length)
+
+
 def test_op5_program_covers_every_length(monkeypatch):
     rng = np.random.default_rng(5)
     histogram = {int(n): int(k) for n, k in enumerate(rng.integers(2000, 9000, 320), 1)}
