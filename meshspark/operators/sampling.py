@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..tables import discard, materialise
+from ..tables import apart, discard, materialise
 
 #: Fixed value: how densely disks are taken to fill an area.
 DENSITY = 0.7
@@ -29,28 +29,40 @@ def poisson_disk(points: DataFrame, radius: float, seed: int = 0) -> tuple[DataF
     Points get a priority by a hash of their id.  Cells are small enough that one holds one sample at most.  In each
     round the first point of every cell is a candidate, candidates without a nearer candidate of higher priority are
     kept, and all points near those go.  So only candidates, one a cell, are ever paired with each other, however
-    many points a cell holds; the result depends on ids and seed alone.  Rows with a null coordinate are dropped, and
-    of rows with equal ids and places one counts.
+    many points a cell holds, and a point goes only to the cells that come near enough; the result depends on ids and
+    seed alone.  Rows with a null coordinate are dropped, and of rows with equal ids and places one counts.
     """
     side = radius / math.sqrt(3) * 0.999
     cell = [F.floor(F.col(c) / side).alias(f"c{i}") for i, c in enumerate("xyz")]
     left = points.select("id", *(F.col(c).cast("double").alias(c) for c in "xyz")).dropna(subset=[*"xyz"]).distinct()
     left = materialise(left.select("*", F.xxhash64("id", F.lit(seed)).alias("turn"), *cell), "left")
-    around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{i}") for i, v in enumerate((x, y, z)))) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3)))).alias("o")
+    steps = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3)]
     cells, order = ["c0", "c1", "c2"], F.struct("turn", "id", *"xyz")
-    beside = lambda df: df.select("*", around).select("id", *"xyz", "turn", *((F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"c{i}") for i in range(3)))
+
+    def gap(c: str, i: int) -> Column:
+        """From the point to the cell `o` along one axis."""
+        low = (F.col(f"c{i}") + F.col(f"o.o{i}")) * F.lit(side)
+        return F.greatest(low - F.col(c), F.col(c) - low - side, F.lit(0.0))
+
+    def beside(df: DataFrame, steps: list[tuple]) -> DataFrame:
+        """Points with each cell a step away that comes nearer than `radius`."""
+        o = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{i}") for i, v in enumerate(step))) for step in steps))).alias("o")
+        reached = sum((gap(c, i) * gap(c, i) for i, c in enumerate("xyz")), F.lit(0.0)) < radius * radius * (1 + 1e-6)
+        return df.select("*", o).where(reached).select("id", *"xyz", "turn", *((F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"c{i}") for i in range(3)))
+
     near = lambda a, b: G.distance2(G.vec(a), G.vec(b)) < radius * radius
     named = lambda df, s: df.select(*cells, *(F.col(c).alias(f"{s}{c}") for c in ("id", *"xyz", "turn")))
     kept, rounds = [], 0
     while left.limit(1).count():
         rounds += 1
         first = materialise(left.groupBy(*cells).agg(F.min_by(F.struct("id", *"xyz", "turn"), order).alias("p")).select("p.*", *cells), "candidates")
-        pairs = named(beside(first), "p").join(named(first, "q"), cells).where(near("p", "q"))
-        later = F.struct("qturn", "qid", *(f"q{c}" for c in "xyz")) > F.struct("pturn", "pid", *(f"p{c}" for c in "xyz"))
-        blocked = pairs.where(later).select(*(F.col(f"q{c}").alias(c) for c in ("id", *"xyz"))).distinct()
-        chosen = materialise(first.join(blocked, ["id", *"xyz"], "left_anti"), "kept")
-        gone = named(beside(chosen), "p").join(named(left, "q"), cells).where(near("p", "q")).select(*(F.col(f"q{c}").alias(c) for c in ("id", *"xyz"))).distinct()
-        before, left = left, materialise(left.join(gone, ["id", *"xyz"], "left_anti"), "left")
+        # Of two cells one meets the other, so a pair comes once; either of its points may be the later one.
+        pairs = named(beside(first, [o for o in steps if o > (0, 0, 0)]), "p").join(apart(named(first, "q")), cells).where(near("p", "q"))
+        point = lambda s: F.struct(*(F.col(f"{s}{c}").alias(c) for c in ("turn", "id", *"xyz")))
+        blocked = pairs.select(F.greatest(point("p"), point("q")).alias("b")).select(*(f"b.{c}" for c in ("id", *"xyz"))).distinct()
+        chosen = materialise(first.join(apart(blocked), ["id", *"xyz"], "left_anti"), "kept")
+        gone = named(beside(chosen, steps), "p").join(apart(named(left, "q")), cells).where(near("p", "q")).select(*(F.col(f"q{c}").alias(c) for c in ("id", *"xyz"))).distinct()
+        before, left = left, materialise(left.join(apart(gone), ["id", *"xyz"], "left_anti"), "left")
         discard(before, first)
         kept.append(chosen.select("id", *"xyz"))
     out = kept[0] if kept else left.select("id", *"xyz")
