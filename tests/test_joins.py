@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from meshspark.operators import geodesic as Q
 from meshspark.operators import sampling as S
 
 
@@ -25,3 +27,14 @@ def test_disks_without_broadcasts(spark, monkeypatch):
     points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(r.random((300, 3)) * 8)], "id long, x double, y double, z double")
     assert S.poisson_disk(points, 1.5)[1] > 1
     assert any("Join" in p for _, p in seen) and not any("Broadcast" in p for _, p in seen)
+
+
+def test_surface_rounds_are_short(spark, monkeypatch):
+    """What stays from round to round isn't worked out in each: such rounds were too long to be compiled."""
+    seen = written(monkeypatch, Q)
+    n = 5
+    v = spark.range(n * n).select(F.col("id").alias("vid"), (F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    faces = spark.createDataFrame([f for y in range(n - 1) for x in range(n - 1) for i in [y * n + x] for f in ((2 * i, i, i + 1, i + n), (2 * i + 1, i + 1, i + n + 1, i + n))], "fid long, v0 long, v1 long, v2 long")
+    Q.surface_distances(faces, v, spark.createDataFrame([(0,)], "id long"), 2.0)
+    rounds = [p for name, p in seen if name == "distances"][1:]
+    assert rounds and all("SQRT" in p and len(p) < 30_000 and p.count("SQRT") < 100 for p in rounds)
