@@ -10,6 +10,7 @@ from ..operators import nodes as N
 from ..operators import points as P
 from ..operators.prefix import running
 from ..plans import dag as D
+from ..tables import apart
 from . import query
 
 c = F.col
@@ -175,7 +176,7 @@ def _(t):
     for a in "xyz":
         boxes = boxes.select("*", F.explode(F.array_distinct(F.array(cell(c(f"c{a}") - 1), cell(c(f"c{a}") + 1)))).alias(f"k{a}"))
     v = t("mesh_vertices").select("vid", *"xyz", *(cell(c(a)).alias(f"k{a}") for a in "xyz"))
-    met = boxes.join(v, ["kx", "ky", "kz"])
+    met = boxes.join(apart(v), ["kx", "ky", "kz"])
     return met.where(G.in_box(G.vec(), tuple(c(f"c{a}") - 1 for a in "xyz"), tuple(c(f"c{a}") + 1 for a in "xyz"))).select("node", "vid")
 
 

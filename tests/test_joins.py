@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from meshspark.catalog import QUERIES
 from meshspark.operators import geodesic as Q
 from meshspark.operators import sampling as S
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -38,3 +41,7 @@ def test_surface_rounds_are_short(spark, monkeypatch):
     Q.surface_distances(faces, v, spark.createDataFrame([(0,)], "id long"), 2.0)
     rounds = [p for name, p in seen if name == "distances"][1:]
     assert rounds and all("SQRT" in p and len(p) < 30_000 and p.count("SQRT") < 100 for p in rounds)
+
+
+def test_cell_members_without_broadcasts(spark):
+    assert "Broadcast" not in plan(QUERIES["flt_04_cell_members"](spark, SF))
