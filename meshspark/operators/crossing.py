@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import intersect as X
-from ..tables import discard, materialise
+from ..tables import apart, discard, materialise
 from .mesh import gather
 
 CELL = ["level", "cx", "cy", "cz"]
@@ -154,7 +154,7 @@ def ray_triangles(rays: DataFrame, triangles: DataFrame, size: float | None = No
         return rays.join(triangles, F.lit(False)).select("id", "fid", F.lit(None).cast("double").alias("t"))
     margin = size * 1e-6
     way = _crossed(rays.dropna(), size, [b[f"l{c}"] - margin for c in "xyz"], [b[f"h{c}"] + margin for c in "xyz"])
-    met = way.join(_touched(tri, size), ["cx", "cy", "cz"])
+    met = way.join(apart(_touched(tri, size)), ["cx", "cy", "cz"])
     t = tuple(G.vec(suffix=str(k)) for k in range(3))
     o, d = (tuple(F.col(f"{s}{c}") for c in "xyz") for s in "od")
     return met.select("id", "fid", X.ray_triangle(o, d, t).alias("t")).where("t IS NOT NULL").groupBy("id", "fid").agg(F.min("t").alias("t"))
@@ -172,4 +172,4 @@ def inside(points: DataFrame, triangles: DataFrame, direction: tuple[float, floa
     """
     rays = points.select("id", *(F.col(c).cast("double").alias(f"o{c}") for c in "xyz"), *(F.lit(v).alias(f"d{c}") for c, v in zip("xyz", direction, strict=True)))
     n = ray_triangles(rays, triangles, size).groupBy("id").agg(F.count("*").alias("n"))
-    return points.select("id").join(n, "id", "left").select("id", (F.coalesce("n", F.lit(0)) % 2 == 1).alias("inside"))
+    return points.select("id").join(apart(n), "id", "left").select("id", (F.coalesce("n", F.lit(0)) % 2 == 1).alias("inside"))

@@ -45,3 +45,8 @@ def test_surface_rounds_are_short(spark, monkeypatch):
 
 def test_cell_members_without_broadcasts(spark):
     assert "Broadcast" not in plan(QUERIES["flt_04_cell_members"](spark, SF))
+
+
+def test_inside_without_broadcasts(spark):
+    """Six corners and eight faces come from each row of the vertices' file."""
+    assert "Broadcast" not in plan(QUERIES["vin_01_inside"](spark, SF))
