@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..plans.dag import components
+from ..tables import materialise
 from .mesh import edges, gather
 
 # The directions in which extremes vote, and the cosine of 85 degrees.
@@ -43,20 +45,31 @@ def orient(faces: DataFrame) -> DataFrame:
     return out.select("fid", "v0", F.when(flipped, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(flipped, F.col("v1")).otherwise(F.col("v2")).alias("v2"), flipped.alias("flipped"), F.floor(F.least("own", "other") / 2).alias("component"), (F.col("own") != F.col("other")).alias("orientable"))
 
 
-def angle_normals(triangles: DataFrame) -> DataFrame:
-    """(vid, nx, ny, nz): unit sums of face normals weighted by the faces' angles there; degenerate faces don't count."""
+def _unit_normals(sums: DataFrame, *kept: str) -> DataFrame:
+    length = G.norm(tuple(F.col(f"n{x}") for x in "xyz"))
+    return sums.withColumn("_l", length).select(*kept, *(F.coalesce(F.try_divide(F.col(f"n{x}"), F.col("_l")), F.lit(0.0)).alias(f"n{x}") for x in "xyz"))
+
+
+def _angle_rows(triangles: DataFrame, *kept: str) -> DataFrame:
+    """(*kept, vid, x, y, z, nx, ny, nz, firm): each corner with its face's unit normal times the angle there; without normal where the face has no area."""
     p = [G.vec(suffix=str(k)) for k in range(3)]
-    n = G.cross(G.sub(p[1], p[0]), G.sub(p[2], p[0]))
-    size = G.norm(n)
-    rows = []
+    normal = tuple(F.col(f"_n{x}") for x in "xyz")
+    # In steps, as each would be copied into all that use it.
+    t = triangles.withColumns({f"_n{x}": c for x, c in zip("xyz", G.cross(G.sub(p[1], p[0]), G.sub(p[2], p[0])), strict=True)}).withColumn("_size", G.norm(normal))
+    angles = {}
     for k in range(3):
         u, v = G.sub(p[(k + 1) % 3], p[k]), G.sub(p[(k + 2) % 3], p[k])
         cos = F.try_divide(G.dot(u, v), G.norm(u) * G.norm(v))
-        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
-        rows.append(F.struct(F.col(f"v{k}").alias("vid"), *((F.try_divide(c, size) * angle).alias(f"n{x}") for c, x in zip(n, "xyz", strict=True))))
-    summed = triangles.where(size > 0).select(F.explode(F.array(*rows)).alias("r")).select("r.*").groupBy("vid").agg(*(F.sum(f"n{x}").alias(f"n{x}") for x in "xyz"))
-    length = G.norm(tuple(F.col(f"n{x}") for x in "xyz"))
-    return summed.withColumn("_l", length).select("vid", *(F.coalesce(F.try_divide(F.col(f"n{x}"), F.col("_l")), F.lit(0.0)).alias(f"n{x}") for x in "xyz"))
+        angles[f"_angle{k}"] = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+    t = t.withColumns({f"_u{x}": F.try_divide(c, F.col("_size")) for x, c in zip("xyz", normal, strict=True)} | angles)
+    firm = F.col("_size") > 0
+    rows = [F.struct(F.col(f"v{k}").alias("vid"), *(c.alias(x) for c, x in zip(p[k], "xyz", strict=True)), *(F.when(firm, F.col(f"_u{x}") * F.col(f"_angle{k}")).alias(f"n{x}") for x in "xyz"), firm.alias("firm")) for k in range(3)]
+    return t.select(*kept, F.explode(F.array(*rows)).alias("r")).select(*kept, "r.*")
+
+
+def angle_normals(triangles: DataFrame) -> DataFrame:
+    """(vid, nx, ny, nz): unit sums of face normals weighted by the faces' angles there; degenerate faces don't count."""
+    return _unit_normals(_angle_rows(triangles).where("firm").groupBy("vid").agg(*(F.sum(f"n{x}").alias(f"n{x}") for x in "xyz")), "vid")
 
 
 def outward_votes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -64,11 +77,13 @@ def outward_votes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
     In seven directions the first and last vertex of a component vote against its orientation if their normal
     points back by more than 5 degrees from the side; three votes and more mean that it is inside out.  One
-    aggregate with a map-side part; ties go to the lower vid.
+    pass over the corners and aggregates with a map-side part; ties go to the lower vid.
     """
-    tri = gather(faces, vertices)
-    n = angle_normals(tri)
-    corner = tri.select("component", F.explode(F.array(*(F.struct(F.col(f"v{k}").alias("vid"), *(F.col(f"{x}{k}").alias(x) for x in "xyz")) for k in range(3)))).alias("p")).select("component", "p.*").distinct().join(n, "vid")
+    n = [f"n{x}" for x in "xyz"]
+    each = _angle_rows(gather(faces, vertices), "component").groupBy("component", "vid").agg(*(F.first(x).alias(x) for x in "xyz"), *(F.sum(x).alias(x) for x in n), F.max("firm").alias("firm"))
+    here = W.partitionBy("vid")  # a vertex has as many rows as components
+    whole = each.select("component", "vid", *"xyz", *(F.sum(x).over(here).alias(x) for x in n), F.max("firm").over(here).alias("firm")).where("firm")
+    corner = _unit_normals(whole, "component", "vid", *"xyz")
     aggs = []
     for i, d in enumerate(DIRECTIONS):
         size = sum(v * v for v in d) ** 0.5
@@ -82,6 +97,7 @@ def outward_votes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def outward(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Oriented faces (see orient) with the components that are inside out flipped once more."""
+    faces = materialise(faces, "oriented")
     votes = outward_votes(faces, vertices).select("component", "inside_out")
     met = faces.join(votes, "component", "left")
     turn = F.coalesce("inside_out", F.lit(False))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import discard, materialise
 
 
 def children(nodes: DataFrame, patches: DataFrame) -> DataFrame:
@@ -94,12 +94,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable over undirected edges (a, b); lineage is cut by checkpoints."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
-    label = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
+    before = label = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
         step = label.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("to"))
         root = label.select(F.col("id").alias("to"), F.col("comp").alias("root"))
         turn = checkpointed(step.join(root, "to").select("id", F.least("to", "root").alias("comp"), (F.least("to", "root") != F.col("old")).alias("moved")))
-        label = turn.select("id", "comp")
+        discard(before)
+        before, label = turn, turn.select("id", "comp")
         if not turn.where("moved").limit(1).count():
+            discard(both)
             return label

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshspark.catalog import QUERIES
 from meshspark.operators import geodesic as Q
+from meshspark.operators import orient as O
 from meshspark.operators import sampling as S
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,10 @@ def test_cell_members_without_broadcasts(spark):
 def test_inside_without_broadcasts(spark):
     """Six corners and eight faces come from each row of the vertices' file."""
     assert "Broadcast" not in plan(QUERIES["vin_01_inside"](spark, SF))
+
+
+def test_outward_without_broadcasts(spark, monkeypatch):
+    """Oriented faces are worked out once, not at each of their uses, and octahedra meet their corners without a broadcast."""
+    seen = written(monkeypatch, O)
+    last = plan(QUERIES["vc_43_outward"](spark, SF))
+    assert [name for name, _ in seen] == ["oriented"] and not any("Broadcast" in p for p in (seen[0][1], last))
