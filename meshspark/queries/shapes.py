@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import colour as C
+from ..functions import distances as D
 from ..functions import geometry as G
 from ..functions import intersect as X
 from . import query, rowwise
@@ -166,7 +171,16 @@ def _(t):
 
 @query("vo_25_edge_distances", None)
 def _(t):
-    p, a, b = corners(), point(2, 3, 6), point(9, 12, 0.5)
-    other = (a, b, point(4, 8, 7))
-    made = {"lines": X.line_line(p[0], G.sub(p[1], p[0]), a, G.sub(b, a)), "segments": X.segment_segment(p[0], p[1], a, b), "point": X.triangle_point(p, a), "segment": X.triangle_segment(p, a, b), "triangle": X.triangle_triangle_distance(p, other)}
-    return t("node_faces").select("fid", *(r4(v).alias(n) for n, v in made.items()))
+    """Of each face's first edge's line, first edge (segments) and whole triangle, from a line, a segment, a point and a triangle."""
+    a, b, e = (2.0, 3.0, 6.0), (9.0, 12.0, 0.5), (4.0, 8.0, 7.0)
+    names = ["lines", "segments", "point", "segment", "triangle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            p = tuple(tuple(rows.column(f"{x}{k}").to_numpy(zero_copy_only=False).astype(float) for x in "xyz") for k in range(3))
+            with np.errstate(all="ignore"):
+                made = [D.line_line(p[0], G.sub(p[1], p[0]), a, G.sub(b, a)), D.segment_segment(p[0], p[1], a, b), D.triangle_point(p, a), D.triangle_segment(p, a, b), D.triangle_triangle(p, (a, b, e))]
+            yield pa.RecordBatch.from_arrays([rows.column("fid"), *(pa.array(v, from_pandas=True) for v in made)], names=["fid", *names])
+
+    rows = t("node_faces").select("fid", *(f"{x}{k}" for k in range(3) for x in "xyz"))
+    return rows.mapInArrow(run, "fid long, " + ", ".join(f"{n} double" for n in names)).select("fid", *(r4(c(n)).alias(n) for n in names))

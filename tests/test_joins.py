@@ -58,3 +58,24 @@ def test_outward_without_broadcasts(spark, monkeypatch):
     seen = written(monkeypatch, O)
     last = plan(QUERIES["vc_43_outward"](spark, SF))
     assert [name for name, _ in seen] == ["oriented"] and not any("Broadcast" in p for p in (seen[0][1], last))
+
+
+def test_edge_distances_in_batches(spark):
+    """Distances come from batches of rows, equal to those of the columns of single rows, null ones too."""
+    from meshspark.functions import distances as D
+    from meshspark.functions import geometry as G
+    from meshspark.functions import intersect as X
+
+    assert "MapInArrow" in plan(QUERIES["vo_25_edge_distances"](spark, SF))
+    r = np.random.default_rng(9)
+    p = r.random((60, 6, 3)) * 3
+    p[0], p[1, 1], p[2, 3:], p[3, 2], p[4, 3:5], p[5, 2, 2] = p[0, 0], p[1, 0], p[2, :3], (p[3, 0] + p[3, 1]) / 2, p[4, :2], np.nan
+    names = [f"{x}{k}" for k in range(6) for x in "xyz"]
+    df = spark.createDataFrame([(i, *(None if v != v else float(v) for v in q.ravel())) for i, q in enumerate(p)], "id long, " + ", ".join(f"{n} double" for n in names))
+    v, w = [G.vec(suffix=str(k)) for k in range(6)], [tuple(p[:, k, i] for i in range(3)) for k in range(6)]
+    made = {"lines": X.line_line(v[0], G.sub(v[1], v[0]), v[2], G.sub(v[3], v[2])), "segments": X.segment_segment(*v[:4]), "point": X.triangle_point(v[:3], v[3]), "segment": X.triangle_segment(v[:3], v[3], v[4]), "triangle": X.triangle_triangle_distance(v[:3], v[3:])}
+    with np.errstate(all="ignore"):
+        got = {"lines": D.line_line(w[0], G.sub(w[1], w[0]), w[2], G.sub(w[3], w[2])), "segments": D.segment_segment(*w[:4]), "point": D.triangle_point(w[:3], w[3]), "segment": D.triangle_segment(w[:3], w[3], w[4]), "triangle": D.triangle_triangle(w[:3], w[3:])}
+    for i, row in enumerate(df.select("id", *(x.alias(n) for n, x in made.items())).orderBy("id").collect()):
+        for n in made:
+            assert (row[n] is None and np.isnan(got[n][i])) or row[n] == got[n][i], (n, i, row[n], got[n][i])
