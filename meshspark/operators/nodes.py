@@ -179,8 +179,9 @@ def saturated(nodes: DataFrame, edges: DataFrame, growth: float = 1.01) -> DataF
     child in order of `ordinal`; a radius grows to hold the children's spheres, then by `growth`.  Leaves
     stay.  edges: (src, ordinal, dst).
     """
-    edges = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
-    tall = materialise(nodes.select("node", "error", "cx", "cy", "cz", "radius").join(heights(nodes, edges), "node"), "saturate")
+    nodes = materialise(nodes.select("node", "error", "cx", "cy", "cz", "radius"), "nodes")  # every level reads them and the edges
+    edges = materialise(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi"), "edges")
+    tall = materialise(nodes.join(heights(nodes, edges), "node"), "saturate")
     top = tall.agg(F.max("height").alias("h")).first()["h"] or 0
     done = tall.where("height = 0").drop("height")
     for h in range(1, top + 1):

@@ -13,6 +13,7 @@ from ..plans import build as B
 from ..sources import container as S
 from ..sources import meshes as M
 from ..sources.lines import scratch
+from ..tables import materialise
 from . import query
 
 c = F.col
@@ -192,7 +193,7 @@ def _(t):
     """A built graph, saturated, has no child of as much error as its parent, and none that reaches out of it."""
     g = B.build(soup(t), 400, 100)
     corners = g.faces.select("node", F.explode(F.array(*(F.struct(*(c(f"{a}{k}").alias(a) for a in "xyz")) for k in range(3)))).alias("p")).select("node", "p.*")
-    edges = g.patches.withColumn("ordinal", F.row_number().over(W.partitionBy("src").orderBy("dst")))  # a node is bounded
+    edges = materialise(g.patches.withColumn("ordinal", F.row_number().over(W.partitionBy("src").orderBy("dst"))), "edges")  # a node is bounded
     s = N.saturated(g.nodes.join(N.spheres(corners), "node"), edges)
     a, b = (s.select(c("node").alias(x), *(c(k).alias(f"{k}_{x}") for k in ("error", "cx", "cy", "cz", "radius"))) for x in ("src", "dst"))
     apart = F.sqrt(sum((c(f"c{k}_src") - c(f"c{k}_dst")) ** 2 for k in "xyz"))

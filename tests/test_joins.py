@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshspark.catalog import QUERIES
 from meshspark.operators import geodesic as Q
+from meshspark.operators import nodes as N
 from meshspark.operators import orient as O
 from meshspark.operators import sampling as S
 
@@ -79,3 +80,11 @@ def test_edge_distances_in_batches(spark):
     for i, row in enumerate(df.select("id", *(x.alias(n) for n, x in made.items())).orderBy("id").collect()):
         for n in made:
             assert (row[n] is None and np.isnan(got[n][i])) or row[n] == got[n][i], (n, i, row[n], got[n][i])
+
+
+def test_build_saturates_from_tables(spark, monkeypatch):
+    """Levels read nodes and edges that are written once: spheres were worked out anew for each, in plans as long as the whole build."""
+    seen = written(monkeypatch, N)
+    QUERIES["agg_27_build_saturates"](spark, SF)
+    levels = [p for name, p in seen if name in ("heights", "saturate")]
+    assert levels and not any("FlatMapGroupsInArrow" in p for p in levels)
