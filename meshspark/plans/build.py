@@ -102,7 +102,7 @@ def _grow(p: np.ndarray, of: np.ndarray, full: dict[int, tuple[np.ndarray, int]]
 
 
 def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    return np.stack([table.column(c).to_numpy() for c in CORNERS], 1).astype(float).reshape(-1, 3, 3)
+    return np.stack([table.column(c).to_numpy() for c in CORNERS], 1).astype(float, copy=False).reshape(-1, 3, 3)
 
 
 def partition(triangles: DataFrame, capacity: int, level: int = 0, adaptivity: float = 0.333) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +135,10 @@ def partition(triangles: DataFrame, capacity: int, level: int = 0, adaptivity: f
         rate = min(1.0, PASS_LEAVES * SAMPLES / sum(n for _, n in chosen.values()))
         drawn = at.where(F.col("cell").isin(list(chosen))).select("cell", *CORNERS)
         sample = (drawn.where(F.rand(11) < rate) if rate < 1 else drawn).toArrow()
-        tree, stuck = _grow(_matrix(sample), sample.column("cell").to_numpy(), chosen, rate, capacity, RATIOS[level % 2], adaptivity, first)
+        p, of = _matrix(sample), sample.column("cell").to_numpy()
+        del sample  # the driver's memory holds the sample once
+        tree, stuck = _grow(p, of, chosen, rate, capacity, RATIOS[level % 2], adaptivity, first)
+        del p, of
         leaf = np.flatnonzero(tree.axis < 0)
         grown = {int(tree.cell[k]): tree.box[k] for k in leaf}
         first += len(tree.cell)
